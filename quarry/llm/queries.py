@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash
+from quarry.llm import simhash, toxicity
+from quarry.llm.common import fold
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    return toxicity.score(docs, scorer).select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
