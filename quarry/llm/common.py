@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 import zlib
@@ -74,9 +73,17 @@ def fold_py(doc_id: object) -> int:
     return zlib.crc32(str(doc_id).encode()) % 5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once for a row.
+
+    A plain column would be inlined where a later lambda uses it, and so be evaluated for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def long_array(values: Iterable[int]) -> Column:
-    """A constant array of longs, given to Catalyst as one literal instead of one node a value."""
-    return F.from_json(F.lit(json.dumps(list(values))), "array<bigint>")
+    """A constant array of longs, which Catalyst folds into one literal before the query runs."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def map_rows(
@@ -126,7 +133,8 @@ def salted_join(
     left = rows.join(hot, rows[key].eqNullSafe(F.col("_hot_key")), "left")
     left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), row_salt.cast("long")))
     cold = values.select(F.col(key).alias("_cold_key"), F.struct(*names).alias("_cold"))
-    cold = cold.withColumn("_cold_salt", F.lit(0).cast("long"))
+    # always 0, but not a constant that the optimizer would take out of the join's keys
+    cold = cold.withColumn("_cold_salt", F.pmod(F.xxhash64("_cold_key"), F.lit(1)).cast("long"))
     on = (F.col(key) == F.col("_cold_key")) & (F.coalesce(F.col("_salt"), F.lit(0)) == F.col("_cold_salt"))
     out = left.join(cold, on, "left")
     picked = [F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in names]

@@ -87,16 +87,16 @@ class CuckooFilter:
         return made
 
 
-def may_contain(words: Column, key: Column) -> Column:
-    """Whether the filter with these words may hold the key: two array reads."""
+def may_contain(words: Column, start: Column, buckets: Column, key: Column) -> Column:
+    """Whether the filter of ``buckets`` words from ``start`` on may hold the key: two array reads."""
     low = key.bitwiseAND(F.lit(MASK).cast("long"))
     f = F.when(low == 0, F.lit(1).cast("long")).otherwise(low)
-    mask = (F.size(words) - 1).cast("long")
+    mask = buckets - 1
     first = F.shiftrightunsigned(key, BITS).bitwiseAND(mask)
     second = first.bitwiseXOR(F.shiftright(f * F.lit(SPREAD).cast("long"), 8).bitwiseAND(mask))
 
     def holds(spot: Column) -> Column:
-        word = F.get(words, spot.cast("int"))
+        word = F.get(words, (start + spot).cast("int"))
         found = [F.shiftrightunsigned(word, BITS * j).bitwiseAND(F.lit(MASK).cast("long")) == f for j in range(SLOTS)]
         return found[0] | found[1] | found[2] | found[3]
 

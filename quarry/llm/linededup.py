@@ -18,13 +18,14 @@ document, each row is returned; other columns come back unchanged; empty tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, ascii_lower, salted_join
+from quarry.llm.common import Scratch, ascii_lower, let, long_array, salted_join
 from quarry.llm.cuckoo import CuckooFilter, may_contain
 
 LEAST_CHARS = 20
@@ -43,8 +44,8 @@ def lines_of(text: Column) -> Column:
 
 def key_of(line: Column) -> Column:
     """The line's two-part key, or null for a line that is too short."""
-    bare = ascii_lower(F.btrim(line, F.lit(STRIP)))
-    return F.when(F.length(bare) >= LEAST_CHARS, F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
+    pair = lambda k: F.when(F.length(k) >= LEAST_CHARS, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))
+    return let(ascii_lower(F.btrim(line, F.lit(STRIP))), pair)
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -125,13 +126,20 @@ class LineIndex:
         gone = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         return LineIndex(self.refs.join(gone, "doc_id", "left_anti"), self.scratch, self)
 
-    def _candidate(self, key: Column) -> Column:
+    def _candidate(self) -> Callable[[Column], Column]:
+        """The test of a key against its shard's filter; all filters are one constant array."""
         if self.filters is None:
-            return key.isNotNull()
-        words = {r["shard"]: r["words"] for r in self.filters.collect()}  # at most FILTER_KEYS keys in all
-        nested = [words.get(s, [0]) for s in range(self.shards)]
-        table = F.from_json(F.lit(str(nested)), "array<array<bigint>>")
-        return key.isNotNull() & may_contain(F.get(table, _shard(key, self.shards)), key["b"])
+            return lambda key: key.isNotNull()
+        made = {r["shard"]: r["words"] for r in self.filters.collect()}  # at most FILTER_KEYS keys in all
+        parts = [made.get(s, [0]) for s in range(self.shards)]
+        words, sizes = long_array(w for p in parts for w in p), long_array(map(len, parts))
+        starts = long_array(accumulate(map(len, parts[:-1]), initial=0))
+
+        def test(key: Column) -> Column:
+            shard = _shard(key, self.shards)
+            return key.isNotNull() & may_contain(words, F.get(starts, shard), F.get(sizes, shard), key["b"])
+
+        return test
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """(row, text, n_lines, n_dropped): ``row`` is the struct of all columns of ``docs``.
@@ -143,7 +151,8 @@ class LineIndex:
         rows = docs.select(F.struct("*").alias("row")).withColumns(
             {"id": F.col("row.doc_id").cast("long"), "print": F.xxhash64("row.text")}
         )
-        found = F.filter(numbered, lambda x: self._candidate(x["key"]))
+        candidate = self._candidate()
+        found = F.filter(numbered, lambda x: candidate(x["key"]))
         some = rows.filter("id is not null").select("id", "print", F.explode(found).alias("x")).select("id", "print", "x.i", "x.key")
         salt = F.pmod(F.xxhash64("id", "i"), F.lit(1 << 20)) + 1
         met = salted_join(some, self.common.select("key", "last"), "key", salt, self.common.select("key", "n"), self.n_rows)
@@ -156,9 +165,13 @@ class LineIndex:
         lines = lines_of(F.col("row.text"))
         top = F.greatest(F.floor((F.size(lines) - 1) / 64).cast("int"), F.lit(0))
         dense = F.transform(F.sequence(F.lit(0), top), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
-        kept = F.filter(lines, lambda _, i: F.call_function("getbit", F.get(F.col("dense"), F.floor(i / 64).cast("int")), i % 64) == 0)
-        out = joined.withColumn("dense", F.when(F.col("m").isNotNull(), dense))
-        out = out.select("row", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("m").isNull(), lines).otherwise(kept).alias("kept"))
+        def kept(masks: Column) -> Column:
+            gone = lambda i: F.call_function("getbit", F.get(masks, F.floor(i / 64).cast("int")), i % 64)
+            return F.filter(lines, lambda _, i: gone(i) == 0)
+
+        out = joined.select(
+            "row", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("m").isNull(), lines).otherwise(let(dense, kept)).alias("kept")
+        )
         return out.select(
             "row",
             F.array_join("kept", "\n").alias("text"),

@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -36,8 +39,10 @@ NODES = 20_000
 #: Fillings tried at one step, and items a filling may have beyond the first.
 WIDTH = 3
 DEPTH = 4
-#: Words whose ids a task remembers.
-CACHE = 300_000
+#: Words whose ids a Python worker remembers, from task to task.
+CACHE = 600_000
+_WORDS: dict[str, tuple] = {}
+assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are stored as little-endian 32-bit numbers"
 #: Rows of the (task, length) offsets that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: White space of Unicode, at which the tokenizer always breaks.
@@ -249,21 +254,19 @@ def _tokenise(path: str, capacity: int) -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        tokenizer, known = _WORDS.setdefault(path, (Tokenizer.from_file(path), {}))
         ranks: dict[int, int] = defaultdict(int)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = array("I", [END_ID]).tobytes()
 
         def ids_of(texts: list[str | None]) -> Iterator[bytes]:
             split = [SPACE.split(t) if t else [] for t in texts]
             if len(known) > CACHE:
                 known.clear()
-            new = list({w for words in split for w in words} - known.keys())
-            if new:
-                for word, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = np.array(e.ids, dtype="<u4").tobytes()
+            new = list({w for w in chain.from_iterable(split) if w not in known})
+            for word, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[word] = array("I", e.ids).tobytes()
             for words in split:
                 yield b"".join(map(known.__getitem__, words)) + end
 

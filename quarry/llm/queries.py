@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import linededup, packing, simhash, toxicity
+from quarry.llm import decontam, linededup, packing, simhash, toxicity
 from quarry.llm.common import fold
 
 
@@ -32,6 +32,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.withColumn("containment", F.round("containment", 6))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -44,6 +49,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
@@ -65,6 +71,21 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM marked GROUP BY doc_id
 """
 
+def _shingles_sql(table: str, key: str) -> str:
+    words = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    grams = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
+    return f"SELECT DISTINCT {key}, unnest({grams}) AS s FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 5"
+
+
+OP8_SQL = f"""
+WITH d AS ({_shingles_sql("documents", "doc_id")}), b AS ({_shingles_sql("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment
+FROM p JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
+"""
+
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op8_decontam": OP8_SQL,
 }
