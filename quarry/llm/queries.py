@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, linededup, packing, simhash, toxicity
+from quarry.llm import decontam, langid, linededup, media, packing, sharding, simhash, toxicity, urlfilter
 from quarry.llm.common import fold
 
 
@@ -21,6 +21,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urlfilter.judge(pages, RULES, urlfilter.junk_sections(pages))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     out = linededup.LineIndex.of(docs).apply(docs)
@@ -32,6 +46,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store_texts(_docs(spark, sf_dir)))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_docs(spark, sf_dir))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    return langid.identify(docs, langid.train(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.withColumn("containment", F.round("containment", 6))
@@ -47,8 +75,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_media": op5_media,
+    "op6_sharding": op6_sharding,
+    "op7_langid": op7_langid,
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
@@ -71,6 +103,28 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM marked GROUP BY doc_id
 """
 
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_FITS = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v" for h, p, v in RULES)
+
+OP1_SQL = f"""
+WITH u AS (
+  SELECT page_id, html, {_LOWER.format(f"regexp_extract(coalesce({_REST}, ''), '^([^/?#]*)', 1)")} AS host,
+         regexp_extract(coalesce({_REST}, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM pages
+), k AS (
+  SELECT *, CASE WHEN host <> '' THEN host || '/' || regexp_extract(path, '^/([^/]*)', 1) || '/' END AS section FROM u
+), bad AS (
+  SELECT section FROM k WHERE section IS NOT NULL GROUP BY section
+  HAVING 2 * count(*) FILTER (regexp_matches(html, '<title>[^<]*[*#%$]{{3}}')) > count(*)
+), best AS (
+  SELECT k.*, (SELECT max(struct_pack(n := length(h || p), r := h || p, v := v)) FROM ({_FITS})
+               WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS m FROM k
+)
+SELECT page_id, host, path, m.r AS rule,
+       coalesce(m.v, CASE WHEN section IN (SELECT section FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM best
+"""
+
+
 def _shingles_sql(table: str, key: str) -> str:
     words = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
     grams = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
@@ -86,6 +140,7 @@ FROM p JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_decontam": OP8_SQL,
 }
