@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, linededup, media, packing, sharding, simhash, toxicity, urlfilter
+from quarry.llm import decontam, langid, linededup, media, packing, pii, sharding, simhash, toxicity, urlfilter
 from quarry.llm.common import fold
 
 
@@ -35,6 +35,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, RULES, urlfilter.junk_sections(pages))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_docs(spark, sf_dir))
+    count = {f"n_{k}": pii.count_kind(F.col("base"), k) for k in pii.KINDS[:4]}
+    return found.withColumns(count).select(
+        "doc_id", *count, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans")
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     out = linededup.LineIndex.of(docs).apply(docs)
@@ -76,6 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
