@@ -40,8 +40,8 @@ NODES = 20_000
 WIDTH = 3
 DEPTH = 4
 #: Words whose ids a Python worker remembers, from task to task.
-CACHE = 600_000
-_WORDS: dict[str, tuple] = {}
+CACHE = 1_200_000
+_WORDS: dict[str, Words] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are stored as little-endian 32-bit numbers"
 #: Rows of the (task, length) offsets that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
@@ -249,29 +249,90 @@ def runs_of(plan: list[tuple[dict[int, int], int]]) -> list[Run]:
 # --- tokenising and placing -----------------------------------------------------------------------
 
 
+class Words:
+    """Token ids of white-space separated words, remembered from task to task.
+
+    The tokenizer breaks at white space and between letters and other characters, so a word's ids do not
+    depend on its neighbours. A word of letters is one unit, whose last token alone is marked as
+    a word's end: many such words are encoded as one text and cut at the marks. Commas and full stops
+    after it are a unit of their own. All other words are encoded one by one.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _single(self, words: list[str]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = array("I", e.ids).tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(group):
+                self._single(group)
+                continue
+            whole = ids.tobytes()
+            self.known.update(zip(group, (whole[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """(letters in lower case, full stops and commas after them), or the word as it is."""
+        core = word.rstrip(".,")
+        # to U+024F lower case goes letter by letter; the dotted capital I is the exception
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+            return core.lower(), word[len(core) :]
+        return word, ""
+
+    def learn(self, words: list[str]) -> None:
+        parts = list(map(self._parts, words))
+        new = {p for pair in parts for p in pair if p} - self.known.keys()
+        letters = [w for w in new if w.isalpha() and max(w) < "\u0250"]
+        self._joined(letters)
+        self._single(list(new.difference(letters)))
+        for word, (core, rest) in zip(words, parts, strict=True):
+            self.known[word] = self.known[core] + self.known[rest] if rest else self.known[core]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        split = [_split(t) if t else [] for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        here = {w: self.known.get(w) for w in set(chain.from_iterable(split))}
+        new = [w for w, ids in here.items() if ids is None]
+        self.learn(new)
+        for w in new:
+            here[w] = self.known[w]
+        return (b"".join(map(here.__getitem__, words)) for words in split)
+
+
+def _split(text: str) -> list[str]:
+    """Words at Unicode white space; ``str.split`` would also break at four separator controls."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in SPACE.split(text) if w]
+    return text.split()
+
+
 def _tokenise(path: str, capacity: int) -> Callable:
     def make() -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, known = _WORDS.setdefault(path, (Tokenizer.from_file(path), {}))
+        if path not in _WORDS:
+            _WORDS[path] = Words(path)
         ranks: dict[int, int] = defaultdict(int)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         end = array("I", [END_ID]).tobytes()
 
-        def ids_of(texts: list[str | None]) -> Iterator[bytes]:
-            split = [SPACE.split(t) if t else [] for t in texts]
-            if len(known) > CACHE:
-                known.clear()
-            new = list({w for w in chain.from_iterable(split) if w not in known})
-            for word, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
-            for words in split:
-                yield b"".join(map(known.__getitem__, words)) + end
-
         def rows(docs: list, texts: list) -> Iterator[tuple]:
-            for doc, ids in zip(docs, ids_of(texts), strict=True):
+            for doc, ids in zip(docs, _WORDS[path].encode(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4
