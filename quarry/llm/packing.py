@@ -17,6 +17,7 @@ their own; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -48,6 +49,11 @@ BROADCAST_ROWS = 400_000
 #: White space of Unicode, at which the tokenizer always breaks.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
+#: Characters that normalization may change otherwise than letter by letter.
+BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
+#: A control character between words that are encoded together.
+MARK = "\x01"
+
 #: (length, first rank, pieces, pieces a sequence, first sequence, offset of the first piece)
 Run = tuple[int, int, int, int, int, int]
 
@@ -252,53 +258,46 @@ def runs_of(plan: list[tuple[dict[int, int], int]]) -> list[Run]:
 class Words:
     """Token ids of white-space separated words, remembered from task to task.
 
-    The tokenizer breaks at white space and between letters and other characters, so a word's ids do not
-    depend on its neighbours. A word of letters is one unit, whose last token alone is marked as
-    a word's end: many such words are encoded as one text and cut at the marks. Commas and full stops
-    after it are a unit of their own. All other words are encoded one by one.
+    The tokenizer breaks at white space, so a word's ids do not depend on its neighbours. Unseen words
+    are encoded many at a time with a mark between them, a control character that is a token of its own,
+    and cut at the mark. Words that the tokenizer's normalization leaves alone skip it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.full = Tokenizer.from_file(path)
+        self.lean = Tokenizer.from_str(json.dumps(json.loads(self.full.to_str()) | {"normalizer": None, "added_tokens": []}))
+        (self.mark,) = self.full.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        every = "".join(words)
+        if MARK in every:
+            self._single([w for w in words if MARK in w])
+            words = [w for w in words if MARK not in w]
+        if _plain(every):
+            self._marked(self.lean, words)
+        else:
+            self._marked(self.lean, [w for w in words if _plain(w)])
+            self._marked(self.full, [w for w in words if not _plain(w)])
+
     def _single(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        for word, e in zip(words, self.full.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = array("I", e.ids).tobytes()
 
-    def _joined(self, words: list[str]) -> None:
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    def _marked(self, tokenizer: object, words: list[str]) -> None:
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        joint = f" {MARK} "
+        for group, e in zip(groups, tokenizer.encode_batch_fast([joint.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(cuts) != len(group):
+            cuts = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            if len(cuts) != len(group) - 1:  # cannot be, as no word has the mark
                 self._single(group)
                 continue
             whole = ids.tobytes()
-            self.known.update(zip(group, (whole[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """(letters in lower case, full stops and commas after them), or the word as it is."""
-        core = word.rstrip(".,")
-        # to U+024F lower case goes letter by letter; the dotted capital I is the exception
-        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-            return core.lower(), word[len(core) :]
-        return word, ""
-
-    def learn(self, words: list[str]) -> None:
-        parts = list(map(self._parts, words))
-        new = {p for pair in parts for p in pair if p} - self.known.keys()
-        letters = [w for w in new if w.isalpha() and max(w) < "\u0250"]
-        self._joined(letters)
-        self._single(list(new.difference(letters)))
-        for word, (core, rest) in zip(words, parts, strict=True):
-            self.known[word] = self.known[core] + self.known[rest] if rest else self.known[core]
+            ends = [*cuts, len(whole)]
+            self.known.update(zip(group, [whole[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], ends, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -307,14 +306,25 @@ class Words:
             self.known.clear()
         here = {w: self.known.get(w) for w in set(chain.from_iterable(split))}
         new = [w for w, ids in here.items() if ids is None]
-        self.learn(new)
-        for w in new:
-            here[w] = self.known[w]
+        if new:
+            self.learn(new)
+            here.update(zip(new, map(self.known.__getitem__, new), strict=True))
         return (b"".join(map(here.__getitem__, words)) for words in split)
 
 
+def _plain(text: str) -> bool:
+    """Whether normalization would change nothing: Latin letters to U+024F in lower case, and no
+    special token."""
+    return (text.isascii() or not BEYOND.search(text)) and "<|" not in text and text == text.lower()
+
+
 def _split(text: str) -> list[str]:
-    """Words at Unicode white space; ``str.split`` would also break at four separator controls."""
+    """Words at Unicode white space, in lower case where that goes letter by letter.
+
+    ``str.split`` would also break at four separator controls.
+    """
+    if (text.isascii() or not BEYOND.search(text)) and "<|" not in text:
+        text = text.lower()
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return [w for w in SPACE.split(text) if w]
     return text.split()
