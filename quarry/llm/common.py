@@ -43,10 +43,10 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/quarry-{uuid.uuid4().hex}"
         self._n = 0
 
-    def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self._n += 1
         path = f"{self.base}/t{self._n}"
-        df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -55,6 +55,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

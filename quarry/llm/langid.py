@@ -58,7 +58,7 @@ class Model:
 def _table(counts: list[Counter[str]], keep: int) -> tuple[dict[str, int], np.ndarray]:
     """Index and log frequencies of the most frequent keys of each language, add-half smoothed."""
     names = sorted({k for c in counts for k, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:keep]})
-    raw = np.array([[c.get(k, 0) for c in counts] for k in names], dtype=np.float64).reshape(-1, len(counts))
+    raw = np.array([[c.get(k, 0) for c in counts] for k in names], dtype=np.float64).reshape(len(names), len(counts))
     total = np.array([sum(c.values()) for c in counts], dtype=np.float64)
     return {k: i for i, k in enumerate(names)}, np.log((raw + 0.5) / (total + 0.5 * (len(names) + 1)))
 

@@ -304,12 +304,13 @@ class Words:
         split = [_split(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        here = {w: self.known.get(w) for w in set(chain.from_iterable(split))}
+        words = set(chain.from_iterable(split))
+        here = dict(zip(words, map(self.known.get, words), strict=True))
         new = [w for w, ids in here.items() if ids is None]
         if new:
             self.learn(new)
             here.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        return (b"".join(map(here.__getitem__, words)) for words in split)
+        return (b"".join(map(here.__getitem__, parts)) for parts in split)
 
 
 def _plain(text: str) -> bool:
@@ -361,14 +362,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     that both stay what they are.
     """
     schema = "part int, doc_id bigint, piece int, start bigint, length bigint, rank bigint, ids binary"
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity))
+    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity), slice_rows=2048)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) for every piece of ``docs``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    table = scratch.keep(pieces(docs, tokenizer_path, capacity))
+    table = scratch.keep(pieces(docs, tokenizer_path, capacity), codec="snappy")
     sizes = scratch.keep(table.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = runs_of(plan_histogram(counts, capacity))

@@ -35,6 +35,8 @@ KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
 EXAMPLES = 2400
 CONTEXT = 40
 PRECISION = 0.97
+#: Calibrated scores that a threshold may have.
+LEVELS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -43,11 +45,11 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11}(?:[\x20-]?+[0-9])*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: (kind, pattern); a generator's number is its place.
+#: (kind, pattern); a generator's number is its place, and between equal scores the first wins.
 GENERATORS: list[tuple[str, str]] = [
     ("email", r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}|<at>) ?[A-Z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}|<dot>) ?[A-Z0-9-]++)++"),
-    ("phone", r"(?<![\w+./-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .()-]{1,2}[0-9]{2,4}){2,4}(?![\w-])"),
     ("ssn", r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])"),
+    ("phone", r"(?<![\w+./-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .()-]{1,2}[0-9]{2,4}){2,4}(?![\w-])"),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("secret", r"(?<![\w+/=-])(?=[A-Za-z_+/=-]*+[0-9])[\w+/=-]{20,}+"),
     ("card", r"(?<![0-9.])[0-9]{4}(?:[./_·][0-9]{4}){3}(?![0-9])"),
@@ -266,10 +268,9 @@ def _fit_rows(session_id: str) -> tuple[gbt.Model, tuple[float, ...]]:
     for g in range(len(GENERATORS)):
         mine = held & (x[:, 0] == g)
         p, t = scale(model.margin(x[mine])), y[mine]
-        good = [c for c in np.unique(p) if c >= 0.5 and t[p >= c].mean() >= PRECISION]
-        margins = model.margin(x[mine])
-        # the lowest calibrated score that still has the precision asked for, as a margin
-        cuts.append(float(min(margins[p >= min(good)])) if good else float("inf"))
+        good = [c for c in LEVELS if (p >= c).any() and t[p >= c].mean() >= PRECISION]
+        # the lowest calibrated score that has the precision asked for, as a margin
+        cuts.append(float(np.interp(good[0], scale.value, scale.at)) if good else float("inf"))
     return model, tuple(cuts)
 
 

@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.common import Scratch, map_rows
-from quarry.llm.common import salted_join
+from quarry.llm.common import Scratch, fresh, map_rows, salted_join
 from quarry.llm.components import connected_components
 
 SEED = 42
@@ -132,8 +131,9 @@ def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     A row with a null id stays only if its whole group has null ids.
     """
     groups = near_duplicates(docs, scratch)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    own = fresh(docs, "kept")
+    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def hex16(fp: Column) -> Column:

@@ -30,9 +30,11 @@ from quarry.llm.common import Scratch, fold, map_rows
 #: Rows of each class that fitting reads at most, in expectation.
 SAMPLE = 4000
 LEXICON = 400
-#: A stem enters the lexicon at this many toxic documents and this log-odds.
+#: A stem enters the lexicon at this many toxic documents, this log-odds, and this log-odds times the
+#: root of the documents, which chance does not reach in small samples.
 LEAST_DOCS = 4
 LEAST_ODDS = 2.0
+LEAST_WEIGHT = 7.0
 STEMS = (4, 5, 6, 7)
 WINDOW = 40
 
@@ -170,7 +172,9 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = rows.select("y", F.explode(keys).alias("stem")).filter("stem is not null")
     counts = counts.groupBy("stem").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).filter(F.col("p") >= LEAST_DOCS)
     odds = F.log((F.col("p") + 0.25) / (toxic + 0.5)) - F.log((F.col("q") + 0.25) / (n - toxic + 0.5))
-    top = counts.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy((F.col("odds") * F.sqrt("p")).desc(), "stem").limit(LEXICON)
+    weighed = counts.withColumn("odds", odds).withColumn("weight", F.col("odds") * F.sqrt("p"))
+    strong = weighed.filter((F.col("odds") >= LEAST_ODDS) & (F.col("weight") >= LEAST_WEIGHT))
+    top = strong.orderBy(F.desc("weight"), "stem").limit(LEXICON)
     stems = [r["stem"] for r in top.collect()]
     return Lexicon(frozenset(s[1:] for s in stems if s[0] == "="), frozenset(s[1:] for s in stems if s[0] == "<"))
 
