@@ -54,8 +54,8 @@ def fit_linear(rows: DataFrame, features: Sequence[str], label: str = "label", l
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows)
-    model = LogisticRegression(featuresCol="x", labelCol=label, regParam=l2, maxIter=epochs, standardization=False).fit(data)
+    data = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+    model = LogisticRegression(featuresCol="_features", labelCol=label, regParam=l2, maxIter=epochs, standardization=False).fit(data)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 

@@ -28,15 +28,14 @@ def project_of(path: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value) of every line below a folder, in file order."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
     lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return lines.filter(F.trim("value") != "")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Lines with ``j``, the parsed object, or null where a line is not JSON. NUL characters go."""
-    clean = F.translate("value", "\u0000", "")
-    return lines.withColumn("j", F.from_json(clean, LINE, {"mode": "PERMISSIVE"}))
+    """Lines with ``j``, the parsed object, or null where a line is not JSON."""
+    return lines.withColumn("j", F.from_json("value", LINE, {"mode": "PERMISSIVE"}))
 
 
 def session_of(path: Column) -> Column:
@@ -68,10 +67,13 @@ def blocks(parsed: DataFrame) -> DataFrame:
 
 
 def turns(of: DataFrame) -> DataFrame:
-    """(session_id, project, line_no, block_no, idx, role, ts, content_type, content, ...) in order."""
+    """(session_id, project, line_no, block_no, idx, role, ts, content_type, content, ...) in order.
+
+    NUL characters go.
+    """
     content = F.coalesce("b.text", "b.thinking", F.when(F.col("b.type") == "tool_use", F.col("b.input")), "b.content")
     rows = of.select("session_id", "project", "line_no", "block_no", "role", "ts", F.coalesce("b.type", F.lit("text")).alias("content_type"),
-                     content.alias("content"), "model", "tokens_in", "tokens_out").filter("content is not null")
+                     F.translate(content, "\u0000", "").alias("content"), "model", "tokens_in", "tokens_out").filter("content is not null")
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("session_id").orderBy("line_no", "block_no")) - 1)
 
 
