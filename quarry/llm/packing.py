@@ -42,7 +42,7 @@ NODES = 20_000
 WIDTH = 3
 DEPTH = 4
 #: Words whose ids a Python worker remembers, from task to task.
-CACHE = 1_200_000
+CACHE = 1_000_000
 _WORDS: dict[str, Words] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are stored as little-endian 32-bit numbers"
 #: Rows of the (task, length) offsets that may be broadcast; more are joined by a shuffle.
@@ -369,7 +369,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     that both stay what they are.
     """
     schema = "part int, doc_id bigint, piece int, start bigint, length bigint, rank bigint, ids binary"
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity), slice_rows=4096)
+    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity), slice_rows=1024)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
