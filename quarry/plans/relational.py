@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import CONTENT_WORD, STOPWORDS, query_tokens
-from quarry.operators import ranking, retrieval, tables
+from quarry.operators import history, ranking, retrieval, tables
 from quarry.scope import Scope
 from quarry.session import load
 from quarry.streaming import incremental
@@ -258,6 +258,33 @@ def errors_window_5(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
+def newest_turns_fit(spark: SparkSession, sf: str) -> DataFrame:
+    t = turns(spark, sf).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), "turn_id", "content")
+    return history.newest_that_fit(t, 1500).select("turn_id", F.col("session_id").alias("conv_id"))
+
+
+def restorable_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """What would be restored if only the users' turns were left."""
+    size = lambda df: df.groupBy(F.col("conv_id").alias("session_id")).agg(F.sum(F.octet_length("content")).alias("bytes"))
+    t = turns(spark, sf)
+    return history.restorable(size(t.filter("role = 'user'")), size(t))
+
+
+def repair_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories without the assistant's turns, repaired from the whole."""
+    t = turns(spark, sf).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), F.col("turn_id").cast("string").alias("uuid"), "content", "role")
+    fixed = history.repair(t.filter("role <> 'assistant'").drop("role"), t.drop("role"))
+    return fixed.select("session_id", "idx", "uuid", F.md5("content").alias("content_md5"), "source")
+
+
+def name_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """A counter of customers' segments by nation, after the suppliers of each nation are sighted."""
+    c = load(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("project")).agg(F.count("*").alias("n"))
+    memory = c.select("project", F.lit("party").alias("name"), F.lit("trade").alias("domain"), "n", F.lit("kept").alias("status"), F.lit(None).cast("string").alias("notes"))
+    seen = load(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("project"), F.lit("party").alias("name"), F.lit("trade").alias("domain"))
+    return history.count_names(memory, seen).select("project", "n", "status")
+
+
 _T = "(SELECT conv_id * 1000 + turn AS turn_id, conv_id, turn, role, text AS content FROM conversations)"
 _POP = f"""SELECT turn_id, sum(weight * exp(-(epoch(TIMESTAMP '{AS_OF}') - epoch(ts))::DOUBLE / (14 * 86400.0::DOUBLE))) AS popularity
 FROM ({FEEDBACK_SQL}) WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND ts <= TIMESTAMP '{AS_OF}' GROUP BY turn_id"""
@@ -313,6 +340,13 @@ UNION ALL SELECT -1 - item_id, md5(text) FROM benchmark) a ON a.path = b.path"""
     "retention_top_n": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5",
     "attribution_60s": _USED.format(60),
     "attribution_1h": _USED.format(3600),
+    "newest_turns_fit": f"""SELECT turn_id, conv_id FROM {_T} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 200
+AND sum(length(content)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 1500""",
+    "restorable_sessions": f"""SELECT conv_id AS session_id, CASE WHEN live IS NULL THEN 'deleted' ELSE 'truncated' END AS reason FROM (
+SELECT conv_id, sum(octet_length(encode(content))) FILTER (role = 'user') AS live, sum(octet_length(encode(content))) AS stored FROM {_T} GROUP BY conv_id) WHERE live IS NULL OR live < stored * 0.95""",
+    "repair_turns": f"SELECT conv_id AS session_id, turn AS idx, turn_id::VARCHAR AS uuid, md5(content) AS content_md5, CASE WHEN role <> 'assistant' AND coalesce(content, '') <> '' THEN 'live' ELSE 'stored' END AS source FROM {_T}",
+    "name_counters": """SELECT project::VARCHAR AS project, coalesce(a, 0) + coalesce(b, 0) AS n, CASE WHEN a IS NULL THEN 'open' ELSE 'kept' END AS status FROM
+(SELECT c_nationkey AS project, count(*) AS a FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS project, count(*) AS b FROM supplier GROUP BY 1) USING (project)""",
     "tumbling_counts": "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "session_windows": """SELECT user_id, epoch_us(min(ts)) AS started, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
 SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
