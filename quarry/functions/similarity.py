@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,11 @@ def rerank_score(query: Column, name: Column, sim: Column, edits: Column, qualif
     return sim * F.pow(F.least(a, b) / F.greatest(a, b), F.lit(0.5)) + score
 
 
-def trigram_join(probes: DataFrame, names: DataFrame, threshold: float, probe: str = "probe", name: str = "name") -> DataFrame:
-    """(probe, name, sim) of every pair of distinct strings with word-trigram similarity of at least
-    ``threshold``.
+def trigram_join(
+    probes: DataFrame, names: DataFrame, threshold: float, probe: str = "probe", name: str = "name", grams: Callable[[Column], Column] = word_trigrams
+) -> DataFrame:
+    """(probe, name, sim) of every pair of distinct strings with trigram similarity of at least
+    ``threshold``, by words or, with ``whole_trigrams``, by whole strings.
 
     Two sets whose Jaccard is t share at least t of the larger, so some shared trigram is among the
     first ``n - ceil(t n) + 1`` of each in a common order. Rarest first, these prefixes are joined; a pair
@@ -55,15 +59,15 @@ def trigram_join(probes: DataFrame, names: DataFrame, threshold: float, probe: s
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    left = probes.select(probe).distinct().select(probe, word_trigrams(F.col(probe)).alias("tp")).filter(F.size("tp") > 0)
-    right = names.select(name).distinct().select(name, word_trigrams(F.col(name)).alias("tn")).filter(F.size("tn") > 0)
+    left = probes.select(probe).distinct().select(probe, grams(F.col(probe)).alias("tp")).filter(F.size("tp") > 0)
+    right = names.select(name).distinct().select(name, grams(F.col(name)).alias("tn")).filter(F.size("tn") > 0)
     freq = right.select(F.explode("tn").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
 
-    def prefix(side: DataFrame, key: str, grams: str) -> DataFrame:
-        rows = side.select(key, grams, F.explode(grams).alias("g")).join(freq, "g", "left")
-        rarest = rows.groupBy(key, grams).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("r"))
-        keep = F.size(grams) - F.ceil(F.size(grams) * F.lit(threshold) - 1e-9).cast("int") + 1
-        return rarest.select(key, grams, F.explode(F.slice("r", 1, keep)["g"]).alias("g"))
+    def prefix(side: DataFrame, key: str, own: str) -> DataFrame:
+        rows = side.select(key, own, F.explode(own).alias("g")).join(freq, "g", "left")
+        rarest = rows.groupBy(key, own).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("r"))
+        keep = F.size(own) - F.ceil(F.size(own) * F.lit(threshold) - 1e-9).cast("int") + 1
+        return rarest.select(key, own, F.explode(F.slice("r", 1, keep)["g"]).alias("g"))
 
     met = prefix(left, probe, "tp").join(prefix(right, name, "tn"), "g").select(probe, name, "tp", "tn").distinct()
     sizes = F.least(F.size("tp"), F.size("tn")) >= F.lit(threshold) * F.greatest(F.size("tp"), F.size("tn")) - 1e-9

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.similarity import fold_separators, jaccard, rerank_score, token_edits, trigram_join, whole_trigrams
+from quarry.functions.similarity import fold_separators, rerank_score, token_edits, trigram_join, whole_trigrams
 from quarry.functions.text import route_regex
 
 THRESHOLD, SALVAGE, FETCH = 0.40, 0.28, 50
@@ -148,16 +148,14 @@ def rewrite(probes: DataFrame, names: DataFrame, threshold: float = 0.7, accepte
     edited = keyed(p, "probe").join(keyed(n, "name"), "k").select("probe", "name").distinct().filter(token_edits(F.col("probe"), F.col("name")) == 1)
     stem = lambda df, c: df.withColumn("s", F.explode(F.array(*[F.lit(s) for s in SUFFIXES]))).filter(F.col(c).endswith(F.col("s"))).select(c, F.substring(F.col(c), F.lit(1), F.length(c) - F.length("s")).alias("k"))
     paired = stem(p, "probe").join(stem(n, "name"), "k")
-    grams = lambda df, c: df.select(c, whole_trigrams(F.col(c)).alias(f"g_{c}"))
-    posted = grams(p, "probe").withColumn("g", F.explode("g_probe")).join(grams(n, "name").withColumn("g", F.explode("g_name")), "g")
-    close = posted.select("probe", "name", "g_probe", "g_name").distinct().select("probe", "name", jaccard(F.col("g_probe"), F.col("g_name")).alias("sim"))
+    close = trigram_join(p, n, threshold, grams=whole_trigrams)
     proposals = [
         pick(p.join(n, F.col("probe") == F.col("name")), "OK", F.lit(1.0), 0, "exact"),
         pick(p.filter(F.col("probe").isin(*accepted)).withColumn("name", F.col("probe")), "ACCEPT_SDK", F.lit(1.0), 1, "catalog"),
         pick(acronyms, "REPLACE", F.lit(0.95), 2, "acronym"),
         pick(folded, "REPLACE", F.lit(0.95), 3, "case_normalize"),
         pick(edited, "REPLACE", F.lit(0.85), 4, "token_edit"),
-        pick(close.filter(F.col("sim") >= threshold), "REPLACE", F.col("sim"), 5, "trigram"),
+        pick(close, "REPLACE", F.col("sim"), 5, "trigram"),
         pick(bagged, "REPLACE", F.lit(0.9), 6, "token_set"),
         pick(paired, "RESIDUAL", F.lit(0.4), 7, "suffix"),
         pick(p.withColumn("name", F.lit(None).cast("string")), "RESIDUAL", F.lit(0.0), 8, "none"),
