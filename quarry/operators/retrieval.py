@@ -24,11 +24,12 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = None, k1: float
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
-    texts = corpus.select("id", tokens(F.col("text")).alias("words"))
     size = corpus.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = texts.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    # the length goes with each word; a column beside the array would carry the array along
+    words = once(tokens(F.col("text")), lambda t: F.transform(t, lambda w: F.struct(w.alias("term"), F.size(t).alias("dl"))))
+    found = corpus.select("id", F.explode(words).alias("x")).select("id", "x.term", "x.dl").join(wanted, "term", "left_semi")
     tf = found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # asks for tf, so that both uses share one shuffle
     n, avgdl = F.col("n"), F.col("avgdl")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
