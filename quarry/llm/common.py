@@ -25,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     in the session's settings.
     """
     key = "spark.checkpoint.dir"
-    root = spark.sparkContext.getConf().get(key) or spark.conf.get("quarry.scratch.dir", None)
+    root = spark.sparkContext.getConf().get(key) or spark.sparkContext.getCheckpointDir() or spark.conf.get("quarry.scratch.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.scratch.dir", root)
@@ -35,24 +35,27 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage, so that lost executors cost no rework.
 
-    ``drop()`` deletes what this object wrote; call it once nothing reads the tables any more.
+    ``drop()`` deletes what this object wrote; call it once nothing reads the tables any more. What is
+    not dropped goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/quarry-{uuid.uuid4().hex}"
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        self._files = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._n = 0
 
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self._n += 1
         path = f"{self.base}/t{self._n}"
         df.write.option("compression", codec).parquet(path)
+        if self._n == 1:
+            self._files.deleteOnExit(self._path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._files.delete(self._path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
