@@ -6,6 +6,11 @@ look like phones, national ids, accounts, cards in other writing, IPv6 addresses
 each by its format (digits, separators, checksums, grouping) and by words of its context; scores above
 the generator's calibrated threshold become spans, best first where they overlap.
 
+Generators see the text with the exact kinds' spans blanked out, so what they propose ends where such a
+span begins. Numbers are proposed at several starts and lengths: cards as every part of a number run at
+group borders that has 12 to 19 digits and passes Luhn, phones from a ``+`` with 9 to 15 digits, other
+phones with three to five groups. So a number is found though its run as a whole fails the exact check.
+
 All of it is one expression over the text: built-in functions, no shuffle, no Python on executors. The
 trees are fitted in the driver on ``EXAMPLES`` sentences made by rule, whose features come from the same
 expressions, and become ``CASE`` expressions.
@@ -45,16 +50,32 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11}(?:[\x20-]?+[0-9])*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: (kind, pattern); a generator's number is its place, and between equal scores the first wins.
+_GROUPED = r"(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .()-]{1,2}[0-9]{2,4})"
+_DIGITS = r"[0-9](?:[ ./_·-]?+[0-9])"
+#: (kind, pattern); a generator's number is its place, and between equal scores the first wins. From
+#: ``PARTS`` on a pattern finds number runs, of which ``_parts`` proposes pieces.
 GENERATORS: list[tuple[str, str]] = [
     ("email", r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}|<at>) ?[A-Z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}|<dot>) ?[A-Z0-9-]++)++"),
     ("ssn", r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])"),
-    ("phone", r"(?<![\w+./-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .()-]{1,2}[0-9]{2,4}){2,4}(?![\w-])"),
+    ("phone", rf"(?<![\w+./-]){_GROUPED}{{2,4}}(?![\w-])"),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("secret", r"(?<![\w+/=-])(?=[A-Za-z_+/=-]*+[0-9])[\w+/=-]{20,}+"),
     ("card", r"(?<![0-9.])[0-9]{4}(?:[./_·][0-9]{4}){3}(?![0-9])"),
     ("ip", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    ("card", rf"(?<![0-9]){_DIGITS}{{11}}(?:[ ./_·-]?+[0-9])*+"),
+    ("phone", BASE["phone"]),
+    ("phone", r"(?<![0-9])\(?[0-9]++(?:[ .()-]{1,2}[0-9]++){2,}+"),
 ]
+#: Generators from here on propose parts of number runs and have trees of their own.
+PARTS = 7
+#: The pieces that start at a place of a run, as group 1: patterns over the text from one character
+#: before the place. A card's piece has at most 19 digits and 18 separators, a grouped phone 30 characters.
+PIECES = {
+    7: [rf"^[^0-9]({_DIGITS}{{{n - 1}}})(?![0-9])" for n in range(12, 20)],
+    8: [rf"^(?s:.)(\+[0-9](?:[ ().-]*+[0-9]){{{n - 1}}})(?![0-9])" for n in range(9, 16)],
+    9: [rf"^(?:[^\w+./(-]|\((?![0-9]{{2,4}}\)))({_GROUPED}{{{n}}})(?![\w-])" for n in range(2, 5)],
+}
+REACH = 40
 #: Words that speak for private data, and words that speak for other numbers.
 CONTEXT_WORDS = {
     "contact": r"(?i)\b(phone|tel|call|mobile|cell|fax|contact|reach|whatsapp|text me|telefon|handy|t[eé]l|llam)",
@@ -83,6 +104,27 @@ def _spans(text: Column, pattern: str, kind: int, gen: int = -1) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
 
 
+def _parts(text: Column, kind: int, gen: int) -> Column:
+    """Every piece of every number run that ``PIECES`` allows; pieces overlap."""
+    spaced = F.concat(F.lit(" "), text)
+
+    def at(place: Column, near: Column) -> Column:
+        made = F.transform(F.array(*[F.regexp_extract(near, p, 1) for p in PIECES[gen]]), lambda m: F.struct(
+            place.alias("start"), F.lit(kind).alias("kind"), (place + F.length(m)).alias("end"), F.lit(gen).alias("gen"), m.alias("m")
+        ))
+        return F.filter(made, lambda s: (s["m"] != "") & luhn(_digits(s["m"])) if gen == 7 else s["m"] != "")
+
+    def of(run: Column) -> Column:
+        if gen == 8:  # separators may be many, and a run has one plus
+            return at(run["start"], F.concat(F.lit(" "), run["m"]))
+        # places of a group's first digit or bracket, as lengths of what lies before
+        led = F.concat(F.lit(" "), run["m"])
+        starts = F.filter(F.sequence(F.lit(1), F.length(run["m"])), lambda i: F.substring(led, i, F.lit(2)).rlike("^[^0-9][0-9]|[(]$"))
+        return F.flatten(F.transform(starts, lambda i: let(run["start"] + i - 1, lambda p: let(F.substring(spaced, p + 1, F.lit(REACH)), lambda near: at(p, near)))))
+
+    return F.flatten(F.transform(_spans(text, GENERATORS[gen][1], kind, gen), of))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -135,16 +177,34 @@ def base_spans(text: Column, numeric: Column) -> Column:
     return F.array_sort(F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
+def blanked(text: Column, base: Column) -> Column:
+    """The text with a line break, which no generator takes, for each character of a base span."""
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        gap = F.substring(text, acc["at"] + 1, start - acc["at"])
+        blank = F.repeat(F.lit("\n"), F.greatest(s["end"] - start, F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    whole = F.aggregate(
+        base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    )
+    return F.when(F.size(base) > 0, whole).otherwise(text)
+
+
 def candidates(text: Column, numeric: Column) -> Column:
     """All generators' proposals, with the matched string as ``m``."""
     spelled = text.rlike(r"(?i)[\[({<]at[\])}>]")
-    made = [_gated(spelled if g == 0 else numeric, _spans(text, p, KINDS.index(k), g)) for g, (k, p) in enumerate(GENERATORS)]
+    made = []
+    for g, (k, p) in enumerate(GENERATORS):
+        kind = KINDS.index(k)
+        made.append(_gated(spelled if g == 0 else numeric, _parts(text, kind, g) if g >= PARTS else _spans(text, p, kind, g)))
     return F.concat(*made)
 
 
 FEATURES = (
     "gen", "length", "digits", "letters", "upper", "separators", "groups", "longest_group", "distinct", "hex", "luhn", "mod97", "ssn_area",
-    "parens", *CONTEXT_WORDS, "other_before", "quoted", "assigned", "money",
+    "parens", *CONTEXT_WORDS, "other_before", "quoted", "assigned", "money", "card_groups", "phone_groups", "after_plus", "run_before", "run_after", "glued",
 )
 
 
@@ -189,6 +249,12 @@ def feature_columns(text: Column, c: Column) -> list[Column]:
         number(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         number(before.rlike("[=:]\\s*[\"'`]?$")),
         number(before.rlike("[$€£#]\\s?$")),
+        number(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ ./_·-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$")),
+        number(m.rlike(r"^\+?[0-9]{0,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{4}$")),
+        number(before.rlike(r"\+[0-9]{1,3}[ .-]?\(?$")),
+        number(before.rlike("[0-9][ ().-]+$")),
+        number(after.rlike("^[ ().-]+[0-9]")),
+        number(before.rlike("[A-Za-z_]$") | after.rlike("^[A-Za-z_]")),
     ]
 
 
@@ -251,21 +317,63 @@ def _examples(n: int, seed: int = 20) -> list[tuple[str, int]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _fit_rows(session_id: str) -> tuple[gbt.Model, tuple[float, ...]]:
-    spark = SparkSession.active()
-    rows = [{"t": t, "y": y, "n": i} for i, (t, y) in enumerate(_examples(EXAMPLES))]
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<t:string,y:int,n:int>>")).alias("r"))
-    found = table.select("r.t", "r.y", "r.n", F.explode(candidates(F.col("r.t"), F.lit(True))).alias("c"))
-    got = sorted(
-        (r["n"], r["x"][0], r["x"], r["y"]) for r in found.select("n", "y", F.array(*feature_columns(F.col("t"), F.col("c"))).alias("x")).collect()
-    )
+def _number_examples(n: int, seed: int = 21) -> list[tuple[str, list[str]]]:
+    """(sentence, private numbers): numbers that stand beside others, so that proposals overlap and only
+    those that are exactly a private number count. Made by rule, the same every time."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    fill = lambda: " ".join(name() for _ in range(r.randint(0, 5)))
+
+    def card() -> str:
+        body = d(15)
+        total = sum(int(c) if i % 2 else (int(c) * 2 - 9 * (int(c) > 4)) for i, c in enumerate(body))
+        whole = body + str(-total % 10)
+        return r.choice(["", "", " ", "-"]).join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    def phone() -> str:
+        return r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}"])
+
+    def local() -> str:
+        return r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(4)}"])
+
+    def beside() -> str:
+        return r.choice([d(3), d(4), d(5), d(10), f"{d(4)}-{d(2)}-{d(2)}", f"{d(3)}.{d(3)}.{d(2)}.{d(3)}", f"{d(2)} {d(4)} {d(3)}"])
+
+    def many(low: int, high: int) -> str:
+        return " ".join(d(r.randint(1, 4)) for _ in range(r.randint(low, high)))
+
+    out = []
+    for i in range(n):
+        if i % 2:
+            make = r.choice([card, card, phone, phone, local])
+            values = [make() for _ in range(1 if make is local else r.choice([1, 1, 2]))]
+            told = r.choice(["", "", {card: r.choice(["card", "visa", "pay with"]), phone: "tel:", local: "call"}[make]])
+            near = [*values, *[beside() for _ in range(r.choice([0, 1, 1, 2]))]]
+            text = " ".join(near if make is local or r.random() < 0.6 else r.sample(near, len(near)))
+        else:
+            values, told = [], r.choice(["scores", "years", "rows", "table", "order", "serial", "", ""])
+            text = r.choice([many(5, 12), many(5, 12), f"+{many(5, 10)}", "-".join(d(r.randint(1, 5)) for _ in range(6)), f"{d(4)}/{d(2)}/{d(2)} {d(2)}.{d(2)}.{d(2)} {d(4)}"])
+        out.append((f"{fill()} {told} {text} {fill()}", values))
+    return out
+
+
+def _fit_trees(spark: SparkSession, rows: list[dict], width: int, gens: range) -> tuple[gbt.Model, tuple[float, ...]]:
+    """Trees over the first ``width`` features and the thresholds of ``gens``."""
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<t:string,y:int,n:int,v:array<string>>>")).alias("r"))
+    seen = candidates(F.col("r.t"), F.lit(True))
+    if gens.start == PARTS:
+        seen = let(F.col("r.t"), lambda t: let(base_spans(t, F.lit(True)), lambda base: candidates(blanked(t, base), F.lit(True))))
+    found = table.select("r.t", "r.y", "r.n", "r.v", F.explode(seen).alias("c")).filter(F.col("c.gen").between(gens.start, gens.stop - 1))
+    label = F.when(F.col("v").isNull(), F.col("y")).otherwise(F.array_contains("v", F.col("c.m")).cast("int"))
+    x_of = F.array(*feature_columns(F.col("t"), F.col("c"))[:width])
+    got = sorted((r["n"], r["x"][0], r["x"], r["y"]) for r in found.select("n", label.alias("y"), x_of.alias("x")).collect())
     x, y = np.array([g[2] for g in got]), np.array([g[3] for g in got], dtype=float)
     held = np.array([g[0] // 2 % 3 == 0 for g in got])
     model = gbt.fit(x[~held], y[~held], trees=30, depth=3, rate=0.3)
     scale = gbt.fit_isotonic(model.margin(x[held]), y[held])
     cuts = []
-    for g in range(len(GENERATORS)):
+    for g in gens:
         mine = held & (x[:, 0] == g)
         p, t = scale(model.margin(x[mine])), y[mine]
         good = [c for c in LEVELS if (p >= c).any() and t[p >= c].mean() >= PRECISION]
@@ -274,33 +382,48 @@ def _fit_rows(session_id: str) -> tuple[gbt.Model, tuple[float, ...]]:
     return model, tuple(cuts)
 
 
-def fit(spark: SparkSession) -> tuple[gbt.Model, tuple[float, ...]]:
-    """Trees and each generator's threshold; the same in every session, so kept for the process."""
+@lru_cache(maxsize=1)
+def _fit_rows(session_id: str) -> tuple[tuple[gbt.Model, gbt.Model], tuple[float, ...]]:
+    spark = SparkSession.active()
+    rows = [{"t": t, "y": y, "n": i, "v": None} for i, (t, y) in enumerate(_examples(EXAMPLES))]
+    parts = [{"t": t, "y": 0, "n": i, "v": v} for i, (t, v) in enumerate(_number_examples(EXAMPLES))]
+    whole, cuts = _fit_trees(spark, rows, FEATURES.index("card_groups"), range(PARTS))
+    part, more = _fit_trees(spark, parts, len(FEATURES), range(PARTS, len(GENERATORS)))
+    return (whole, part), (*cuts, *more)
+
+
+def fit(spark: SparkSession) -> tuple[tuple[gbt.Model, gbt.Model], tuple[float, ...]]:
+    """Both kinds of trees and each generator's threshold; the same in every session, so kept for the
+    process."""
     return _fit_rows(spark.version)
 
 
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def _chosen(text: Column, base: Column, proposed: Column, model: gbt.Model, cuts: tuple[float, ...]) -> Column:
-    """Proposals above their threshold that meet no base span and no better proposal."""
+def _chosen(text: Column, proposed: Column, models: tuple[gbt.Model, gbt.Model], cuts: tuple[float, ...]) -> Column:
+    """Proposals above their threshold that meet no better proposal; none meets a base span."""
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter(proposed, lambda c: ~F.exists(base, lambda b: meets(b, c)))
+
+    def margin(model: gbt.Model, x: Column) -> Column:
+        return model.margin_column([F.get(x, F.lit(i)) for i in range(len(FEATURES))])
 
     def scored(c: Column) -> Column:
         return let(
             F.array(*feature_columns(text, c)),
             lambda x: F.struct(
-                model.margin_column([F.get(x, F.lit(i)) for i in range(len(FEATURES))]).alias("score"),
+                F.when(c["gen"] < PARTS, margin(models[0], x)).otherwise(margin(models[1], x)).alias("score"),
                 c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["gen"].alias("gen"),
             ),
         )
 
     cut = F.array(*[F.lit(c) for c in cuts])
-    passed = F.filter(F.transform(free, scored), lambda c: c["score"] >= F.get(cut, c["gen"]))
+    passed = F.filter(F.transform(proposed, scored), lambda c: c["score"] >= F.get(cut, c["gen"]))
 
     def best(all_: Column) -> Column:
-        beats = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["gen"] < b["gen"]))
+        # between equal scores the first generator, then the longer span, then the earlier one
+        place = lambda c: F.struct(-c["score"], c["gen"], c["start"] - c["end"], c["start"])
+        beats = lambda a, b: place(a) < place(b)
         kept = F.filter(all_, lambda c: ~F.exists(all_, lambda o: meets(o, c) & beats(o, c)))
         return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
 
@@ -309,12 +432,12 @@ def _chosen(text: Column, base: Column, proposed: Column, model: gbt.Model, cuts
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base, spans) of every row; spans have start, kind (place in ``KINDS``) and end."""
-    model, cuts = fit(docs.sparkSession)
+    models, cuts = fit(docs.sparkSession)
 
     def of(text: Column) -> Column:
         def with_numeric(numeric: Column) -> Column:
             def with_base(base: Column) -> Column:
-                added = let(candidates(text, numeric), lambda p: _chosen(text, base, p, model, cuts))
+                added = let(let(blanked(text, base), lambda t: candidates(t, numeric)), lambda p: _chosen(text, p, models, cuts))
                 return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))
 
             return let(base_spans(text, numeric), with_base)

@@ -304,6 +304,37 @@ def test_method_adds_private_spans_and_leaves_others(spark):
     assert next(r.text for r in pii.redact(found).collect() if r.doc_id == 3) == "SSN [ssn] on file"
 
 
+def test_numbers_are_found_in_runs_that_fail_as_a_whole(spark):
+    texts = {
+        0: ("mente 7536784127813050 4845168114407329 aique", ["card:6:22", "card:23:39"]),
+        1: ("Esanwh 2353820953013748 4550997810720808 thheed", ["card:24:40"]),  # the first fails Luhn
+        2: ("poupa un. +1 (843) 555-7672 170.106.47.218 Et", ["phone:10:27", "ip:28:42"]),
+        3: ("oument +1 (826) 555-4081 190.137.223.204 du", ["phone:7:24", "ip:25:40"]),
+    }
+    out = pii.find(frame(spark, [(i, t) for i, (t, _) in texts.items()]))
+    for row in out.select("doc_id", pii.span_list(F.col("spans")).alias("s")).collect():
+        assert row.s.split(",") == texts[row.doc_id][1]
+
+
+def test_number_parts_are_those_of_all_starts_and_lengths(spark):
+    r = random.Random(22)
+    texts = ["".join(r.choice(["1", "23", "4567", "890123", " ", "-", ".", " +", "x", "😀", "("]) for _ in range(r.randint(1, 25))) for _ in range(400)]
+    odd = lambda d: sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d))))
+    found = frame(spark, list(enumerate(texts))).select("doc_id", F.explode(pii.candidates(F.col("text"), F.lit(True))).alias("c"))
+    got = {(x.doc_id, x.c.gen, x.c.start, x.c.end) for x in found.filter("c.gen in (7, 8)").collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for a, b in itertools.combinations(range(len(t) + 1), 2):
+            m, d = t[a:b], re.sub("[^0-9]", "", t[a:b])
+            if t[b : b + 1].isdigit():
+                continue
+            if 12 <= len(d) <= 19 and not t[a - 1 : a].isdigit() and re.fullmatch("[0-9]([ ./_·-]?[0-9])*", m) and odd(d) % 10 == 0:
+                want.add((i, 7, a, b))
+            if 9 <= len(d) <= 15 and re.fullmatch(r"\+[0-9]([ ().-]*[0-9])*", m):
+                want.add((i, 8, a, b))
+    assert got == want and {g for _, g, _, _ in want} == {7, 8}
+
+
 # --- media ----------------------------------------------------------------------------------------
 
 
