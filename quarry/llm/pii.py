@@ -402,7 +402,7 @@ def fit(spark: SparkSession) -> tuple[tuple[gbt.Model, gbt.Model], tuple[float,
 
 
 def _chosen(text: Column, proposed: Column, models: tuple[gbt.Model, gbt.Model], cuts: tuple[float, ...]) -> Column:
-    """Proposals above their threshold that meet no better proposal; none meets a base span."""
+    """Proposals above their threshold, best first, that meet none kept before; none meets a base span."""
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
     def margin(model: gbt.Model, x: Column) -> Column:
@@ -422,10 +422,14 @@ def _chosen(text: Column, proposed: Column, models: tuple[gbt.Model, gbt.Model],
 
     def best(all_: Column) -> Column:
         # between equal scores the first generator, then the longer span, then the earlier one
-        place = lambda c: F.struct(-c["score"], c["gen"], c["start"] - c["end"], c["start"])
-        beats = lambda a, b: place(a) < place(b)
-        kept = F.filter(all_, lambda c: ~F.exists(all_, lambda o: meets(o, c) & beats(o, c)))
-        return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+        ranked = F.array_sort(F.transform(all_, lambda c: F.struct((-c["score"]).alias("loss"), c["gen"].alias("gen"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
+        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+        def keep(kept: Column, c: Column) -> Column:
+            span = F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
+            return F.when(F.exists(kept, lambda k: meets(k, c)), kept).otherwise(F.concat(kept, F.array(span)))
+
+        return F.aggregate(ranked, none, keep)
 
     return let(passed, best)
 

@@ -335,6 +335,16 @@ def test_number_parts_are_those_of_all_starts_and_lengths(spark):
     assert got == want and {g for _, g, _, _ in want} == {7, 8}
 
 
+def test_a_dropped_proposal_drops_no_other(spark):
+    # scores fall with the place: the first beats the second, which meets the third but is not kept
+    chain = [(0, 3, 5, 0), (4, 3, 10, 1), (9, 3, 14, 2), (13, 3, 15, 3), (30, 3, 32, 4)]
+    tree = gbt.Node(0.0, 0, 0.5, gbt.Node(9.0), gbt.Node(0.0, 0, 1.5, gbt.Node(8.0), gbt.Node(0.0, 0, 2.5, gbt.Node(7.0), gbt.Node(6.0))))
+    model = gbt.Model(0.0, (tree,))
+    rows = spark.createDataFrame([("x" * 40, [(*c, "12") for c in chain])], "t string, p array<struct<start:int,kind:int,end:int,gen:int,m:string>>")
+    got = rows.select(pii._chosen(F.col("t"), F.col("p"), (model, model), (0.0,) * len(pii.GENERATORS)).alias("s")).first().s
+    assert sorted((x.start, x.end) for x in got) == [(0, 5), (9, 14), (30, 32)]
+
+
 # --- media ----------------------------------------------------------------------------------------
 
 
