@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, salted_join
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << 20)) + 1
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -21,15 +25,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = scratch.keep(both)
+    degrees = scratch.keep(links.groupBy("b").agg(F.count("*").alias("n")))
+    nodes, n_links = degrees.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     state = scratch.keep(
         links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("f"))
     )
     for _ in range(max_rounds):
-        up = state.select(F.col("node").alias("p"), F.col("f").alias("gf"))
-        grand = scratch.keep(state.join(up, F.col("f") == F.col("p")).select("node", "f", "gf"))
-        near = (
-            links.join(grand.select(F.col("node").alias("b"), "gf"), "b").groupBy(F.col("a").alias("node")).agg(F.min("gf").alias("m"))
-        )
+        # the root of a large component is the parent of very many nodes, a star's centre the neighbour
+        up = state.select(F.col("node").alias("f"), F.col("f").alias("gf"))
+        children = state.groupBy("f").agg(F.count("*").alias("n"))
+        grand = scratch.keep(salted_join(state, up, "f", _salt("node"), children, nodes))
+        met = salted_join(links, grand.select(F.col("node").alias("b"), "gf"), "b", _salt("a"), degrees, n_links)
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("gf").alias("m"))
         offered = grand.join(near, "node").select(
             F.explode(
                 F.array(

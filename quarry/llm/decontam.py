@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, fresh, let, long_array, words_of
+from quarry.llm.common import Scratch, fresh, let, long_array, small_or_shuffled, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -131,5 +131,6 @@ def remove(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) ->
     """The rows of ``docs`` that contain no item, columns unchanged. Rows with a null id stay or go
     together."""
     own = fresh(docs, "bad")
-    bad = contaminated(docs, items, scratch=scratch).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")
+    scratch = scratch or Scratch(docs.sparkSession)
+    bad = scratch.keep(contaminated(docs, items, scratch=scratch).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(small_or_shuffled(bad), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")

@@ -1,11 +1,8 @@
 """Best-fit sequence packing by bin completion with branch and bound.
 
 Piece lengths are integers from 1 to the capacity, so a whole corpus is a histogram of at most
-``capacity`` counts. The driver packs the histogram: it takes the largest open length, enumerates
-fillings of the space beside it that no other filling dominates, and uses one filling for as many
-sequences at once as its lengths allow. A branch whose waste passes what the incumbent (best fit
-decreasing) leaves is pruned, and the search ends at the lower bound or after ``NODES`` steps. Each step
-uses up a length, so the plan has a few thousand runs, whatever the number of documents.
+``capacity`` counts. The driver packs the histogram (see ``quarry.llm.bins``); each filling serves as many
+sequences as its lengths allow, so the plan has a few thousand runs, whatever the number of documents.
 
 Executors then place pieces: rank among pieces of the same length = rank within the tokenising task +
 an offset by (task, length); the rank falls into one run of the plan. No task ever holds all pieces
@@ -22,9 +19,9 @@ import os
 import re
 import sys
 from array import array
-from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import bins
 from quarry.llm.common import Scratch, map_rows
 
 CAPACITY = 2048
 END_ID = 0
-NODES = 20_000
-#: Fillings tried at one step, and items a filling may have beyond the first.
-WIDTH = 3
-DEPTH = 4
-#: Words whose ids a Python worker remembers, from task to task.
-CACHE = 1_000_000
-_WORDS: dict[str, Words] = {}
+#: Words whose ids a task remembers, and words that are encoded at once.
+CACHE = 200_000
+LEARN = 8192
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are stored as little-endian 32-bit numbers"
 #: Rows of the (task, length) offsets that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 #: Characters that normalization may change otherwise than letter by letter.
 BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
 #: A control character between words that are encoded together.
@@ -56,193 +50,14 @@ MARK = "\x01"
 Run = tuple[int, int, int, int, int, int]
 
 
-# --- planning over the histogram ------------------------------------------------------------------
-
-
-class _Open:
-    """Open counts by length, with the lengths that have any in order."""
-
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.n = {k: v for k, v in counts.items() if v > 0}
-        self.lengths = sorted(self.n)
-
-    def take(self, items: dict[int, int], times: int) -> None:
-        for k, c in items.items():
-            left = self.n[k] - c * times
-            if left:
-                self.n[k] = left
-            else:
-                del self.n[k]
-                self.lengths.remove(k)
-
-    def give(self, items: dict[int, int], times: int) -> None:
-        for k, c in items.items():
-            if k not in self.n:
-                self.lengths.insert(bisect_right(self.lengths, k), k)
-            self.n[k] = self.n.get(k, 0) + c * times
-
-    def times(self, items: dict[int, int]) -> int:
-        return min(self.n[k] // c for k, c in items.items())
-
-    def largest(self, most: int) -> int:
-        at = bisect_right(self.lengths, most)
-        return self.lengths[at - 1] if at else 0
-
-
-def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit decreasing: beside the largest item always the largest that fits."""
-    state, plan = _Open(counts), []
-    while state.lengths:
-        room, items = capacity, Counter[int]()
-        while room > 0 and state.lengths:
-            at = bisect_right(state.lengths, room)
-            while at and state.n[state.lengths[at - 1]] <= items[state.lengths[at - 1]]:
-                at -= 1
-            if not at:
-                break
-            k = state.lengths[at - 1]
-            c = min(room // k, state.n[k] - items[k])
-            items[k] += c
-            room -= c * k
-        times = state.times(items)
-        state.take(items, times)
-        plan.append((dict(items), times))
-    return plan
-
-
-def _fillings(state: _Open, first: int, room: int) -> list[tuple[int, dict[int, int]]]:
-    """(waste, items) of undominated fillings beside ``first``, least waste first.
-
-    One item that fills the room dominates every other filling. Otherwise a filling must waste less
-    than the largest single item that fits, or that item dominates it.
-    """
-    base = Counter({first: 1})
-
-    def free(k: int, used: Counter[int]) -> int:
-        return state.n.get(k, 0) - used[k]
-
-    found: dict[tuple[int, ...], int] = {}
-    budget = [2000]
-
-    def extend(used: Counter[int], left: int, most: int, depth: int, path: tuple[int, ...]) -> bool:
-        """True once a filling without waste is found."""
-        if free(left, used) > 0 and left <= most:
-            found[(*path, left)] = 0
-            return True
-        at = bisect_right(state.lengths, min(left, most))
-        closed = True
-        while at and budget[0] > 0:
-            k = state.lengths[at - 1]
-            if free(k, used) <= 0:
-                at -= 1
-                continue
-            closed = False
-            budget[0] -= 1
-            if depth == 1 or left - k < state.lengths[0]:
-                found[(*path, k)] = left - k
-                return False  # smaller last items are dominated
-            used[k] += 1
-            done = extend(used, left - k, k, depth - 1, (*path, k))
-            used[k] -= 1
-            if done:
-                return True
-            if k * depth < left - min(found.values(), default=left):
-                break  # even ``depth`` such items waste more than the best so far
-            at -= 1
-        if closed and path:
-            found[path] = min(left, found.get(path, left))
-        return False
-
-    if room > 0 and state.lengths:
-        extend(base, room, room, DEPTH, ())
-    ranked = sorted(found.items(), key=lambda f: (f[1], len(f[0]), [-k for k in f[0]]))[:WIDTH]
-    if not ranked:
-        return [(room, dict(base))]
-    out = []
-    for path, _ in ranked:
-        items, left = base + Counter(path), room - sum(path)
-        while left > 0:  # small items may still fit after the deepest level
-            at = bisect_right(state.lengths, left)
-            while at and free(state.lengths[at - 1], items) <= 0:
-                at -= 1
-            if not at:
-                break
-            k = state.lengths[at - 1]
-            c = min(left // k, free(k, items))
-            items[k] += c
-            left -= c * k
-        out.append((left, dict(items)))
-    return sorted(out, key=lambda f: f[0])
-
-
-def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The best of the volume bound and, over cuts, the bound that counts items too large to share."""
-    best = -(-sum(k * n for k, n in counts.items()) // capacity)
-    lengths = np.array(sorted(counts), dtype=np.int64)
-    n = np.array([counts[int(k)] for k in lengths], dtype=np.int64)
-    for cut in np.unique(lengths[lengths <= capacity // 2]).tolist():
-        large, mid = lengths > capacity - cut, (lengths <= capacity - cut) & (lengths > capacity // 2)
-        small = (lengths <= capacity // 2) & (lengths >= cut)
-        spare = int((n[mid] * (capacity - lengths[mid])).sum())
-        over = max(0, int((n[small] * lengths[small]).sum()) - spare)
-        best = max(best, int(n[large].sum() + n[mid].sum()) + -(-over // capacity))
-    return max(best, int(n[lengths > capacity // 2].sum()) if len(n) else 0)
-
-
-def plan_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[dict[int, int], int]]:
-    """[(items of a sequence by length, sequences)], using every piece once."""
-    best = _best_fit(counts, capacity)
-    size = sum(t for _, t in best)
-    total, bound = sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
-    state = _Open(counts)
-    path: list[tuple[dict[int, int], int]] = []
-    waste = 0
-    stack: list[Iterator[tuple[int, dict[int, int]]]] = []
-
-    def options() -> Iterator[tuple[int, dict[int, int]]]:
-        first = state.lengths[-1]
-        return iter(_fillings(state, first, capacity - first))
-
-    if not state.lengths:
-        return []
-    stack.append(options())
-    while stack and size > bound and nodes > 0:
-        nodes -= 1
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if path:
-                items, times = path.pop()
-                state.give(items, times)
-                waste -= times * (capacity - sum(k * c for k, c in items.items()))
-            continue
-        lost, items = step
-        times = state.times(items)
-        # to beat the incumbent, all sequences but the last may waste so much together
-        if waste + lost * times > (size - 1) * capacity - total:
-            continue
-        state.take(items, times)
-        path.append((items, times))
-        waste += lost * times
-        if state.lengths:
-            stack.append(options())
-        else:
-            used = sum(t for _, t in path)
-            if used < size:
-                best, size = list(path), used
-            stack.append(iter(()))
-    return best
-
-
-def runs_of(plan: list[tuple[dict[int, int], int]]) -> list[Run]:
+def runs_of(plan: list[tuple[bins.Items, int]]) -> list[Run]:
     """The plan as runs of ranks, lengths descending within a sequence."""
     given: dict[int, int] = defaultdict(int)
     out: list[Run] = []
     sequence = 0
     for items, times in plan:
         at = 0
-        for k in sorted(items, reverse=True):
-            c = items[k]
+        for k, c in sorted(items, reverse=True):
             out.append((k, given[k], c * times, c, sequence, at))
             given[k] += c * times
             at += c * k
@@ -253,8 +68,19 @@ def runs_of(plan: list[tuple[dict[int, int], int]]) -> list[Run]:
 # --- tokenising and placing -----------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _tokenizers(path: str) -> tuple:
+    """The tokenizer, the same without normalization, and the id of ``MARK``; a worker loads them once."""
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(path)
+    lean = Tokenizer.from_str(json.dumps(json.loads(full.to_str()) | {"normalizer": None, "added_tokens": []}))
+    (mark,) = full.encode(MARK, add_special_tokens=False).ids
+    return full, lean, mark
+
+
 class Words:
-    """Token ids of white-space separated words, remembered from task to task.
+    """Token ids of white-space separated words, remembered as long as this object lives.
 
     The tokenizer breaks at white space, so a word's ids do not depend on its neighbours. Unseen words
     are encoded many at a time with a mark between them, a control character that is a token of its own,
@@ -262,14 +88,18 @@ class Words:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        self.full, self.lean, self.mark = _tokenizers(path)
+        self.forget()
 
-        self.full = Tokenizer.from_file(path)
-        self.lean = Tokenizer.from_str(json.dumps(json.loads(self.full.to_str()) | {"normalizer": None, "added_tokens": []}))
-        (self.mark,) = self.full.encode(MARK, add_special_tokens=False).ids
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
+        """Encode words, some thousands at a time: encodings take much more room than ids."""
+        for at in range(0, len(words), LEARN):
+            self._learn(words[at : at + LEARN])
+
+    def _learn(self, words: list[str]) -> None:
         every = "".join(words)
         if MARK in every:
             self._single([w for w in words if MARK in w])
@@ -308,7 +138,7 @@ class Words:
         words = pc.list_flatten(split).dictionary_encode()
         names = words.dictionary.to_pylist()
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.forget()
         ids = list(map(self.known.get, names))
         new = [k for k, i in enumerate(ids) if i is None]
         self.learn([names[k] for k in new])
@@ -341,15 +171,14 @@ def _splits_alike(text: str) -> bool:
 def _tokenise(path: str, capacity: int) -> Callable:
     def make() -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _WORDS:
-            _WORDS[path] = Words(path)
+        words = Words(path)
         ranks: dict[int, int] = defaultdict(int)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         end = array("I", [END_ID]).tobytes()
 
         def rows(docs: list, texts: list) -> Iterator[tuple]:
-            for doc, ids in zip(docs, _WORDS[path].encode(texts), strict=True):
+            for doc, ids in zip(docs, words.encode(texts), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
@@ -372,14 +201,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity), slice_rows=1024)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) for every piece of ``docs``."""
+def pack(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, steps: int = bins.STEPS, scratch: Scratch | None = None
+) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset, sequences, least_sequences) of every piece.
+
+    The last two are the same in all rows: how many sequences there are, and how many there must be in
+    any packing. They are equal unless the search ended after ``steps`` steps.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     table = scratch.keep(pieces(docs, tokenizer_path, capacity), codec="snappy")
     sizes = scratch.keep(table.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = runs_of(plan_histogram(counts, capacity))
+    packed = bins.pack(counts, capacity, steps)
+    runs = runs_of(packed.bins)
     plan = spark.createDataFrame(runs, "run_length bigint, first bigint, n bigint, per bigint, sequence bigint, at bigint")
     offsets = sizes.selectExpr(
         "part",
@@ -399,4 +235,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, scratch
         "ids",
         (F.col("sequence") + F.floor(place / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("at") + F.pmod(place, F.col("per")) * F.col("length")).cast("long").alias("offset"),
+        F.lit(packed.size).cast("long").alias("sequences"),
+        F.lit(packed.bound).cast("long").alias("least_sequences"),
     )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.common import Scratch, fresh, map_rows, salted_join
+from quarry.llm.common import Scratch, fresh, map_rows, salted_join, small_or_shuffled
 from quarry.llm.components import connected_components
 
 SEED = 42
@@ -53,16 +53,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _make(shingle: int) -> Callable:
-    def rows(ids: list, texts: list) -> list[tuple]:
+    def rows(ids: list, texts: list, prints: list) -> list[tuple]:
         fps = (fingerprint(t, shingle) for t in texts)
-        return [(i, f - (1 << 64) if f >> 63 else f) for i, f in zip(ids, fps, strict=True)]
+        return [(i, f - (1 << 64) if f >> 63 else f, p) for i, f, p in zip(ids, fps, prints, strict=True)]
 
     return lambda: rows
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's bits as a signed long."""
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], "doc_id bigint, fp bigint", _make(shingle))
+    """(doc_id, fp, print) for every row; fp is the fingerprint's bits as a signed long, print a hash of
+    the text that tells rows of one id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    return map_rows(rows, ["doc_id", "text", "print"], "doc_id bigint, fp bigint, print bigint", _make(shingle))
 
 
 def _block_keys() -> list[tuple[int, int]]:
@@ -76,7 +78,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) + 1
+
+
+def links(nodes: DataFrame, scratch: Scratch, max_bits: int = 2) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints linked at ``max_bits`` (1 or 2) or fewer.
 
     ``nodes`` has distinct ``fp``. Buckets up to ``WIDE`` give every close pair; wider ones give the
@@ -89,9 +95,12 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
         F.explode(
             F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for j, m in _block_keys()])
         ).alias("key"),
-    ).select("fp", "key.j", "key.k")
-    sizes = keyed.groupBy("j", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(sizes, ["j", "k"])
+    )
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # most buckets have one fingerprint, so what lies in others is far less than all
+    total = scratch.keep(sizes)
+    rows = salted_join(keyed, total.select("key", "n"), "key", _salt("fp"), total, total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rows = rows.filter("n is not null").select("fp", "key.j", "key.k", "n")
     tight = rows.filter(F.col("n") <= WIDE).groupBy("j", "k").agg(F.array_sort(F.collect_list("fp")).alias("m"))
 
     def partners(x: Column, i: Column) -> Column:
@@ -109,31 +118,54 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, fp, print, component_id, root) for every row of ``docs``; ``root`` names the component
+    even where all its ids are null."""
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.keep(fingerprints(docs, shingle))
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    edges = scratch.keep(links(nodes))
+    edges = scratch.keep(links(nodes, scratch))
     roots = connected_components(edges, scratch)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", "n", F.coalesce("root", "fp").alias("root")
     )
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    values = scratch.keep(named.join(smallest, "root").select("fp", "component_id", "n"))
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + 1
-    return salted_join(rows, values.select("fp", "component_id"), "fp", salt, values.select("fp", "n"), total)
+    named = scratch.keep(named)
+    groups = scratch.keep(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"), F.sum("n").alias("n")))
+    sums = groups.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = groups.select("root", F.col("members").alias("n"))
+    values = scratch.keep(salted_join(named, groups.select("root", "component_id"), "root", _salt("fp"), sizes, sums[0]))
+    return salted_join(rows, values.select("fp", "component_id", "root"), "fp", _salt("doc_id", "print"), values.select("fp", "n"), sums[1])
 
 
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group, columns unchanged.
+    """One row of each near-duplicate group of ``docs``, columns unchanged.
 
-    A row with a null id stays only if its whole group has null ids.
+    It is the row of the smallest id, a null id being the largest; of several texts with that id in the
+    group, the one of the smallest hash; of repeated rows, any. So each group has exactly one row left,
+    whatever its ids. Only ids and hashes are compared; texts stay where they are, unless rows that
+    leave are too many to be sent to all executors.
     """
-    groups = near_duplicates(docs, scratch)
-    own = fresh(docs, "kept")
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
+    scratch = scratch or Scratch(docs.sparkSession)
+    kinds = scratch.keep(near_duplicates(docs, scratch).groupBy("root", "doc_id", "print").agg(F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    first = scratch.keep(kinds.groupBy("root").agg(F.min(key).alias("first"), F.count("*").alias("kinds")))
+    total = first.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    sizes = first.select("root", F.col("kinds").alias("n"))
+    marked = salted_join(kinds, first.select("root", "first"), "root", _salt("doc_id", "print"), sizes, total)
+    marked = scratch.keep(marked.select("doc_id", "print", (key == F.col("first")).alias("stays"), (F.col("n") > 1).alias("many")))
+    id_, print_ = fresh(docs, "id"), fresh(docs, "print")
+
+    def keys(which: str) -> DataFrame:
+        return small_or_shuffled(marked.filter(which).select(F.col("doc_id").alias(id_), F.col("print").alias(print_)))
+
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(print_))
+    left = docs.join(keys("not stays"), same, "left_anti")
+    if not marked.filter("stays and many").limit(1).count():
+        return left
+    many = keys("stays and many")
+    once = left.join(many, same, "left_anti")
+    row = fresh(docs, "row")
+    again = left.join(many, same).groupBy(id_, print_).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return once.unionByName(again.select(f"{row}.*"))
 
 
 def hex16(fp: Column) -> Column:

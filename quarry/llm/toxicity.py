@@ -4,10 +4,11 @@ The lexicon is learned, not shipped: words and word beginnings whose document fr
 training rows is far above that among the others. Features are lexicon densities (overall and in the
 densest window), second-person words near lexicon words, capitals, punctuation and obfuscation rates.
 
-Learning reads at most about ``SAMPLE`` labelled rows of each class, chosen by a hash of the id so that
+Learning reads at most about ``SAMPLE`` labelled ids of each class, chosen by a hash of the id so that
 the share kept depends only on how many there are. Rows whose id falls in the held-out fold are never
 read. Lexicon counts are Spark aggregates; the driver gets the lexicon and one feature row for each
-sampled document, both bounded. Scoring is one pass without a shuffle.
+sampled id, both bounded by the sample. Scoring is one pass without a shuffle; what depends on a word
+alone is computed once for each distinct word of a slice.
 
 Defined results: null and empty texts get features of zero and so a score like any other; repeated
 rows score alike; without labelled rows (or with one class only) every score is the smoothed base
@@ -17,31 +18,35 @@ rate; labels repeated or in conflict for an id count as toxic if any says so; nu
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import gbt
-from quarry.llm.common import Scratch, fold, map_rows
+from quarry.llm.common import Scratch, fold, large_texts, map_batches, word_codes
 
-#: Rows of each class that fitting reads at most, in expectation.
+#: Ids of each class that fitting reads at most, in expectation.
 SAMPLE = 4000
-LEXICON = 400
 #: A stem enters the lexicon at this many toxic documents, this log-odds, and this log-odds times the
 #: root of the documents, which chance does not reach in small samples.
 LEAST_DOCS = 4
 LEAST_ODDS = 2.0
 LEAST_WEIGHT = 7.0
+#: The lexicon is learned from all but one of so many parts of the sample.
+FOLDS = 5
 STEMS = (4, 5, 6, 7)
 WINDOW = 40
 
 #: Second-person words of the corpus languages, and look-alike characters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre ti tus usted vosotros".split())
 LOOKALIKE = str.maketrans("013457@$!|+", "oieastasiit")
-WORD = re.compile(r"\S+")
+STRETCHED = re.compile(r"(\w)\1{2,}")
 EDGE = "\"'.,;:!?()[]{}<>*_~#%&$-"
 
 
@@ -57,70 +62,79 @@ class Lexicon:
 def _plain(raw: str) -> str:
     """A word freed of look-alike characters, inner punctuation and stretched letters."""
     inner = raw.lower().translate(LOOKALIKE)
-    return re.sub(r"(.)\1{2,}", r"\1", "".join(c for c in inner if c.isalpha()))
+    return STRETCHED.sub(r"\1", "".join(c for c in inner if c.isalpha()))
 
 
 FEATURES = (
     "log_words", "log_hits", "hit_rate", "distinct_hits", "window_hits", "near_second", "second_rate", "hidden_hits", "hidden_rate",
     "capital_rate", "shouted_rate", "shouted_hits", "exclaim_rate", "question_rate", "punct_rate", "mixed_rate", "stretched_rate",
 )
-
-
-def features(text: str | None, lexicon: Lexicon, known: dict[str, tuple] | None = None) -> list[float]:
-    """The dense features of one whole text. ``known`` caches what depends on a word alone."""
-    known = {} if known is None else known
-    text = text or ""
-    words = WORD.findall(text)
-    n = max(1, len(words))
-    hits: list[int] = []
-    second: list[int] = []
-    forms: set[str] = set()
-    hidden = shouted = shouted_hits = mixed = stretched = 0
-    for i, raw in enumerate(words):
-        got = known.get(raw)
-        if got is None:
-            bare = raw.strip(EDGE).lower()
-            plain = "" if bare.isalpha() else _plain(raw.strip(".,;:!?\"'()"))
-            hit = lexicon.has(bare)
-            veiled = not hit and len(plain) > 2 and plain != bare and lexicon.has(plain)
-            up = sum(map(str.isupper, raw))
-            got = (
-                bare if hit else plain if veiled else "",
-                veiled,
-                bare in SECOND_PERSON,
-                up > 1 and up >= 0.7 * len(bare or "x"),
-                any(map(str.isdigit, bare)) and any(map(str.isalpha, bare)),
-                bool(re.search(r"(\w)\1{2,}", bare)),
-            )
-            if len(known) > 200_000:
-                known.clear()
-            known[raw] = got
-        form, veiled, you, loud, mix, long = got
-        if form:
-            hits.append(i)
-            forms.add(form)
-            hidden += veiled
-            shouted_hits += loud
-        if you:
-            second.append(i)
-        shouted += loud
-        mixed += mix
-        stretched += long
-    at, you_at = np.array(hits), np.array(second)
-    dense = near = 0
-    if hits:
-        dense = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
-        if second:
-            spot = np.searchsorted(you_at, at)
-            before, after = you_at[np.maximum(spot - 1, 0)], you_at[np.minimum(spot, len(you_at) - 1)]
-            near = int((np.minimum(abs(at - before), abs(at - after)) <= 4).sum())
-    chars = max(1, len(text))
-    counts = (text.count("!"), text.count("?"), sum(map(text.count, "*#$%&@~^")), sum(map(str.isupper, text)))
-    return [
-        float(np.log1p(len(words))), float(np.log1p(len(hits))), len(hits) / n, float(len(forms)), float(dense), float(near), len(second) / n,
-        float(hidden), hidden / n, counts[3] / chars, shouted / n, float(shouted_hits), counts[0] / n, counts[1] / n, counts[2] / chars,
-        mixed / n, stretched / n,
-    ]
+#: What is known of a word alone: bits of the first number, then the form that is in the lexicon, capitals
+#: and three kinds of punctuation.
+HIT, VEILED, SECOND, LOUD, MIXED, LONG = (1 << i for i in range(6))
+NOTHING = (0, 0, 0, 0, 0, 0)
+
+
+def _known(raw: str, lexicon: Lexicon) -> tuple[int, ...]:
+    if raw.isalpha() and raw.islower():
+        flags = HIT * lexicon.has(raw) | SECOND * (raw in SECOND_PERSON) | LONG * bool(STRETCHED.search(raw))
+        return (flags, zlib.crc32(raw.encode()) if flags & HIT else 0, 0, 0, 0, 0) if flags else NOTHING
+    bare = raw.strip(EDGE).lower()
+    plain = "" if bare.isalpha() else _plain(raw.strip(".,;:!?\"'()"))
+    hit = lexicon.has(bare)
+    veiled = not hit and len(plain) > 2 and plain != bare and lexicon.has(plain)
+    up = sum(map(str.isupper, raw))
+    flags = (
+        HIT * (hit or veiled)
+        | VEILED * veiled
+        | SECOND * (bare in SECOND_PERSON)
+        | LOUD * (up > 1 and up >= 0.7 * len(bare or "x"))
+        | MIXED * (any(map(str.isdigit, bare)) and any(map(str.isalpha, bare)))
+        | LONG * bool(STRETCHED.search(bare))
+    )
+    form = zlib.crc32((bare if hit else plain).encode("utf-8", "replace")) if flags & HIT else 0
+    return flags, form, up, raw.count("!"), raw.count("?"), sum(map(raw.count, "*#$%&@~^"))
+
+
+def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """The dense features of whole texts, a row each."""
+    names, codes, ends = word_codes(pc.utf8_split_whitespace(large_texts(texts)))
+    n_docs = len(texts)
+    about = np.array([_known(w, lexicon) for w in names.to_pylist()], dtype=np.int64).reshape(-1, len(NOTHING))
+    size = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(n_docs), size)
+    flags = about[codes, 0]
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, values, n_docs)
+
+    def count(flag: int) -> np.ndarray:
+        return np.bincount(doc[(flags & flag) == flag], minlength=n_docs)
+
+    # places such that those of different texts are far apart
+    place = np.arange(len(codes)) + doc * (2 * WINDOW)
+    at = np.flatnonzero(flags & HIT)
+    of, spot, you = doc[at], place[at], place[np.flatnonzero(flags & SECOND)]
+    hits = np.bincount(of, minlength=n_docs)
+    dense, near, forms = np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs)
+    if len(at):
+        np.maximum.at(dense, of, np.searchsorted(spot, spot + WINDOW) - np.arange(len(spot)))
+        forms = np.bincount(np.unique((of << 32) | about[codes[at], 1]) >> 32, minlength=n_docs)
+        if len(you):
+            i = np.searchsorted(you, spot)
+            gap = np.minimum(abs(spot - you[np.maximum(i - 1, 0)]), abs(spot - you[np.minimum(i, len(you) - 1)]))
+            near = np.bincount(of[gap <= 4], minlength=n_docs)
+    n = np.maximum(1, size)
+    chars = np.maximum(1, pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    hidden, shouted = count(VEILED), count(LOUD)
+    return np.stack(
+        [
+            np.log1p(size), np.log1p(hits), hits / n, forms, dense, near, count(SECOND) / n, hidden, hidden / n,
+            total(about[codes, 2]) / chars, shouted / n, count(HIT | LOUD), total(about[codes, 3]) / n, total(about[codes, 4]) / n,
+            total(about[codes, 5]) / chars, count(MIXED) / n, count(LONG) / n,
+        ],
+        axis=1,
+    ).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -129,6 +143,9 @@ class Scorer:
     model: gbt.Model
     scale: gbt.Isotonic
 
+    def of(self, texts: pa.Array) -> np.ndarray:
+        return self.scores(features(texts, self.lexicon))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Calibrated scores; a thousandth of the raw probability keeps the order within flat steps."""
         margin = self.model.margin(x)
@@ -138,27 +155,20 @@ class Scorer:
         return np.clip(np.where((flat >= 0.5) == (mixed >= 0.5), mixed, flat), 0.0, 1.0)
 
 
-def _feature_rows(lexicon: Lexicon) -> Callable:
-    def make() -> Callable:
-        known: dict[str, tuple] = {}
-        return lambda ids, texts, ys: [(i, features(t, lexicon, known), y) for i, t, y in zip(ids, texts, ys, strict=True)]
-
-    return make
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(doc_id, text, y) of about ``sample`` rows a class, outside the held-out fold."""
+    """(doc_id, text, y) of about ``sample`` ids a class, outside the held-out fold, one row an id."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y")).filter(F.col("y").isin(0, 1))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """The ``LEXICON`` stems that mark label 1 best, counted over all training rows."""
-    bare = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+    """The words and stems that mark label 1, counted over all ``rows``; the sample bounds how many."""
+    bare = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
     keys = F.array_distinct(
         F.flatten(
             F.transform(
@@ -174,22 +184,29 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     odds = F.log((F.col("p") + 0.25) / (toxic + 0.5)) - F.log((F.col("q") + 0.25) / (n - toxic + 0.5))
     weighed = counts.withColumn("odds", odds).withColumn("weight", F.col("odds") * F.sqrt("p"))
     strong = weighed.filter((F.col("odds") >= LEAST_ODDS) & (F.col("weight") >= LEAST_WEIGHT))
-    top = strong.orderBy(F.desc("weight"), "stem").limit(LEXICON)
-    stems = [r["stem"] for r in top.collect()]
+    stems = [r["stem"] for r in strong.select("stem").collect()]
     return Lexicon(frozenset(s[1:] for s in stems if s[0] == "="), frozenset(s[1:] for s in stems if s[0] == "<"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, scratch: Scratch | None = None) -> Scorer:
     """Fit lexicon, trees and calibration.
 
-    Lexicon and calibration must not see the same rows, or learned words look better than they are: a
-    third of the rows gives the lexicon's check, on which trees are calibrated.
+    Lexicon and calibration must not see the same rows, or learned words look better than they are: two
+    thirds of the rows give the lexicon that serves, the others its check, on which trees are calibrated.
     """
     rows = (scratch or Scratch(docs.sparkSession)).keep(training_rows(docs, labels, label, sample))
-    part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(3))
+    part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(FOLDS))
     lexicon = learn_lexicon(rows.filter(part != 0))
-    table = map_rows(rows, ["doc_id", "text", "y"], "doc_id bigint, x array<double>, y int", _feature_rows(lexicon))
-    got = sorted((r["doc_id"], r["p"] == 0, r["x"], r["y"]) for r in table.withColumn("p", part).collect())
+
+    def make() -> Callable:
+        def of(b: pa.RecordBatch) -> pa.RecordBatch:
+            x = features(b.column("text"), lexicon)
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64())), b.column("y")], names=["doc_id", "x", "y"])
+
+        return of
+
+    table = map_batches(rows, ["doc_id", "text", "y"], "doc_id bigint, x array<double>, y int", make)
+    got = sorted((r["doc_id"], r["p"] == 0, r["x"], r["y"]) for r in table.withColumn("p", part).collect())  # an id once: about 2 * sample
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     y = np.array([r[3] for r in got], dtype=float)
     unseen = np.array([r[1] for r in got], dtype=bool)
@@ -197,22 +214,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     held = unseen & (np.arange(len(y)) % 2 == 0)
     fit_on = ~held & (unseen | (np.arange(len(y)) % 2 == 0))
     model = gbt.fit(x[fit_on], y[fit_on])
-    return Scorer(learn_lexicon(rows) if len(y) else lexicon, model, gbt.fit_isotonic(model.margin(x[held]), y[held]))
+    return Scorer(lexicon, model, gbt.fit_isotonic(model.margin(x[held]), y[held]))
 
 
-def score(docs: DataFrame, scorer: Scorer, *extra: str) -> DataFrame:
-    """(doc_id, score, extra...) for every row of ``docs``, in one pass."""
+def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """(doc_id, score) for every row of ``docs``, in one pass."""
 
     def make() -> Callable:
-        known: dict[str, tuple] = {}
-
-        def rows(ids: list, texts: list) -> list[tuple]:
-            x = np.array([features(t, scorer.lexicon, known) for t in texts]).reshape(-1, len(FEATURES))
-            return list(zip(ids, scorer.scores(x).tolist(), strict=True))
+        def of(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.of(b.column(1)))], names=["doc_id", "score"])
 
-        return rows
+        return of
 
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], "doc_id bigint, score double", make)
+    return map_batches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], "doc_id bigint, score double", make)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
@@ -220,21 +234,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scrat
     scorer = train(docs, labels, scratch=scratch)
 
     def make() -> Callable:
-        known: dict[str, tuple] = {}
-
-        def flags(texts: list) -> np.ndarray:
-            x = np.array([features(t, scorer.lexicon, known) for t in texts]).reshape(-1, len(FEATURES))
-            return scorer.scores(x) < threshold
-
-        return flags
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        flags = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield part.filter(pa.array(flags(part.column("text").to_pylist())))
+        return lambda b: b.filter(pa.array(scorer.of(b.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, docs.columns, docs.schema, make)

@@ -85,7 +85,7 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, wide):
                 v ^= 1 << r.randrange(64)
             fps.add(v - (1 << 64) if v >> 63 else v)
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = connected_components(simhash.links(nodes), Scratch(spark))
+    got = connected_components(simhash.links(nodes, Scratch(spark)), Scratch(spark))
     want = Sets(fps)
     for a, b in itertools.combinations(fps, 2):
         if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
