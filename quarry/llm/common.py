@@ -211,6 +211,31 @@ def small_or_shuffled(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def hot_of(counts: DataFrame, key: str, total: int, parts: int = 200) -> list:
+    """The keys of ``counts`` (key, n) that hold more than ``1/parts`` of ``total`` rows: fewer than
+    ``parts`` by arithmetic."""
+    return [r[0] for r in counts.filter(F.col("n") > total // parts).select(key).collect()]
+
+
+def at_shards(
+    rows: DataFrame, shard: Column, filters: DataFrame, use: Callable[[Column], Column], hot: list[int], salt: Column, out: str
+) -> DataFrame:
+    """``rows`` with ``out`` = ``use(words)`` of the row's shard, null where ``filters`` (shard, words) has none.
+
+    The words of a shard are some 100 KB and never pass a shuffle beside rows: those of ``hot`` shards
+    (fewer than 200) are broadcast, and their rows spread by ``salt`` where all others meet their
+    shard's words.
+    """
+    is_hot = F.col("shard").isin(hot)
+    first = F.broadcast(filters.filter(is_hot).select(F.col("shard").alias("_shard1"), F.col("words").alias("_words1")))
+    rest = filters.filter(~is_hot).select(F.col("shard").cast("long").alias("_shard2"), F.col("words").alias("_words2"))
+    found = lambda words: F.when(words.isNotNull(), use(words))
+    one = rows.withColumn("_shard", shard.cast("long")).join(first, F.col("_shard") == F.col("_shard1"), "left")
+    one = one.select(*rows.columns, F.when(F.col("_shard").isin(hot), -salt.cast("long")).otherwise(F.col("_shard")).alias("_shard"), found(F.col("_words1")).alias("_out1"))
+    two = one.join(rest, F.col("_shard") == F.col("_shard2"), "left")
+    return two.select(*rows.columns, F.coalesce("_out1", found(F.col("_words2"))).alias(out))
+
+
 def salted_join(
     rows: DataFrame, values: DataFrame, key: str, row_salt: Column, counts: DataFrame, total: int, parts: int = 200
 ) -> DataFrame:

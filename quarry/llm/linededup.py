@@ -18,14 +18,14 @@ document, each row is returned; other columns come back unchanged; empty tables
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, ascii_lower, let, long_array, salted_join
+from quarry.llm.common import Scratch, ascii_lower, at_shards, hot_of, let, long_array, salted_join
 from quarry.llm.cuckoo import CuckooFilter, may_contain
 
 LEAST_CHARS = 20
@@ -33,9 +33,11 @@ LEAST_DOCS = 3
 STRIP = " \t\n\x0b\x0c\r"
 #: Keys of one shard's filter, in expectation.
 SHARD_KEYS = 50_000
-#: Keys that all filters together may hold to be sent to executors (about 5 MB); with more keys every
-#: line of an eligible length goes to the exact join instead.
+#: Keys that all filters together may hold to be a constant of the plan (about 5 MB) and be probed where
+#: a text is read; with more keys, lines go to their shard's filter.
 FILTER_KEYS = 1_000_000
+#: Changes after which the references are written anew as one table.
+COMPACT = 8
 
 
 def lines_of(text: Column) -> Column:
@@ -70,76 +72,102 @@ def build_filters(common: DataFrame, shards: int) -> DataFrame:
 
 
 def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys became common or stopped being so."""
+    """Filters after keys became common or stopped being so; ``words`` is null where there was no room."""
 
     def merge(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         shard = int((old if len(old) else change)["shard"].iloc[0])
         made = CuckooFilter.from_words(old["words"].iloc[0].tolist()) if len(old) else CuckooFilter(1)
         for key in change.loc[~change["add"], "b"].tolist():
             made.delete(key)
-        for key in change.loc[change["add"], "b"].tolist():
-            if not made.insert(key):
-                return pd.DataFrame({"shard": [shard], "words": [[0]]})  # full: see LineIndex._filters
-        return pd.DataFrame({"shard": [shard], "words": [made.words()]})
+        fits = all(made.insert(key) for key in change.loc[change["add"], "b"].tolist())
+        return pd.DataFrame({"shard": [shard], "words": [made.words() if fits else None]})
 
     changes = added.select("key", F.lit(True).alias("add")).union(removed.select("key", F.lit(False).alias("add")))
     changes = changes.select(_shard(F.col("key"), shards).alias("shard"), F.col("key.b").alias("b"), "add")
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(merge, "shard int, words array<bigint>")
 
 
+def _common(refs: DataFrame) -> DataFrame:
+    """(key, n, last) of the keys that enough documents refer to."""
+    counts = refs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    return counts.filter(F.col("n") >= LEAST_DOCS)
+
+
 class LineIndex:
-    """References, exact counts and filters of a collection, open to insertions and deletions."""
-
-    def __init__(self, refs: DataFrame, scratch: Scratch, before: LineIndex | None = None) -> None:
-        self.scratch = scratch
-        self.refs = scratch.keep(refs)
-        counts = self.refs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        self.common = scratch.keep(counts.filter(F.col("n") >= LEAST_DOCS))
-        stats = self.common.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    """References, exact counts and filters of a collection, open to insertions and deletions.
+
+    A change reads the references once, but counts anew and shuffles only those of the keys that it
+    concerns, and touches only their shards' filters. Filters that are full are built anew, all of them
+    once there are twice the keys that they were made for.
+    """
+
+    def __init__(self, refs: DataFrame, common: DataFrame, scratch: Scratch, before: LineIndex | None = None, keys: DataFrame | None = None) -> None:
+        self.refs, self.common, self.scratch = refs, common, scratch
+        stats = common.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.n_common, self.n_rows = stats[0], stats[1]
-        self.shards = before.shards if before else max(1, -(-self.n_common // SHARD_KEYS))
-        self.filters = self._filters(before)
+        self.changes = before.changes + 1 if before else 0
+        self.shards = max(1, -(-self.n_common // SHARD_KEYS))
+        if before is None or keys is None or self.shards > 2 * before.shards:
+            self.filters = scratch.keep(build_filters(common, self.shards))
+        else:
+            self.shards = before.shards
+            self.filters = self._updated(before, keys)
 
     @classmethod
     def of(cls, docs: DataFrame, scratch: Scratch | None = None) -> LineIndex:
-        return cls(references(docs), scratch or Scratch(docs.sparkSession))
-
-    def _filters(self, before: LineIndex | None) -> DataFrame | None:
-        if self.n_common > FILTER_KEYS:
-            return None
-        if before is None or before.filters is None:
-            return self.scratch.keep(build_filters(self.common, self.shards))
-        added = self.common.join(before.common, "key", "left_anti")
-        removed = before.common.join(self.common, "key", "left_anti")
-        made = self.scratch.keep(update_filters(before.filters, added, removed, self.shards))
-        full = F.array_max("words").eqNullSafe(0) & (F.size("words") == 1)
-        if made.filter(full).limit(1).count():  # a filter without room is built anew, larger
-            return self.scratch.keep(build_filters(self.common, self.shards))
-        return made
+        scratch = scratch or Scratch(docs.sparkSession)
+        refs = scratch.keep(references(docs))
+        return cls(refs, scratch.keep(_common(refs)), scratch)
+
+    def _updated(self, before: LineIndex, keys: DataFrame) -> DataFrame:
+        now, was = self.common.join(keys, "key", "left_semi"), before.common.join(keys, "key", "left_semi")
+        made = self.scratch.keep(update_filters(before.filters, now.join(was, "key", "left_anti"), was.join(now, "key", "left_anti"), self.shards))
+        full = [r["shard"] for r in made.filter("words is null").select("shard").collect()]  # numbers of shards
+        if not full:
+            return made
+        anew = self.common.filter(_shard(F.col("key"), self.shards).isin(full))
+        return self.scratch.keep(made.filter("words is not null").unionByName(build_filters(anew, self.shards)))
+
+    def _changed(self, refs: DataFrame, keys: DataFrame) -> LineIndex:
+        """The index of ``refs``, which differ from the present ones in references to ``keys`` only."""
+        keys = self.scratch.keep(keys.distinct())
+        again = _common(refs.join(keys, "key", "left_semi"))
+        common = self.scratch.keep(self.common.join(keys, "key", "left_anti").unionByName(again))
+        if (self.changes + 1) % COMPACT == 0:
+            refs = self.scratch.keep(refs)
+        return LineIndex(refs, common, self.scratch, self, keys)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with more documents; an id that is present gains the new lines."""
-        return LineIndex(self.refs.union(references(docs)).distinct(), self.scratch, self)
+        new = self.scratch.keep(references(docs))
+        present = self.refs.join(new, ["key", "doc_id"], "left_semi")
+        added = self.scratch.keep(new.join(present, ["key", "doc_id"], "left_anti"))
+        return self._changed(self.refs.unionByName(added), added.select("key"))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents of ``ids`` (doc_id), as if they had never been there."""
-        gone = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        return LineIndex(self.refs.join(gone, "doc_id", "left_anti"), self.scratch, self)
-
-    def _candidate(self) -> Callable[[Column], Column]:
-        """The test of a key against its shard's filter; all filters are one constant array."""
-        if self.filters is None:
-            return lambda key: key.isNotNull()
-        made = {r["shard"]: r["words"] for r in self.filters.collect()}  # at most FILTER_KEYS keys in all
-        parts = [made.get(s, [0]) for s in range(self.shards)]
-        words, sizes = long_array(w for p in parts for w in p), long_array(map(len, parts))
-        starts = long_array(accumulate(map(len, parts[:-1]), initial=0))
-
-        def test(key: Column) -> Column:
-            shard = _shard(key, self.shards)
-            return key.isNotNull() & may_contain(words, F.get(starts, shard), F.get(sizes, shard), key["b"])
-
-        return test
+        gone = self.scratch.keep(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+        keys = self.refs.join(gone, "doc_id", "left_semi").select("key")
+        return self._changed(self.refs.join(gone, "doc_id", "left_anti"), keys)
+
+    def _maybe(self, lines: Column, rows: DataFrame) -> DataFrame:
+        """(id, print, i, key) of the lines of ``rows`` that the filters let through."""
+        shard = lambda key: _shard(key, self.shards)
+        holds = lambda words, start, size, key: may_contain(words, start, size, key["b"])
+        if self.n_common <= FILTER_KEYS:
+            made = {r["shard"]: r["words"] for r in self.filters.collect()}  # FILTER_KEYS keys at most
+            parts = [made.get(s, [0]) for s in range(self.shards)]
+            words, sizes = long_array(w for p in parts for w in p), long_array(map(len, parts))
+            starts = long_array(accumulate(map(len, parts[:-1]), initial=0))
+            lines = F.filter(lines, lambda x: holds(words, F.get(starts, shard(x["key"])), F.get(sizes, shard(x["key"])), x["key"]))
+        every = rows.filter("id is not null").select("id", "print", F.explode(lines).alias("x")).select("id", "print", "x.i", "x.key")
+        if self.n_common <= FILTER_KEYS:
+            return every
+        # lines of a key that most documents have make a hot shard; others spread evenly
+        counts = self.common.groupBy(shard(F.col("key")).alias("shard")).agg(F.sum("n").alias("n"))
+        test = lambda words: holds(words, F.lit(0), F.size(words), F.col("key"))
+        salt = F.pmod(F.xxhash64("id", "i"), F.lit(1 << 20)) + 1
+        return at_shards(every, shard(F.col("key")), self.filters, test, hot_of(counts, "shard", self.n_rows), salt, "maybe").filter("maybe").drop("maybe")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """(row, text, n_lines, n_dropped): ``row`` is the struct of all columns of ``docs``.
@@ -151,9 +179,7 @@ class LineIndex:
         rows = docs.select(F.struct("*").alias("row")).withColumns(
             {"id": F.col("row.doc_id").cast("long"), "print": F.xxhash64("row.text")}
         )
-        candidate = self._candidate()
-        found = F.filter(numbered, lambda x: candidate(x["key"]))
-        some = rows.filter("id is not null").select("id", "print", F.explode(found).alias("x")).select("id", "print", "x.i", "x.key")
+        some = self._maybe(F.filter(numbered, lambda x: x["key"].isNotNull()), rows)
         salt = F.pmod(F.xxhash64("id", "i"), F.lit(1 << 20)) + 1
         met = salted_join(some, self.common.select("key", "last"), "key", salt, self.common.select("key", "n"), self.n_rows)
         lost = met.filter(F.col("id") < F.col("last"))

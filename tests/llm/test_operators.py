@@ -11,13 +11,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import cuckoo, decontam, gbt, langid, linededup, media, packing, pii, sharding, simhash, toxicity, urlfilter
+from quarry.llm import bins, cuckoo, decontam, gbt, langid, linededup, media, packing, pii, sharding, simhash, toxicity, urlfilter
 from quarry.llm.common import Scratch, fold_py, long_array
 from quarry.llm.components import connected_components
 
@@ -102,6 +103,17 @@ def test_near_duplicates_name_the_smallest_document(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()) == [2, 4, 7]
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_one_row_of_each_group_stays(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash.small_or_shuffled, "__defaults__", (most,))
+    same, near = "a b c d e f g", "A b c d e f g"
+    rows = [(9, same), (3, same), (3, same), (3, near), (3, "quite different words"), (None, same), (None, "no id here"), (None, "no id here"), (None, "nor in this"), (5, None), (6, ""), (6, "")]
+    got = simhash.keep_one(frame(spark, rows).withColumn("print", F.lit(7)).withColumn("id", F.lit("x"))).collect()
+    left = sorted((r.doc_id or 0, (r.text or "").lower()) for r in got)
+    assert left == [(0, "no id here"), (0, "nor in this"), (3, same), (3, "quite different words"), (5, "")]
+    assert {(r.print, r.id) for r in got} == {(7, "x")}
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
@@ -128,8 +140,8 @@ def line_docs(seed, n=60):
     return [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 150))) if i % 7 else r.choice([None, "", "\n\n"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [linededup.FILTER_KEYS, 0])
-def test_line_dedup_is_exact_with_and_without_filters(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit", [linededup.FILTER_KEYS, 1])
+def test_line_dedup_is_exact_with_one_filter_and_with_shards(spark, monkeypatch, limit):
     monkeypatch.setattr(linededup, "FILTER_KEYS", limit)
     monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
     rows = line_docs(1)
@@ -137,7 +149,9 @@ def test_line_dedup_is_exact_with_and_without_filters(spark, monkeypatch, limit)
     assert got == plain_dedup(rows)
 
 
-def test_line_dedup_can_be_taken_back(spark):
+@pytest.mark.parametrize("shard_keys", [50_000, 2])
+def test_line_dedup_can_be_taken_back(spark, monkeypatch, shard_keys):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
     rows = line_docs(2, 24)
     old, new = rows[:16], rows[16:]
     docs = frame(spark, old)
@@ -150,6 +164,43 @@ def test_line_dedup_can_be_taken_back(spark):
     assert text(back, docs) == plain_dedup(old)
 
 
+def test_changes_keep_index_and_filters_exact(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(linededup, "COMPACT", 2)
+    r = random.Random(31)
+    lines = [f"a line of more than twenty characters {i}" for i in range(60)]
+    texts = {}
+    index = linededup.LineIndex.of(frame(spark, []))
+    for step in range(5):
+        some = {i: "\n".join(r.sample(lines, r.randint(0, 20))) if r.random() < 0.9 else None for i in r.sample(range(100), 12) if i not in texts}
+        some |= dict.fromkeys([i for i in texts if r.random() < 0.1], lines[0])  # an id that is present gains a line
+        texts |= {i: "\n".join(filter(None, [texts.get(i), t])) for i, t in some.items()}
+        index = index.insert(frame(spark, [*some.items(), *list(some.items())[:2], (None, lines[0])]))
+        gone = r.sample(sorted(texts), 3) if step else []
+        index = index.delete(spark.createDataFrame([(i,) for i in [*gone, *gone, -5, None]], "doc_id long"))
+        texts = {i: t for i, t in texts.items() if i not in gone}
+        holders = defaultdict(set)
+        for i, t in texts.items():
+            for line in t.split("\n"):
+                if line:
+                    holders[line].add(i)
+        keys = {row.line: (row.key.a, row.key.b) for row in spark.createDataFrame([(x,) for x in lines], "line string").select("line", linededup.key_of(F.col("line")).alias("key")).collect()}
+        want = {(keys[k], len(v), max(v)) for k, v in holders.items() if len(v) >= 3}
+        assert {((x.key.a, x.key.b), x.n, x.last) for x in index.common.collect()} == want
+        filters = {x.shard: cuckoo.CuckooFilter.from_words(x.words) for x in index.filters.collect()}
+        assert all(b in filters[(a % index.shards)] for (a, b), _, _ in want)
+        assert sum(sum(map(bool, s)) for f in filters.values() for s in f.slots) == len(want)
+    assert index.shards > 1
+
+
+def test_a_full_filter_is_built_anew(spark, monkeypatch):
+    docs = lambda ids, n: frame(spark, [(i, "\n".join(f"some line with twenty characters {j}" for j in range(n))) for i in ids])
+    index = linededup.LineIndex.of(docs([1, 2, 3], 2))
+    grown = index.insert(docs([4, 5, 6], 300))
+    words = {r.shard: len(r.words) for r in grown.filters.collect()}
+    assert grown.n_common == 300 and grown.shards == 1 and words[0] * cuckoo.SLOTS >= 300
+
+
 def test_cuckoo_filter_inserts_deletes_and_probes(spark):
     r = random.Random(4)
     keys = [r.getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1]
@@ -179,26 +230,72 @@ def test_word_cache_agrees_with_the_tokenizer():
     assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == want
 
 
-def test_plans_use_every_piece_once_and_reach_the_bound():
+def fewest_bins(pieces, capacity):
+    """The optimum, over all subsets: (bins, what the last one holds)."""
+    best = [(0, capacity)] + [(99, 0)] * ((1 << len(pieces)) - 1)
+    for m in range(1, 1 << len(pieces)):
+        for i, p in enumerate(pieces):
+            if m >> i & 1:
+                n, full = best[m ^ 1 << i]
+                best[m] = min(best[m], (n, full + p) if full + p <= capacity else (n + 1, p))
+    return best[-1][0]
+
+
+def plan_of(counts, capacity, **options):
+    plan = bins.pack(counts, capacity, **options)
+    used = Counter()
+    for items, times in plan.bins:
+        assert times > 0 and sum(k * c for k, c in items) <= capacity
+        used.update({k: c * times for k, c in items})
+    assert used == Counter(counts) and plan.size == sum(t for _, t in plan.bins) >= plan.bound
+    return plan
+
+
+def test_bin_completion_finds_the_optimum():
     r = random.Random(6)
-    for trial in range(20):
-        counts = defaultdict(int)
-        for _ in range(r.choice([0, 1, 5, 300])):
-            counts[r.randint(1, r.choice([40, 100]))] += r.choice([1, 1, 7])
-        plan = packing.plan_histogram(dict(counts), 100)
-        used = defaultdict(int)
-        for items, times in plan:
-            assert times > 0 and sum(k * c for k, c in items.items()) <= 100
-            for k, c in items.items():
-                used[k] += c * times
-        assert used == counts
-        size, bound = sum(t for _, t in plan), packing.lower_bound(dict(counts), 100) if counts else 0
-        assert bound <= size <= bound + 1, trial
-
-
-def test_bin_completion_beats_best_fit():
-    counts = {6: 1, 5: 2, 4: 1, 3: 2, 2: 2}  # 30 in all; best fit decreasing from 6 takes 4, then 5 + 5, then 3 + 3 + 2 + 2
-    assert sum(t for _, t in packing.plan_histogram(counts, 10)) == 3
+    beaten = 0
+    for _ in range(2000):
+        capacity = r.choice([20, 50, 100, 1000])
+        low, high = r.choice([(0.05, 0.7), (0.15, 0.6), (0.2, 0.5), (0.1, 1.0)])
+        pieces = [max(1, int(capacity * r.uniform(low, high))) for _ in range(r.choice([6, 7, 8, 9, 9, 12]))]
+        plan = plan_of(Counter(pieces), capacity)
+        assert plan.proven and plan.size == plan.bound == fewest_bins(pieces, capacity), (capacity, pieces)
+        beaten += plan.size < sum(t for _, t in bins.best_fit(Counter(pieces), capacity))
+    assert beaten > 50
+    assert plan_of(Counter([8, 8, 9, 12, 14, 16, 20, 25, 25, 30, 31]), 50).size == 4
+
+
+def test_fillings_are_those_that_no_other_dominates():
+    def packs(a, b):
+        """Whether the items of b, some put together, fit into the places of a."""
+        if not b:
+            return True
+        return any(packs([*a[:i], p - b[0], *a[i + 1 :]], b[1:]) for i, p in enumerate(a) if p >= b[0])
+
+    r = random.Random(16)
+    for _ in range(300):
+        capacity = r.choice([30, 100])
+        pieces = sorted((r.randint(1, capacity // 2) for _ in range(r.randint(1, 7))), reverse=True)
+        first, rest = pieces[0], pieces[1:]
+        counts = Counter(pieces)
+        room = capacity - first
+        feasible = {tuple(x) for n in range(len(rest) + 1) for x in itertools.combinations(rest, n) if sum(x) <= room}
+        want = {b for b in feasible if not any(a != b and packs(list(a), list(b)) for a in feasible)}
+        found = list(bins.Fillings(counts, capacity, 10**6).beside(bins._Open(counts), first, room, room))
+        got = [tuple(sorted((Counter(dict(items)) - Counter([first])).elements(), reverse=True)) for _, items in found]
+        assert len(got) == len(set(got)) and set(got) == want, (pieces, capacity)
+        assert all(w == room - sum(g) for (w, _), g in zip(found, got, strict=True))
+
+
+def test_long_histograms_beat_best_fit_or_meet_the_bound():
+    r = random.Random(26)
+    for draw in (lambda: r.randint(300, 1100), lambda: 7 * r.randint(20, 200), lambda: r.choice([231, 377, 512, 600, 777, 903])):
+        counts = Counter(draw() for _ in range(2000))
+        plan = plan_of(counts, 2048, steps=100_000)
+        assert plan.size < sum(t for _, t in bins.best_fit(counts, 2048)) or plan.proven
+    assert plan_of({}, 10) == ([], 0, 0, True) and plan_of({10: 5}, 10).size == 5
+    with pytest.raises(ValueError, match="capacity"):
+        bins.pack({11: 1}, 10)
 
 
 def test_pack_round_trip(spark):
@@ -216,7 +313,7 @@ def test_pack_round_trip(spark):
         spots[row.sequence_id].append((row.offset, row.length))
     for parts in spots.values():
         assert [o for o, _ in sorted(parts)] == [0, *itertools.accumulate(n for _, n in sorted(parts))][:-1]
-    assert len(spots) <= packing.lower_bound(Counter(r.length for r in got), 256) + 1
+    assert len(spots) == got[0].sequences == bins.pack(Counter(r.length for r in got), 256).size and got[0].least_sequences <= len(spots)
 
 
 # --- decontamination ------------------------------------------------------------------------------
@@ -446,11 +543,57 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_unseen_words_back_off():
-    model = langid.build({"de": {"strasse": 5, "kirche": 3}, "en": {"street": 5, "church": 3}})
-    predict = langid.predictor(model)
-    assert predict("strassen")[0] == "de" and predict("streets")[0] == "en"
-    assert predict("12 !?") == ("und", 0.0) and predict(None) == ("und", 0.0)
-
+    model = langid.build(pa.array(["de", "de", "en", "en"]), pa.array(["strasse", "kirche", "street", "church"], pa.large_string()), np.array([5.0, 3, 5, 3]))
+    langs, scores = langid.predict(model, pa.array(["strassen", "streets", "12 !?", None, "", "STRASSE  \n"]))
+    assert langs == ["de", "en", "und", "und", "und", "de"] and scores[2:5].tolist() == [0, 0, 0]
+
+
+def plain_language(counts, text):
+    """Word-first backoff, one word and one n-gram after the other."""
+    languages = sorted({lang for lang, _ in counts})
+    n_of = lambda table: {lang: sum(n for (a, _), n in table.items() if a == lang) for lang in languages}
+
+    def logs(table):
+        names, total = {k for _, k in table}, n_of(table)
+        known = {k for k in names if sum(table.get((lang, k), 0) for lang in languages) >= langid.LEAST}
+        return {k: [np.log((table.get((lang, k), 0) + 0.5) / (total[lang] + 0.5 * (len(names) + 1))) for lang in languages] for k in known}
+
+    words, grams = logs(counts), []
+    for n in range(1, 6):
+        table = Counter()
+        for (lang, w), c in counts.items():
+            f = f"^{w}$"
+            for i in range(len(f) - n + 1):
+                table[lang, f[i : i + n]] += c
+        grams.append(logs(table))
+    total, seen = np.zeros(len(languages)), 0
+    for w in regex.findall(r"\p{L}+", (text or "").lower()):
+        seen += 1
+        if w in words:
+            total += words[w]
+            continue
+        f = f"^{w}$"
+        for n in range(5, 0, -1):
+            known = [grams[n - 1][f[i : i + n]] for i in range(len(f) - n + 1) if f[i : i + n] in grams[n - 1]]
+            if known:
+                total += np.mean(known, axis=0)
+                break
+    if not seen:
+        return "und", 0.0
+    return languages[int(total.argmax())], 1 / np.exp((total - total.max()) / seen).sum()
+
+
+def test_language_scores_are_those_of_a_plain_version():
+    r = random.Random(33)
+    letters = {"aa": "abcdé", "bb": "abxyß", "cc": "cdzw字"}
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(1, 7)))
+    counts = Counter((lang, word(a)) for lang, a in letters.items() for _ in range(150))
+    keys = list(counts)
+    model = langid.build(pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.large_string()), np.array([float(counts[k]) for k in keys]))
+    texts = [None, "", "1 _ -", " ", "Q"] + [" ".join(word(r.choice(list(letters.values()))) for _ in range(r.randint(1, 12))) + r.choice(["", " ", "!\n"]) for _ in range(80)]
+    for text, lang, score in zip(texts, *langid.predict(model, pa.array(texts)), strict=True):
+        want, p = plain_language(counts, text)
+        assert lang == want and abs(score - p) < 1e-5, text
 
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -466,34 +609,105 @@ def test_toxicity_on_held_out_documents(spark):
 def test_toxic_features_see_disguise():
     lexicon = toxicity.Lexicon(frozenset({"idiot"}), frozenset({"rude"}))
     at = toxicity.FEATURES.index
-    f = toxicity.features("You 1d10t! RUDEST thing", lexicon)
-    assert f[at("hidden_hits")] == 1 and f[at("shouted_hits")] >= 1 and f[at("near_second")] >= 1
-    assert toxicity.features(None, lexicon)[at("log_hits")] == 0
-
+    f = toxicity.features(pa.array(["You 1d10t! RUDEST thing", None]), lexicon)
+    assert f[0, at("hidden_hits")] == 1 and f[0, at("shouted_hits")] >= 1 and f[0, at("near_second")] >= 1
+    assert f[1, at("log_hits")] == 0
+
+
+def plain_features(text, lexicon):
+    """The features of one text, a word after the other."""
+    text = text or ""
+    words = text.split()
+    n, chars = max(1, len(words)), max(1, len(text))
+    second, found, hidden, loud_hits = [], [], 0, 0
+    loud = mixed = stretched = 0
+    for i, raw in enumerate(words):
+        bare = raw.strip(toxicity.EDGE).lower()
+        letters = "".join(c for c in raw.strip(".,;:!?\"'()").lower().translate(toxicity.LOOKALIKE) if c.isalpha())
+        plain = "" if bare.isalpha() else re.sub(r"(.)\1{2,}", r"\1", letters)
+        up = sum(c.isupper() for c in raw)
+        shout = up > 1 and up >= 0.7 * len(bare or "x")
+        if lexicon.has(bare):
+            found.append((i, bare))
+        elif len(plain) > 2 and plain != bare and lexicon.has(plain):
+            found.append((i, plain))
+            hidden += 1
+        if found and found[-1][0] == i:
+            loud_hits += shout
+        if bare in toxicity.SECOND_PERSON:
+            second.append(i)
+        loud += shout
+        mixed += any(c.isdigit() for c in bare) and any(c.isalpha() for c in bare)
+        stretched += bool(re.search(r"(\w)\1{2,}", bare))
+    dense = max((sum(i <= j < i + toxicity.WINDOW for j, _ in found) for i, _ in found), default=0)
+    near = sum(any(abs(i - j) <= 4 for j in second) for i, _ in found)
+    return [
+        np.log1p(len(words)), np.log1p(len(found)), len(found) / n, len({f for _, f in found}), dense, near, len(second) / n, hidden, hidden / n,
+        sum(c.isupper() for c in text) / chars, loud / n, loud_hits, text.count("!") / n, text.count("?") / n,
+        sum(c in "*#$%&@~^" for c in text) / chars, mixed / n, stretched / n,
+    ]
+
+
+def test_toxic_features_are_those_of_a_plain_version():
+    lexicon = toxicity.Lexicon(frozenset({"idiot", "trash"}), frozenset({"rude", "moron"}))
+    r = random.Random(34)
+    parts = ["you", "You,", "idiot", "IDIOT!!", "1d10t", "i.d.i.o.t", "trashhhh", "rudest", "mor0ns", "plain", "word", "DU", "ihr", "x1", "sooo", "#$%", "É", "?", "\n", "\t", "..."]
+    texts = [None, "", "   ", "you"] + [" ".join(r.choice(parts) for _ in range(r.randint(1, 120))) for _ in range(60)] + [" lead", "trail "]
+    got = toxicity.features(pa.array(texts), lexicon)
+    assert np.allclose(got, [plain_features(t, lexicon) for t in texts])
+    assert np.allclose(got[7:9], toxicity.features(pa.array(texts)[7:9], lexicon))
+
+
+def test_labels_of_repeated_rows_are_learned_once(spark):
+    docs = frame(spark, [(i, f"text {i % 7} words") for i in range(60)] * 3 + [(1, "another text of one id")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", 4000).collect()
+    assert sorted(r.doc_id for r in rows) == [i for i in range(60) if fold_py(i)]
 
 # --- URL cascade ----------------------------------------------------------------------------------
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize(("constant", "share"), [(10**6, 0.3), (0, 0.3), (10**6, 0.003), (0, 1.0), (0, 0.0)])
+def test_cascade_is_exact_over_its_universe(spark, monkeypatch, constant, share):
+    monkeypatch.setattr(urlfilter, "CONSTANT_KEYS", constant)
+    monkeypatch.setattr(urlfilter, "SHARD_KEYS", 200)
     r = random.Random(11)
-    keys = [(f"host{i}.example/", r.random() < 0.3) for i in range(4000)]
-    made = urlfilter.Cascade.build(spark.createDataFrame(keys, "key string, listed boolean"), Scratch(spark))
-    assert len(made.levels) > 1
-    got = spark.createDataFrame(keys, "key string, listed boolean").select("listed", made.listed(F.col("key")).alias("l")).collect()
-    assert all(x.listed == x.l for x in got)
-
-
-@pytest.mark.parametrize("most", [urlfilter.MAX_KEYS, 0])
-def test_sections_are_judged_alike_with_and_without_filter(spark, sf, monkeypatch, most):
+    keys = spark.createDataFrame([(f"host{i}.example/", r.random() < share) for i in range(4000)], "key string, listed boolean")
+    made = urlfilter.Cascade.build(keys, Scratch(spark))
+    assert len(made.levels) > 1 or share in (0, 1)
+    assert (made.shards > 1) == (constant == 0 and share > 0)
+    got = made.mark(keys.unionByName(spark.createDataFrame([(None, None)], keys.schema)), "key", "l", F.xxhash64("key") % 5 + 6).collect()
+    assert len(got) == 4001 and all(x.listed == x.l for x in got)
+
+
+def test_a_hot_shard_is_salted_and_marked_alike(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "CONSTANT_KEYS", 0)
+    monkeypatch.setattr(urlfilter, "SHARD_KEYS", 2)
+    keys = spark.createDataFrame([(f"k{i}", i % 3 == 0) for i in range(900)], "key string, listed boolean")
+    made = urlfilter.Cascade.build(keys, Scratch(spark))
+    rows = keys.unionByName(spark.range(3000).select(F.lit("k3").alias("key"), F.lit(True).alias("listed")))
+    assert all(x.listed == x.l for x in made.mark(rows, "key", "l", F.monotonically_increasing_id() + 1).collect())
+
+
+@pytest.mark.parametrize("constant", [10**6, 0])
+def test_sections_are_judged_alike_in_one_filter_and_in_shards(spark, sf, monkeypatch, constant):
+    monkeypatch.setattr(urlfilter, "CONSTANT_KEYS", max(constant, 1))
+    monkeypatch.setattr(urlfilter, "SHARD_KEYS", 1)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     pages = pages.withColumn("html", F.when(F.contains("url", F.lit("/en/")), "<title>***</title>").otherwise(F.col("html")))
     sections = urlfilter.junk_sections(pages)
     want = {r.key for r in sections.filter("listed").collect()}
+    assert len(want) > 1
     rules = [("net", "/fr/", "block")]
-    if most == 0:
-        real = urlfilter.Cascade.build
-        monkeypatch.setattr(urlfilter.Cascade, "build", classmethod(lambda cls, f, s: real.__func__(cls, f, s)))
-        monkeypatch.setattr(urlfilter, "MAX_KEYS", len(rules))
     for r in urlfilter.judge(pages, rules, sections).collect():
         section = f"{r.host}/{r.path.split('/')[1]}/"
         assert r.verdict == ("block" if r.rule or section in want else "allow")
+
+
+def test_long_hosts_give_few_keys(spark):
+    rules = [("org", "/", "allow"), ("a.b", "/x", "block")]
+    host = ".".join("ab" * 20_000)
+    pages = spark.createDataFrame([(1, f"http://{host}/x/y", "")], "page_id long, url string, html string")
+    keys = urlfilter.site_keys(F.lit(host), F.lit("/x/y"), urlfilter.Shape.of(rules))
+    assert pages.select(keys.alias("k")).first().k == ["a.b/x", "a.b/", "b/x", "b/"]
+    assert urlfilter.judge(pages, rules, urlfilter.junk_sections(pages)).first().verdict == "block"
