@@ -13,6 +13,7 @@ inside an accepted part are not listed again; repeated rows give equal results.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -78,23 +79,27 @@ def _png(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
+#: A marker within scan data that is not a stuffed byte, a fill byte or a restart.
+SCAN_END = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]")
+
+
 def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
     pos, scan = at + 2, False
     while pos + 2 <= len(b):
-        if b[pos] != 0xFF:
-            if not scan:
+        if scan:
+            found = SCAN_END.search(b, pos)
+            if not found:
                 return None
-            pos += 1
-            continue
+            pos = found.end() - 2
         mark = b[pos + 1]
+        if b[pos] != 0xFF:
+            return None
         if mark == 0xD9:
             return ("image/jpeg", pos + 2 - at) if scan else None
-        if mark in (0x00, 0xFF) or 0xD0 <= mark <= 0xD7:
-            if not scan:
-                return None
-            pos += 1 if mark == 0xFF else 2
+        if mark == 0xFF:
+            pos += 1
             continue
-        if pos + 4 > len(b):
+        if mark == 0x00 or 0xD0 <= mark <= 0xD7 or pos + 4 > len(b):
             return None
         n = struct.unpack_from(">H", b, pos + 2)[0]
         if n < 2:
@@ -140,14 +145,19 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
 
 
 def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
-    pos, pages = at, 0
+    """Pages until every stream that has begun has ended."""
+    pos, begun, live = at, False, set()
     while pos + 27 <= len(b) and bytes(b[pos : pos + 4]) == b"OggS" and b[pos + 4] == 0:
-        last, n = b[pos + 5] & 4, b[pos + 26]
+        kind, serial, n = b[pos + 5], bytes(b[pos + 14 : pos + 18]), b[pos + 26]
         end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if end > len(b) or (not pages and not b[pos + 5] & 2):
+        if end > len(b) or (serial not in live and not kind & 2):
             return None
-        pos, pages = end, pages + 1
-        if last:
+        begun = True
+        live.add(serial)
+        if kind & 4:
+            live.discard(serial)
+        pos = end
+        if not live:
             return "audio/ogg", pos - at
     return None
 
@@ -165,10 +175,22 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(pos, len(b)) - len(work.unused_data) - at) if work.eof else None
 
 
+#: The end of a body: where its cross-reference table starts, and the end mark.
+PDF_END = re.compile(rb"startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF")
+PDF_START = re.compile(rb"%PDF-\d")
+
+
 def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    whole = bytes(b[at:])
-    end = whole.find(b"%%EOF")
-    return ("application/pdf", end + 5) if end > 0 and b"startxref" in whole[:end] else None
+    """Up to the last end mark, before the next PDF, whose table lies within the part."""
+    begin = PDF_START.match(b, at)
+    if not begin:
+        return None
+    later = PDF_START.search(b, begin.end())
+    last = None
+    for end in PDF_END.finditer(b, begin.end(), later.start() if later else len(b)):
+        if 0 <= int(end[1]) < end.start() - at:
+            last = end
+    return ("application/pdf", last.end() - at) if last else None
 
 
 CHECK: dict[str, Callable[[memoryview, int], tuple[str, int] | None]] = dict(
@@ -230,34 +252,37 @@ def describe(samples: np.ndarray, kind: str) -> str:
     return f"{kind};rate={RATE};samples={len(samples)};mean={mean:.3f};entropy={entropy:.3f};crossings={turns}"
 
 
-def _store() -> Callable:
-    finder = automaton()
+def _stored(text: str | None, finder: ahocorasick.Automaton) -> tuple[int, bytes, str, bytes]:
+    """(bytes of the text, stored form, its type, payload read back)."""
+    plain = (text or "").encode("utf-8", "replace")
+    media = to_wav(pad(plain))
+    parts = sniff(media, finder)
+    kind = true_type(media, "application/octet-stream", parts)
+    if kind != "audio/wav":
+        raise ValueError("the stored form does not read back")
+    return len(plain), media, kind, from_wav(media, parts[0])
 
-    def rows(ids: list, texts: list) -> Iterator[tuple]:
-        for i, text in zip(ids, texts, strict=True):
-            plain = (text or "").encode("utf-8", "replace")
-            stored = to_wav(pad(plain))
-            parts = sniff(stored, finder)
-            kind = true_type(stored, "application/octet-stream", parts)
-            if kind != "audio/wav":
-                raise ValueError("the stored form does not read back")
-            yield i, len(plain), stored, kind, from_wav(stored, parts[0])
 
-    return rows
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, kind, payload): each text as sound, and the payload read back."""
 
+    def make() -> Callable:
+        finder = automaton()
+        return lambda ids, texts: ((i, *_stored(t, finder)) for i, t in zip(ids, texts, strict=True))
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, kind, payload): each text as sound, and the payload carved back."""
     schema = "doc_id bigint, n_bytes bigint, media binary, kind string, payload binary"
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _store, slice_rows=128)
+    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, make)
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """The stored form's digests and features, one row for each of ``stored``."""
+def digests(docs: DataFrame) -> DataFrame:
+    """The digests and features of each text's stored form, which is made and read back in one pass."""
 
     def make() -> Callable:
-        def rows(ids: list, sizes: list, media: list, kinds: list, payloads: list) -> Iterator[tuple]:
-            for i, n, m, k, p in zip(ids, sizes, media, kinds, payloads, strict=True):
+        finder = automaton()
+
+        def rows(ids: list, texts: list) -> Iterator[tuple]:
+            for i, text in zip(ids, texts, strict=True):
+                n, m, k, p = _stored(text, finder)
                 feature = describe(np.frombuffer(p, dtype=np.uint8), k)
                 yield i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature
 
@@ -267,7 +292,7 @@ def digests(stored: DataFrame) -> DataFrame:
         "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
         "media_bytes bigint, media_sha256 string, feature string"
     )
-    return map_rows(stored, ["doc_id", "n_bytes", "media", "kind", "payload"], schema, make, slice_rows=128)
+    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, make)
 
 
 def sniff_column(df: DataFrame, key: str, value: str, declared: str) -> DataFrame:
@@ -291,5 +316,4 @@ def sniff_column(df: DataFrame, key: str, value: str, declared: str) -> DataFram
         ["key", "value", "declared"],
         "key bigint, kind string, start bigint, length bigint, part binary",
         make,
-        slice_rows=64,
     )

@@ -55,7 +55,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store_texts(_docs(spark, sf_dir)))
+    return media.digests(_docs(spark, sf_dir))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +134,21 @@ FROM best
 """
 
 
-def _shingles_sql(table: str, key: str) -> str:
-    words = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
-    grams = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
-    return f"SELECT DISTINCT {key}, unnest({grams}) AS s FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 5"
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
+def _shingles_sql(words: str, key: str, size: str) -> str:
+    grams = f"list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i+{size}-1], ' ')))"
+    return f"SELECT DISTINCT {key}, unnest({grams}) AS s FROM {words} WHERE len(w) >= {size}"
+
+
+#: Shingles of five words, or of all words of an item that has fewer.
 OP8_SQL = f"""
-WITH d AS ({_shingles_sql("documents", "doc_id")}), b AS ({_shingles_sql("benchmark", "item_id")}),
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+b AS ({_shingles_sql("bw", "item_id", "5")}
+      UNION SELECT item_id, array_to_string(w, ' ') AS s FROM bw WHERE len(w) BETWEEN 1 AND 4),
+d AS ({" UNION ".join(f"SELECT * FROM ({_shingles_sql('dw', 'doc_id', str(k))}) WHERE s IN (SELECT s FROM b)" for k in (5, 4, 3, 2, 1))}),
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import Scratch
+
 #: Multiplier and shift of the published algorithm's generator.
 MULTIPLIER = np.uint64(2862933555777941757)
 #: Rows of a chunk, in expectation.
@@ -49,8 +51,9 @@ def shard_of(key: Column, shards: int) -> Column:
     return place(F.xxhash64(key))
 
 
-def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``."""
+    scratch = scratch or Scratch(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -58,12 +61,14 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
     )
     placed = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
-    chunks = max(1, -(-docs.count() // (shards * CHUNK_ROWS)))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(chunks)))
+    # written, so that rows keep their numbers; numbers spread repeated rows over all chunks
+    placed = scratch.keep(placed.withColumn("number", F.monotonically_increasing_id()))
+    chunks = max(1, -(-placed.count() // (shards * CHUNK_ROWS)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks)))
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32")
+    own = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32", "number")
     numbered = placed.withColumn("own", F.row_number().over(own) - 1)
     return numbered.join(offsets, ["shard", "chunk"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("own")).alias("slot"), "grown_shard"

@@ -27,7 +27,7 @@ ONE_EACH = {
     "pii": lambda s, d: pii.find(d),
     "line dedup": lambda s, d: linededup.LineIndex.of(d).apply(d),
     "line dedup stage": lambda s, d: linededup.dedup(d),
-    "media": lambda s, d: media.digests(media.store_texts(d)),
+    "media": lambda s, d: media.digests(d),
     "sharding": lambda s, d: sharding.assign(d),
     "langid": lambda s, d: langid.identify(d, langid.train(d)),
     "toxicity": lambda s, d: toxicity.score(d, toxicity.train(d, _labels(s))),
