@@ -16,7 +16,9 @@ trees are fitted in the driver on ``EXAMPLES`` sentences made by rule, whose fea
 expressions, and become ``CASE`` expressions.
 
 Patterns are rewritten so that no text makes them backtrack: runs are possessive and start at run
-starts (or where the last match ended), which finds the same leftmost matches.
+starts (or where the last match ended), which finds the same leftmost matches. Places are running sums
+in blocks, contexts are cut from pieces of the text, and overlaps are settled within groups of spans that
+meet, so that the work is in proportion to a text's length and its proposals.
 
 Offsets are code points, ends exclusive. Defined results: a null text is empty and has no spans; repeated
 rows get equal results; other columns are never read.
@@ -88,25 +90,85 @@ CONTEXT_WORDS = {
 }
 
 
+SPAN = "struct<start:int,kind:int,end:int,gen:int,m:string>"
+#: Elements that a fold may append to one array, each append being a copy of it.
+BLOCK = 64
+#: Code points of a piece of text in which a place is sought.
+CHUNK = 256
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running results of an associative operation over an array of ints, in blocks within blocks, so
+    that the work stays in proportion to the array."""
+
+    def fold(a: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(a, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(join(F.get(acc, F.size(acc) - 1), x), x))))
+
+    def level(a: Column, deeper: int) -> Column:
+        def blocks(whole: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK)), lambda i: fold(F.slice(whole, (i * BLOCK + 1).cast("int"), F.lit(BLOCK))))
+
+            def moved(done: Column) -> Column:
+                ends = level(F.transform(done, lambda b: F.get(b, F.size(b) - 1)), deeper - 1)
+                return let(ends, lambda e: F.flatten(F.transform(done, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: join(F.get(e, k - 1), x))))))
+
+            return let(parts, moved)
+
+        return let(a, lambda w: F.when(F.size(w) <= BLOCK, fold(w)).otherwise(blocks(w))) if deeper else fold(a)
+
+    return level(values, 2)
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, at: Column, n: int | Column) -> Column:
+    """``n`` characters (``CHUNK`` at most) from place ``at`` on, found without a walk from the start."""
+    k = F.floor(at / CHUNK).cast("int")
+    near = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+    return F.substring(near, at % CHUNK + 1, n if isinstance(n, Column) else F.lit(n))
+
+
+def _stretch(chunks: Column, at: Column, n: Column) -> Column:
+    """Any number of characters from place ``at`` on."""
+    part = F.slice(chunks, F.floor(at / CHUNK).cast("int") + 1, F.floor(n / CHUNK).cast("int") + 2)
+    return F.when(n > 0, F.substring(F.array_join(part, ""), at % CHUNK + 1, n)).otherwise(F.lit(""))
+
+
+def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``mark(span, end of the spans before it)`` in the place of each of the sorted spans."""
+
+    def of(chunks: Column) -> Column:
+        def pieces(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            made = F.transform(spans, lambda s, i: F.concat(_stretch(chunks, before(i), s["start"] - before(i)), mark(s, before(i))))
+            return F.concat(F.array_join(made, ""), let(before(F.size(spans)), lambda at: _stretch(chunks, at, F.length(text) - at)))
+
+        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), pieces)
+
+    return F.when(F.size(spans) > 0, let(_chunks(text), of)).otherwise(text)
+
+
 def _spans(text: Column, pattern: str, kind: int, gen: int = -1) -> Column:
     """Leftmost matches with their places: lengths of what lies between and of matches, summed up."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(matches, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0)))).cast("array<struct<m:string,gap:string>>")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,gen:int,m:string>>")
+    empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.lit(gen).alias("gen"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def of(matches: Column) -> Column:
+        def placed(gaps: Column) -> Column:
+            steps = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+            return let(_running(steps, lambda a, b: a + b), lambda ends: F.transform(matches, lambda m, i: F.struct(
+                (F.get(ends, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), F.lit(gen).alias("gen"), m.alias("m")
+            )))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), placed)).otherwise(empty)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def _parts(text: Column, kind: int, gen: int) -> Column:
     """Every piece of every number run that ``PIECES`` allows; pieces overlap."""
-    spaced = F.concat(F.lit(" "), text)
 
     def at(place: Column, near: Column) -> Column:
         made = F.transform(F.array(*[F.regexp_extract(near, p, 1) for p in PIECES[gen]]), lambda m: F.struct(
@@ -114,15 +176,20 @@ def _parts(text: Column, kind: int, gen: int) -> Column:
         ))
         return F.filter(made, lambda s: (s["m"] != "") & luhn(_digits(s["m"])) if gen == 7 else s["m"] != "")
 
-    def of(run: Column) -> Column:
+    def of(runs: Column, chunks: Column) -> Column:
+        def run_of(run: Column) -> Column:
+            # places of a group's first digit or bracket; what is near begins one character before
+            starts = _spans(run["m"], r"(?<![0-9])[0-9]|[(]", kind)
+            return F.flatten(F.transform(starts, lambda s: let(run["start"] + s["start"], lambda p: let(_cut(chunks, p, REACH), lambda near: at(p, near)))))
+
+        return F.flatten(F.transform(runs, run_of))
+
+    def some(runs: Column) -> Column:
         if gen == 8:  # separators may be many, and a run has one plus
-            return at(run["start"], F.concat(F.lit(" "), run["m"]))
-        # places of a group's first digit or bracket, as lengths of what lies before
-        led = F.concat(F.lit(" "), run["m"])
-        starts = F.filter(F.sequence(F.lit(1), F.length(run["m"])), lambda i: F.substring(led, i, F.lit(2)).rlike("^[^0-9][0-9]|[(]$"))
-        return F.flatten(F.transform(starts, lambda i: let(run["start"] + i - 1, lambda p: let(F.substring(spaced, p + 1, F.lit(REACH)), lambda near: at(p, near)))))
+            return F.flatten(F.transform(runs, lambda run: at(run["start"], F.concat(F.lit(" "), run["m"]))))
+        return let(_chunks(F.concat(F.lit(" "), text)), lambda chunks: of(runs, chunks))
 
-    return F.flatten(F.transform(_spans(text, GENERATORS[gen][1], kind, gen), of))
+    return let(_spans(text, GENERATORS[gen][1], kind, gen), lambda runs: _gated(F.size(runs) > 0, some(runs)))
 
 
 def _digits(m: Column) -> Column:
@@ -162,7 +229,7 @@ GATE = {"email": "@", "phone": "+", "ip": ".", "card": ""}
 
 
 def _gated(gate: Column, spans: Column) -> Column:
-    return F.when(gate, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,gen:int,m:string>>"))
+    return F.when(gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column, numeric: Column) -> Column:
@@ -179,17 +246,7 @@ def base_spans(text: Column, numeric: Column) -> Column:
 
 def blanked(text: Column, base: Column) -> Column:
     """The text with a line break, which no generator takes, for each character of a base span."""
-
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(acc["at"], s["start"])
-        gap = F.substring(text, acc["at"] + 1, start - acc["at"])
-        blank = F.repeat(F.lit("\n"), F.greatest(s["end"] - start, F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
-
-    whole = F.aggregate(
-        base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    )
-    return F.when(F.size(base) > 0, whole).otherwise(text)
+    return _replaced(text, base, lambda s, before: F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(before, s["start"]), F.lit(0))))
 
 
 def candidates(text: Column, numeric: Column) -> Column:
@@ -220,10 +277,11 @@ def _mod97(m: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
-def feature_columns(text: Column, c: Column) -> list[Column]:
+def feature_columns(chunks: Column, c: Column) -> list[Column]:
+    """``FEATURES`` of a candidate in the text whose ``_chunks`` are given."""
     m, start, end = c["m"], c["start"], c["end"]
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    after = F.substring(text, end + 1, F.lit(CONTEXT))
+    before = _cut(chunks, F.greatest(start - CONTEXT, F.lit(0)), F.least(start, F.lit(CONTEXT)))
+    after = _cut(chunks, end, CONTEXT)
     around = F.concat(before, F.lit(" "), after)
     digits = _digits(m)
     groups = F.filter(F.split(m, "[^A-Za-z0-9]+"), lambda g: g != "")
@@ -361,13 +419,14 @@ def _number_examples(n: int, seed: int = 21) -> list[tuple[str, list[str]]]:
 def _fit_trees(spark: SparkSession, rows: list[dict], width: int, gens: range) -> tuple[gbt.Model, tuple[float, ...]]:
     """Trees over the first ``width`` features and the thresholds of ``gens``."""
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<t:string,y:int,n:int,v:array<string>>>")).alias("r"))
-    seen = candidates(F.col("r.t"), F.lit(True))
+    table = table.select("r.t", "r.y", "r.n", "r.v")
     if gens.start == PARTS:
-        seen = let(F.col("r.t"), lambda t: let(base_spans(t, F.lit(True)), lambda base: candidates(blanked(t, base), F.lit(True))))
-    found = table.select("r.t", "r.y", "r.n", "r.v", F.explode(seen).alias("c")).filter(F.col("c.gen").between(gens.start, gens.stop - 1))
+        table = table.withColumn("base", base_spans(F.col("t"), F.lit(True))).withColumn("blank", let(F.col("base"), lambda base: blanked(F.col("t"), base)))
+    seen = candidates(F.col("blank" if gens.start == PARTS else "t"), F.lit(True))
+    found = table.select("t", "y", "n", "v", F.explode(seen).alias("c")).filter(F.col("c.gen").between(gens.start, gens.stop - 1))
     label = F.when(F.col("v").isNull(), F.col("y")).otherwise(F.array_contains("v", F.col("c.m")).cast("int"))
-    x_of = F.array(*feature_columns(F.col("t"), F.col("c"))[:width])
-    got = sorted((r["n"], r["x"][0], r["x"], r["y"]) for r in found.select("n", label.alias("y"), x_of.alias("x")).collect())
+    x_of = F.array(*feature_columns(F.col("chunks"), F.col("c"))[:width])
+    got = sorted((r["n"], r["x"][0], r["x"], r["y"]) for r in found.withColumn("chunks", _chunks(F.col("t"))).select("n", label.alias("y"), x_of.alias("x")).collect())
     x, y = np.array([g[2] for g in got]), np.array([g[3] for g in got], dtype=float)
     held = np.array([g[0] // 2 % 3 == 0 for g in got])
     model = gbt.fit(x[~held], y[~held], trees=30, depth=3, rate=0.3)
@@ -401,70 +460,74 @@ def fit(spark: SparkSession) -> tuple[tuple[gbt.Model, gbt.Model], tuple[float,
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def _chosen(text: Column, proposed: Column, models: tuple[gbt.Model, gbt.Model], cuts: tuple[float, ...]) -> Column:
-    """Proposals above their threshold, best first, that meet none kept before; none meets a base span."""
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _chosen(text: Column, proposed: Column, base: Column, models: tuple[gbt.Model, gbt.Model], cuts: tuple[float, ...]) -> Column:
+    """Proposals above their threshold, best first, that meet neither a base span nor one kept before."""
 
     def margin(model: gbt.Model, x: Column) -> Column:
         return model.margin_column([F.get(x, F.lit(i)) for i in range(len(FEATURES))])
 
-    def scored(c: Column) -> Column:
-        return let(
-            F.array(*feature_columns(text, c)),
-            lambda x: F.struct(
-                F.when(c["gen"] < PARTS, margin(models[0], x)).otherwise(margin(models[1], x)).alias("score"),
-                c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["gen"].alias("gen"),
-            ),
-        )
+    def scored(chunks: Column) -> Column:
+        def of(c: Column) -> Column:
+            return let(
+                F.array(*feature_columns(chunks, c)),
+                lambda x: F.struct(
+                    c["start"].alias("start"), c["end"].alias("end"), c["gen"].alias("gen"), c["kind"].alias("kind"),
+                    (-F.when(c["gen"] < PARTS, margin(models[0], x)).otherwise(margin(models[1], x))).alias("loss"),
+                ),
+            )
 
-    cut = F.array(*[F.lit(c) for c in cuts])
-    passed = F.filter(F.transform(proposed, scored), lambda c: c["score"] >= F.get(cut, c["gen"]))
+        return F.filter(F.transform(proposed, of), lambda c: -c["loss"] >= F.get(F.array(*[F.lit(c) for c in cuts]), c["gen"]))
 
-    def best(all_: Column) -> Column:
+    def best(some: Column) -> Column:
         # between equal scores the first generator, then the longer span, then the earlier one
-        ranked = F.array_sort(F.transform(all_, lambda c: F.struct((-c["score"]).alias("loss"), c["gen"].alias("gen"), (c["start"] - c["end"]).alias("short"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
-        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+        ranked = F.array_sort(F.transform(some, lambda c: F.struct(c["loss"], c["gen"], (c["start"] - c["end"]).alias("short"), c["start"], c["kind"], c["end"])))
+        none = F.array().cast("array<struct<start:int,kind:int,end:int,gen:int>>")
 
         def keep(kept: Column, c: Column) -> Column:
-            span = F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
-            return F.when(F.exists(kept, lambda k: meets(k, c)), kept).otherwise(F.concat(kept, F.array(span)))
+            span = F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["gen"].alias("gen"))
+            return F.when(F.exists(kept, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(span)))
 
         return F.aggregate(ranked, none, keep)
 
-    return let(passed, best)
+    def clusters(spans: Column) -> Column:
+        """Spans by start, cut where none reaches over: only within a part can any meet."""
 
+        def of(ends: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1)))
+            return let(heads, lambda h: F.flatten(F.transform(h, lambda at, k: best(F.slice(spans, at + 1, F.coalesce(F.get(h, k + 1), F.size(spans)) - at)))))
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, spans) of every row; spans have start, kind (place in ``KINDS``) and end."""
-    models, cuts = fit(docs.sparkSession)
+        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
 
-    def of(text: Column) -> Column:
-        def with_numeric(numeric: Column) -> Column:
-            def with_base(base: Column) -> Column:
-                added = let(let(blanked(text, base), lambda t: candidates(t, numeric)), lambda p: _chosen(text, p, models, cuts))
-                return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))
+    def settled(passed: Column) -> Column:
+        kind = "array<struct<start:int,end:int,gen:int,kind:int,loss:double>>"
+        fixed = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("gen"), s["kind"].alias("kind"), F.lit(float("-inf")).alias("loss")))
+        every = F.array_sort(F.concat(passed.cast(kind), fixed.cast(kind)))
+        kept = F.filter(let(every, clusters), lambda c: c["gen"] >= 0)
+        return F.when(F.size(passed) > 0, F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))).otherwise(none)
 
-            return let(base_spans(text, numeric), with_base)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(proposed) > 0, let(let(_chunks(text), scored), settled)).otherwise(none)
 
-        return let(text.rlike("[0-9]"), with_numeric)
 
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, base, spans) of every row; spans have start, kind (place in ``KINDS``) and end."""
+    models, cuts = fit(docs.sparkSession)
+
+    text, blank = F.col("text"), F.col("blank")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("x", let(F.col("text"), of)).select("doc_id", "text", "x.base", "x.spans")
+    # a step a column: one expression of all would nest deeper than the analyzer goes
+    rows = rows.withColumn("numeric", text.rlike("[0-9]")).withColumn("base", base_spans(text, F.col("numeric")))
+    rows = rows.withColumn("blank", let(F.col("base"), lambda base: blanked(text, base)))
+    rows = rows.withColumn("proposed", candidates(blank, F.col("numeric")))
+    added = let(F.col("base"), lambda base: let(F.col("proposed"), lambda proposed: _chosen(text, proposed, base, models, cuts)))
+    return rows.select("doc_id", "text", "base", added.alias("added")).select("doc_id", "text", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
 def redact(found: DataFrame) -> DataFrame:
     """(doc_id, text) with each span replaced by its kind in brackets; overlapping spans as one."""
     names = F.array(*map(F.lit, KINDS))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > acc["at"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    whole = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    )
-    return found.select("doc_id", whole.alias("text"))
+    mark = lambda s, before: F.when(s["start"] >= before, F.concat(F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise("")
+    return found.select("doc_id", let(F.col("spans"), lambda spans: _replaced(F.col("text"), spans, mark)).alias("text"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:

@@ -39,7 +39,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_docs(spark, sf_dir))
     count = {f"n_{k}": pii.count_kind(F.col("base"), k) for k in pii.KINDS[:4]}
     return found.withColumns(count).select(
-        "doc_id", *count, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans")
+        "doc_id",
+        *count,
+        F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -447,10 +448,51 @@ def test_a_dropped_proposal_drops_no_other(spark):
     tree = gbt.Node(0.0, 0, 0.5, gbt.Node(9.0), gbt.Node(0.0, 0, 1.5, gbt.Node(8.0), gbt.Node(0.0, 0, 2.5, gbt.Node(7.0), gbt.Node(6.0))))
     model = gbt.Model(0.0, (tree,))
     rows = spark.createDataFrame([("x" * 40, [(*c, "12") for c in chain])], "t string, p array<struct<start:int,kind:int,end:int,gen:int,m:string>>")
-    got = rows.select(pii._chosen(F.col("t"), F.col("p"), (model, model), (0.0,) * len(pii.GENERATORS)).alias("s")).first().s
+    got = rows.select(pii._chosen(F.col("t"), F.col("p"), F.array().cast("array<struct<start:int,kind:int,end:int>>"), (model, model), (0.0,) * len(pii.GENERATORS)).alias("s")).first().s
     assert sorted((x.start, x.end) for x in got) == [(0, 5), (9, 14), (30, 32)]
 
 
+def test_running_results_of_any_length(spark):
+    r = random.Random(41)
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 9000):
+        values = [r.randint(0, 50) for _ in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(pii._running(F.col("v"), lambda a, b: a + b).alias("s"), pii._running(F.col("v"), F.greatest).alias("m")).first()
+        assert row.s == list(itertools.accumulate(values)) and row.m == list(itertools.accumulate(values, max))
+
+
+def test_replacing_spans_in_long_texts(spark):
+    r = random.Random(42)
+    text = "".join(r.choice("ab 😀é\n") for _ in range(3000))
+    starts = sorted(r.sample(range(2990), 150))
+    spans = [(a, r.randrange(4), a + r.randint(1, 30)) for a in starts]
+    spans = [(a, k, min(b, 3000)) for a, k, b in spans]
+    docs = spark.createDataFrame([(1, text, spans), (2, "", []), (3, None, None)], "doc_id long, text string, spans array<struct<start:int,kind:int,end:int>>")
+    want, at = "", 0
+    for a, k, b in spans:
+        if a >= at:
+            want += text[at:a] + f"[{pii.KINDS[k]}]"
+        at = max(at, b)
+    got = {x.doc_id: x.text for x in pii.redact(docs).collect()}
+    assert got == {1: want + text[at:], 2: "", 3: None}
+    covered = {i for a, _, b in spans for i in range(a, b)}
+    blank = docs.filter("doc_id = 1").select(pii.blanked(F.col("text"), F.col("spans")).alias("b")).first().b
+    assert blank == "".join("\n" if i in covered else c for i, c in enumerate(text))
+
+
+def test_time_follows_the_length_of_a_text(spark):
+    r = random.Random(43)
+    number = lambda: r.choice([f"{r.randrange(10**3)}", f"{r.randrange(10**4)}", f"{r.randrange(10**9)}", f"{r.randrange(256)}.1.2.{r.randrange(300)}", f"+{r.randrange(10**10)}"])
+    text = " ".join(number() for _ in range(60_000))
+    seconds = []
+    for n in (20_000, 150_000, 300_000):
+        docs = spark.createDataFrame([(1, text[:n])], DOCS)
+        began = time.perf_counter()
+        found = pii.find(docs).select(pii.span_list(F.col("base")).alias("b"), "spans").first()
+        seconds.append(time.perf_counter() - began)
+        assert found.b == plain_base(text[:n]) and len(found.spans) > n / 1000
+    assert seconds[2] < 3 * seconds[1], seconds
+
+
 # --- media ----------------------------------------------------------------------------------------
 
 
