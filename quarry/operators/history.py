@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_words, identifier, once
-from quarry.operators.retrieval import disclose, rank_of, reciprocal_rank_fusion, substring_search
+from quarry.operators.retrieval import RRF_K, best_of, disclose, rank_of, reciprocal_rank_fusion, substring_search
 from quarry.operators.tables import truncated
 
 SUMMARY_FIELDS = ("request", "investigated", "learned", "completed", "next_steps")
@@ -113,33 +113,40 @@ def triage(memory: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.select(*keys, "n", F.coalesce("_s", "status").alias("status"), F.coalesce("_t", "notes").alias("notes"))
 
 
-def mixed_search(lists: dict[str, DataFrame], limit: int = 10) -> DataFrame:
-    """(kind, id, score) of rankings (id, score) by kind. Several kinds are fused by rank; one is returned
-    as it is."""
-    tagged = [df.select(F.concat_ws(":", F.lit(kind), F.col("id").cast("string")).alias("id"), "score") for kind, df in lists.items()]
+def mixed_search(lists: dict[str, DataFrame], limit: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., kind, id, score) of rankings (by..., id, score) by kind. Several kinds are fused by rank;
+    one is returned as it is.
+
+    Hits too far down their lists to come among the first ``limit`` of the fusion are cut before it.
+    """
+    tagged = [df.select(*by, F.concat_ws(":", F.lit(kind), F.col("id").cast("string")).alias("id"), "score") for kind, df in lists.items()]
     if len(tagged) == 1:
         out = tagged[0]
     else:
-        out = reciprocal_rank_fusion([rank_of(t) for t in tagged]).select("id", F.col("rrf_score").alias("score"))
+        reach = len(tagged) * (RRF_K + 1 + limit)
+        cut = [best_of(t, [F.desc("score"), F.asc("id")], reach, by) for t in tagged]
+        out = reciprocal_rank_fusion([rank_of(t, by) for t in cut], by=by).select(*by, "id", F.col("rrf_score").alias("score"))
     parts = F.split("id", ":", 2)
-    return out.select(parts[0].alias("kind"), parts[1].alias("id"), "score").orderBy(F.desc("score"), "kind", "id").limit(limit)
+    return best_of(out.select(*by, parts[0].alias("kind"), parts[1].alias("id"), "score"), [F.desc("score"), F.asc("kind"), F.asc("id")], limit, by)
 
 
-def weighted_hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.5, limit: int = 10) -> DataFrame:
-    """(id, score): scores scaled to 0..1 within each list and mixed, ``alpha`` for the vectors."""
+def weighted_hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.5, limit: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., id, score): scores scaled to 0..1 within each list and mixed, ``alpha`` for the vectors."""
 
     def scaled(df: DataFrame, weight: float) -> DataFrame:
-        ends = F.broadcast(df.agg(F.min("score").alias("lo"), F.max("score").alias("hi")))  # one row
-        span = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-        return df.crossJoin(ends).select("id", (span * weight).alias("score"))
+        lo, hi = F.col("_ends.lo"), F.col("_ends.hi")
+        ends = df.groupBy(*by).agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")).alias("_ends"))
+        span = F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0)
+        joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row
+        return joined.select(*by, "id", (span * weight).alias("score"))
 
     both = scaled(lexical, 1 - alpha).union(scaled(semantic, alpha))
-    return both.groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return best_of(both.groupBy(*by, "id").agg(F.sum("score").alias("score")), [F.desc("score"), F.asc("id")], limit, by)
 
 
 def global_search(spark: SparkSession, corpus: DataFrame, primary: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """(id, source, rank): a search's hits, then texts that hold the query's identifier literally."""
-    first = rank_of(primary).select("id", F.lit("search").alias("source"), "rank")
+    first = rank_of(best_of(primary, [F.desc("score"), F.asc("id")], limit)).select("id", F.lit("search").alias("source"), "rank")
     needle = spark.range(1).select(identifier(F.lit(query)).alias("i")).first()["i"]
     if needle is None:
         return first.orderBy("rank").limit(limit)

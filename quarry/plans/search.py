@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import similarity, text
-from quarry.operators import history, lint, ranking, resolve, retrieval, stemming, tables
-from quarry.session import load
+from quarry.operators import history, lint, ranking, resolve, retrieval, stemming, tables, textindex
+from quarry.session import load, work_folder
 from quarry.sources import documents
 
 QUERY = "that and onen erblest it hein"
@@ -28,9 +28,14 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def _probe(spark: SparkSession, sf: str) -> list[float]:
-    """The vector of row 0: the query of the vector searches."""
-    return load(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of the text searches: every benchmark item whose id is divisible by 20."""
+    return load(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _probes_of(vectors: DataFrame) -> DataFrame:
+    """The queries of the vector searches: every vector whose id is divisible by 20."""
+    return vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -115,10 +120,22 @@ def html_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_top10(spark: SparkSession, sf: str) -> DataFrame:
     queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = retrieval.bm25(_corpus(spark, sf), queries, 10)
+    hits = retrieval.bm25_top_k(_corpus(spark, sf), queries, 10)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def bm25_every(spark: SparkSession, sf: str) -> DataFrame:
+    """All scores of the queries, by joins."""
+    return retrieval.bm25(_corpus(spark, sf), _asked(spark, sf)).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored index, built from the texts of even ids and appended with the others, answers the queries."""
+    corpus = _corpus(spark, sf)
+    index = textindex.TextIndex.build(corpus.filter("id % 2 = 0"), work_folder(spark)).append(corpus.filter("id % 2 <> 0"))
+    return index.search(_asked(spark, sf), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def fts_and_unstemmed(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.contains_all(_corpus(spark, sf), "and the of that").select(F.col("id").alias("doc_id"))
 
@@ -132,54 +149,62 @@ def substring_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cosine_top10(spark: SparkSession, sf: str) -> DataFrame:
-    hits = retrieval.cosine_top_k(_vectors(spark, sf), _probe(spark, sf), 10)
-    return hits.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    v = _vectors(spark, sf)
+    return retrieval.cosine_top_k(v, _probes_of(v), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def cosine_batch(spark: SparkSession, sf: str) -> DataFrame:
     """One query for each label: its vector of the smallest id."""
-    first = _vectors(spark, sf).groupBy("label").agg(F.min_by("vector", "id").alias("v")).collect()
-    hits = retrieval.cosine_batch_top_k(_vectors(spark, sf), [(r["label"], r["v"]) for r in first], 5)
-    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    v = _vectors(spark, sf)
+    first = v.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min_by("vector", "id").alias("vector"))
+    return retrieval.cosine_top_k(v, first, 5).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def semantic_cache_probe(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _vectors(spark, sf).filter("id <> 0")
-    hits = retrieval.cosine_top_k(rows, _probe(spark, sf), 1)
+    v = _vectors(spark, sf)
+    others = retrieval.cosine_top_k(v, _probes_of(v), 2).filter("id <> query_id")
+    hits = retrieval.top_k(others, ["query_id"], [F.desc("score"), F.asc("id")], 1)
     kind = F.when(F.col("score") >= 0.97, "hit").when(F.col("score") >= 0.92, "fuzzy").otherwise("none")
-    return hits.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), kind.alias("outcome"))
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), kind.alias("outcome"))
 
 
-def lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.lsh_top_k(_vectors(spark, sf), _probe(spark, sf), 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    hits = retrieval.CellIndex.build(v.select("id", "vector")).search(_probes_of(v), 10)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    queries = load(spark, sf, "benchmark").filter("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
-    hits = retrieval.bm25(_corpus(spark, sf), queries).select("id", F.round("score", 9).alias("score"))
-    return retrieval.rank_of(hits.orderBy(F.desc("score"), "id").limit(50))
+    return retrieval.rank_of(retrieval.bm25_top_k(_corpus(spark, sf), _asked(spark, sf), 50), ["query_id"])
 
 
 def _semantic(spark: SparkSession, sf: str) -> DataFrame:
-    hits = retrieval.cosine_top_k(_vectors(spark, sf), _probe(spark, sf), 200).withColumn("score", F.round("score", 9))
-    return retrieval.rank_of(hits.orderBy(F.desc("score"), "id").limit(50))
+    """Nearest vectors of the vector that has the query's id."""
+    v = _vectors(spark, sf)
+    queries = _probes_of(v).join(_asked(spark, sf).select("query_id"), "query_id", "left_semi")
+    return retrieval.rank_of(retrieval.cosine_top_k(v, queries, 50), ["query_id"])
+
+
+BY = ["query_id"]
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    fused = retrieval.reciprocal_rank_fusion([_lexical(spark, sf), _semantic(spark, sf)])
-    return fused.orderBy(F.desc("rrf_score"), "id").limit(20).select("id", F.round("rrf_score", 9).alias("rrf_score"))
+    fused = retrieval.reciprocal_rank_fusion([_lexical(spark, sf), _semantic(spark, sf)], by=BY)
+    return retrieval.best_of(fused, [F.desc("rrf_score"), F.asc("id")], 20, BY).select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Fusion, then reweighting by topic, then the texts of what is left."""
-    fused = retrieval.reciprocal_rank_fusion([_lexical(spark, sf), _semantic(spark, sf)])
-    hits = fused.join(_corpus(spark, sf), "id").withColumn("topic", text.topic(F.col("text")))
+    fused = retrieval.reciprocal_rank_fusion([_lexical(spark, sf), _semantic(spark, sf)], by=BY)
+    topics = _corpus(spark, sf).join(fused.select("id").distinct(), "id", "left_semi").select("id", text.topic(F.col("text")).alias("topic"))
+    hits = fused.join(topics, "id")
     score = ranking.topic_reweight(F.col("rrf_score"), F.col("topic"), F.lit("and_that"))
-    return hits.select("id", "topic", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    hits = hits.select("query_id", "id", "topic", F.round(score, 9).alias("score"))
+    return retrieval.best_of(hits, [F.desc("score"), F.asc("id")], 10, BY)
 
 
 def interleave_branches(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.interleave([_semantic(spark, sf).filter("rank < 10"), _lexical(spark, sf).filter("rank < 10")], 15)
+    return retrieval.interleave([_semantic(spark, sf).filter("rank < 10"), _lexical(spark, sf).filter("rank < 10")], 15, BY)
 
 
 def disclose_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +214,7 @@ def disclose_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranker_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _docs(spark, sf).withColumn("words", text.query_tokens(F.substring("text", 1, 500)))
+    rows = _docs(spark, sf).withColumn("words", text.query_tokens(F.col("text")))
     share = ranking.overlap(text.query_tokens(F.lit(QUERY)), F.col("words"))
     score = F.log1p("n_chars") / 10.0
     features = [score, F.lit(0.0), -F.log1p(F.col("doc_id") / 100.0), share, F.when(F.col("lang") == "en", 1.0).otherwise(0.0), F.lit(0.0), F.lit(1.0)]
@@ -202,13 +227,12 @@ def topic_reweight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_at_k_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    """Each label's first vector as a query; a hit is relevant if it has the query's label."""
+    """A hit is relevant if it has the label of the query's vector."""
     v = _vectors(spark, sf)
-    first = v.groupBy("label").agg(F.min_by(F.struct("id", "vector"), "id").alias("q")).collect()
-    near = retrieval.cosine_batch_top_k(v, [(r["label"], r["q"]["vector"]) for r in first], 11)
-    own = F.broadcast(v.groupBy("label").agg(F.min("id").alias("own")).withColumnRenamed("label", "query_id"))
-    others = near.join(own, "query_id").filter("id <> own").join(v.select("id", "label"), "id")
-    ranked = retrieval.rank_of(others, ["query_id"]).withColumns({"rank": F.col("rank") + 1, "relevant": F.col("label") == F.col("query_id")})
+    near = retrieval.cosine_top_k(v, _probes_of(v), 11).filter("id <> query_id")
+    labels = v.select("id", "label")
+    judged = near.join(labels, "id").join(labels.toDF("query_id", "own"), "query_id")
+    ranked = retrieval.rank_of(judged, BY).withColumns({"rank": F.col("rank") + 1, "relevant": F.col("label") == F.col("own")})
     m = ranking.retrieval_metrics(ranked.filter("rank <= 10"))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
@@ -304,12 +328,12 @@ def lint_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighted_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = history.weighted_hybrid(_lexical(spark, sf), _semantic(spark, sf), 0.5, 20)
-    return mixed.select("id", F.round("score", 6).alias("score"))
+    mixed = history.weighted_hybrid(_lexical(spark, sf), _semantic(spark, sf), 0.5, 20, BY)
+    return mixed.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def mixed_kind_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = history.mixed_search({"doc": _lexical(spark, sf).filter("rank < 10"), "vector": _semantic(spark, sf).filter("rank < 10")}, 12)
+    found = history.mixed_search({"doc": _lexical(spark, sf).filter("rank < 10"), "vector": _semantic(spark, sf).filter("rank < 10")}, 12, BY)
     return found.withColumn("score", F.round("score", 9))
 
 
@@ -338,11 +362,15 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
 FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY query_id, doc_id"""
 _BM25_ALL = _BM25.format(tok=_TOK.format("text"), qtok=_TOK.format("text"), where="")
-_BM25_ONE = _BM25.format(tok=_TOK.format("text"), qtok=_TOK.format("text"), where="WHERE item_id = 0")
-_COS = "SELECT vec_id AS id, label, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS score FROM embeddings"
-_LEX = f"SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT doc_id AS id, round(score, 9) AS score FROM ({_BM25_ONE}) ORDER BY 2 DESC, 1 LIMIT 50)"
-_SEM = f"SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT id, round(score, 9) AS score FROM ({_COS}) ORDER BY 2 DESC, 1 LIMIT 50)"
-_RRF = f"SELECT id, sum(1.0::DOUBLE / (61 + rank)) AS rrf_score FROM (({_LEX}) UNION ALL ({_SEM})) GROUP BY id"
+_BM25_ASKED = _BM25.format(tok=_TOK.format("text"), qtok=_TOK.format("text"), where="WHERE item_id % 20 = 0")
+_COS = """SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS own, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"""
+_PLACE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+_SCORED_LEX = f"SELECT query_id, id, score FROM (SELECT query_id, doc_id AS id, score FROM ({_BM25_ASKED})) QUALIFY {_PLACE} <= 50"
+_SCORED_SEM = f"SELECT query_id, id, score FROM ({_COS}) WHERE query_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0) QUALIFY {_PLACE} <= 50"
+_LEX = f"SELECT query_id, id, {_PLACE} - 1 AS rank FROM ({_SCORED_LEX})"
+_SEM = f"SELECT query_id, id, {_PLACE} - 1 AS rank FROM ({_SCORED_SEM})"
+_RRF = f"SELECT query_id, id, sum(1.0::DOUBLE / (61 + rank)) AS rrf_score FROM (({_LEX}) UNION ALL ({_SEM})) GROUP BY query_id, id"
 _NAMES = "SELECT DISTINCT p_name AS name FROM part"
 _PROBES = f"""SELECT substr(name, 1, 1) || substr(name, 3, 100) AS probe FROM ({_NAMES}) UNION SELECT array_to_string(list_reverse(string_split(name, ' ')), ' ') FROM ({_NAMES}) UNION SELECT name FROM ({_NAMES})"""
 
@@ -367,8 +395,6 @@ QUALIFY layer = min(layer) OVER (PARTITION BY probe)) QUALIFY place <= 3"""
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
 _WANTED = _WORDS.format(f"'{QUERY}'")
 
-_SCORED_LEX = f"SELECT doc_id AS id, round(score, 9) AS score FROM ({_BM25_ONE}) ORDER BY 2 DESC, 1 LIMIT 50"
-_SCORED_SEM = f"SELECT id, round(score, 9) AS score FROM ({_COS}) ORDER BY 2 DESC, 1 LIMIT 50"
 _GROUND = f"""SELECT substr(probe, 1, 1) AS doc, probe AS name, CASE WHEN b.best = 1 AND hit THEN 'ok' WHEN best >= 0.5 THEN 'low' ELSE 'unknown' END AS severity,
 round(CASE WHEN hit THEN 1.0 WHEN best >= 0.5 THEN best ELSE 0.9 END, 6) AS confidence FROM (SELECT probe, max(sim) AS best, bool_or(probe = name) AS hit FROM ({_SIMS}) GROUP BY probe) b"""
 
@@ -417,10 +443,15 @@ SQL = {
     "lint_ground": _GROUND,
     "lint_verdicts": f"""SELECT doc, CASE WHEN unknown > 0 THEN 'block' WHEN low > 0 THEN 'warn' ELSE 'ok' END AS verdict, ok, low, unknown FROM (
 SELECT doc, count(*) FILTER (severity = 'ok') AS ok, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'unknown') AS unknown FROM ({_GROUND}) GROUP BY doc)""",
-    "weighted_hybrid": f"""SELECT id, round(sum(s), 6) AS score FROM (SELECT id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END * 0.5 AS s FROM ({_SCORED_LEX})
-UNION ALL SELECT id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END * 0.5 FROM ({_SCORED_SEM})) GROUP BY id ORDER BY sum(s) DESC, id LIMIT 20""",
-    "mixed_kind_search": f"""SELECT kind, id::VARCHAR AS id, round(1.0::DOUBLE / (61 + rank), 9) AS score FROM (SELECT 'doc' AS kind, id, rank FROM ({_LEX}) UNION ALL SELECT 'vector', id, rank FROM ({_SEM}))
-WHERE rank < 10 ORDER BY score DESC, kind, id LIMIT 12""",
+    "weighted_hybrid": f"""SELECT query_id, id, round(sum(s), 6) AS score FROM (""" + " UNION ALL ".join(
+        f"""SELECT query_id, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END * 0.5 AS s
+FROM ({one}) WINDOW w AS (PARTITION BY query_id)""" for one in (_SCORED_LEX, _SCORED_SEM)
+    ) + ") GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(s) DESC, id) <= 20",
+    "mixed_kind_search": f"""SELECT query_id, kind, id, round(1.0::DOUBLE / (61 + place), 9) AS score FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) - 1 AS place FROM (
+SELECT query_id, kind, id::VARCHAR AS id, score FROM (SELECT 'doc' AS kind, * FROM ({_SCORED_LEX}) UNION ALL SELECT 'vector', * FROM ({_SCORED_SEM}))
+QUALIFY row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id::BIGINT) <= 10))
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (61 + place) DESC, kind, id) <= 12""",
     "trash_gate": "SELECT doc_id, length(t) >= 50 AND length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) / greatest(length(t), 1) >= 0.3 AS keep FROM (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents)",
     "identifier_detect": f"SELECT id, {_ident('text')} AS identifier FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, url FROM pages)",
     "tokenize": f"SELECT doc_id, md5(array_to_string(list_distinct_ordered, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS list_distinct_ordered FROM (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents))",
@@ -435,23 +466,26 @@ FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, ht
     "bm25_top10": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ALL}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
     "fts_and_unstemmed": f"SELECT doc_id FROM documents WHERE list_has_all({_TOK.format('text')}, ['and', 'the', 'of', 'that'])",
     "substring_search": "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{n}') THEN '{n}'" for n in NEEDLES) + " END AS needle FROM documents) WHERE needle IS NOT NULL",
-    "cosine_top10": f"SELECT id AS vec_id, round(score, 6) AS score FROM ({_COS}) ORDER BY score DESC, id LIMIT 10",
-    "cosine_batch": """SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.label AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]) AS score FROM embeddings e,
+    "bm25_every": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED})",
+    "bm25_stored": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
+    "cosine_top10": f"SELECT query_id, id AS vec_id, round(score, 6) AS score FROM ({_COS}) QUALIFY {_PLACE} <= 10",
+    "cosine_batch": """SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.label AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]), 9) AS score FROM embeddings e,
 (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
-    "semantic_cache_probe": f"SELECT id AS vec_id, round(score, 6) AS score, CASE WHEN score >= 0.97 THEN 'hit' WHEN score >= 0.92 THEN 'fuzzy' ELSE 'none' END AS outcome FROM ({_COS}) WHERE id <> 0 ORDER BY score DESC, id LIMIT 1",
-    "rrf_fusion": f"SELECT id, round(rrf_score, 9) AS rrf_score FROM ({_RRF}) ORDER BY rrf_score DESC, id LIMIT 20",
-    "hybrid_search": f"""SELECT id, topic, round(CASE WHEN topic = '' THEN rrf_score WHEN topic = 'and_that' THEN rrf_score * 0.7 ELSE rrf_score * 1.3 END, 9) AS score FROM ({_RRF}) JOIN (
-SELECT doc_id AS id, CASE WHEN len(top) = 2 THEN array_to_string(top, '_') ELSE '' END AS topic FROM ({_top_sql(2, 'doc_id', 'documents')})) USING (id) ORDER BY score DESC, id LIMIT 10""",
-    "interleave_branches": f"""SELECT id, branch, rank FROM (SELECT id, m.b AS branch, m.r AS rank FROM (SELECT id, min(struct_pack(b := branch, r := rank)) AS m FROM (
-SELECT id, 0 AS branch, rank FROM ({_SEM}) WHERE rank < 10 UNION ALL SELECT id, 1, rank FROM ({_LEX}) WHERE rank < 10) GROUP BY id)) ORDER BY branch, rank, id LIMIT 15""",
+    "semantic_cache_probe": f"""SELECT query_id, id AS vec_id, round(score, 6) AS score, CASE WHEN score >= 0.97 THEN 'hit' WHEN score >= 0.92 THEN 'fuzzy' ELSE 'none' END AS outcome
+FROM ({_COS}) WHERE id <> query_id QUALIFY {_PLACE} = 1""",
+    "rrf_fusion": f"SELECT query_id, id, round(rrf_score, 9) AS rrf_score FROM ({_RRF}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) <= 20",
+    "hybrid_search": f"""SELECT query_id, id, topic, round(CASE WHEN topic = '' THEN rrf_score WHEN topic = 'and_that' THEN rrf_score * 0.7 ELSE rrf_score * 1.3 END, 9) AS score FROM ({_RRF}) JOIN (
+SELECT doc_id AS id, CASE WHEN len(top) = 2 THEN array_to_string(top, '_') ELSE '' END AS topic FROM ({_top_sql(2, 'doc_id', 'documents')})) USING (id) QUALIFY {_PLACE} <= 10""",
+    "interleave_branches": f"""SELECT query_id, id, m.b AS branch, m.r AS rank FROM (SELECT query_id, id, min(struct_pack(b := branch, r := rank)) AS m FROM (
+SELECT query_id, id, 0 AS branch, rank FROM ({_SEM}) WHERE rank < 10 UNION ALL SELECT query_id, id, 1, rank FROM ({_LEX}) WHERE rank < 10) GROUP BY query_id, id)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m.b, m.r, id) <= 15""",
     "disclose_budget": """SELECT conv_id, turn, cumulative::BIGINT AS cumulative FROM (SELECT *, sum(length(text)) OVER w AS cumulative, row_number() OVER w AS n FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY length(text) DESC, turn ROWS UNBOUNDED PRECEDING)) WHERE n = 1 OR cumulative <= 600""",
     "ranker_features": f"""SELECT doc_id, round(o, 6) AS overlap, round(1 / (1 + exp(-(-0.5::DOUBLE + ln(1 + n_chars) / 10.0::DOUBLE * 0.4::DOUBLE - ln(1 + doc_id / 100.0::DOUBLE) * 0.2::DOUBLE + o * 0.8::DOUBLE + CASE WHEN lang = 'en' THEN 0.6::DOUBLE ELSE 0 END + 0.3::DOUBLE))), 6) AS score
-FROM (SELECT doc_id, n_chars, lang, len(list_intersect(list_distinct({_WANTED}), list_distinct({_WORDS.format('substr(text, 1, 500)')}))) / greatest(len(list_distinct({_WANTED})), 1)::DOUBLE AS o FROM documents)""",
+FROM (SELECT doc_id, n_chars, lang, len(list_intersect(list_distinct({_WANTED}), list_distinct({_WORDS.format('text')}))) / greatest(len(list_distinct({_WANTED})), 1)::DOUBLE AS o FROM documents)""",
     "topic_reweight": f"""SELECT conv_id, turn, round(length(text) * CASE WHEN topic = '' THEN 1.0 WHEN topic = 'the_and' THEN 0.7 ELSE 1.3 END::DOUBLE, 6) AS score FROM conversations JOIN (
 SELECT conv_id, turn, CASE WHEN len(top) = 2 THEN array_to_string(top, '_') ELSE '' END AS topic FROM ({_top_sql(2, 'conv_id, turn', 'conversations')})) USING (conv_id, turn)""",
-    "recall_at_k_mrr": """WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v, min(vec_id) AS own FROM embeddings GROUP BY label),
-r AS (SELECT query_id, label = query_id AS relevant, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> own),
+    "recall_at_k_mrr": f"""WITH r AS (SELECT query_id, label = own AS relevant, {_PLACE} AS rank FROM ({_COS}) WHERE id <> query_id),
 f AS (SELECT query_id, min(rank) FILTER (relevant) AS r FROM r WHERE rank <= 10 GROUP BY query_id)
 SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM f""",
     "trigram_similarity": f"SELECT s_suppkey, round({_jac('a', 'b')}, 6) AS sim FROM (SELECT s_suppkey, {_grams('s_name')} AS a, {_grams('n_name')} AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
@@ -469,5 +503,5 @@ WHEN regexp_matches({_PATH}, '^/de/+[^/]+/*$') THEN '/de/:page' WHEN regexp_matc
 WHEN regexp_matches(p, '^/?en/[^/]*\\.html(?:/|$)') THEN '!en/*.html' WHEN regexp_matches(p, '(?:^|/)[^/]*\\.html(?:/|$)') THEN '*.html' END AS rule
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS p FROM pages))""",
 }
-ROWS_ONLY = ("spliced_gist", "markdown_chunks", "edit_replay", "fts_and_stemmed", "lsh_topk", "lr_fit", "check_name", "rewriter_winner")
+ROWS_ONLY = ("spliced_gist", "markdown_chunks", "edit_replay", "fts_and_stemmed", "ann_topk", "lr_fit", "check_name", "rewriter_winner")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -1,8 +1,10 @@
-"""Session builder and table loading shared by queries, tests and the bench."""
+"""Session builder, table loading and shared folders for queries, tests and the bench."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +12,23 @@ from pyspark.sql import types as T
 
 
 def build_session(cpus: int | None = None, app: str = "quarry", **extra: str) -> SparkSession:
-    """A local session with the settings that the engine expects: UTC, AQE on, Arrow on."""
-    n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    """A session with the settings that the engine expects: UTC, AQE on, Arrow on.
+
+    Given ``cpus``, it is local with so many threads and shuffle partitions; otherwise master and
+    partitions are left to the cluster's own settings.
+    """
     conf = {
-        "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-    } | extra
-    builder = SparkSession.builder.master(f"local[{n}]").appName(app)
+    }
+    builder = SparkSession.builder.appName(app)
+    if cpus:
+        builder = builder.master(f"local[{cpus}]")
+        conf |= {"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "8g"}
+    conf |= extra
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -34,3 +41,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; only a local session
+    may name none. It goes when the driver ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="quarry-")
+    folder = f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import ranking, resolve, retrieval, tables
+from quarry.operators import ranking, resolve, retrieval, tables, textindex
 from quarry.scope import Scope, resolve_scope
 from quarry.sources import documents, transcripts
 from quarry.streaming import incremental
@@ -254,11 +255,58 @@ def test_scorer_and_fit(spark):
     assert score == pytest.approx(1 / (1 + 2.718281828459045**0.5))
 
 
-def test_nearest_by_buckets_recall(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = v.filter("id = 0").first().vector
-    exact = {r.id for r in retrieval.cosine_top_k(v, q, 10).collect()}
-    near = {r.id for r in retrieval.lsh_top_k(v, q, 10, bucket=2.0, tables=16).collect()}
-    assert len(exact & near) >= 8
-    batch = {r.id for r in retrieval.cosine_batch_top_k(v, [(0, q)], 10).collect()}
-    assert batch == exact
+def vectors_of(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@pytest.mark.parametrize(("preset", "least"), [("balanced", 0.9), ("high-recall", 0.95), ("low-memory", 0.9)])
+def test_recall_of_the_cell_index(spark, preset, least):
+    """As registered: all vectors of sf0.1 in the index, those of ids divisible by 20 as queries."""
+    v = vectors_of(spark, "/root/testdata/sf0.1")
+    queries = v.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact = pairs(retrieval.cosine_top_k(v, queries, 10))
+    found = pairs(retrieval.CellIndex.build(v, preset).search(queries, 10))
+    assert len(exact) == len(found) == 10 * queries.count() and len(exact & found) >= least * len(exact)
+
+
+def test_cell_index_takes_and_loses_rows(spark, sf):
+    v = vectors_of(spark, sf)
+    queries = v.filter("id in (1, 2)").withColumnRenamed("id", "query_id")
+    index = retrieval.CellIndex.build(v.filter("id < 300"), "high-recall")
+    grown = index.append(v.filter("id >= 250")).append(v.filter("id < 9"))
+    assert grown.rows.count() == v.count()
+    first = lambda ix: {(r.query_id, r.id) for r in ix.search(queries, 1).collect()}
+    assert first(grown) == {(1, 1), (2, 2)} and not first(grown.remove(spark.createDataFrame([(1,), (2,)], "id int"))) & {(1, 1), (2, 2)}
+    assert retrieval.CellIndex.build(v.limit(0)).search(queries, 3).count() == 0
+
+
+def test_nearest_vectors_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    r = np.random.default_rng(5)
+    data = [(i, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4)]
+    v = spark.createDataFrame(data, "id long, vector array<double>").repartition(5)
+    queries = v.filter("id % 7 = 0").withColumnRenamed("id", "query_id")
+    got = {(x.query_id, x.id): x.score for x in retrieval.cosine_top_k(v, queries, 5).collect()}
+    unit = lambda a: np.array(a) / max(np.linalg.norm(a), 1e-300)
+    want = {}
+    for q, a in data[:60:7]:
+        best = sorted((-round(float(unit(a) @ unit(b)), 9), i) for i, b in data if b is not None)[:5]
+        want |= {(q, i): -s for s, i in best}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_ranked_search_alike_in_batches_by_joins_and_stored(spark, tmp_path):
+    texts = ["the cat sat", "The cat, the CAT!", None, "", "dogs and cats é1", "cat " * 50, "dog", "the cat sat"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "cat the"), (2, "dog zebra"), (3, "É1"), (4, None), (5, "!")], "query_id long, text string")
+    rows = lambda df: {(r.query_id, r.id): r.score for r in df.collect()}
+    want = rows(retrieval.bm25(corpus, queries))
+    assert rows(retrieval.bm25_top_k(corpus, queries, 20)) == pytest.approx(want)
+    index = textindex.TextIndex.build(corpus.filter("id < 3"), str(tmp_path / "a"), 4).append(corpus.filter("id between 3 and 5")).append(corpus.filter("id > 5"))
+    assert rows(index.search(queries, 20)) == pytest.approx(want)
+    left = corpus.filter("id not in (1, 6)")
+    assert rows(index.delete(spark.createDataFrame([(1,), (6,)], "id int")).search(queries, 20)) == pytest.approx(rows(retrieval.bm25(left, queries)))
+    best = [i for _, i in sorted((-x, i) for (q, i), x in want.items() if q == 1)[:2]]
+    assert [r.id for r in retrieval.bm25_top_k(corpus, queries.filter("query_id = 1"), 2).orderBy(F.desc("score"), "id").collect()] == best
+    assert retrieval.bm25_top_k(corpus.limit(0), queries, 3).count() == 0
