@@ -127,8 +127,8 @@ def anchors(text: Column) -> Column:
 def skip_reason(text: Column, content_type: Column | None = None) -> Column:
     """Why a text should not be condensed, or null."""
     t = F.trim(text)
-    structured = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
-    diff = F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike("^[-+]"))) >= 5
+    structured = (F.length(t) >= 4) & ((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")))
+    diff = F.size(F.filter(F.split(text, "\r?\n"), lambda line: line.rlike("^[-+]( |$)"))) >= 5
     why = F.when(F.coalesce(text, F.lit("")) == "", "empty")
     if content_type is not None:
         why = why.when(content_type.isNotNull() & (content_type != "text"), F.concat(F.lit("content_type="), content_type))
@@ -165,10 +165,16 @@ OPENING = (
     r"Sure[.,]?\s*|Of course[.,]?\s*|Here(?:'s| is) (?:what|the|how|where|why)[^,.]*[,.]?\s*|Looking at[^,.]*[,.]?\s*|"
     r"That('s| is) (a )?(great|good|interesting) (point|question|catch)[.,!]?\s*|You(?:'re| are)? (right|correct)[.,]?\s*|Confirmed[.,]?\s*)"
 )
+# Fixed value: sentences that carry nothing.
+FILLER = (
+    r"(?i)^(let me think (about (this|that))?[.,]?|that('s| is) (a )?(great|good|fair|valid) (point|question|catch)[.,!]?|"
+    r"you('re| are)? (right|correct)[.,]?|interesting[.,]?|hmm[.,]?|got it[.,]?)\s*$"
+)
 
 
 def short_gist(text: Column, most: int = 100) -> Column:
-    """A rule-made line: markdown, URLs and openings gone, phrases shortened, cut with an ellipsis."""
+    """A rule-made line: markdown, URLs, openings and empty sentences gone, phrases shortened, cut with an
+    ellipsis."""
     s = F.coalesce(text, F.lit(""))
     for pattern, to in (
         (r"(?s)```[a-zA-Z]*\n.*?\n```", "[code]"), (r"(?m)^#+\s*", ""), (r"\*\*(.+?)\*\*", "$1"), (r"`([^`]+)`", "$1"),
@@ -177,8 +183,12 @@ def short_gist(text: Column, most: int = 100) -> Column:
         s = F.regexp_replace(s, pattern, to)
     for _ in range(5):
         s = F.regexp_replace(F.ltrim(s), OPENING, "")
-    # enough sentences to fill the line; what follows is cut anyway
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    # sentences until the line is full, without those that carry nothing; the fifth is all the rest
+    told = F.filter(F.split(s, r"(?<=[.!?])\s+", 5), lambda x: ~F.trim(x).rlike(FILLER))
+    none = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))
+    more = lambda acc, x: F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (acc["n"] + F.length(x)).alias("n"))
+    picked = F.aggregate(told, none, lambda acc, x: F.when(acc["n"] >= most, acc).otherwise(more(acc, x)), lambda acc: F.array_join(acc["kept"], " "))
+    s = F.trim(F.regexp_replace(picked, r"\s+", " "))
     return once(s, lambda t: F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t))
 
 

@@ -7,6 +7,7 @@ matches of its first layer that has any, which is what early exit does for one p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,9 +45,60 @@ def fuzzy(probes: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFr
     return trigram_join(probes, names, threshold).select("probe", "name", F.col("sim").alias("score"))
 
 
+def unmatched(probes: DataFrame, *layers: DataFrame) -> DataFrame:
+    """The probes that none of the layers answers; later layers need no others."""
+    done = reduce(DataFrame.union, [x.select("probe") for x in layers]).distinct()
+    return probes.join(done, "probe", "left_anti")
+
+
 def resolve_names(probes: DataFrame, names: DataFrame, threshold: float = 0.5, limit: int = 5) -> DataFrame:
-    """Exact, then fuzzy: flags, variables, models, classes, keys, exports."""
-    return cascade([exact(probes, names), fuzzy(probes, names, threshold)], limit)
+    """Exact, then by alias where names have ``aliases``, then fuzzy: flags, variables, models, classes,
+    keys, registered names."""
+    layers = [exact(probes, names)]
+    if "aliases" in names.columns:
+        layers.append(by_alias(probes, names))
+    return cascade([*layers, fuzzy(unmatched(probes, *layers), names, threshold)], limit)
+
+
+def resolve_exports(probes: DataFrame, exports: DataFrame, threshold: float = 0.5, limit: int = 5) -> DataFrame:
+    """(probe, package, name, score, layer, place): exact, then fuzzy, among the exports of the package.
+
+    ``probes`` (probe, package), ``exports`` (package, name).
+    """
+    same = probes.join(exports.withColumnRenamed("package", "_p"), (F.col("package") == F.col("_p")) & (F.col("probe") == F.col("name")))
+    hit = same.select("probe", "package", "name", F.lit(1.0).alias("score"))
+    open_ = probes.join(hit.select("probe", "package"), ["probe", "package"], "left_anti")
+    near = trigram_join(open_, exports, threshold).join(open_, "probe").join(exports.distinct(), ["package", "name"])
+    both = [df.select(F.struct("probe", "package").alias("key"), "name", "score") for df in (hit, near.withColumnRenamed("sim", "score"))]
+    return cascade(both, limit, "key").select("key.probe", "key.package", "name", "score", "layer", "place")
+
+
+# Places that declare a variable, rather than use it.
+CANONICAL = ("env-example", "zod-schema", "envalid", "docker-compose", "github-actions")
+
+
+def resolve_env(probes: DataFrame, declared: DataFrame, threshold: float = 0.5, limit: int = 5, exclude: Sequence[str] = ()) -> DataFrame:
+    """(probe, name, source, score, layer, place): exact, then fuzzy; between equals, declarations first.
+
+    ``declared`` (name, source); sources in ``exclude`` do not count.
+    """
+    known = declared.filter(~F.col("source").isin(*exclude)) if exclude else declared
+    known = known.select("name", "source").distinct()
+    same = exact(probes, known).join(known, "name").withColumn("layer", F.lit(0))
+    near = fuzzy(unmatched(probes, same), known, threshold).join(known, "name").withColumn("layer", F.lit(1))
+    order = [F.desc("score"), F.desc(F.col("source").isin(*CANONICAL)), F.asc("name"), F.asc("source")]
+    every = same.unionByName(near).withColumn("place", F.row_number().over(Window.partitionBy("probe").orderBy(*order)))
+    return every.filter(F.col("place") <= limit).select("probe", "name", "source", "score", "layer", "place")
+
+
+def check_new_pages(probes: DataFrame, pages: DataFrame, threshold: float = THRESHOLD, limit: int = 5) -> DataFrame:
+    """(probe, name, kind, score, layer, place): whether a page's route is taken: exact (pages before other
+    kinds), then by pattern, then fuzzy. ``pages`` (name, kind)."""
+    kinds = pages.select("name", "kind").distinct()
+    found = resolve_routes(probes.select("probe", F.lit("*").alias("method")).distinct(), pages.select(F.lit("*").alias("method"), "name").distinct(), threshold, FETCH)
+    order = [F.desc("score"), F.desc(F.col("kind") == "page"), F.asc("name"), F.asc("kind")]
+    joined = found.drop("place").join(kinds, "name").withColumn("place", F.row_number().over(Window.partitionBy("probe").orderBy(*order)))
+    return joined.filter(F.col("place") <= limit).select("probe", "name", "kind", "score", "layer", "place")
 
 
 def resolve_fields(probes: DataFrame, fields: DataFrame, threshold: float = 0.5, limit: int = 5) -> DataFrame:
@@ -54,23 +106,26 @@ def resolve_fields(probes: DataFrame, fields: DataFrame, threshold: float = 0.5,
 
     ``probes`` (probe, model), ``fields`` (model, name); the result's names are ``model.field``.
     """
-    full = F.concat_ws(".", "model", "name").alias("name")
-    own = probes.join(fields, (F.col("probe") == F.col("name")) & (probes["model"] == fields["model"]))
-    any_ = probes.join(fields, F.col("probe") == F.col("name"))
-    pick = lambda df, score: df.select("probe", F.concat_ws(".", fields["model"], "name").alias("name"), score.alias("score"))
-    near = trigram_join(probes, fields, threshold)
-    close = near.join(fields.select(full.alias("full"), F.col("model").alias("m"), "name"), "name")
+    f = fields.select(F.col("model").alias("owner"), "name")
+    full = F.concat_ws(".", "owner", "name")
+    pick = lambda df, score: df.select("probe", full.alias("name"), score.alias("score"))
+    own = probes.join(f, (F.col("probe") == F.col("name")) & (F.col("model") == F.col("owner")))
+    any_ = probes.join(f, F.col("probe") == F.col("name"))
+    first = [pick(own, F.lit(1.0)), pick(any_, F.lit(1.0))]
+    near = trigram_join(unmatched(probes, *first), f, threshold)
+    close = near.join(f.select(full.alias("full"), F.col("owner").alias("m"), "name"), "name")
     here = close.join(probes.select("probe", F.col("model").alias("m")).distinct(), ["probe", "m"])
     rows = lambda df: df.select("probe", F.col("full").alias("name"), F.col("sim").alias("score"))
-    return cascade([pick(own, F.lit(1.0)), pick(any_, F.lit(1.0)), rows(here), rows(close)], limit)
+    return cascade([*first, rows(here), rows(close)], limit)
 
 
 def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3, limit: int = 5) -> DataFrame:
     """Exact, then by pattern (longest first), then fuzzy. ``probes`` (probe, method), ``routes`` (method,
     name); a method ``*`` fits all.
 
-    Patterns meet paths of their number of segments only, so the join has a key; patterns with a final
-    ``*`` meet by first segment or, if that is a parameter, all paths.
+    Patterns meet paths of their number of segments, patterns with a final ``*`` paths of their first
+    segment; so joins have keys. Only open patterns that begin with a parameter meet all paths: they are
+    few and short, and broadcast where Spark finds them small.
     """
     fits = (F.col("method") == F.col("rmethod")) | (F.col("rmethod") == "*")
     r = routes.select(F.col("method").alias("rmethod"), "name")
@@ -79,9 +134,14 @@ def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3,
     shaped = r.select("*", route_regex(F.col("name")).alias("rx"), depth(F.col("name")).alias("rdepth"), F.col("name").endswith("*").alias("open"))
     p = probes.select("*", depth(F.col("probe")).alias("depth"))
     fixed = p.join(shaped.filter("not open"), (F.col("depth") == F.col("rdepth")) & fits & F.rlike("probe", F.col("rx")))
-    open_ = p.join(shaped.filter("open"), (F.col("depth") >= F.col("rdepth") - 1) & fits & F.rlike("probe", F.col("rx")))
-    pattern = fixed.unionByName(open_).select("probe", "name", F.length("name").cast("double").alias("score")).distinct()
-    return cascade([same, pattern, fuzzy(probes, routes, threshold)], limit)
+    head = lambda c: F.get(F.filter(F.split(c, "/"), lambda p: p != ""), F.lit(0))
+    open_ = shaped.filter("open").withColumn("head", head(F.col("name")))
+    any_head = F.coalesce(F.col("head"), F.lit("*")).rlike("^[:*]")
+    matches = (F.col("depth") >= F.col("rdepth") - 1) & fits & F.rlike("probe", F.col("rx"))
+    led = p.join(open_.filter(~any_head), (head(F.col("probe")) == F.col("head")) & matches)
+    free = p.join(open_.filter(any_head), matches)
+    pattern = fixed.unionByName(led.drop("head")).unionByName(free.drop("head")).select("probe", "name", F.length("name").cast("double").alias("score")).distinct()
+    return cascade([same, pattern, fuzzy(unmatched(probes, same, pattern), routes, threshold)], limit)
 
 
 def resolve_symbols(probes: DataFrame, names: DataFrame, threshold: float = THRESHOLD, salvage: float = SALVAGE, limit: int = 5) -> DataFrame:

@@ -428,8 +428,12 @@ def _gist_sql() -> str:
         s = f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
     for _ in range(5):
         s = "regexp_replace(ltrim({0}), '{1}', '')".format(s, text.OPENING.replace("'", "''"))
-    s = f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
-    return f"SELECT doc_id, CASE WHEN length(s) > 100 THEN rtrim(substr(s, 1, 99)) || '…' ELSE s END AS gist FROM (SELECT doc_id, {s} AS s FROM documents)"
+    # what stands between the first five sentences is marked; the fifth is all the rest
+    filler = text.FILLER.replace("'", "''")
+    told = f"SELECT doc_id, list_filter(p[1:4] || CASE WHEN len(p) > 4 THEN [array_to_string(p[5:], ' ')] ELSE [] END, lambda x: NOT regexp_matches(trim(x), '{filler}')) AS told FROM (SELECT doc_id, string_split(regexp_replace({s}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents)"
+    picked = "list_filter(told, lambda x, i: coalesce(list_sum(list_transform(told[1:i-1], lambda y: length(y))), 0) < 100)"
+    s = f"trim(regexp_replace(array_to_string({picked}, ' '), '\\s+', ' ', 'g'))"
+    return f"SELECT doc_id, CASE WHEN length(s) > 100 THEN rtrim(substr(s, 1, 99)) || '…' ELSE s END AS gist FROM (SELECT doc_id, {s} AS s FROM ({told}))"
 
 
 _SNIPPETS = f"""SELECT conv_id, turn, substr(text, 1 - best.at, 500) AS snippet FROM (SELECT conv_id, turn, text, list_max(list_transform(range(0, greatest(length(text) - 1, 0) + 1, 250),
@@ -458,8 +462,8 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (61 + pl
     "topic_top2": f"SELECT conv_id, turn, CASE WHEN len(top) = 2 THEN array_to_string(top, '_') ELSE '' END AS topic FROM ({_top_sql(2, 'conv_id, turn', 'conversations')})",
     "keywords_top8": f"SELECT doc_id, array_to_string(top, ' ') AS keywords FROM ({_top_sql(8, 'doc_id', 'documents')})",
     "skip_gate": """SELECT id, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN contains(text, '```') THEN 'contains-code-block' WHEN regexp_matches(text, '(?m)^Traceback \\(most recent call last\\):') THEN 'contains-traceback'
-WHEN (starts_with(trim(text), '{') AND ends_with(trim(text), '}')) OR (starts_with(trim(text), '[') AND ends_with(trim(text), ']')) THEN 'structured-json'
-WHEN len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^[-+]'))) >= 5 THEN 'contains-diff' END AS reason
+WHEN length(trim(text)) >= 4 AND ((starts_with(trim(text), '{') AND ends_with(trim(text), '}')) OR (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))) THEN 'structured-json'
+WHEN len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(rtrim(l, chr(13)), '^[-+]( |$)'))) >= 5 THEN 'contains-diff' END AS reason
 FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)""",
     "needle_snippets": "SELECT doc_id, substr(text, greatest(p - 100, 1), p - greatest(p - 100, 1) + 9 + 200) AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'worthless')::BIGINT AS p FROM documents) WHERE p > 0",
     "html_classes": "SELECT name, count(DISTINCT page_id) AS pages, count(*) AS uses FROM (SELECT page_id, unnest(regexp_split_to_array(array_to_string(regexp_extract_all(html, 'class=\"([^\"]+)\"', 1), ' '), '\\s+')) AS name FROM pages) WHERE name <> '' GROUP BY name",

@@ -55,8 +55,8 @@ def test_topic_and_words(spark):
 
 def test_gate_and_skip_reasons(spark):
     assert one(spark, ["x" * 50, "x" * 49, "!" * 60, None], text.worth_indexing) == [True, False, False, False]
-    cases = ["", "a ```b```", "x\nTraceback (most recent call last):\n", '{"a": 1}', "-a\n+b\n-c\n+d\n-e", "fine"]
-    assert one(spark, cases, text.skip_reason) == ["empty", "contains-code-block", "contains-traceback", "structured-json", "contains-diff", None]
+    cases = ["", "a ```b```", "x\nTraceback (most recent call last):\n", '{"a": 1}', "- a\n+\r\n-\n+ d\n- e", "fine", "-a\n+b\n-c\n+d\n-e", "---\n+++\n--\n++\n-1", " {} ", "[] ", "[1]", "[12]"]
+    assert one(spark, cases, text.skip_reason) == ["empty", "contains-code-block", "contains-traceback", "structured-json", "contains-diff", None, None, None, None, None, None, "structured-json"]
     typed = one(spark, ["hello"], lambda c: text.skip_reason(c, F.lit("tool_use")))
     assert typed == ["content_type=tool_use"]
 
@@ -133,3 +133,11 @@ def test_stemmed_search(spark):
     corpus = spark.createDataFrame([(1, "He connects the wires"), (2, "connected wire"), (3, "nothing")], "id long, text string")
     assert sorted(r.id for r in stemming.contains_all_stems(corpus, "the connecting wire").collect()) == [1, 2]
     assert stemming.contains_all_stems(corpus, "the of").count() == 0
+
+
+def test_gist_leaves_out_sentences_that_say_nothing(spark):
+    cases = ["got it. X works.", "Hmm. Interesting. The build fails. You're right.", "So, let me think about this. Done.", "a. b. c. d. e. got it. f.", "x" * 99 + ". y.", "x" * 98 + ". y."]
+    want = ["X works.", "The build fails.", "think about this. Done.", "a. b. c. d. e. got it. f.", "x" * 99 + ".", "x" * 98 + "…"]
+    assert one(spark, cases, text.short_gist)[0:2] == want[0:2]
+    got = one(spark, cases, text.short_gist)
+    assert got[3:5] == want[3:5] and got[5].endswith("…") and len(got[5]) == 100

@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import relational, search
+from quarry.plans import relational, search, upkeep
 
-QUERIES = relational.QUERIES | search.QUERIES
-SQL = relational.SQL | search.SQL
+QUERIES = relational.QUERIES | search.QUERIES | upkeep.QUERIES
+SQL = relational.SQL | search.SQL | upkeep.SQL
 
 
 @pytest.fixture(scope="module")
