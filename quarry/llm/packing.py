@@ -35,9 +35,9 @@ from quarry.llm.common import Scratch, map_rows
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a task remembers, and words that are encoded at once.
-CACHE = 200_000
-LEARN = 8192
+#: Bytes of words and ids that a worker remembers, from task to task, and words that are encoded at once.
+CACHE_BYTES = 32 << 20
+LEARN = 1 << 15
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are stored as little-endian 32-bit numbers"
 #: Rows of the (task, length) offsets that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -80,7 +80,7 @@ def _tokenizers(path: str) -> tuple:
 
 
 class Words:
-    """Token ids of white-space separated words, remembered as long as this object lives.
+    """Token ids of white-space separated words; those seen are remembered as two Arrow columns.
 
     The tokenizer breaks at white space, so a word's ids do not depend on its neighbours. Unseen words
     are encoded many at a time with a mark between them, a control character that is a token of its own,
@@ -92,59 +92,62 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
+        self.names = pa.array([""], pa.large_string())
+        self.ids = pa.array([b""], pa.large_binary())
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words, some thousands at a time: encodings take much more room than ids."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words, some thousands at a time: encodings take much more room than ids."""
+        made: dict[str, bytes] = {}
         for at in range(0, len(words), LEARN):
-            self._learn(words[at : at + LEARN])
+            self._learn(words[at : at + LEARN], made)
+        return [made[w] for w in words]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], made: dict[str, bytes]) -> None:
         every = "".join(words)
         if MARK in every:
-            self._single([w for w in words if MARK in w])
+            self._single([w for w in words if MARK in w], made)
             words = [w for w in words if MARK not in w]
         if _plain(every):
-            self._marked(self.lean, words)
+            self._marked(self.lean, words, made)
         else:
-            self._marked(self.lean, [w for w in words if _plain(w)])
-            self._marked(self.full, [w for w in words if not _plain(w)])
+            self._marked(self.lean, [w for w in words if _plain(w)], made)
+            self._marked(self.full, [w for w in words if not _plain(w)], made)
 
-    def _single(self, words: list[str]) -> None:
+    def _single(self, words: list[str], made: dict[str, bytes]) -> None:
         for word, e in zip(words, self.full.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", e.ids).tobytes()
+            made[word] = array("I", e.ids).tobytes()
 
-    def _marked(self, tokenizer: object, words: list[str]) -> None:
+    def _marked(self, tokenizer: object, words: list[str], made: dict[str, bytes]) -> None:
         groups = [words[i : i + 512] for i in range(0, len(words), 512)]
         joint = f" {MARK} "
         for group, e in zip(groups, tokenizer.encode_batch_fast([joint.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             cuts = (np.flatnonzero(ids == self.mark) * 4).tolist()
             if len(cuts) != len(group) - 1:  # cannot be, as no word has the mark
-                self._single(group)
+                self._single(group, made)
                 continue
             whole = ids.tobytes()
             ends = [*cuts, len(whole)]
-            self.known.update(zip(group, [whole[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], ends, strict=True)], strict=True))
+            made.update(zip(group, [whole[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], ends, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers.
 
-        Arrow cuts texts into words, numbers the distinct ones and lays out the ids of all occurrences in
-        one buffer; Python handles distinct words only.
+        Arrow cuts texts into words, looks the distinct ones up and lays out the ids of all occurrences in
+        one buffer; Python handles words that are new only.
         """
         odd = [bool(t) and not _splits_alike(t) for t in texts]
         split = pc.utf8_split_whitespace(pa.array([_lowered(t) if t and not o else "" for t, o in zip(texts, odd, strict=True)], pa.large_string()))
         words = pc.list_flatten(split).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.known) > CACHE:
+        at = pc.index_in(words.dictionary, value_set=self.names)
+        new = words.dictionary.filter(pc.is_null(at))
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, pa.array(self.learn(new.to_pylist()), pa.large_binary())])
+        laid = ids.take(pa.array(place[words.indices.to_numpy(zero_copy_only=False)]))
+        self.names, self.ids = pa.concat_arrays([self.names, new]), ids
+        if self.names.nbytes + self.ids.nbytes > CACHE_BYTES:
             self.forget()
-        ids = list(map(self.known.get, names))
-        new = [k for k, i in enumerate(ids) if i is None]
-        self.learn([names[k] for k in new])
-        for k in new:
-            ids[k] = self.known[names[k]]
-        laid = pa.array(ids, pa.large_binary()).take(words.indices)
         ends = np.append(0, np.cumsum(pc.binary_length(laid).to_numpy())) if len(laid) else np.zeros(1, dtype=np.int64)
         at = ends[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))].tolist()
         buffer = memoryview(laid.buffers()[2] or b"")
@@ -152,6 +155,12 @@ class Words:
             yield array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes() if o else bytes(buffer[at[k] : at[k + 1]])
 
 
+@lru_cache(maxsize=1)
+def _worker_words(path: str) -> Words:
+    """The words that this worker knows, from task to task."""
+    return Words(path)
+
+
 def _plain(text: str) -> bool:
     """Whether normalization would change nothing: Latin letters to U+024F in lower case, and no
     special token."""
@@ -171,7 +180,7 @@ def _splits_alike(text: str) -> bool:
 def _tokenise(path: str, capacity: int) -> Callable:
     def make() -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(path)
+        words = _worker_words(path)
         ranks: dict[int, int] = defaultdict(int)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
@@ -198,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     that both stay what they are.
     """
     schema = "part int, doc_id bigint, piece int, start bigint, length bigint, rank bigint, ids binary"
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity), slice_rows=1024)
+    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], schema, _tokenise(tokenizer_path, capacity), slice_rows=1024, slice_bytes=4 << 20)
 
 
 def pack(
