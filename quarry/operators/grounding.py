@@ -138,7 +138,7 @@ def _fields(domain: str, no_model: float) -> Callable[[DataFrame, DataFrame], Da
         severity = F.when(~F.col("known"), "unknown").when(F.col("ok"), "ok").when(near, "low").otherwise("unknown")
         confidence = F.when(~F.col("known"), no_model).when(F.col("ok"), SAME).when(near & (F.col("b.layer") < 2), OTHER_MODEL).when(near, F.col("b.score")).otherwise(NO_FIELD)
         named = best.withColumn("name", F.concat_ws(".", "model", "name"))
-        return _if_any(_issues(named, domain, severity, F.col("b.full"), confidence), index)
+        return _if_any(_issues(named, domain, severity, F.when(F.col("known"), F.col("b.full")), confidence), index)
 
     return ground
 
