@@ -6,8 +6,19 @@
 4. benchmark decontamination: documents that contain a benchmark item go
 5. best-fit packing: what is left becomes token sequences
 
-A document whose lines all go keeps its row with an empty text; such rows are one near-duplicate
-group, so one of them stays. All other defined results are those of the operators.
+Defined results:
+
+* A document whose lines all go keeps its row with an empty text; null, empty and such texts are one
+  near-duplicate group, so one of them stays.
+* Rows with a null id are documents like others, but neither count nor lose repeated lines, and benchmark
+  decontamination keeps or drops all of them together.
+* Repeated rows of a document are one document to line dedup; near-dedup leaves one of them.
+* Columns beyond those of ``documents`` pass through unchanged, whatever their names; ``n_chars`` follows
+  the text. The last stage returns pieces.
+* An empty table gives an empty result, and labels or items that are missing reject nothing.
+
+What a stage writes for its own use goes when it has ended, what lies between stages when the next one
+has, and both also when one fails.
 """
 
 from __future__ import annotations
@@ -57,9 +68,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before: Scratch | None = None
     for _, stage in STAGES:
         own, kept = Scratch(spark), Scratch(spark)
-        out = kept.keep(stage(spark, out, sf_dir, own))
-        own.drop()
-        if before:
-            before.drop()
+        try:
+            out = kept.keep(stage(spark, out, sf_dir, own))
+        except BaseException:
+            kept.drop()
+            raise
+        finally:
+            own.drop()
+            if before:
+                before.drop()
         before = kept
     return out
