@@ -55,7 +55,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "sequences", "least_sequences")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
