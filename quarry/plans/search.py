@@ -439,7 +439,39 @@ def _gist_sql() -> str:
 _SNIPPETS = f"""SELECT conv_id, turn, substr(text, 1 - best.at, 500) AS snippet FROM (SELECT conv_id, turn, text, list_max(list_transform(range(0, greatest(length(text) - 1, 0) + 1, 250),
 lambda p: struct_pack(n := len(list_filter(list_distinct({_WANTED}), lambda w: contains(substr(lower(text), p + 1, 500), w))), at := -p))) AS best FROM conversations)"""
 
+def _spliced_sql() -> str:
+    found = f"SELECT doc_id, text, list_filter(list_transform({_all_matches('text', list(text.ANCHORS))}, lambda t: trim(t, '`')), lambda t: t <> '' AND length(t) <= 200) AS f FROM documents"
+    spliced = f"SELECT doc_id, text, list_slice({_first_seen('f')}, 1, 32) AS a FROM ({found})"
+    return f"""SELECT doc_id, CASE WHEN {_SKIP} IS NULL THEN md5(CASE WHEN len(a) > 0 THEN '[anchors: ' || array_to_string(a, ', ') || '] ' || text ELSE text END) END AS gist_md5 FROM ({spliced})"""
+
+
+_SKIP = """CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN contains(text, '```') THEN 'contains-code-block' WHEN regexp_matches(text, '(?m)^Traceback \\(most recent call last\\):') THEN 'contains-traceback'
+WHEN length(trim(text)) >= 4 AND ((starts_with(trim(text), '{') AND ends_with(trim(text), '}')) OR (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))) THEN 'structured-json'
+WHEN len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(rtrim(l, chr(13)), '^[-+]( |$)'))) >= 5 THEN 'contains-diff' END"""
+
+_REPLAY = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type = 'signup' AS write,
+CASE WHEN event_type = 'view' THEN 'click' ELSE 'view' END AS old, event_type || ' ' AS new, event_type = 'purchase' AS every FROM events),
+r AS (SELECT DISTINCT path, 0::BIGINT AS n, '' AS text, 0 AS applied, 0 AS failed FROM e UNION ALL
+SELECT r.path, e.n, CASE WHEN write THEN new WHEN NOT contains(text, old) THEN text WHEN every THEN replace(text, old, new) ELSE substr(text, 1, strpos(text, old) - 1) || new || substr(text, strpos(text, old) + length(old)) END,
+applied + CASE WHEN write OR contains(text, old) THEN 1 ELSE 0 END, failed + CASE WHEN write OR contains(text, old) THEN 0 ELSE 1 END FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)
+SELECT path, arg_max(text, n) AS text, arg_max(applied, n) AS applied, arg_max(failed, n) AS failed FROM r GROUP BY path"""
+
+_ASKED_NAMES = f"{_PROBES} UNION SELECT lower(n_name || 's') FROM nation"
+
+
+def _best_sql(domain: str, number: int, names: str) -> str:
+    sims = f"SELECT probe, name, {_jac('tp', 'tn')} AS sim FROM (SELECT probe, {_grams('probe')} AS tp FROM ({_ASKED_NAMES})), (SELECT name, {_grams('name')} AS tn FROM ({names}))"
+    return f"""SELECT probe, {number} AS n, '{domain}' AS domain, name, CASE WHEN probe = name THEN 1.0 ELSE sim END AS score, CASE WHEN probe = name THEN 0 ELSE 1 END AS layer FROM ({sims})
+WHERE probe = name OR sim >= 0.5 QUALIFY row_number() OVER (PARTITION BY probe ORDER BY layer, score DESC, name) = 1"""
+
+
+_CHECKED = f"""WITH b AS (SELECT * FROM (({_best_sql('part', 0, _NAMES)}) UNION ALL ({_best_sql('nation', 1, 'SELECT n_name AS name FROM nation')})) QUALIFY row_number() OVER (PARTITION BY probe ORDER BY n) = 1)
+SELECT probe, domain, name, round(score, 6) AS score, CASE WHEN name IS NULL THEN 'UNKNOWN' WHEN layer = 0 THEN 'OK' WHEN score >= 0.75 THEN 'TYPO' ELSE 'UNCERTAIN' END AS status FROM ({_ASKED_NAMES}) LEFT JOIN b USING (probe)"""
+
 SQL = {
+    "spliced_gist": _spliced_sql(),
+    "edit_replay": _REPLAY,
+    "check_name": _CHECKED,
     "anchors": _anchors_sql(),
     "identifier_list": _identifiers_sql(),
     "rule_gist": _gist_sql(),
@@ -461,10 +493,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (61 + pl
     "tokenize": f"SELECT doc_id, md5(array_to_string(list_distinct_ordered, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS list_distinct_ordered FROM (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents))",
     "topic_top2": f"SELECT conv_id, turn, CASE WHEN len(top) = 2 THEN array_to_string(top, '_') ELSE '' END AS topic FROM ({_top_sql(2, 'conv_id, turn', 'conversations')})",
     "keywords_top8": f"SELECT doc_id, array_to_string(top, ' ') AS keywords FROM ({_top_sql(8, 'doc_id', 'documents')})",
-    "skip_gate": """SELECT id, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN contains(text, '```') THEN 'contains-code-block' WHEN regexp_matches(text, '(?m)^Traceback \\(most recent call last\\):') THEN 'contains-traceback'
-WHEN length(trim(text)) >= 4 AND ((starts_with(trim(text), '{') AND ends_with(trim(text), '}')) OR (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))) THEN 'structured-json'
-WHEN len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(rtrim(l, chr(13)), '^[-+]( |$)'))) >= 5 THEN 'contains-diff' END AS reason
-FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)""",
+    "skip_gate": f"SELECT id, {_SKIP} AS reason FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)",
     "needle_snippets": "SELECT doc_id, substr(text, greatest(p - 100, 1), p - greatest(p - 100, 1) + 9 + 200) AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'worthless')::BIGINT AS p FROM documents) WHERE p > 0",
     "html_classes": "SELECT name, count(DISTINCT page_id) AS pages, count(*) AS uses FROM (SELECT page_id, unnest(regexp_split_to_array(array_to_string(regexp_extract_all(html, 'class=\"([^\"]+)\"', 1), ' '), '\\s+')) AS name FROM pages) WHERE name <> '' GROUP BY name",
     "bm25_top10": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ALL}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
@@ -507,5 +536,5 @@ WHEN regexp_matches({_PATH}, '^/de/+[^/]+/*$') THEN '/de/:page' WHEN regexp_matc
 WHEN regexp_matches(p, '^/?en/[^/]*\\.html(?:/|$)') THEN '!en/*.html' WHEN regexp_matches(p, '(?:^|/)[^/]*\\.html(?:/|$)') THEN '*.html' END AS rule
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS p FROM pages))""",
 }
-ROWS_ONLY = ("spliced_gist", "markdown_chunks", "edit_replay", "fts_and_stemmed", "ann_topk", "lr_fit", "check_name", "rewriter_winner")
+ROWS_ONLY = ("markdown_chunks", "fts_and_stemmed", "ann_topk", "lr_fit", "rewriter_winner")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -100,6 +100,30 @@ def replay_edits(edits: DataFrame) -> DataFrame:
     return ordered.select("path", F.aggregate("e", start, step).alias("r")).select("path", "r.*")
 
 
+def base_texts(edits: DataFrame, snapshots: DataFrame, repository: DataFrame) -> DataFrame:
+    """(path, source, text, since) from which the edits of a path are to be replayed.
+
+    Paths that are only written start from nothing. Others start from their newest snapshot (path, ts, text),
+    after which edits count, or from the repository's text (path, text): ``db-and-git`` if the first edit
+    fits it, ``git`` if not; or else from nothing.
+    """
+    ops = edits.groupBy("path").agg(F.max(F.col("op") == "edit").alias("edited"), F.min_by("old", F.when(F.col("op") == "edit", F.col("seq"))).alias("first"))
+    snap = snapshots.groupBy("path").agg(F.max("ts").alias("since"), F.max_by("text", "ts").alias("snap"))
+    joined = ops.join(snap, "path", "left").join(repository.select("path", F.col("text").alias("kept")), "path", "left")
+    fits = (F.col("first") != "") & F.contains("kept", "first")
+    source = F.when(~F.col("edited"), "write-only").when(F.col("snap").isNotNull(), "file-history").when(fits, "db-and-git").when(F.col("kept").isNotNull(), "git").otherwise("write-only")
+    text = F.when(source == "file-history", F.col("snap")).when(source.isin("db-and-git", "git"), F.col("kept")).otherwise("")
+    return joined.select("path", source.alias("source"), text.alias("text"), F.when(source == "file-history", F.col("since")).alias("since"))
+
+
+def replay_from(edits: DataFrame, bases: DataFrame) -> DataFrame:
+    """``replay_edits`` from the texts of ``base_texts``; edits up to a snapshot do not count."""
+    b = bases.select("path", "text", "since")
+    later = edits.join(b.select("path", "since"), "path", "left").filter(F.col("since").isNull() | (F.col("ts") > F.col("since"))).drop("since", "ts")
+    first = b.select("path", F.lit(-1).cast(edits.schema["seq"].dataType).alias("seq"), F.lit("write").alias("op"), F.lit("").alias("old"), F.col("text").alias("new"), F.lit(False).alias("replace_all"))
+    return replay_edits(later.unionByName(first)).withColumn("applied", F.col("applied") - 1)
+
+
 def changelog_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, version, section, bullets): bullets of each section of a changelog."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))

@@ -19,11 +19,20 @@ BLOCK = (
 WRITERS = ("Write", "Edit", "MultiEdit")
 
 
+ORPHAN = "_orphan"
+
+
+def slug_of(folder: Column) -> Column:
+    """The project from an encoded folder, in which ``-`` stands for ``/``: what follows the first
+    ``-projects-``, or the hidden folder of a home, or what follows the home, or all but leading hyphens."""
+    after = lambda p: F.nullif(F.regexp_extract(folder, p, 1), F.lit(""))
+    whole = F.when(F.coalesce(folder, F.lit("")) == "", ORPHAN).when(F.contains(folder, F.lit("-projects-")), F.coalesce(after(r"^.*?-projects-(.+)$"), folder))
+    return whole.otherwise(F.coalesce(after(r"^-home-[^-]+--(.+)$"), after(r"^-home-[^-]+-(.+)$"), F.ltrim(folder, F.lit("-"))))
+
+
 def project_of(path: Column) -> Column:
-    """The project from the name of a transcript's folder: the part after the last home or work folder."""
-    folder = F.element_at(F.split(path, "/"), -2)
-    marked = F.regexp_extract(folder, r"^-(?:home|Users|root|mnt|opt|srv|var|work)-(?:[^-]+-)?(.+)$", 1)
-    return F.coalesce(F.nullif(marked, F.lit("")), F.nullif(F.ltrim(folder, F.lit("-")), F.lit("")), F.lit("unknown"))
+    """The project from the folder of a transcript."""
+    return slug_of(F.try_element_at(F.split(path, "/"), F.lit(-2)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +105,27 @@ def file_touches(calls: DataFrame) -> DataFrame:
     return rows.filter("file_path is not null")
 
 
+def edit_operations(calls: DataFrame, target: str | None = None) -> DataFrame:
+    """(path, seq, op, old, new, replace_all, ts) of the writes and edits of files, in order of time.
+
+    The edits of one call of several keep their order. ``target`` limits them to paths that end with it or
+    contain it. What ``documents.replay_edits`` takes.
+    """
+    edit = "struct<old_string:string,new_string:string,replace_all:boolean>"
+    row = f"struct<file_path:string,content:string,old_string:string,new_string:string,replace_all:boolean,edits:array<{edit}>>"
+    rows = calls.filter(F.col("tool_name").isin(*WRITERS)).select("session_id", "line_no", "ts", "call_id", "tool_name", F.from_json("tool_input", row).alias("i"))
+    rows = rows.withColumn("path", F.translate("i.file_path", "\\", "/")).filter("path <> ''")
+    if target:
+        t = target.replace("\\", "/")
+        rows = rows.filter(F.col("path").endswith(t.lstrip("/")) | F.contains("path", F.lit(t)))
+    write = F.array(F.struct(F.lit("write").alias("op"), F.lit("").alias("old"), F.coalesce("i.content", F.lit("")).alias("new"), F.lit(False).alias("replace_all")))
+    one = lambda e: F.struct(F.lit("edit").alias("op"), F.coalesce(e["old_string"], F.lit("")).alias("old"), F.coalesce(e["new_string"], F.lit("")).alias("new"), F.coalesce(e["replace_all"], F.lit(False)).alias("replace_all"))
+    ops = F.when(F.col("tool_name") == "Write", write).when(F.col("tool_name") == "Edit", F.array(one(F.col("i")))).otherwise(F.transform(F.coalesce("i.edits", F.array().cast(f"array<{edit}>")), one))
+    each = rows.select("path", "session_id", "line_no", "ts", "call_id", F.posexplode(ops).alias("n", "o"))
+    order = Window.partitionBy("path").orderBy("ts", "session_id", "line_no", "call_id", "n")
+    return each.withColumn("seq", F.row_number().over(order) - 1).select("path", "seq", "o.op", "o.old", "o.new", "o.replace_all", "ts")
+
+
 def sessions(of_turns: DataFrame, parsed: DataFrame) -> DataFrame:
     """Per session: project, title, first and last time, turns and token totals (each line's usage once)."""
     lines = of_turns.groupBy("session_id", "project", "line_no").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.max("tokens_in").alias("i"), F.max("tokens_out").alias("o"))

@@ -37,15 +37,13 @@ def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str) -
 def attribute(shown: DataFrame, used: DataFrame, key: str, seconds: int = 60) -> DataFrame:
     """(key, used_ts, shown_ts): each use with the newest showing of at most ``seconds`` before it.
 
-    ``shown`` and ``used`` have (key, ts). A range of an equi-join, in batch or between two streams
-    with watermarks; on streams, take the newest downstream of the join.
+    ``shown`` and ``used`` have (key, ts). A range of an equi-join, in batch or between two streams with
+    watermarks on their ``ts``; on streams a use is given out once the watermark has passed it.
     """
     a = shown.select(F.col(key).alias("_k"), F.col("ts").alias("shown_ts"))
     b = used.select(F.col(key), F.col("ts").alias("used_ts"))
     near = (F.col(key) == F.col("_k")) & (F.col("used_ts") >= F.col("shown_ts")) & (F.col("used_ts") <= F.col("shown_ts") + F.expr(f"INTERVAL {seconds} SECONDS"))
     joined = b.join(a, near).drop("_k")
-    if joined.isStreaming:
-        return joined
     return joined.groupBy(key, "used_ts").agg(F.max("shown_ts").alias("shown_ts"))
 
 

@@ -162,3 +162,64 @@ def test_names_a_shell_sets_and_flag_calls(spark):
     got = code.names(spark.createDataFrame(files, "path string, text string"), "env", "flag").collect()
     assert {r.name for r in got if r.domain == "env"} == {"MINE"}
     assert {r.name for r in got if r.domain == "flag"} == {"one", "two", "three", "four", "five", "six"}
+
+
+def test_slugs_by_the_four_steps(spark):
+    from quarry.sources import transcripts
+
+    cases = {
+        "-home-al-Documents-projects-my-app": "my-app", "-home-al-projects-a-projects-b": "a-projects-b", "-home-al--config-x": "config-x", "-home-al-work-x": "work-x",
+        "--srv-x": "srv-x", "": "_orphan", "_orphan": "_orphan", "-projects-": "-projects-", None: "_orphan",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "f string")
+    assert {r.f: r.s for r in df.select("f", transcripts.slug_of(F.col("f")).alias("s")).collect()} == cases
+
+
+def test_edits_come_out_of_transcripts_and_are_replayed(spark, tmp_path):
+    import json
+
+    from quarry.sources import documents, transcripts
+
+    def call(ts, name, **given):
+        return json.dumps({"type": "assistant", "timestamp": f"2024-01-01T00:00:0{ts}Z", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": f"c{ts}", "name": name, "input": given}]}})
+
+    folder = tmp_path / "-home-al-projects-demo"
+    folder.mkdir()
+    lines = [
+        call(3, "Edit", file_path="/r/a.ts", old_string="two", new_string="2", replace_all=True),
+        call(1, "Write", file_path="/r/a.ts", content="one two two three"),
+        call(2, "MultiEdit", file_path="/r/a.ts", edits=[{"old_string": "one", "new_string": "1"}, {"old_string": "1 two", "new_string": "1  two"}]),
+        call(4, "Read", file_path="/r/a.ts"),
+        call(5, "Edit", file_path="\\r\\b.ts", old_string="x", new_string="y"),
+        "not json",
+    ]
+    (folder / "s.jsonl").write_text("\n".join(lines))
+    calls = transcripts.tool_calls(transcripts.blocks(transcripts.parse_lines(transcripts.read_lines(spark, str(tmp_path)))))
+    edits = transcripts.edit_operations(calls)
+    assert [(r.op, r.old) for r in edits.filter("path = '/r/a.ts'").orderBy("seq").collect()] == [("write", ""), ("edit", "one"), ("edit", "1 two"), ("edit", "two")]
+    assert transcripts.edit_operations(calls, "b.ts").count() == 1 == transcripts.edit_operations(calls, "nothing.ts").count() + 1
+    whole = {r.path: (r.text, r.applied, r.failed) for r in documents.replay_edits(edits.drop("ts")).collect()}
+    assert whole["/r/a.ts"] == ("1  2 2 three", 4, 0) and whole["/r/b.ts"] == ("", 0, 1)
+    snapshots = spark.createDataFrame([("/r/a.ts", "2024-01-01 00:00:02", "snap two")], "path string, ts string, text string").withColumn("ts", F.to_timestamp("ts"))
+    repository = spark.createDataFrame([("/r/a.ts", "old"), ("/r/b.ts", "x and x")], "path string, text string")
+    bases = documents.base_texts(edits, snapshots, repository)
+    assert {r.path: (r.source, r.text) for r in bases.collect()} == {"/r/a.ts": ("file-history", "snap two"), "/r/b.ts": ("db-and-git", "x and x")}
+    from_base = {r.path: (r.text, r.applied, r.failed) for r in documents.replay_from(edits, bases).collect()}
+    assert from_base == {"/r/a.ts": ("snap 2", 1, 0), "/r/b.ts": ("y and x", 1, 0)}
+    only_writes = spark.createDataFrame([("/w", 0, "write", "", "t", False)], "path string, seq int, op string, old string, new string, replace_all boolean")
+    assert documents.base_texts(only_writes, snapshots, spark.createDataFrame([("/w", "kept")], "path string, text string")).first().source == "write-only"
+
+
+def test_newest_showing_on_streams(spark, tmp_path):
+    from quarry.streaming import incremental
+
+    schema = "k string, ts timestamp"
+    for name, data in {"shown": [("a", "2024-01-01 00:00:10"), ("a", "2024-01-01 00:00:40"), ("z", "2024-01-01 01:00:00")], "used": [("a", "2024-01-01 00:00:50"), ("a", "2024-01-01 00:05:00"), ("z", "2024-01-01 01:00:00")]}.items():
+        spark.createDataFrame(data, "k string, t string").select("k", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / name))
+    read = lambda n: spark.readStream.schema(schema).parquet(str(tmp_path / n)).withWatermark("ts", "10 seconds")
+    out = incremental.attribute(read("shown"), read("used"), "k")
+    query = out.writeStream.format("memory").queryName("attributed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = [(r.k, str(r.used_ts), str(r.shown_ts)) for r in spark.table("attributed").collect()]
+    assert ("a", "2024-01-01 00:00:50", "2024-01-01 00:00:40") in got and not any(t == "2024-01-01 00:05:00" for _, t, _ in got)
+    assert len({(k, t) for k, t, _ in got}) == len(got)
