@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.operators import grounding, history, resolve, tables, upkeep
 from quarry.session import load
-from quarry.sources import code, documents
+from quarry.sources import code, documents, transcripts
 
 AS_OF = "2024-01-31 00:00:00"
 _URL_PATH = r"^[a-z]+://[^/]+([^?#]*)"
@@ -322,6 +322,60 @@ def user_prompt_view(spark: SparkSession, sf: str) -> DataFrame:
     return joined.orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "c_name", "c_mktsegment", F.unix_micros("o_orderdate").alias("at"))
 
 
+# --- transcripts ----------------------------------------------------------------------------------
+
+
+def _transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as lines of transcripts: a turn each, texts as they are or in a block, and a broken line."""
+    t = load(spark, sf, "conversations").filter("role in ('user', 'assistant')")
+    content = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"), "role"))).otherwise(F.to_json(F.struct(F.col("text").alias("content"), "role")))
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","timestamp":"2024-01-01T00:00:00Z","message":'), content, F.lit("}"))
+    path = F.concat(F.lit("/t/-home-al-projects-demo/"), "conv_id", F.lit(".jsonl"))
+    rows = t.select(path.alias("path"), F.col("turn").cast("int").alias("line_no"), line.alias("value"))
+    return rows.unionByName(rows.filter("line_no = 0").select("path", (F.col("line_no") - 1).alias("line_no"), F.lit("{broken").alias("value")))
+
+
+def ingest_turns(spark: SparkSession, sf: str) -> DataFrame:
+    made = transcripts.turns(transcripts.blocks(transcripts.parse_lines(_transcripts(spark, sf))))
+    return made.select("session_id", "project", "line_no", "idx", "role", "content_type", F.md5("content").alias("content_md5"))
+
+
+def ingest_damage(spark: SparkSession, sf: str) -> DataFrame:
+    return transcripts.damaged(transcripts.parse_lines(_transcripts(spark, sf)))
+
+
+def ingest_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines past each session's cursor, where every third session has one."""
+    lines = _transcripts(spark, sf)
+    cursors = load(spark, sf, "conversations").filter("conv_id % 3 = 0").select(F.col("conv_id").cast("string").alias("session_id"), F.lit(1).alias("line_no")).distinct()
+    return transcripts.after_cursor(lines, cursors).select("path", "line_no")
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as tool calls: writes, edits and reads of files of users, with the answers of some."""
+    e = load(spark, sf, "events")
+    name = F.when(F.col("event_type") == "signup", "Write").when(F.col("event_type") == "view", "Edit").otherwise("Read")
+    given = F.struct(F.concat(F.lit("/r/"), F.col("user_id") % 20, F.lit(".ts")).alias("file_path"), F.concat("event_type", F.lit(" text")).alias("content"), F.lit("text").alias("old_string"), F.lit("new text").alias("new_string"))
+    use = F.to_json(F.struct(F.lit("assistant").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("c"), "event_id").alias("id"), name.alias("name"), given.alias("input"))).alias("content")).alias("message")))
+    answer = F.to_json(F.struct(F.lit("user").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("c"), "event_id").alias("tool_use_id"), F.lit("out").alias("content"), (F.col("event_type") == "error").alias("is_error"))).alias("content")).alias("message")))
+    path = F.concat(F.lit("/t/-home-al-projects-demo/"), F.col("user_id") % 7, F.lit(".jsonl"))
+    lines = e.select(path.alias("path"), (2 * F.col("event_id")).cast("int").alias("line_no"), use.alias("value")).unionByName(e.filter("event_id % 4 <> 0").select(path.alias("path"), (2 * F.col("event_id") + 1).cast("int").alias("line_no"), answer.alias("value")))
+    return transcripts.tool_calls(transcripts.blocks(transcripts.parse_lines(lines)))
+
+
+def ingest_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return _calls(spark, sf).select("session_id", "call_id", "tool_name", F.coalesce("tool_output", F.lit("")).alias("tool_output"), F.coalesce("is_error", F.lit(False)).alias("is_error"), F.get_json_object("tool_input", "$.file_path").alias("file"))
+
+
+def file_touches(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each session writes or edits each file."""
+    return transcripts.file_touches(_calls(spark, sf)).groupBy("session_id", "file_path", "op").agg(F.count("*").alias("n"))
+
+
+def edit_operations(spark: SparkSession, sf: str) -> DataFrame:
+    return transcripts.edit_operations(_calls(spark, sf)).select("path", "seq", "op", "new")
+
+
 def gists_or_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.md5(F.coalesce(text.gist(F.col("text")), F.left("text", F.lit(200)))).alias("shown_md5"))
 
@@ -408,6 +462,16 @@ FROM (SELECT page_id, {_P} AS p FROM pages) WHERE regexp_matches(p, '^/[a-z].*[^
     "dotenv_rows": """SELECT path, 2 * (row_number() OVER (PARTITION BY path ORDER BY turn)) AS line, 'API_' || CASE WHEN turn % 2 = 0 THEN 'TOKEN' ELSE 'URL' END || '_' || turn AS name, v AS value, 'about turn ' || turn AS comment, turn % 2 = 0 AS secret
 FROM (SELECT conv_id::VARCHAR AS path, turn, left(translate(text, '"' || chr(10) || chr(13) || '#', '    '), 20) AS v FROM conversations)""",
     "changelog_tally": """SELECT conv_id AS doc_id, '1.' || conv_id AS version, CASE WHEN turn % 2 = 0 THEN 'Added' ELSE 'Fixed' END AS section, count(*) AS bullets FROM conversations GROUP BY 1, 2, 3""",
+    "ingest_turns": """SELECT conv_id::VARCHAR AS session_id, 'demo' AS project, turn::INTEGER AS line_no, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS idx, role, 'text' AS content_type, md5(text) AS content_md5
+FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL""",
+    "ingest_damage": """SELECT '/t/-home-al-projects-demo/' || conv_id || '.jsonl' AS path, count(*) + 1 AS lines, 1::BIGINT AS bad FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING min(turn) = 0""",
+    "ingest_missing": """SELECT '/t/-home-al-projects-demo/' || conv_id || '.jsonl' AS path, t::INTEGER AS line_no FROM (SELECT conv_id, turn AS t FROM conversations WHERE role IN ('user', 'assistant')
+UNION ALL SELECT conv_id, -1 FROM conversations WHERE role IN ('user', 'assistant') AND turn = 0) WHERE conv_id % 3 <> 0 OR t > 1""",
+    "ingest_calls": """SELECT (user_id % 7)::VARCHAR AS session_id, 'c' || event_id AS call_id, CASE event_type WHEN 'signup' THEN 'Write' WHEN 'view' THEN 'Edit' ELSE 'Read' END AS tool_name,
+CASE WHEN event_id % 4 <> 0 THEN 'out' ELSE '' END AS tool_output, event_id % 4 <> 0 AND event_type = 'error' AS is_error, '/r/' || user_id % 20 || '.ts' AS file FROM events""",
+    "file_touches": """SELECT (user_id % 7)::VARCHAR AS session_id, '/r/' || user_id % 20 || '.ts' AS file_path, CASE event_type WHEN 'signup' THEN 'write' ELSE 'edit' END AS op, count(*) AS n FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1, 2, 3""",
+    "edit_operations": """SELECT path, (row_number() OVER (PARTITION BY path ORDER BY ts, session_id, event_id) - 1)::INTEGER AS seq, op, new FROM (SELECT '/r/' || user_id % 20 || '.ts' AS path, (user_id % 7)::VARCHAR AS session_id, ts, event_id,
+CASE event_type WHEN 'signup' THEN 'write' ELSE 'edit' END AS op, CASE event_type WHEN 'signup' THEN 'signup text' ELSE 'new text' END AS new FROM events WHERE event_type IN ('signup', 'view'))""",
     "user_prompt_view": "SELECT o_orderkey, c_name, c_mktsegment, epoch_us(o_orderdate) AS at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
 }
 ROWS_ONLY = ("semantic_top5", "training_rows", "gists_or_text")
