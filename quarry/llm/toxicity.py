@@ -11,8 +11,10 @@ sampled id, both bounded by the sample. Scoring is one pass without a shuffle; w
 alone is computed once for each distinct word of a slice.
 
 Defined results: null and empty texts get features of zero and so a score like any other; repeated
-rows score alike; without labelled rows (or with one class only) every score is the smoothed base
-rate; labels repeated or in conflict for an id count as toxic if any says so; null labels are ignored.
+rows score alike; without toxic labels every score is the same and below 0.5, without others it is the
+smoothed base rate; where too few rows are left to calibrate on, scores are the trees' own probabilities;
+labels repeated or in conflict for an id count as toxic if any says so; null labels are ignored; of texts
+that share a labelled id the smallest is learned from.
 """
 
 from __future__ import annotations
@@ -46,16 +48,20 @@ WINDOW = 40
 #: Second-person words of the corpus languages, and look-alike characters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre ti tus usted vosotros".split())
 LOOKALIKE = str.maketrans("013457@$!|+", "oieastasiit")
-STRETCHED = re.compile(r"(\w)\1{2,}")
+STRETCHED = re.compile(r"([^\W_])\1{2,}")
 EDGE = "\"'.,;:!?()[]{}<>*_~#%&$-"
 
 
-@dataclass(frozen=True)
 class Lexicon:
-    words: frozenset[str]
-    stems: frozenset[str]
+    """Words, and beginnings of longer words. Nearly all words are ruled out by their first letters."""
+
+    def __init__(self, words: frozenset[str], stems: frozenset[str]) -> None:
+        self.words, self.stems = words, stems
+        self.heads = frozenset(w[: STEMS[0]] for w in (*words, *stems))
 
     def has(self, word: str) -> bool:
+        if word[: STEMS[0]] not in self.heads:
+            return False
         return word in self.words or any(word[:n] in self.stems for n in STEMS if len(word) > n)
 
 
@@ -69,44 +75,55 @@ FEATURES = (
     "log_words", "log_hits", "hit_rate", "distinct_hits", "window_hits", "near_second", "second_rate", "hidden_hits", "hidden_rate",
     "capital_rate", "shouted_rate", "shouted_hits", "exclaim_rate", "question_rate", "punct_rate", "mixed_rate", "stretched_rate",
 )
-#: What is known of a word alone: bits of the first number, then the form that is in the lexicon, capitals
-#: and three kinds of punctuation.
+#: What is known of a word alone, as bits.
 HIT, VEILED, SECOND, LOUD, MIXED, LONG = (1 << i for i in range(6))
-NOTHING = (0, 0, 0, 0, 0, 0)
-
-
-def _known(raw: str, lexicon: Lexicon) -> tuple[int, ...]:
-    if raw.isalpha() and raw.islower():
-        flags = HIT * lexicon.has(raw) | SECOND * (raw in SECOND_PERSON) | LONG * bool(STRETCHED.search(raw))
-        return (flags, zlib.crc32(raw.encode()) if flags & HIT else 0, 0, 0, 0, 0) if flags else NOTHING
-    bare = raw.strip(EDGE).lower()
-    plain = "" if bare.isalpha() else _plain(raw.strip(".,;:!?\"'()"))
-    hit = lexicon.has(bare)
-    veiled = not hit and len(plain) > 2 and plain != bare and lexicon.has(plain)
-    up = sum(map(str.isupper, raw))
-    flags = (
-        HIT * (hit or veiled)
-        | VEILED * veiled
-        | SECOND * (bare in SECOND_PERSON)
-        | LOUD * (up > 1 and up >= 0.7 * len(bare or "x"))
-        | MIXED * (any(map(str.isdigit, bare)) and any(map(str.isalpha, bare)))
-        | LONG * bool(STRETCHED.search(bare))
-    )
-    form = zlib.crc32((bare if hit else plain).encode("utf-8", "replace")) if flags & HIT else 0
-    return flags, form, up, raw.count("!"), raw.count("?"), sum(map(raw.count, "*#$%&@~^"))
+
+
+def _known(raw: str, lexicon: Lexicon) -> tuple[int, str]:
+    """(bits, the form that is in the lexicon) of a word, ``LONG`` aside."""
+    simple = raw.isalpha()
+    bare = raw.lower() if simple else raw.strip(EDGE).lower()
+    flags, form = SECOND * (bare in SECOND_PERSON), ""
+    if lexicon.has(bare):
+        flags, form = flags | HIT, bare
+    elif not simple and not bare.isalpha():
+        plain = _plain(raw.strip(".,;:!?\"'()"))
+        if len(plain) > 2 and plain != bare and lexicon.has(plain):
+            flags, form = flags | HIT | VEILED, plain
+    if not simple and any(map(str.isdigit, bare)) and any(map(str.isalpha, bare)):
+        flags |= MIXED
+    if not raw.islower() and not raw[1:].islower():  # else at most the first letter is a capital
+        up = sum(map(str.isupper, raw))
+        flags |= LOUD * (up > 1 and up >= 0.7 * len(bare or "x"))
+    return flags, form
+
+
+def _stretched(names: list[str]) -> np.ndarray:
+    """Which words have a letter or digit three times in a row, in one search over all."""
+    joined = "\n".join(names)
+    low = joined.lower()
+    if len(low) != len(joined):  # a letter that becomes two
+        return np.array([bool(STRETCHED.search(w.lower())) for w in names], dtype=bool)
+    ends = np.cumsum([len(w) + 1 for w in names])
+    out = np.zeros(len(names), dtype=bool)
+    out[np.searchsorted(ends, [m.start() for m in STRETCHED.finditer(low)], side="right")] = True
+    return out
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """The dense features of whole texts, a row each."""
-    names, codes, ends = word_codes(pc.utf8_split_whitespace(large_texts(texts)))
-    n_docs = len(texts)
-    about = np.array([_known(w, lexicon) for w in names.to_pylist()], dtype=np.int64).reshape(-1, len(NOTHING))
+    whole = large_texts(texts)
+    words, codes, ends = word_codes(pc.utf8_split_whitespace(whole))
+    n_docs, names = len(texts), words.to_pylist()
+    known = [_known(w, lexicon) for w in names]
+    about = np.array([k for k, _ in known], dtype=np.int64) | LONG * _stretched(names)
+    forms_of = np.array([zlib.crc32(f.encode("utf-8", "replace")) if f else 0 for _, f in known], dtype=np.int64)
     size = np.diff(ends, prepend=0)
     doc = np.repeat(np.arange(n_docs), size)
-    flags = about[codes, 0]
+    flags = about[codes]
 
-    def total(values: np.ndarray) -> np.ndarray:
-        return np.bincount(doc, values, n_docs)
+    def total(pattern: str) -> np.ndarray:
+        return pc.count_substring_regex(whole, pattern).to_numpy(zero_copy_only=False)
 
     def count(flag: int) -> np.ndarray:
         return np.bincount(doc[(flags & flag) == flag], minlength=n_docs)
@@ -119,24 +136,28 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     dense, near, forms = np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs)
     if len(at):
         np.maximum.at(dense, of, np.searchsorted(spot, spot + WINDOW) - np.arange(len(spot)))
-        forms = np.bincount(np.unique((of << 32) | about[codes[at], 1]) >> 32, minlength=n_docs)
+        forms = np.bincount(np.unique((of << 32) | forms_of[codes[at]]) >> 32, minlength=n_docs)
         if len(you):
             i = np.searchsorted(you, spot)
             gap = np.minimum(abs(spot - you[np.maximum(i - 1, 0)]), abs(spot - you[np.minimum(i, len(you) - 1)]))
             near = np.bincount(of[gap <= 4], minlength=n_docs)
     n = np.maximum(1, size)
-    chars = np.maximum(1, pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    chars = np.maximum(1, pc.utf8_length(whole).to_numpy(zero_copy_only=False))
     hidden, shouted = count(VEILED), count(LOUD)
     return np.stack(
         [
             np.log1p(size), np.log1p(hits), hits / n, forms, dense, near, count(SECOND) / n, hidden, hidden / n,
-            total(about[codes, 2]) / chars, shouted / n, count(HIT | LOUD), total(about[codes, 3]) / n, total(about[codes, 4]) / n,
-            total(about[codes, 5]) / chars, count(MIXED) / n, count(LONG) / n,
+            total(r"\p{Lu}") / chars, shouted / n, count(HIT | LOUD), total("!") / n, total(r"\?") / n,
+            total(r"[*#$%&@~^]") / chars, count(MIXED) / n, count(LONG) / n,
         ],
         axis=1,
     ).astype(np.float64)
 
 
+#: The trees' own probabilities, where there is too little to calibrate on.
+LOGISTIC = gbt.Isotonic(np.linspace(-12, 12, 97), 1 / (1 + np.exp(-np.linspace(-12, 12, 97))))
+
+
 @dataclass(frozen=True)
 class Scorer:
     lexicon: Lexicon
@@ -213,8 +234,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     # rows that the lexicon was not learned from: half to fit trees with the rest, half to calibrate
     held = unseen & (np.arange(len(y)) % 2 == 0)
     fit_on = ~held & (unseen | (np.arange(len(y)) % 2 == 0))
+    if not y.sum():  # nothing speaks for toxicity
+        p = 0.5 / (len(y) + 2)
+        return Scorer(lexicon, gbt.Model(float(np.log(p / (1 - p))), ()), LOGISTIC)
     model = gbt.fit(x[fit_on], y[fit_on])
-    return Scorer(lexicon, model, gbt.fit_isotonic(model.margin(x[held]), y[held]))
+    known = len(set(y[held].tolist())) == 2  # one class alone does not calibrate
+    return Scorer(lexicon, model, gbt.fit_isotonic(model.margin(x[held]), y[held]) if known else LOGISTIC)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

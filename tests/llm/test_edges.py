@@ -96,5 +96,7 @@ def test_training_with_one_class_or_none(spark):
     for labels in (_labels(spark).limit(0), _labels(spark).filter("toxic = 1")):
         scores = [r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()]
         assert all(0 <= s <= 1 for s in scores)
+    assert max(r.score for r in toxicity.score(docs, toxicity.train(docs, _labels(spark).limit(0))).collect()) < 0.5
+    assert toxicity.keep_clean(docs, _labels(spark).filter("toxic = 0")).count() == docs.count()
     nothing = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}

@@ -222,13 +222,17 @@ def test_cuckoo_filter_inserts_deletes_and_probes(spark):
 # --- packing --------------------------------------------------------------------------------------
 
 
-def test_word_cache_agrees_with_the_tokenizer():
+@pytest.mark.parametrize(("cache", "learn"), [(1 << 20, 1 << 15), (500, 3)])
+def test_word_cache_agrees_with_the_tokenizer(monkeypatch, cache, learn):
+    monkeypatch.setattr(packing, "CACHE_BYTES", cache)
+    monkeypatch.setattr(packing, "LEARN", learn)
     words = packing.Words(TOKENIZER)
     r = random.Random(5)
     parts = [*"abzAZéÉßİIΣσς .,'’s\n\t\x00\x01\x1c\x1f\x85\xa0éñ１2½Ⅷ字カ😀_-+<>|", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "ﬁ", "é"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(4000)] + [None]
     want = [e.ids for e in words.full.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == want
+    got = [b for at in range(0, len(texts), 700) for b in words.encode(texts[at : at + 700])]
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
 
 
 def fewest_bins(pieces, capacity):
@@ -707,7 +711,7 @@ def plain_features(text, lexicon):
     for i, raw in enumerate(words):
         bare = raw.strip(toxicity.EDGE).lower()
         letters = "".join(c for c in raw.strip(".,;:!?\"'()").lower().translate(toxicity.LOOKALIKE) if c.isalpha())
-        plain = "" if bare.isalpha() else re.sub(r"(.)\1{2,}", r"\1", letters)
+        plain = "" if bare.isalpha() else re.sub(r"([^\W_])\1{2,}", r"\1", letters)
         up = sum(c.isupper() for c in raw)
         shout = up > 1 and up >= 0.7 * len(bare or "x")
         if lexicon.has(bare):
@@ -721,7 +725,7 @@ def plain_features(text, lexicon):
             second.append(i)
         loud += shout
         mixed += any(c.isdigit() for c in bare) and any(c.isalpha() for c in bare)
-        stretched += bool(re.search(r"(\w)\1{2,}", bare))
+        stretched += bool(re.search(r"([^\W_])\1{2,}", bare))
     dense = max((sum(i <= j < i + toxicity.WINDOW for j, _ in found) for i, _ in found), default=0)
     near = sum(any(abs(i - j) <= 4 for j in second) for i, _ in found)
     return [
@@ -734,7 +738,7 @@ def plain_features(text, lexicon):
 def test_toxic_features_are_those_of_a_plain_version():
     lexicon = toxicity.Lexicon(frozenset({"idiot", "trash"}), frozenset({"rude", "moron"}))
     r = random.Random(34)
-    parts = ["you", "You,", "idiot", "IDIOT!!", "1d10t", "i.d.i.o.t", "trashhhh", "rudest", "mor0ns", "plain", "word", "DU", "ihr", "x1", "sooo", "#$%", "É", "?", "\n", "\t", "..."]
+    parts = ["you", "You,", "idiot", "IDIOT!!", "1d10t", "i.d.i.o.t", "trashhhh", "rudest", "mor0ns", "plain", "word", "DU", "ihr", "x1", "sooo", "İİİ", "a___b", "AAa", "Ok", "oK", "Idiot", "#$%", "É", "?", "\n", "\t", "..."]
     texts = [None, "", "   ", "you"] + [" ".join(r.choice(parts) for _ in range(r.randint(1, 120))) for _ in range(60)] + [" lead", "trail "]
     got = toxicity.features(pa.array(texts), lexicon)
     assert np.allclose(got, [plain_features(t, lexicon) for t in texts])
