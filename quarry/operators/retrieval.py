@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.batches import large_texts, slices, word_codes
-from quarry.functions.text import SEPARATORS, content_words, once, tokens
+from quarry.batches import large_texts, map_batches, slices, word_codes
+from quarry.functions.text import SEPARATORS, STOPWORDS, content_words, once, tokens
 
 K1, B = 1.2, 0.75
 #: Queries that one pass over the rows answers.
@@ -192,6 +192,38 @@ def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     return top_k(_in_blocks(asked, search), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def frequent_words(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, words): the ``n`` most frequent content words of each text, as ``functions.text.top_words`` has
+    them, counted over Arrow batches: for whole corpora, where sorting each text's words costs too much."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        idle = pa.array(STOPWORDS, pa.large_string())
+
+        def of(part: pa.RecordBatch) -> pa.RecordBatch:
+            # the one letter that Java's lower case makes two of
+            whole = pc.replace_substring(large_texts(part.column(1)), "\u0130", "i\u0307")
+            runs, codes, ends = word_codes(pc.split_pattern_regex(pc.utf8_lower(whole), "[^a-z0-9_]+"))
+            # a word begins with the first letter of its run
+            words = pc.utf8_ltrim(runs, characters="0123456789_").dictionary_encode()
+            names = words.dictionary
+            good = pc.and_(pc.greater_equal(pc.utf8_length(names), 3), pc.invert(pc.is_in(names, value_set=idle))).to_numpy(zero_copy_only=False)
+            codes = words.indices.to_numpy(zero_copy_only=False)[codes].astype(np.int64) if len(codes) else codes.astype(np.int64)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(ends, prepend=0))
+            kept = good[codes] if len(codes) else np.zeros(0, dtype=bool)
+            pairs, first, count = np.unique(doc[kept] * max(1, len(names)) + codes[kept], return_index=True, return_counts=True)
+            owner = pairs // max(1, len(names))
+            order = np.lexsort((first, -count, owner))
+            start = np.searchsorted(owner, np.arange(part.num_rows))
+            chosen = order[np.arange(len(order)) - start[owner] < n]
+            sizes = np.minimum(np.bincount(owner, minlength=part.num_rows), n)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), names.take(pa.array(pairs[chosen] % max(1, len(names)))).cast(pa.string()))
+            return pa.RecordBatch.from_arrays([part.column(0), listed], names=[key, "words"])
+
+        return of
+
+    return map_batches(rows, [key, "text"], f"{key} {rows.schema[key].dataType.simpleString()}, words array<string>", make, slice_bytes=4 << 20)
+
+
 def contains_all(corpus: DataFrame, query: str) -> DataFrame:
     """(id) of texts that have every token of the query, newest first, as a boolean search."""
     wanted = F.array_distinct(tokens(F.lit(query)))

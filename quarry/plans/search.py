@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import similarity, text
 from quarry.operators import history, lint, ranking, resolve, retrieval, stemming, tables, textindex
-from quarry.session import load, work_folder
+from quarry.session import kept, load, work_folder
 from quarry.sources import documents
 
 QUERY = "that and onen erblest it hein"
@@ -64,7 +64,7 @@ def topic_top2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keywords_top8(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.array_join(text.top_words(F.col("text"), 8), " ").alias("keywords"))
+    return retrieval.frequent_words(_docs(spark, sf), "doc_id", 8).select("doc_id", F.array_join("words", " ").alias("keywords"))
 
 
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +195,8 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Fusion, then reweighting by topic, then the texts of what is left."""
-    fused = retrieval.reciprocal_rank_fusion([_lexical(spark, sf), _semantic(spark, sf)], by=BY)
+    # some hits of each query, written down: they are used twice
+    fused = kept(retrieval.reciprocal_rank_fusion([_lexical(spark, sf), _semantic(spark, sf)], by=BY))
     topics = _corpus(spark, sf).join(fused.select("id").distinct(), "id", "left_semi").select("id", text.topic(F.col("text")).alias("topic"))
     hits = fused.join(topics, "id")
     score = ranking.topic_reweight(F.col("rrf_score"), F.col("topic"), F.lit("and_that"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -57,3 +56,10 @@ def work_folder(spark: SparkSession) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The table, written to a shared folder: for results that are used more than once."""
+    path = f"{work_folder(df.sparkSession)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -141,3 +141,17 @@ def test_gist_leaves_out_sentences_that_say_nothing(spark):
     assert one(spark, cases, text.short_gist)[0:2] == want[0:2]
     got = one(spark, cases, text.short_gist)
     assert got[3:5] == want[3:5] and got[5].endswith("…") and len(got[5]) == 100
+
+
+def test_frequent_words_of_batches_are_those_of_the_expression(spark):
+    import random
+
+    from quarry.operators.retrieval import frequent_words
+
+    r = random.Random(51)
+    parts = ["the", "alpha", "Beta", "9gamma", "_delta_", "a1", "é", "ab", "x_y", "ALPHA", "İstanbul", "naïve", "12", "\n", "gamma", "-", "__"]
+    texts = [None, "", " ", "the and"] + [r.choice([" ", ",", ""]).join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x.doc_id: x.w for x in df.select("doc_id", text.top_words(F.col("text"), 4).alias("w")).collect()}
+    assert {x.doc_id: x.words for x in frequent_words(df, "doc_id", 4).collect()} == want
+    assert frequent_words(df.limit(0), "doc_id", 4).count() == 0
