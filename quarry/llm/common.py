@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quarry.batches import map_batches
+
 #: Pattern of a run of ASCII white space, as Java and Python regular expressions.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows of ids and hashes (about 60 bytes each as a hash table) that may be broadcast.
@@ -92,29 +90,6 @@ def fold_py(doc_id: object) -> int:
     return zlib.crc32(str(doc_id).encode()) % 5
 
 
-def word_codes(split: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, the number of each occurrence's word, ends of texts among the occurrences) of
-    texts split into words; empty words do not count.
-
-    Work on words is then work on distinct words, and occurrences are taken from its results.
-    """
-    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    coded = pc.list_flatten(split).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
-    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
-    if empty >= 0:
-        full = codes != empty
-        ends = np.append(0, np.cumsum(full))[ends]
-        codes = codes[full]
-    return coded.dictionary, codes, ends
-
-
-def large_texts(column: pa.Array) -> pa.Array:
-    """A column of strings without nulls whose offsets do not overflow."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once for a row.
 
@@ -128,59 +103,6 @@ def long_array(values: Iterable[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Parts of at most ``rows`` rows and ``size`` bytes of strings; a longer row is a part of its own."""
-    total = np.zeros(batch.num_rows, dtype=np.int64)
-    for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
-            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    ends, at = np.cumsum(total), 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
-        yield batch.slice(at, n)
-        at += n
-
-
-def give_back() -> None:
-    """Return freed memory to the system; Python workers outlive their tasks and would keep it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # a C library without it
-        pass
-
-
-def map_batches(
-    df: DataFrame,
-    columns: Sequence[str],
-    schema: str | StructType,
-    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-    slice_rows: int = 512,
-    slice_bytes: int = 2 << 20,
-) -> DataFrame:
-    """Apply a function of Arrow batches to slices of rows.
-
-    ``make()`` runs once in each task. Slices bound what one call holds, so that memory follows neither
-    the partition nor the batch; when a task ends, its worker gives back what it took.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        try:
-            for batch in batches:
-                for part in slices(batch, slice_rows, slice_bytes):
-                    out = f(part)
-                    if out.num_rows:
-                        yield out
-        finally:
-            del f
-            give_back()
-
-    return df.select(*columns).mapInArrow(run, schema)
-
-
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],

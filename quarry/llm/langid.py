@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, large_texts, map_batches, word_codes
+from quarry.batches import large_texts, map_batches, word_codes
+from quarry.llm.common import fold
 
 SAMPLE = 1000
 #: Times that the sample must have a word or n-gram for it to be known.

@@ -30,8 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.batches import large_texts, map_batches, word_codes
 from quarry.llm import gbt
-from quarry.llm.common import Scratch, fold, large_texts, map_batches, word_codes
+from quarry.llm.common import Scratch, fold
 
 #: Ids of each class that fitting reads at most, in expectation.
 SAMPLE = 4000
