@@ -35,6 +35,11 @@ PATTERNS: dict[str, dict[str, tuple[str, str]]] = {
         "ruby": ("rb", rf"ENV(?:\.fetch\(|\[)\s*{Q}{ENV}"),
         "shell": ("sh bash", rf"\$\{{?{ENV}"),
         "compose": ("yml yaml", rf"(?m)\$\{{{ENV}"),
+        # declarations, by the names of their sources
+        "zod-schema": ("ts js mjs", rf"\b{ENV}\s*:\s*z\s*\."),
+        "envalid": ("ts js mjs", rf"\b{ENV}\s*:\s*(?:str|num|bool|url|port|host|email|json)\s*\("),
+        "docker-compose": ("yml yaml", rf"(?m)^\s+(?:-\s*)?{ENV}(?:=|\s*:(?:\s|$))"),
+        "github-actions": ("yml yaml", rf"\$\{{\{{\s*(?:secrets|vars|env)\.{ENV}"),
     },
     # Calls that read a flag.
     "flag": {
@@ -47,6 +52,7 @@ PATTERNS: dict[str, dict[str, tuple[str, str]]] = {
         "get": (FLAG_FILES, r"(?:featureFlags|flags)\.\s*get\s*\(\s*['\"]([\w\-./]+)['\"]"),
     },
     "css": {
+        "tailwind": ("js ts cjs mjs", r"(?m)^\s+['\"]?([a-z][\w-]*)['\"]?\s*:\s*(?:['\"]#|\{\s*(?:DEFAULT|\d{2,3})\b)"),
         "class": ("css scss less", r"\.([A-Za-z_][\w-]*)(?=[^{}]*\{)"),
     },
     "i18n": {
@@ -60,6 +66,7 @@ PATTERNS: dict[str, dict[str, tuple[str, str]]] = {
         "typeorm": ("ts", rf"@Entity\([^)]*\)\s*export\s+(?:default\s+)?class\s+{NAME}"),
     },
     "graphql": {
+        "inline": ("ts tsx js jsx mjs", rf"(?s)gql\s*`[^`]*?\b(?:type|input|interface|enum)\s+{NAME}"),
         "type": ("graphql gql graphqls", rf"(?m)^\s*(?:extend\s+)?(?:type|interface|input|enum|union|scalar)\s+{NAME}"),
     },
     "export": {
@@ -150,24 +157,90 @@ ROUTES = {
     "express": r"\b\w+\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['\"`](/[^'\"`]*)",
     "decorator": r"@\w+\.(get|post|put|patch|delete|head|options|route)\s*\(\s*['\"](/[^'\"]*)",
     "nest": r"@(Get|Post|Put|Patch|Delete|Head|Options)\s*\(\s*['\"]([^'\"]*)",
+    "django": r"\b(re_path|path)\s*\(\s*r?['\"]\^?([^'\"$]*)",
 }
+SCRIPTS = ("js", "jsx", "ts", "tsx", "mjs")
 
 
 def routes(files: DataFrame) -> DataFrame:
     """(path, framework, method, route) of route declarations in code."""
     found = []
     for framework, pattern in ROUTES.items():
-        ext = ("py",) if framework == "decorator" else ("js", "jsx", "ts", "tsx", "mjs")
+        ext = ("py",) if framework in ("decorator", "django") else SCRIPTS
         hits = F.when(extension(F.col("path")).isin(*ext), F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("text", F.lit(pattern), F.lit(2))).cast("array<struct<method:string,raw:string>>"))
         found.append(F.transform(hits, lambda h: F.struct(F.lit(framework).alias("framework"), h["method"].alias("method"), h["raw"].alias("raw"))))  # noqa: B023
     none = F.array().cast("array<struct<framework:string,method:string,raw:string>>")
     rows = files.select("path", F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("r")).select("path", "r.*")
-    method = F.when(F.upper("method").isin("ALL", "ROUTE"), "*").otherwise(F.upper("method"))
+    rows = rows.filter((F.col("framework") != "django") | F.col("path").rlike(r"urls\w*\.py$"))
+    method = F.when(F.upper("method").isin("ALL", "ROUTE", "PATH", "RE_PATH"), "*").otherwise(F.upper("method"))
     angle = F.regexp_replace("raw", r"<(?:\w+:)?(\w+)>", ":$1")
     slashed = F.when(angle.startswith("/"), angle).otherwise(F.concat(F.lit("/"), angle))
     return rows.select("path", "framework", method.alias("method"), normalize_route(slashed).alias("route"))
 
 
+def file_routes(files: DataFrame) -> DataFrame:
+    """(path, framework, method, route) of routes that files serve by their place: handlers of an ``app``
+    folder by the verbs that they export, and files of ``pages/api`` for any verb."""
+    app = r"(?:^|/)app/((?:.*/)?)route\.(?:ts|tsx|js|jsx)$"
+    api = r"(?:^|/)pages/(api/.+)\.(?:ts|tsx|js|jsx)$"
+    verbs = F.regexp_extract_all("text", F.lit(r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"), F.lit(1))
+    served = F.when(F.col("path").rlike(app), F.array_distinct(verbs)).when(F.col("path").rlike(api), F.array(F.lit("*")))
+    place = F.when(F.col("path").rlike(app), F.regexp_extract("path", app, 1)).otherwise(F.regexp_replace(F.regexp_extract("path", api, 1), r"(^|/)index$", ""))
+    tidy = normalize_route(F.concat(F.lit("/"), F.regexp_replace(place, r"\([^/)]*\)/", "")))
+    return files.select("path", F.lit("next").alias("framework"), F.explode(served).alias("method"), tidy.alias("route"))
+
+
+def openapi_routes(files: DataFrame) -> DataFrame:
+    """(path, framework, method, route) of the paths of OpenAPI documents, as JSON or as YAML by its lines."""
+    verb = "get|put|post|delete|options|head|patch|trace"
+    lines = files.filter(extension(F.col("path")).isin("yml", "yaml") & F.col("text").rlike(r"(?m)^(?:openapi|swagger)\s*:")).select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "s"))
+    w = Window.partitionBy("path").orderBy("n")
+    indent = F.length(F.regexp_extract("s", r"^( *)", 1))
+    head = F.regexp_extract("s", r"^ *['\"]?(/[^'\":]*)['\"]?\s*:\s*$", 1)
+    at = lines.withColumns({"route": F.last(F.when(head != "", head), ignorenulls=True).over(w), "depth": F.last(F.when(head != "", indent), ignorenulls=True).over(w)})
+    method = F.regexp_extract("s", rf"^ *({verb})\s*:\s*$", 1)
+    yaml = at.filter((method != "") & (indent > F.col("depth"))).select("path", F.upper(method).alias("method"), "route")
+    paths = F.from_json("text", "struct<openapi:string,swagger:string,paths:map<string,map<string,string>>>")
+    docs = files.filter(extension(F.col("path")) == "json").select("path", paths.alias("d")).filter("d.openapi is not null or d.swagger is not null")
+    found = docs.select("path", F.explode("d.paths").alias("route", "ops")).select("path", "route", F.explode(F.map_keys("ops")).alias("method")).filter(F.col("method").rlike(f"^(?:{verb})$"))
+    both = yaml.unionByName(found.withColumn("method", F.upper("method")).select("path", "method", "route"))
+    return both.select("path", F.lit("openapi").alias("framework"), "method", normalize_route(F.col("route")).alias("route"))
+
+
+def declared_pages(files: DataFrame) -> DataFrame:
+    """(path, framework, route) of pages that routers declare in code."""
+    react = F.regexp_extract_all("text", F.lit(r"<Route\b[^>]*?\bpath\s*=\s*\{?['\"]([^'\"]+)"), F.lit(1))
+    vue = F.regexp_extract_all("text", F.lit(r"\bpath\s*:\s*['\"](/[^'\"]*)['\"]\s*,\s*(?:name|component|element|children|redirect)\b"), F.lit(1))
+    tag = lambda found, name: F.transform(found, lambda r: F.struct(F.lit(name).alias("framework"), r.alias("route")))
+    rows = files.filter(extension(F.col("path")).isin(*SCRIPTS, "vue")).select("path", F.explode(F.array_distinct(F.concat(tag(react, "react-router"), tag(vue, "vue-router")))).alias("r"))
+    slashed = F.when(F.col("r.route").startswith("/"), F.col("r.route")).otherwise(F.concat(F.lit("/"), F.col("r.route")))
+    return rows.select("path", "r.framework", normalize_route(slashed).alias("route"))
+
+
+def orm_fields(files: DataFrame) -> DataFrame:
+    """(path, model, field, type) of the fields of Drizzle tables and TypeORM entities."""
+    kinds = "serial|bigserial|integer|int|bigint|text|varchar|char|boolean|timestamp|date|json|jsonb|uuid|numeric|decimal|real|doublePrecision"
+    code = files.filter(extension(F.col("path")).isin("ts", "js", "mjs"))
+    tables = code.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?:pg|mysql|sqlite)Table\(\s*['\"`]\w+['\"`]\s*,\s*\{.*?\n?\}\s*[,)]"), F.lit(0))).alias("b"))
+    pair = rf"\b(\w+)\s*:\s*({kinds})\s*\("
+    drizzle = tables.select("path", F.regexp_extract("b", r"Table\(\s*['\"`](\w+)", 1).alias("model"), F.explode(F.arrays_zip(F.regexp_extract_all("b", F.lit(pair), F.lit(1)), F.regexp_extract_all("b", F.lit(pair), F.lit(2))).cast("array<struct<field:string,type:string>>")).alias("f"))
+    classes = code.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)@Entity\b.*?^\}"), F.lit(0))).alias("b"))
+    column = r"(?s)@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|CreateDateColumn|UpdateDateColumn)\([^)]*\)\s*(\w+)[?!]?\s*:\s*([\w\[\]]+)"
+    typeorm = classes.select("path", F.regexp_extract("b", r"class\s+(\w+)", 1).alias("model"), F.explode(F.arrays_zip(F.regexp_extract_all("b", F.lit(column), F.lit(1)), F.regexp_extract_all("b", F.lit(column), F.lit(2))).cast("array<struct<field:string,type:string>>")).alias("f"))
+    return drizzle.unionByName(typeorm).select("path", "model", "f.field", "f.type")
+
+
+def declared_flags(files: DataFrame) -> DataFrame:
+    """(path, kind, name) of flags that JSON files (the keys of ``flags`` or of the document, where values are
+    objects or booleans) and scripts (keys with a default) declare."""
+    whole, inner = F.from_json("text", "map<string,string>"), F.from_json("text", "struct<flags:map<string,string>,featureFlags:map<string,string>>")
+    docs = files.filter((extension(F.col("path")) == "json") & F.col("path").rlike(r"(?i)flags?[^/]*\.json$")).select("path", F.coalesce(inner["flags"], inner["featureFlags"], whole).alias("m"))
+    keyed = docs.select("path", F.explode("m").alias("name", "v")).filter(F.col("v").rlike(r"^\s*(?:\{|true|false)")).select("path", F.lit("json").alias("kind"), "name")
+    calls = F.regexp_extract_all("text", F.lit(r"['\"]?([A-Za-z][\w.-]*)['\"]?\s*:\s*\{\s*(?:default|defaultValue|enabled)\b"), F.lit(1))
+    scripts = files.filter(extension(F.col("path")).isin(*SCRIPTS) & F.col("path").rlike(r"(?i)flags?[^/]*$")).select("path", F.lit("script").alias("kind"), F.explode(F.array_distinct(calls)).alias("name"))
+    return keyed.unionByName(scripts)
+
+
 def page_route(path: Column) -> Column:
     """The route that a file serves by its place, in five file-based frameworks, or null."""
     sub = lambda pattern: F.regexp_extract(path, pattern, 1)

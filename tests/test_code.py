@@ -94,3 +94,43 @@ def test_lint(spark, files):
     assert lint.ground(lint.references(edits, "env"), index.filter("domain = 'css'")).count() == 0
     called = {r.name for r in lint.called_names(spark.createDataFrame([("d", "print(len(x)); helper(1); obj.method(2); Foo()")], "doc string, text string")).collect()}
     assert called == {"helper", "Foo"}
+
+
+MORE = [
+    ("/r/env.ts", "const S = z.object({ API_URL: z.string(), PORT : z.coerce.number() });\ncleanEnv(process.env, { MAIL_FROM: email(), DEBUG: bool({default: false}) })"),
+    ("/r/compose.yml", "services:\n  web:\n    environment:\n      - DB_HOST=db\n      CACHE_URL: redis\n    image: x\n"),
+    ("/r/.github/ci.yaml", "env:\n  KEY: ${{ secrets.DEPLOY_KEY }}\n"),
+    ("/r/app/urls.py", "urlpatterns = [path('users/<int:pk>/', v), re_path(r'^old/$', w)]"),
+    ("/r/views.py", "os.path('not/a/route')"),
+    ("/r/app/api/items/[id]/route.ts", "export async function GET() {}\nexport const DELETE = 1"),
+    ("/r/pages/api/users/index.ts", "export default f"),
+    ("/r/spec.yaml", "openapi: 3.0.0\npaths:\n  /pets/{id}:\n    get:\n      responses: {}\n    delete:\n  '/pets':\n    post:\n"),
+    ("/r/spec.json", '{"swagger": "2.0", "paths": {"/a/{b}": {"get": {}, "parameters": []}}}'),
+    ("/r/router.tsx", "<Route exact path=\"/home\" /> <Route path={'users/:id'} />"),
+    ("/r/router.js", "const routes = [{ path: '/about', component: About }, { path: '/x/:y', name: 'x' }]"),
+    ("/r/schema.ts", "export const users = pgTable('users', {\n  id: serial('id').primaryKey(),\n  name: text('name'),\n});\n@Entity()\nexport class Order {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @Column({ nullable: true })\n  note?: string;\n}\n"),
+    ("/r/flags.json", '{"flags": {"new-ui": true, "beta": {"on": 1}, "version": "x"}}'),
+    ("/r/featureFlags.ts", "export const f = { darkMode: { default: false }, other: 1 }"),
+    ("/r/broken.json", "{"),
+]
+
+
+def test_declarations_of_variables(spark):
+    got = code.names(spark.createDataFrame(MORE, "path string, text string"), "env")
+    kinds = {(r.kind, r.name) for r in got.collect()}
+    assert {("zod-schema", "API_URL"), ("zod-schema", "PORT"), ("envalid", "MAIL_FROM"), ("envalid", "DEBUG"), ("docker-compose", "DB_HOST"), ("docker-compose", "CACHE_URL"), ("github-actions", "DEPLOY_KEY")} <= kinds
+
+
+def test_routes_by_place_and_document(spark):
+    files = spark.createDataFrame(MORE, "path string, text string")
+    assert {(r.method, r.route) for r in code.routes(files).filter("framework = 'django'").collect()} == {("*", "/users/:pk"), ("*", "/old")}
+    assert {(r.method, r.route) for r in code.file_routes(files).collect()} == {("GET", "/api/items/:id"), ("DELETE", "/api/items/:id"), ("*", "/api/users")}
+    assert {(r.method, r.route) for r in code.openapi_routes(files).collect()} == {("GET", "/pets/:id"), ("DELETE", "/pets/:id"), ("POST", "/pets"), ("GET", "/a/:b")}
+    assert {(r.framework, r.route) for r in code.declared_pages(files).collect()} == {("react-router", "/home"), ("react-router", "/users/:id"), ("vue-router", "/about"), ("vue-router", "/x/:y")}
+
+
+def test_fields_and_flags_in_code(spark):
+    files = spark.createDataFrame(MORE, "path string, text string")
+    got = {(r.model, r.field): r.type for r in code.orm_fields(files).collect()}
+    assert got == {("users", "id"): "serial", ("users", "name"): "text", ("Order", "id"): "number", ("Order", "note"): "string"}
+    assert {(r.kind, r.name) for r in code.declared_flags(files).collect()} == {("json", "new-ui"), ("json", "beta"), ("script", "darkMode")}
