@@ -85,12 +85,16 @@ class Best:
         """``scores`` is (rows, queries); a score of minus infinity is no hit."""
         every = np.concatenate([self.scores, scores])
         whose = np.concatenate([self.ids, np.broadcast_to(ids[:, None], scores.shape)])
-        if len(every) > 4 * self.k:  # no hit below the k-th score can stay
-            floor = np.partition(every, len(every) - self.k, axis=0)[len(every) - self.k]
-            some = (every >= floor).any(axis=1)
-            every, whose = every[some], whose[some]
-        order = np.lexsort((whose, -every), axis=0)[: self.k]
-        self.scores, self.ids = np.take_along_axis(every, order, 0), np.take_along_axis(whose, order, 0)
+        hit = np.isfinite(every)
+        if len(every) > self.k:  # no hit below the k-th score can stay
+            hit &= every >= np.partition(every, len(every) - self.k, axis=0)[len(every) - self.k]
+        row, query = np.nonzero(hit)
+        order = np.lexsort((whose[row, query], -every[row, query], query))
+        row, query = row[order], query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, np.arange(every.shape[1]))[query]
+        row, query, place = row[place < self.k], query[place < self.k], place[place < self.k]
+        self.scores, self.ids = np.full((self.k, every.shape[1]), -np.inf), np.zeros((self.k, every.shape[1]), dtype=np.int64)
+        self.scores[place, query], self.ids[place, query] = every[row, query], whose[row, query]
 
     def rows(self, queries: np.ndarray) -> pa.RecordBatch:
         hit = np.isfinite(self.scores)
