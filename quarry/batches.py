@@ -9,10 +9,20 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches end at ``size`` where the session leaves Spark's 64 MB, which JVM and Python hold
+    several times over in each task. A session that sets a bound of its own keeps it."""
+    if spark.conf.get(BATCH_BYTES, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows and ``size`` bytes of strings; a longer row is a part of its own."""
     total = np.zeros(batch.num_rows, dtype=np.int64)
@@ -51,6 +61,8 @@ def map_batches(
     the partition nor the batch; when a task ends, its worker gives back what it took.
     """
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         try:
