@@ -37,7 +37,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Bytes of words and ids that a worker remembers, from task to task, and words that are encoded at once.
 CACHE_BYTES = 32 << 20
-LEARN = 1 << 15
+LEARN = 1 << 14
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are stored as little-endian 32-bit numbers"
 #: Rows of the (task, length) offsets that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
