@@ -124,9 +124,21 @@ def test_token_edits_and_folding(spark):
     assert one(spark, ["databaseUrl", "DATABASE_URL", "database-url"], similarity.fold_separators) == ["database url"] * 3
 
 
+# Published pairs of the English stemmer.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistent consist consistently consist
+consisting consist consolation consol consolatory consolatori consoling consol consolingly consol consonant conson constable constabl constancy constanc constant constant
+knack knack knackeries knackeri knacks knack knag knag knave knave knavish knavish kneaded knead kneading knead kneel kneel kneeled kneel knees knee knell knell knelt knelt knew knew
+knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knock knock knocked knock
+caresses caress ponies poni ties tie cries cri dies die gas gas this this gaps gap kiwis kiwi luxuriating luxuri hopping hop hoped hope hoping hope bed bed bead bead embedded embed
+generally general generously generous communism communism arsenal arsenal relational relat conditional condit rational ration happy happi by by say say cry cri sky sky skies sky
+dying die news news inning inning proceed proceed exceeds exceed agreed agre feed feed plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
+falling fall hissing hiss fizzed fizz failing fail filing file national nation sensational sensat triplicate triplic electrical electr hopeful hope goodness good formative format
+revival reviv allowance allow inference infer adjustable adjust adoption adopt activate activ bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll geology geolog
+hopelessly hopeless vitally vital apology apolog youth youth boy boy""".split()
+
+
 def test_stems():
-    assert {stemming.stem(w) for w in ("connect", "connected", "connecting", "connects")} == {"connect"}
-    assert stemming.stem("happy") == stemming.stem("happies") or stemming.stem("happy") == "happi"
+    assert {w: stemming.stem(w) for w in STEMS[::2]} == dict(zip(STEMS[::2], STEMS[1::2], strict=True))
 
 
 def test_stemmed_search(spark):
