@@ -134,10 +134,10 @@ def semantic_search(corpus: DataFrame, queries: DataFrame, k: int, embed: Callab
 
     both = corpus.select((2 * F.col("id")).alias("id"), "text").unionByName(queries.select((2 * F.col("query_id") + 1).alias("id"), "text"))
     made = (embed or hashed_vectors)(both)
-    texts = made.filter("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("id"), "vector")
+    texts = made.filter("id % 2 = 0").select(F.shiftright("id", 1).alias("id"), "vector")
     if where is not None:
         texts = texts.join(corpus.filter(where).select("id"), "id", "left_semi")
-    asked = made.filter("id % 2 <> 0").select(((F.col("id") - 1) / 2).cast("long").alias("query_id"), "vector")
+    asked = made.filter("id % 2 <> 0").select(F.shiftright("id", 1).alias("query_id"), "vector")
     return cosine_top_k(texts, asked, k)
 
 
