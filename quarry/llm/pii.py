@@ -97,9 +97,10 @@ BLOCK = 64
 CHUNK = 256
 
 
-def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """The running results of an associative operation over an array of ints, in blocks within blocks, so
-    that the work stays in proportion to the array."""
+def _running(values: Column, join: Callable[[Column, Column], Column], long: bool = True) -> Column:
+    """The running results of an associative operation over an array of ints, in blocks, so that the work
+    stays in proportion to the array up to millions of elements. Not ``long``, it is one fold: the plan is
+    smaller, and enough for sentences."""
 
     def fold(a: Column) -> Column:
         none = F.array().cast("array<int>")
@@ -117,7 +118,7 @@ def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column
 
         return let(a, lambda w: F.when(F.size(w) <= BLOCK, fold(w)).otherwise(blocks(w))) if deeper else fold(a)
 
-    return level(values, 2)
+    return level(values, int(long))
 
 
 def _chunks(text: Column) -> Column:
@@ -137,7 +138,7 @@ def _stretch(chunks: Column, at: Column, n: Column) -> Column:
     return F.when(n > 0, F.substring(F.array_join(part, ""), at % CHUNK + 1, n)).otherwise(F.lit(""))
 
 
-def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column], long: bool = True) -> Column:
     """The text with ``mark(span, end of the spans before it)`` in the place of each of the sorted spans."""
 
     def of(chunks: Column) -> Column:
@@ -146,19 +147,19 @@ def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Colu
             made = F.transform(spans, lambda s, i: F.concat(_stretch(chunks, before(i), s["start"] - before(i)), mark(s, before(i))))
             return F.concat(F.array_join(made, ""), let(before(F.size(spans)), lambda at: _stretch(chunks, at, F.length(text) - at)))
 
-        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), pieces)
+        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest, long), pieces)
 
     return F.when(F.size(spans) > 0, let(_chunks(text), of)).otherwise(text)
 
 
-def _spans(text: Column, pattern: str, kind: int, gen: int = -1) -> Column:
+def _spans(text: Column, pattern: str, kind: int, gen: int = -1, long: bool = True) -> Column:
     """Leftmost matches with their places: lengths of what lies between and of matches, summed up."""
     empty = F.array().cast(f"array<{SPAN}>")
 
     def of(matches: Column) -> Column:
         def placed(gaps: Column) -> Column:
             steps = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-            return let(_running(steps, lambda a, b: a + b), lambda ends: F.transform(matches, lambda m, i: F.struct(
+            return let(_running(steps, lambda a, b: a + b, long), lambda ends: F.transform(matches, lambda m, i: F.struct(
                 (F.get(ends, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), F.lit(gen).alias("gen"), m.alias("m")
             )))
 
@@ -167,7 +168,7 @@ def _spans(text: Column, pattern: str, kind: int, gen: int = -1) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
-def _parts(text: Column, kind: int, gen: int) -> Column:
+def _parts(text: Column, kind: int, gen: int, long: bool = True) -> Column:
     """Every piece of every number run that ``PIECES`` allows; pieces overlap."""
 
     def at(place: Column, near: Column) -> Column:
@@ -179,7 +180,7 @@ def _parts(text: Column, kind: int, gen: int) -> Column:
     def of(runs: Column, chunks: Column) -> Column:
         def run_of(run: Column) -> Column:
             # places of a group's first digit or bracket; what is near begins one character before
-            starts = _spans(run["m"], r"(?<![0-9])[0-9]|[(]", kind)
+            starts = _spans(run["m"], r"(?<![0-9])[0-9]|[(]", kind, long=long)
             return F.flatten(F.transform(starts, lambda s: let(run["start"] + s["start"], lambda p: let(_cut(chunks, p, REACH), lambda near: at(p, near)))))
 
         return F.flatten(F.transform(runs, run_of))
@@ -189,7 +190,7 @@ def _parts(text: Column, kind: int, gen: int) -> Column:
             return F.flatten(F.transform(runs, lambda run: at(run["start"], F.concat(F.lit(" "), run["m"]))))
         return let(_chunks(F.concat(F.lit(" "), text)), lambda chunks: of(runs, chunks))
 
-    return let(_spans(text, GENERATORS[gen][1], kind, gen), lambda runs: _gated(F.size(runs) > 0, some(runs)))
+    return let(_spans(text, GENERATORS[gen][1], kind, gen, long), lambda runs: _gated(F.size(runs) > 0, some(runs)))
 
 
 def _digits(m: Column) -> Column:
@@ -232,11 +233,11 @@ def _gated(gate: Column, spans: Column) -> Column:
     return F.when(gate, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def base_spans(text: Column, numeric: Column) -> Column:
+def base_spans(text: Column, numeric: Column, long: bool = True) -> Column:
     """The exact kinds' spans, by start and then kind. ``numeric``: whether the text has a digit."""
     found = []
     for kind, pattern in BASE.items():
-        spans = _spans(text, pattern, KINDS.index(kind))
+        spans = _spans(text, pattern, KINDS.index(kind), long=long)
         if kind in VALID:
             valid = VALID[kind]
             spans = F.filter(spans, lambda s: valid(s["m"]))  # noqa: B023  called at once
@@ -244,18 +245,19 @@ def base_spans(text: Column, numeric: Column) -> Column:
     return F.array_sort(F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
-def blanked(text: Column, base: Column) -> Column:
+def blanked(text: Column, base: Column, long: bool = True) -> Column:
     """The text with a line break, which no generator takes, for each character of a base span."""
-    return _replaced(text, base, lambda s, before: F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(before, s["start"]), F.lit(0))))
+    return _replaced(text, base, lambda s, before: F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(before, s["start"]), F.lit(0))), long)
 
 
-def candidates(text: Column, numeric: Column) -> Column:
-    """All generators' proposals, with the matched string as ``m``."""
+def candidates(text: Column, numeric: Column, gens: range = range(len(GENERATORS)), long: bool = True) -> Column:
+    """The proposals of generators, of all by default, with the matched string as ``m``."""
     spelled = text.rlike(r"(?i)[\[({<]at[\])}>]")
     made = []
-    for g, (k, p) in enumerate(GENERATORS):
+    for g in gens:
+        k, p = GENERATORS[g]
         kind = KINDS.index(k)
-        made.append(_gated(spelled if g == 0 else numeric, _parts(text, kind, g) if g >= PARTS else _spans(text, p, kind, g)))
+        made.append(_gated(spelled if g == 0 else numeric, _parts(text, kind, g, long) if g >= PARTS else _spans(text, p, kind, g, long)))
     return F.concat(*made)
 
 
@@ -421,9 +423,9 @@ def _fit_trees(spark: SparkSession, rows: list[dict], width: int, gens: range) -
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<t:string,y:int,n:int,v:array<string>>>")).alias("r"))
     table = table.select("r.t", "r.y", "r.n", "r.v")
     if gens.start == PARTS:
-        table = table.withColumn("base", base_spans(F.col("t"), F.lit(True))).withColumn("blank", let(F.col("base"), lambda base: blanked(F.col("t"), base)))
-    seen = candidates(F.col("blank" if gens.start == PARTS else "t"), F.lit(True))
-    found = table.select("t", "y", "n", "v", F.explode(seen).alias("c")).filter(F.col("c.gen").between(gens.start, gens.stop - 1))
+        table = table.withColumn("base", base_spans(F.col("t"), F.lit(True), False)).withColumn("blank", let(F.col("base"), lambda base: blanked(F.col("t"), base, False)))
+    seen = candidates(F.col("blank" if gens.start == PARTS else "t"), F.lit(True), gens, False)
+    found = table.select("t", "y", "n", "v", F.explode(seen).alias("c"))
     label = F.when(F.col("v").isNull(), F.col("y")).otherwise(F.array_contains("v", F.col("c.m")).cast("int"))
     x_of = F.array(*feature_columns(F.col("chunks"), F.col("c"))[:width])
     got = sorted((r["n"], r["x"][0], r["x"], r["y"]) for r in found.withColumn("chunks", _chunks(F.col("t"))).select("n", label.alias("y"), x_of.alias("x")).collect())
