@@ -21,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Steps (items tried in fillings) of one search: some ten seconds of the driver's time.
+#: Steps (items tried in fillings) of one search: some five to ten seconds of the driver's time.
 STEPS = 1_500_000
 #: Steps that an incumbent may take to find one filling.
 PATIENCE = 2000
