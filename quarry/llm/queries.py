@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, linededup, media, packing, pii, sharding, simhash, toxicity, urlfilter
+from quarry.llm import decontam, interaction, langid, linededup, media, packing, pii, ranked, sharding, simhash, tokencount, toxicity, urlfilter
 from quarry.llm.common import fold
 
 
@@ -86,6 +86,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokencount.count(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -97,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_counts": op13_token_counts,
 }
 #: Lower-cases A-Z alone, which DuckDB's lower() would not.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -159,8 +175,67 @@ SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS contain
 FROM p JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
+_CUT = "[\\x20\\x09-\\x0D]+"
+_ABC = "(SELECT unnest(range(5)) AS f)"
+
+#: All orders are made by a join of the five filters with themselves; each step then sums the cells anew.
+OP11_SQL = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_CUT}'), lambda w: w <> '') AS w FROM documents
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x))::INT
+         + 8 * regexp_matches(x, '[#$%&*|]')::INT
+         + 16 * coalesce(min(t.doc_id) OVER (PARTITION BY x) < t.doc_id, false)::INT AS mask
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS fs FROM {_ABC} a, {_ABC} b, {_ABC} c, {_ABC} d, {_ABC} e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(fs, lambda f: chr(65 + f::INT)), '') AS filter_order, s::INT AS step,
+         (1 << fs[s]) AS bit, list_sum(list_transform(fs[:s-1], lambda f: 1 << f))::BIGINT AS ahead
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), audit AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (mask & (coalesce(ahead, 0) | bit) = 0)::BIGINT AS kept,
+         sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(ahead, 0) = 0)::BIGINT AS removed,
+         sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(ahead, 0) <> 0)::BIGINT AS redundant,
+         sum(n) FILTER (mask = bit)::BIGINT AS unique_fails,
+         sum(good) FILTER (mask & bit <> 0 AND mask & coalesce(ahead, 0) = 0)::BIGINT AS good_lost,
+         sum(toxic) FILTER (mask & bit <> 0 AND mask & coalesce(ahead, 0) = 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+       coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM audit
+"""
+
+_TERMS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, c GROUP BY term, big_n),
+s AS (SELECT item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_decontam": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
