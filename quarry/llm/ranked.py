@@ -117,8 +117,11 @@ class Inverted:
         order = np.argsort(terms, kind="stable")
         self.docs = array("q", doc[order].astype(np.int64).tobytes())
         self.shares = array("q", share[order].tobytes())
+        self.lists: dict[int, tuple[int, int, int]] = {}
+        if not len(terms):
+            return
         present, first = np.unique(terms[order], return_index=True)
-        most = np.maximum.reduceat(share[order], first) if len(first) else first
+        most = np.maximum.reduceat(share[order], first)
         ends = np.append(first[1:], len(terms))
         self.lists = {t: (a, b, c) for t, a, b, c in zip(present.tolist(), first.tolist(), ends.tolist(), most.tolist(), strict=True)}
 

@@ -31,6 +31,9 @@ COLUMNS = {
     "op8_decontam": "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint, containment double",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op12_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op13_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
