@@ -124,16 +124,11 @@ def _fields(domain: str, no_model: float) -> Callable[[DataFrame, DataFrame], Da
         asked = references.select("doc", "model", "name").distinct()
         models = index.select(F.col("model").alias("_m")).distinct()
         met = asked.join(models, F.col("model") == F.col("_m"), "left")
-        # a probe is a field of its model: both make its key
         probes = met.filter("_m is not null").select(F.col("name").alias("probe"), "model").distinct()
-        found = resolve_fields(probes, index.select("model", "name").distinct(), 0.5, 50)
-        found = found.select(F.col("probe").alias("_p"), F.col("name").alias("full"), "score", "layer", "place")
-        own = F.substring_index("full", ".", 1) == F.col("model")
-        rows = met.join(found, F.col("name") == F.col("_p"), "left")
-        best = rows.groupBy("doc", "model", "name").agg(
-            F.max(F.col("_m").isNotNull()).alias("known"), F.max(own & (F.col("layer") < 2)).alias("ok"),
-            F.min_by(F.struct("full", "score", "layer"), F.struct(~own, "place")).alias("b"),
-        )
+        found = resolve_fields(probes, index.select("model", "name").distinct(), 0.5, 1)
+        found = found.select(F.col("probe").alias("_p"), F.col("model").alias("_pm"), F.struct(F.col("name").alias("full"), "score", "layer").alias("b"))
+        best = met.join(found, (F.col("name") == F.col("_p")) & (F.col("model") == F.col("_pm")), "left")
+        best = best.select("doc", "model", "name", F.col("_m").isNotNull().alias("known"), (F.col("b.layer") == 0).alias("ok"), "b")
         near = F.col("b.full").isNotNull()
         severity = F.when(~F.col("known"), "unknown").when(F.col("ok"), "ok").when(near, "low").otherwise("unknown")
         confidence = F.when(~F.col("known"), no_model).when(F.col("ok"), SAME).when(near & (F.col("b.layer") < 2), OTHER_MODEL).when(near, F.col("b.score")).otherwise(NO_FIELD)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.similarity import fold_separators, rerank_score, token_edits, trigram_join, whole_trigrams
 from quarry.functions.text import route_regex
+from quarry.operators.retrieval import top_k
 
 THRESHOLD, SALVAGE, FETCH = 0.40, 0.28, 50
 
@@ -102,21 +103,26 @@ def check_new_pages(probes: DataFrame, pages: DataFrame, threshold: float = THRE
 
 
 def resolve_fields(probes: DataFrame, fields: DataFrame, threshold: float = 0.5, limit: int = 5) -> DataFrame:
-    """Fields of models: on the model, on any model, like one on the model, like one anywhere.
+    """(probe, model, name, score, layer, place): fields of models: on the model asked for, on any model, like
+    one on the model, like one anywhere. Each (probe, model) is answered for itself.
 
-    ``probes`` (probe, model), ``fields`` (model, name); the result's names are ``model.field``.
+    ``probes`` (probe, model), ``fields`` (model, name); the result's names are ``model.field``. A name that
+    many models have is worth its first ``limit`` models, as no more could be given out; the own model's row
+    comes by a join of its own.
     """
-    f = fields.select(F.col("model").alias("owner"), "name")
-    full = F.concat_ws(".", "owner", "name")
-    pick = lambda df, score: df.select("probe", full.alias("name"), score.alias("score"))
-    own = probes.join(f, (F.col("probe") == F.col("name")) & (F.col("model") == F.col("owner")))
-    any_ = probes.join(f, F.col("probe") == F.col("name"))
-    first = [pick(own, F.lit(1.0)), pick(any_, F.lit(1.0))]
-    near = trigram_join(unmatched(probes, *first), f, threshold)
-    close = near.join(f.select(full.alias("full"), F.col("owner").alias("m"), "name"), "name")
-    here = close.join(probes.select("probe", F.col("model").alias("m")).distinct(), ["probe", "m"])
-    rows = lambda df: df.select("probe", F.col("full").alias("name"), F.col("sim").alias("score"))
-    return cascade([*first, rows(here), rows(close)], limit)
+    f = fields.select(F.col("model").alias("owner"), "name").distinct().withColumn("full", F.concat_ws(".", "owner", "name"))
+    few = top_k(f, ["name"], [F.asc("full")], limit).withColumnRenamed("name", "field")
+    asked = probes.select("probe", "model").distinct()
+    rows = lambda df, score: df.select(F.struct("probe", "model").alias("key"), F.col("full").alias("name"), score.alias("score"))
+    own = asked.join(f, (F.col("probe") == F.col("name")) & (F.col("model") == F.col("owner")))
+    any_ = asked.join(few, F.col("probe") == F.col("field"))
+    near = trigram_join(unmatched(asked, any_).select("probe"), f, threshold)
+    close = asked.join(near, "probe")
+    here = close.withColumnRenamed("name", "field").join(f, (F.col("field") == F.col("name")) & (F.col("model") == F.col("owner")))
+    there = close.join(few, F.col("name") == F.col("field")).drop("name")
+    one, sim = F.lit(1.0), F.col("sim")
+    layers = [rows(own, one), rows(any_, one), rows(here, sim), rows(there, sim)]
+    return cascade(layers, limit, "key").select("key.probe", "key.model", "name", "score", "layer", "place")
 
 
 def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3, limit: int = 5) -> DataFrame:

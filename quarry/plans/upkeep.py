@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import grounding, history, resolve, tables, upkeep
+from quarry.plans.search import _grams, _jac
 from quarry.session import load
 from quarry.sources import code, documents, transcripts
 
@@ -227,62 +228,86 @@ _ROUTES = [("GET", "/en/:page"), ("POST", "/fr/:page"), ("*", "/de/*"), ("GET",
 
 
 def resolve_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages' paths, their scheme as verb, against routes: exact, by pattern, or alike."""
     probes = _paths(spark, sf).select(F.col("path").alias("probe"), F.when(F.col("scheme") == "https", "GET").otherwise("POST").alias("method")).distinct()
-    found = resolve.resolve_routes(probes.filter("method = 'GET'"), spark.createDataFrame(_ROUTES, "method string, name string"), 1.0, 3)
-    return found.select("probe", "name", "layer", "place")
+    found = resolve.resolve_routes(probes, spark.createDataFrame(_ROUTES, "method string, name string"), 0.3, 3)
+    return found.select("probe", "name", F.round("score", 6).alias("score"), "layer", "place")
 
 
 def resolve_env(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts' names as variables, declared or used by their type."""
+    """Parts' names as variables, declared or used by their type; asked for as they are and with a letter lost."""
     name = F.upper(F.translate("p_name", " ", "_"))
     source = F.when(F.col("p_size") % 2 == 0, "env-example").when(F.col("p_size") % 3 == 0, "compose").otherwise("source-read")
     declared = load(spark, sf, "part").select(name.alias("name"), source.alias("source"))
-    probes = declared.select(F.col("name").alias("probe")).distinct().unionByName(declared.select(F.concat("name", F.lit("_ZZZZZZZZZZZZZZZZ")).alias("probe")).distinct())
-    return resolve.resolve_env(probes, declared, 0.99, 2, ["compose"]).select("probe", "name", "source", "layer", "place")
+    probes = _misspelt(declared.select("name"))
+    return resolve.resolve_env(probes, declared, 0.5, 2, ["compose"]).select("probe", "name", "source", F.round("score", 6).alias("score"), "layer", "place")
 
 
 def resolve_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations by name, or by a supplier of theirs as an alias."""
+    """Nations by name, by a supplier of theirs as an alias, or by a name with a letter lost."""
     s = load(spark, sf, "supplier").join(load(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     names = s.groupBy(F.col("n_name").alias("name")).agg(F.collect_set("s_name").alias("aliases"))
-    probes = s.select(F.col("s_name").alias("probe")).unionByName(s.select(F.col("n_name").alias("probe"))).distinct()
-    return resolve.resolve_names(probes, names, 1.0, 3).select("probe", "name", "layer", "place")
+    probes = s.select(F.col("s_name").alias("probe")).unionByName(_misspelt(s.select(F.col("n_name").alias("name")))).distinct()
+    return resolve.resolve_names(probes, names, 0.5, 3).select("probe", "name", F.round("score", 6).alias("score"), "layer", "place")
+
+
+def _misspelt(names: DataFrame) -> DataFrame:
+    """(probe): names as they are and without their second letter."""
+    lost = F.concat(F.substring("name", 1, 1), F.substring("name", 3, 100))
+    return names.select(F.explode(F.array("name", lost)).alias("probe")).distinct()
+
+
+def _fields_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Types of parts as models, names of the smaller ones as their fields."""
+    return load(spark, sf, "part").filter("p_size <= 10").select(F.col("p_type").alias("model"), F.col("p_name").alias("name")).distinct()
 
 
 def resolve_db_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Types of parts as models, names as fields; every brand asks for the fields of one model."""
+    """Every model is asked for every field, as it is and with a letter lost: all four layers answer."""
     part = load(spark, sf, "part")
-    fields = part.select(F.col("p_type").alias("model"), F.col("p_name").alias("name")).distinct()
-    probes = part.filter("p_partkey % 3 = 0").select(F.col("p_name").alias("probe"), F.lit("ECONOMY").alias("model")).distinct()
-    return resolve.resolve_fields(probes, fields, 1.0, 4).select("probe", "name", "layer", "place")
+    probes = part.select(F.col("p_type").alias("model")).distinct().crossJoin(F.broadcast(_misspelt(part.select(F.col("p_name").alias("name")))))
+    found = resolve.resolve_fields(probes, _fields_of_parts(spark, sf), 0.5, 4)
+    return found.select("probe", "model", "name", F.round("score", 6).alias("score"), "layer", "place")
+
+
+def lint_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Edits that use a field of a model: one that it has or another has, a misspelt one, one of an unknown model."""
+    lost = F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 100))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, lost).otherwise(F.concat(F.lit("qq"), F.col("p_partkey") % 7))
+    used = load(spark, sf, "part").select(F.col("p_partkey").alias("doc"), F.when(F.col("p_size") > 45, "NOWHERE").otherwise(F.col("p_type")).alias("model"), name.alias("name"))
+    return grounding.models(used, _fields_of_parts(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
 def resolve_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands as packages that export the names of their smaller parts; each is asked for all names."""
     part = load(spark, sf, "part")
-    exports = part.select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"))
-    probes = part.select(F.col("p_name").alias("probe")).distinct().crossJoin(F.broadcast(spark.createDataFrame([("Brand#13",), ("Brand#5",)], "package string")))
-    return resolve.resolve_exports(probes, exports.distinct(), 1.0).select("probe", "package", "name", "layer")
+    exports = part.filter("p_size < 20").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"))
+    probes = part.select(F.col("p_brand").alias("package")).distinct().crossJoin(F.broadcast(_misspelt(part.select(F.col("p_name").alias("name")))))
+    found = resolve.resolve_exports(probes.select("probe", "package"), exports.distinct(), 0.5)
+    return found.select("probe", "package", "name", F.round("score", 6).alias("score"), "layer", "place")
 
 
 def lint_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of the pages' URLs, by scheme as verb."""
     calls = load(spark, sf, "pages").select(F.col("page_id").alias("doc"), F.when(F.col("url").startswith("https"), "GET").otherwise("POST").alias("method"), F.col("url").alias("name"))
     known = spark.createDataFrame([*_ROUTES, ("GET", "/zzzzzzzz")], "method string, name string").filter("name <> '/es/1'")
-    return grounding.routes(calls, known).filter("severity <> 'low' or confidence = 0.85").select("doc", "severity", F.round("confidence", 6).alias("confidence"))
+    return grounding.routes(calls, known).select("doc", "severity", "candidate", F.round("confidence", 6).alias("confidence"))
 
 
 def lint_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = _paths(spark, sf)
     asked = pages.filter("page_id % 2 = 0 and path <> ''").select(F.col("page_id").alias("doc"), F.col("path").alias("name"))
     known = pages.filter("page_id % 2 = 1").select(F.col("path").alias("name")).unionByName(spark.createDataFrame([("/de/:page",)], "name string"))
-    return grounding.new_pages(asked, known).filter("severity = 'unknown' or candidate = '/de/:page'").select("doc", "severity", "confidence")
+    return grounding.new_pages(asked, known).select("doc", "severity", "candidate", F.round("confidence", 6).alias("confidence"))
 
 
 def lint_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts import names, some with a letter lost, from brands that export those of their smaller parts."""
     part = load(spark, sf, "part")
     exports = part.filter("p_size < 20").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"))
-    asked = part.select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("package"), F.col("p_name").alias("name"))
-    return grounding.imports(asked, exports).filter("severity = 'ok'").select("doc", "name", "severity", "confidence")
+    lost = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 100))).otherwise(F.col("p_name"))
+    asked = part.select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("package"), lost.alias("name"))
+    return grounding.imports(asked, exports).select("doc", "name", "severity", "candidate", F.round("confidence", 6).alias("confidence"))
 
 
 def lint_assets(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,6 +319,13 @@ def prose_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return grounding.phrases(load(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
+def lint_prose(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of all texts, and these with their last two letters lost, against the phrases of even documents."""
+    found = prose_phrases(spark, sf)
+    used = found.unionByName(found.select("doc", F.expr("left(name, length(name) - 2)").alias("name")))
+    return grounding.prose(used, found.filter("doc % 2 = 0")).select("doc", "name", "severity", "candidate", F.round("confidence", 6).alias("confidence"))
+
+
 def file_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Pages' paths as files of an application, and the routes that these serve."""
     path = F.concat(F.lit("pages"), F.regexp_replace("path", "[0-9]+", "[id]"), F.when(F.col("page_id") % 2 == 0, ".tsx").otherwise(".css"))
@@ -380,6 +412,21 @@ def gists_or_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.md5(F.coalesce(text.gist(F.col("text")), F.left("text", F.lit(200)))).alias("shown_md5"))
 
 
+
+
+def _near(probes: str, names: str) -> str:
+    """SQL of (probe, name, sim) of all pairs: trigrams by words, Jaccard."""
+    return f"SELECT probe, name, {_jac('tp', 'tn')} AS sim FROM (SELECT probe, {_grams('probe')} AS tp FROM ({probes})), (SELECT name, {_grams('name')} AS tn FROM ({names})) WHERE len(tp) > 0 AND len(tn) > 0"
+
+
+def _lost(names: str) -> str:
+    return f"SELECT name AS probe FROM ({names}) UNION SELECT left(name, 1) || substr(name, 3, 100) FROM ({names})"
+
+
+#: Layers of fields ``f`` for probes ``p``: own, anywhere, like an own one, like one anywhere.
+_FIELD_LAYERS = f"""s AS ({_near('SELECT DISTINCT probe FROM p', 'SELECT DISTINCT name FROM f')}),
+c AS (SELECT * FROM (SELECT probe, p.model, f.model || '.' || f.name AS name, 1.0::DOUBLE AS score, CASE WHEN f.model = p.model THEN 0 ELSE 1 END AS layer FROM p JOIN f ON name = probe
+UNION ALL SELECT probe, p.model, f.model || '.' || name, sim, CASE WHEN f.model = p.model THEN 2 ELSE 3 END FROM p JOIN s USING (probe) JOIN f USING (name) WHERE sim >= 0.5) QUALIFY layer = min(layer) OVER (PARTITION BY probe, model))"""
 _P = "regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
 _LINE = r"regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?m)^\s*(?:[-*#>]+|\d+\.)\s*', '', 'g'), '[*_`]', '', 'g'), '^\s+|\s+$', '', 'g')"
 
@@ -436,24 +483,49 @@ x AS (SELECT *, left(regexp_extract(trim(c), '^([^\\n]+)', 1), 200) AS line, nul
 SELECT conv_id AS session_id, arg_min(line, turn) FILTER (role = 'user') AS request, arg_min(f, turn) FILTER (f IS NOT NULL) AS learned FROM x GROUP BY conv_id""",
     "summary_search": "SELECT doc_id AS session_id FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(text), 'heron') OR contains(lower(text), 'stable') ORDER BY doc_id % 100 DESC, doc_id LIMIT 25",
     "blacklist_probe": "SELECT DISTINCT p_name AS name FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size > 45)",
-    "resolve_routes": f"""SELECT probe, name, layer, row_number() OVER (PARTITION BY probe ORDER BY CASE layer WHEN 0 THEN 1 ELSE length(name) END DESC, name) AS place FROM (SELECT probe, name, CASE WHEN probe = name THEN 0 ELSE 1 END AS layer FROM (
-SELECT DISTINCT {_P} AS probe FROM pages WHERE starts_with(url, 'https')), (SELECT unnest(['/en/:page', '/de/*', '/es/1']) AS name, unnest(['^/+en/+[^/]+/*$', '^/+de(/.*)?/*$', '^/+es/+1/*$']) AS rx) WHERE probe = name OR regexp_matches(probe, rx)
-QUALIFY layer = min(layer) OVER (PARTITION BY probe)) QUALIFY place <= 3""",
-    "resolve_env": """SELECT name AS probe, name, source, 0 AS layer, row_number() OVER (PARTITION BY name ORDER BY source = 'env-example' DESC, source) AS place FROM (
-SELECT DISTINCT upper(replace(p_name, ' ', '_')) AS name, CASE WHEN p_size % 2 = 0 THEN 'env-example' WHEN p_size % 3 = 0 THEN 'compose' ELSE 'source-read' END AS source FROM part) WHERE source <> 'compose' QUALIFY place <= 2""",
-    "resolve_aliases": """WITH s AS (SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT probe, name, layer, row_number() OVER (PARTITION BY probe ORDER BY name) AS place FROM (SELECT DISTINCT n_name AS probe, n_name AS name, 0 AS layer FROM s UNION ALL SELECT DISTINCT s_name, n_name, 1 FROM s) QUALIFY place <= 3""",
-    "resolve_db_fields": """WITH f AS (SELECT DISTINCT p_type AS model, p_name AS name FROM part), p AS (SELECT DISTINCT p_name AS probe FROM part WHERE p_partkey % 3 = 0)
-SELECT probe, model || '.' || name AS name, layer, row_number() OVER (PARTITION BY probe ORDER BY model || '.' || name) AS place FROM (SELECT probe, model, name, CASE WHEN model = 'ECONOMY' THEN 0 ELSE 1 END AS layer FROM p JOIN f ON name = probe
-QUALIFY layer = min(layer) OVER (PARTITION BY probe)) QUALIFY place <= 4""",
-    "resolve_exports": "SELECT DISTINCT p_name AS probe, p_brand AS package, p_name AS name, 0 AS layer FROM part WHERE p_brand IN ('Brand#13', 'Brand#5')",
-    "lint_routes": f"""SELECT doc, CASE WHEN served THEN 'ok' WHEN known THEN 'low' ELSE 'unknown' END AS severity, CASE WHEN served THEN 1.0 WHEN known THEN 0.85 ELSE 0.9 END::DOUBLE AS confidence FROM (
-SELECT page_id AS doc, regexp_matches({_P}, '^/+(en|fr)/+[^/]+/*$|^/+de(/.*)?/*$') AS known, regexp_matches({_P}, '^/+de(/.*)?/*$') OR (starts_with(url, 'https') AND regexp_matches({_P}, '^/+en/+[^/]+/*$'))
-OR (NOT starts_with(url, 'https') AND regexp_matches({_P}, '^/+fr/+[^/]+/*$')) AS served, {_P} AS p FROM pages) WHERE p <> ''""",
-    "lint_pages": f"""WITH p AS (SELECT page_id, {_P} AS path FROM pages)
-SELECT page_id AS doc, CASE WHEN taken THEN 'unknown' ELSE 'low' END AS severity, CASE WHEN taken THEN 0.98 ELSE 0.85 END::DOUBLE AS confidence FROM (
-SELECT page_id, path IN (SELECT path FROM p WHERE page_id % 2 = 1) AS taken, regexp_matches(path, '^/+de/+[^/]+/*$') AS covered FROM p WHERE page_id % 2 = 0 AND path <> '') WHERE taken OR covered""",
-    "lint_imports": """SELECT p_partkey AS doc, p_brand || '.' || p_name AS name, 'ok' AS severity, 1.0::DOUBLE AS confidence FROM part WHERE (p_brand, p_name) IN (SELECT (p_brand, p_name) FROM part WHERE p_size < 20)""",
+    "resolve_routes": f"""WITH p AS (SELECT DISTINCT {_P} AS probe, CASE WHEN starts_with(url, 'https') THEN 'GET' ELSE 'POST' END AS method FROM pages),
+r AS (SELECT * FROM (VALUES ('GET', '/en/:page', '^/+en/+[^/]+/*$'), ('POST', '/fr/:page', '^/+fr/+[^/]+/*$'), ('*', '/de/*', '^/+de(/.*)?/*$'), ('GET', '/es/1', '^/+es/+1/*$')) t(m, name, rx)),
+c AS (SELECT probe, name, 1.0::DOUBLE AS score, 0 AS layer FROM p, r WHERE probe = name AND (method = m OR m = '*')
+UNION SELECT probe, name, length(name), 1 FROM p, r WHERE regexp_matches(probe, rx) AND (method = m OR m = '*')
+UNION SELECT probe, name, sim, 2 FROM ({_near('SELECT DISTINCT probe FROM p', 'SELECT name FROM r')}) WHERE sim >= 0.3)
+SELECT probe, name, round(score, 6) AS score, layer, row_number() OVER (PARTITION BY probe ORDER BY score DESC, name) AS place FROM (SELECT * FROM c QUALIFY layer = min(layer) OVER (PARTITION BY probe)) QUALIFY place <= 3""",
+    "resolve_env": f"""WITH d AS (SELECT DISTINCT upper(replace(p_name, ' ', '_')) AS name, CASE WHEN p_size % 2 = 0 THEN 'env-example' WHEN p_size % 3 = 0 THEN 'compose' ELSE 'source-read' END AS source FROM part),
+k AS (SELECT * FROM d WHERE source <> 'compose'), p AS ({_lost('SELECT DISTINCT name FROM d')}),
+c AS (SELECT probe, name, CASE WHEN probe = name THEN 1.0 ELSE sim END AS score, CASE WHEN probe = name THEN 0 ELSE 1 END AS layer FROM ({_near('SELECT probe FROM p', 'SELECT DISTINCT name FROM k')}) WHERE sim >= 0.5 OR probe = name
+QUALIFY layer = min(layer) OVER (PARTITION BY probe))
+SELECT probe, name, source, round(score, 6) AS score, layer, row_number() OVER (PARTITION BY probe ORDER BY score DESC, source = 'env-example' DESC, name, source) AS place FROM c JOIN k USING (name) QUALIFY place <= 2""",
+    "resolve_aliases": f"""WITH s AS (SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey), n AS (SELECT DISTINCT n_name AS name FROM s),
+p AS (SELECT s_name AS probe FROM s UNION {_lost('SELECT name FROM n')}),
+c AS (SELECT probe, name, 1.0::DOUBLE AS score, 0 AS layer FROM p JOIN n ON probe = name UNION ALL SELECT DISTINCT s_name, n_name, 1.0::DOUBLE, 1 FROM s
+UNION ALL SELECT probe, name, sim, 2 FROM ({_near('SELECT probe FROM p', 'SELECT name FROM n')}) WHERE sim >= 0.5)
+SELECT probe, name, round(score, 6) AS score, layer, row_number() OVER (PARTITION BY probe ORDER BY score DESC, name) AS place FROM (SELECT * FROM c QUALIFY layer = min(layer) OVER (PARTITION BY probe)) QUALIFY place <= 3""",
+    "resolve_db_fields": f"""WITH f AS (SELECT DISTINCT p_type AS model, p_name AS name FROM part WHERE p_size <= 10),
+p AS (SELECT DISTINCT p_type AS model, probe FROM part, ({_lost('SELECT DISTINCT p_name AS name FROM part')})), {_FIELD_LAYERS}
+SELECT probe, model, name, round(score, 6) AS score, layer, row_number() OVER (PARTITION BY probe, model ORDER BY score DESC, name) AS place FROM c QUALIFY place <= 4""",
+    "resolve_exports": f"""WITH f AS (SELECT DISTINCT p_brand AS package, p_name AS name FROM part WHERE p_size < 20), l AS ({_lost('SELECT DISTINCT p_name AS name FROM part')}),
+c AS (SELECT p.probe, f.package, f.name, CASE WHEN p.probe = f.name THEN 1.0 ELSE sim END AS score, CASE WHEN p.probe = f.name THEN 0 ELSE 1 END AS layer
+FROM l p JOIN ({_near('SELECT probe FROM l', 'SELECT DISTINCT name FROM f')}) s ON s.probe = p.probe JOIN f ON f.name = s.name WHERE sim >= 0.5 QUALIFY layer = min(layer) OVER (PARTITION BY p.probe, f.package))
+SELECT probe, package, name, round(score, 6) AS score, layer, row_number() OVER (PARTITION BY probe, package ORDER BY score DESC, name) AS place FROM c QUALIFY place <= 5""",
+    "lint_routes": f"""WITH k AS (SELECT page_id AS doc, starts_with(url, 'https') AS get, CASE WHEN length(q) > 1 THEN regexp_replace(q, '/$', '') ELSE q END AS probe FROM (SELECT *, regexp_replace({_P}, '//+', '/', 'g') AS q FROM pages) WHERE q <> ''),
+r AS (SELECT * FROM (VALUES ('GET', '/en/:page', '^/+en/+[^/]+/*$'), ('POST', '/fr/:page', '^/+fr/+[^/]+/*$'), ('*', '/de/*', '^/+de(/.*)?/*$'), ('GET', '/zzzzzzzz', '^/+zzzzzzzz/*$')) t(m, name, rx)),
+c AS (SELECT probe, m, name, length(name)::DOUBLE AS score, 1 AS layer FROM (SELECT DISTINCT probe FROM k), r WHERE regexp_matches(probe, rx)
+UNION ALL SELECT probe, m, s.name, sim, 2 FROM ({_near('SELECT DISTINCT probe FROM k', 'SELECT name FROM r')}) s JOIN r ON r.name = s.name WHERE sim >= 0.3),
+b AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, name) AS place FROM (SELECT * FROM c QUALIFY layer = min(layer) OVER (PARTITION BY probe))),
+o AS (SELECT doc, coalesce(bool_or(layer = 1 AND (m = '*' OR m = CASE WHEN get THEN 'GET' ELSE 'POST' END)), false) AS ok, any_value(name) FILTER (place = 1) AS candidate, any_value(score) FILTER (place = 1) AS score, any_value(layer) FILTER (place = 1) AS layer FROM k LEFT JOIN b USING (probe) GROUP BY doc)
+SELECT doc, CASE WHEN ok THEN 'ok' WHEN layer IS NOT NULL THEN 'low' ELSE 'unknown' END AS severity, candidate, round(CASE WHEN ok THEN 1.0 WHEN layer = 1 THEN 0.85 WHEN layer = 2 THEN score ELSE 0.9 END::DOUBLE, 6) AS confidence FROM o""",
+    "lint_pages": f"""WITH p AS (SELECT page_id, {_P} AS path FROM pages), k AS (SELECT DISTINCT path AS name FROM p WHERE page_id % 2 = 1 UNION SELECT '/de/:page'),
+a AS (SELECT DISTINCT path AS probe FROM p WHERE page_id % 2 = 0 AND path <> ''),
+c AS (SELECT probe, name, 1.0::DOUBLE AS score, 0 AS layer FROM a JOIN k ON probe = name
+UNION ALL SELECT probe, name, length(name), 1 FROM a JOIN k ON CASE WHEN name = '/de/:page' THEN regexp_matches(probe, '^/+de/+[^/]+/*$') ELSE rtrim(probe, '/') = rtrim(name, '/') AND name <> '' END
+UNION ALL SELECT probe, name, sim, 2 FROM ({_near('SELECT probe FROM a', 'SELECT name FROM k')}) WHERE sim >= 0.4),
+b AS (SELECT * FROM (SELECT * FROM c QUALIFY layer = min(layer) OVER (PARTITION BY probe)) QUALIFY row_number() OVER (PARTITION BY probe ORDER BY score DESC, name) = 1)
+SELECT page_id AS doc, CASE layer WHEN 0 THEN 'unknown' ELSE 'low' END AS severity, name AS candidate, round(CASE layer WHEN 0 THEN 0.98 WHEN 1 THEN 0.85 ELSE score END::DOUBLE, 6) AS confidence FROM p JOIN b ON path = probe WHERE page_id % 2 = 0""",
+    "lint_imports": f"""WITH f AS (SELECT DISTINCT p_brand AS package, p_name AS name FROM part WHERE p_size < 20),
+u AS (SELECT p_partkey AS doc, p_brand AS package, CASE WHEN p_partkey % 2 = 0 THEN left(p_name, 1) || substr(p_name, 3, 100) ELSE p_name END AS probe FROM part WHERE p_brand IN (SELECT package FROM f)),
+b AS (SELECT s.probe, f.package, max(struct_pack(sim := sim, name := f.name)) AS b FROM ({_near('SELECT DISTINCT probe FROM u', 'SELECT DISTINCT name FROM f')}) s JOIN f ON f.name = s.name WHERE sim >= 0.5 GROUP BY ALL)
+SELECT doc, u.package || '.' || u.probe AS name, CASE WHEN f.name IS NOT NULL THEN 'ok' WHEN b.b IS NOT NULL THEN 'low' ELSE 'unknown' END AS severity, coalesce(f.name, b.b.name) AS candidate,
+round(CASE WHEN f.name IS NOT NULL THEN 1.0 WHEN b.b IS NOT NULL THEN b.b.sim ELSE 0.85 END::DOUBLE, 6) AS confidence
+FROM u LEFT JOIN f ON f.package = u.package AND f.name = u.probe LEFT JOIN b ON b.package = u.package AND b.probe = u.probe""",
     "lint_assets": """SELECT p_partkey AS doc, p_name AS name, CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size < 10) THEN 'ok' ELSE 'unknown' END AS severity,
 CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size < 10) THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence FROM part""",
     "prose_phrases": f"SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(text, '{grounding.PHRASES}', 1)) AS name FROM documents",
@@ -472,6 +544,18 @@ CASE WHEN event_id % 4 <> 0 THEN 'out' ELSE '' END AS tool_output, event_id % 4
     "file_touches": """SELECT (user_id % 7)::VARCHAR AS session_id, '/r/' || user_id % 20 || '.ts' AS file_path, CASE event_type WHEN 'signup' THEN 'write' ELSE 'edit' END AS op, count(*) AS n FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1, 2, 3""",
     "edit_operations": """SELECT path, (row_number() OVER (PARTITION BY path ORDER BY ts, session_id, event_id) - 1)::INTEGER AS seq, op, new FROM (SELECT '/r/' || user_id % 20 || '.ts' AS path, (user_id % 7)::VARCHAR AS session_id, ts, event_id,
 CASE event_type WHEN 'signup' THEN 'write' ELSE 'edit' END AS op, CASE event_type WHEN 'signup' THEN 'signup text' ELSE 'new text' END AS new FROM events WHERE event_type IN ('signup', 'view'))""",
+    "lint_fields": f"""WITH f AS (SELECT DISTINCT p_type AS model, p_name AS name FROM part WHERE p_size <= 10),
+u AS (SELECT p_partkey AS doc, CASE WHEN p_size > 45 THEN 'NOWHERE' ELSE p_type END AS model, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, 1) || substr(p_name, 3, 100) ELSE 'qq' || p_partkey % 7 END AS probe FROM part),
+p AS (SELECT DISTINCT model, probe FROM u WHERE model IN (SELECT model FROM f)), {_FIELD_LAYERS},
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY probe, model ORDER BY score DESC, name) = 1)
+SELECT doc, 'db' AS domain, u.model || '.' || u.probe AS name, CASE WHEN b.layer = 0 THEN 'ok' WHEN b.layer IS NOT NULL THEN 'low' ELSE 'unknown' END AS severity, b.name AS candidate,
+round(CASE WHEN u.model NOT IN (SELECT model FROM f) THEN 0.92 WHEN b.layer = 0 THEN 1.0 WHEN b.layer = 1 THEN 0.85 WHEN b.layer IS NOT NULL THEN b.score ELSE 0.9 END::DOUBLE, 6) AS confidence
+FROM u LEFT JOIN b ON u.model = b.model AND u.probe = b.probe""",
+    "lint_prose": f"""WITH x AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(text, '{grounding.PHRASES}', 1)) AS name FROM documents),
+u AS (SELECT doc, name AS probe FROM x UNION SELECT doc, left(name, length(name) - 2) FROM x),
+s AS ({_near('SELECT DISTINCT probe FROM u', 'SELECT DISTINCT name FROM x WHERE doc % 2 = 0')}),
+b AS (SELECT probe, bool_or(probe = name) AS same, max(struct_pack(sim := sim, name := name)) AS b FROM s WHERE sim >= 0.7 GROUP BY probe)
+SELECT doc, probe AS name, 'low' AS severity, b.b.name AS candidate, round(b.b.sim, 6) AS confidence FROM u JOIN b USING (probe) WHERE NOT same""",
     "user_prompt_view": "SELECT o_orderkey, c_name, c_mktsegment, epoch_us(o_orderdate) AS at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
 }
 ROWS_ONLY = ("semantic_top5", "training_rows", "gists_or_text")
