@@ -136,6 +136,20 @@ def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
     return index.search(_asked(spark, sf), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def stored_search_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """How many postings a stored index scores for each query, and how many the query's words have there."""
+    index = textindex.TextIndex.build(_corpus(spark, sf), work_folder(spark))
+    hits = index.search(_asked(spark, sf), 10, reads=True)
+    return hits.groupBy("query_id").agg(F.max("postings_read").alias("postings_read"), F.max("postings_held").alias("postings_held"))
+
+
+def bm25_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts are stored, a third of them deleted, and every sixth comes back: ranks are those of what is there."""
+    corpus = _corpus(spark, sf)
+    index = textindex.TextIndex.build(corpus, work_folder(spark)).delete(corpus.filter("id % 3 = 0")).append(corpus.filter("id % 6 = 0"))
+    return index.search(_asked(spark, sf), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def fts_and_unstemmed(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.contains_all(_corpus(spark, sf), "and the of that").select(F.col("id").alias("doc_id"))
 
@@ -501,6 +515,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (61 + pl
     "fts_and_unstemmed": f"SELECT doc_id FROM documents WHERE list_has_all({_TOK.format('text')}, ['and', 'the', 'of', 'that'])",
     "substring_search": "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{n}') THEN '{n}'" for n in NEEDLES) + " END AS needle FROM documents) WHERE needle IS NOT NULL",
     "bm25_every": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED})",
+    "bm25_after_changes": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0)')}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
     "bm25_stored": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
     "cosine_top10": f"SELECT query_id, id AS vec_id, round(score, 6) AS score FROM ({_COS}) QUALIFY {_PLACE} <= 10",
     "cosine_batch": """SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.label AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]), 9) AS score FROM embeddings e,
@@ -537,5 +552,5 @@ WHEN regexp_matches({_PATH}, '^/de/+[^/]+/*$') THEN '/de/:page' WHEN regexp_matc
 WHEN regexp_matches(p, '^/?en/[^/]*\\.html(?:/|$)') THEN '!en/*.html' WHEN regexp_matches(p, '(?:^|/)[^/]*\\.html(?:/|$)') THEN '*.html' END AS rule
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS p FROM pages))""",
 }
-ROWS_ONLY = ("markdown_chunks", "fts_and_stemmed", "ann_topk", "lr_fit", "rewriter_winner")
+ROWS_ONLY = ("markdown_chunks", "stored_search_reads", "fts_and_stemmed", "ann_topk", "lr_fit", "rewriter_winner")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import ranking, resolve, retrieval, tables, textindex
+from quarry.operators import grounding, ranking, resolve, retrieval, tables, textindex
 from quarry.scope import Scope, resolve_scope
 from quarry.sources import documents, transcripts
 from quarry.streaming import incremental
@@ -195,6 +195,18 @@ def test_cascades(spark):
     assert status["dark-mode"] == "OK" and status["zzz"] == "UNKNOWN" and status["dark-mod"] in ("TYPO", "UNCERTAIN")
 
 
+def test_every_probe_of_a_field_is_answered(spark):
+    fields = spark.createDataFrame([("User", "email"), ("Post", "title")] + [(f"M{i:02}", "id") for i in range(60)], "model string, name string")
+    p = spark.createDataFrame([("email", "User"), ("email", "Order"), ("emial", "Post"), ("id", "M59"), ("id", "User")], "probe string, model string")
+    got = {(r.probe, r.model): (r.name, r.layer) for r in resolve.resolve_fields(p, fields, 0.2).filter("place = 1").collect()}
+    assert got == {("email", "User"): ("User.email", 0), ("email", "Order"): ("User.email", 1), ("emial", "Post"): ("User.email", 3), ("id", "M59"): ("M59.id", 0), ("id", "User"): ("M00.id", 1)}
+    used = spark.createDataFrame([(i, f"M{i:02}", "id") for i in range(60)], "doc long, model string, name string")
+    assert {r.severity for r in grounding.models(used, fields).collect()} == {"ok"}
+    other = spark.createDataFrame([(1, "User", "id"), (2, "User", "emial"), (3, "User", "zzz"), (4, "Nope", "id")], "doc long, model string, name string")
+    got = {r.doc: (r.severity, r.candidate, r.confidence) for r in grounding.models(other, fields).collect()}
+    assert got[1] == ("low", "M00.id", 0.85) and got[3] == ("unknown", None, 0.9) and got[4] == ("unknown", None, 0.92)
+
+
 def test_fields_and_routes(spark):
     fields = spark.createDataFrame([("User", "email"), ("Post", "title"), ("Post", "emails")], "model string, name string")
     p = spark.createDataFrame([("email", "User"), ("title", "User"), ("emial", "User")], "probe string, model string")
@@ -307,6 +319,30 @@ def test_ranked_search_alike_in_batches_by_joins_and_stored(spark, tmp_path):
     assert rows(index.search(queries, 20)) == pytest.approx(want)
     left = corpus.filter("id not in (1, 6)")
     assert rows(index.delete(spark.createDataFrame([(1,), (6,)], "id int")).search(queries, 20)) == pytest.approx(rows(retrieval.bm25(left, queries)))
+    # a text without words, a null one and one that is not there go as well; ids come back, with other texts too
+    index.delete(spark.createDataFrame([(2,), (3,), (99,), (1,)], "id int"))
+    left = corpus.filter("id not in (1, 2, 3, 6)")
+    assert rows(index.search(queries, 20)) == pytest.approx(rows(retrieval.bm25(left, queries)))
+    more = spark.createDataFrame([(1, "cat back"), (6, "dog"), (3, "")], "id long, text string")
+    assert rows(index.append(more).search(queries, 20)) == pytest.approx(rows(retrieval.bm25(left.unionByName(more), queries)))
+    index.delete(more.filter("id = 1"))
+    assert rows(index.search(queries, 20)) == pytest.approx(rows(retrieval.bm25(left.unionByName(more.filter("id <> 1")), queries)))
     best = [i for _, i in sorted((-x, i) for (q, i), x in want.items() if q == 1)[:2]]
     assert [r.id for r in retrieval.bm25_top_k(corpus, queries.filter("query_id = 1"), 2).orderBy(F.desc("score"), "id").collect()] == best
     assert retrieval.bm25_top_k(corpus.limit(0), queries, 3).count() == 0
+
+
+def test_stored_search_skips_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK", 8)
+    monkeypatch.setattr(textindex, "FIRST", 2)
+    r = np.random.default_rng(9)
+    texts = [(i, " ".join(f"t{i % 12}w{x}" for x in r.zipf(1.6, 20) % 200) + " all" * int(r.integers(1, 5))) for i in range(900)]
+    corpus = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(j, f"all t{j}w1 t{j}w7 t{j + 1}w30") for j in range(8)], "query_id long, text string")
+    index = textindex.TextIndex.build(corpus, str(tmp_path / "i"), 4)
+    got = index.search(queries, 5, reads=True).collect()
+    want = {(x.query_id, x.id): x.score for x in retrieval.bm25_top_k(corpus, queries, 5).collect()}
+    assert {(x.query_id, x.id): x.score for x in got} == pytest.approx(want)
+    read = {x.query_id: x.postings_read / x.postings_held for x in got}
+    assert sum(read.values()) < 0.6 * len(read), read
+    assert index.search(queries.limit(0), 5).count() == 0 and textindex.TextIndex.build(corpus.limit(0), str(tmp_path / "none")).search(queries, 3).count() == 0
