@@ -1,6 +1,7 @@
 """Token counts of a byte-level BPE, huge texts by overlapping chunks that resynchronise.
 
-A text of ordinary length is encoded whole. A huge one is cut into chunks of ``CHUNK`` characters that run
+A text of ordinary length is cut where white space follows another character, which is always a boundary,
+and distinct parts are encoded once (``Parts``). A huge one is cut into chunks of ``CHUNK`` characters that run
 ``OVERLAP`` characters into the next; chunks are spread over tasks and encoded with offsets. Two
 neighbours are spliced at the first boundary that both have, with the same token before it, and that is
 proven to be one of the whole text (``stable``). The count of the text is then the sum, over neighbours, of
@@ -45,6 +46,8 @@ from quarry.batches import large_texts, map_batches
 from quarry.llm.common import BROADCAST_ROWS, Scratch, map_rows, salted_join, small_or_shuffled
 
 CHUNK, OVERLAP = 32_768, 512
+#: Bytes of parts that a worker remembers, and parts that are encoded at once.
+CACHE_BYTES, LEARN = 24 << 20, 1 << 13
 #: Characters that a rule looks at on either side of a boundary.
 BEFORE, AFTER = 3, 2
 LETTER, DIGIT, SIGN, SPACE = 1, 2, 3, 4
@@ -121,6 +124,58 @@ def shared_boundaries(spans: list[tuple[int, int]], start: int, overlap: int) ->
     return ((last[good] - start) * (overlap + 1) + first[good] - start).tolist(), (good + 1).tolist()
 
 
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def part_starts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where ASCII white space follows a printable ASCII character or one of two bytes
+    from U+00C0 on: no piece of the tokenizer and no special string goes on over such a place."""
+    before = np.zeros(len(data), dtype=bool)
+    before[1:] = (data[:-1] > 32) & (data[:-1] < 127)
+    before[2:] |= (data[1:-1] >= 128) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
+    return np.flatnonzero(_WHITE[data] & before)
+
+
+class Parts:
+    """Token counts of the parts of texts between white space; those seen are remembered as Arrow columns."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.counts = pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The tokens of each text; ``texts`` are large strings without nulls."""
+        if not len(texts):
+            return np.zeros(0, dtype=np.int64)
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        cuts = np.unique(np.concatenate([part_starts(data), ends]))
+        parts = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.names)
+        new = coded.dictionary.filter(pc.is_null(at))
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(len(new))
+        made = [len(e.ids) for first in range(0, len(new), LEARN) for e in self.tokenizer.encode_batch_fast(new[first : first + LEARN].to_pylist(), add_special_tokens=False)]
+        self.names, self.counts = pa.concat_arrays([self.names, new]), np.append(self.counts, np.array(made, dtype=np.int64))
+        each = self.counts[place[coded.indices.to_numpy(zero_copy_only=False)]]
+        if self.names.nbytes > CACHE_BYTES:
+            self.forget()
+        sums = np.append(0, np.cumsum(each))
+        return np.diff(sums[np.searchsorted(cuts, ends)])
+
+
+@lru_cache(maxsize=1)
+def _worker_parts(path: str) -> Parts:
+    """The parts that this worker knows, from task to task."""
+    return Parts(path)
+
+
 def text_key(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -204,17 +259,16 @@ def count(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP
     is_huge = F.length("text") > chunk + overlap + margin(path)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        tokenizer = _tokenizer(path)[0]
+        parts = _worker_parts(path)
 
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = large_texts(part.column(1))
-            counts = [len(e.ids) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            return pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(parts.count(texts))], names=["doc_id", "n_bytes", "n_tokens"])
 
         return of
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    short = map_batches(rows.filter(~is_huge), ["doc_id", "text"], f"doc_id {kind}, n_bytes bigint, n_tokens bigint", make, slice_bytes=1 << 20)
+    short = map_batches(rows.filter(~is_huge), ["doc_id", "text"], f"doc_id {kind}, n_bytes bigint, n_tokens bigint", make, slice_bytes=4 << 20)
     huge = rows.filter(is_huge)
     counted = huge_counts(huge, path, scratch, chunk, overlap)
     named = huge.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key"))

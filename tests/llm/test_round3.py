@@ -207,6 +207,19 @@ def test_splices_are_boundaries_of_the_whole_text(tokenizer):
     assert shared > 5000
 
 
+def test_parts_are_counted_as_the_whole(tokenizer):
+    import pyarrow as pa
+
+    r = random.Random(8)
+    odd = [*PIECES, "\u00a0", "\u00a0 ", "\u3000 x", "\u2028 ", "\x85 ", "é ", "日 本 ", "😀 ", "\x1c ", " \x00 ", "\x7f "]
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(0, 60))) for _ in range(3000)] + ["", " ", "x", "\n\n"]
+    parts = tokencount.Parts(TOKENIZER)
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    column = pa.array(["a b", *texts], pa.large_string())
+    assert parts.count(column[1:]).tolist() == want and parts.count(column.slice(1, 700)).tolist() == want[:700]
+    assert parts.count(column[:0]).tolist() == [] and len(parts.names) < 30_000
+
+
 def test_huge_texts_equal_whole_ones(spark, tokenizer):
     r = random.Random(7)
     texts = ["".join(r.choice(PIECES) for _ in range(r.randrange(0, 300))) for _ in range(150)]
