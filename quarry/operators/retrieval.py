@@ -105,14 +105,14 @@ class Best:
 HITS = "query_id bigint, id bigint, score double"
 
 
-def _in_blocks(queries: DataFrame, search: Callable[[list], DataFrame], size: int = QUERY_BLOCK) -> DataFrame:
+def _in_blocks(queries: DataFrame, search: Callable[[list], DataFrame], size: int = QUERY_BLOCK, schema: str = HITS) -> DataFrame:
     """Search results of all queries, a block of them at a time, so that neither the driver nor a task
     holds more than a block."""
     rows, parts = queries.toLocalIterator(), []
     while block := list(islice(rows, size)):
         parts.append(search(block))
     if not parts:
-        return queries.sparkSession.createDataFrame([], HITS)
+        return queries.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
 
 

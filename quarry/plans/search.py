@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import similarity, text
-from quarry.operators import history, lint, ranking, resolve, retrieval, stemming, tables, textindex
+from quarry.operators import graphindex, history, lint, ranking, resolve, retrieval, stemming, tables, textindex
 from quarry.session import kept, load, work_folder
 from quarry.sources import documents
 
@@ -184,8 +186,21 @@ def semantic_cache_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    hits = retrieval.CellIndex.build(v.select("id", "vector")).search(_probes_of(v), 10)
-    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    hits = graphindex.GraphIndex.build(v.select("id", "vector")).search(_probes_of(v), 10, compared=True)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.round("share", 6).alias("share"))
+
+
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each preset finds so much of the ten nearest of all queries as it should."""
+    v = _vectors(spark, sf)
+    queries = _probes_of(v)
+    exact = retrieval.cosine_top_k(v, queries, 10).select("query_id", "id", F.lit(1).alias("near"))
+    out = []
+    for preset, least in (("balanced", 0.9), ("high-recall", 0.95), ("low-memory", 0.9)):
+        found = graphindex.GraphIndex.build(v.select("id", "vector"), preset).search(queries, 10).select("query_id", "id", F.lit(1).alias("found"))
+        met = exact.join(found, ["query_id", "id"], "left")
+        out.append(met.select(F.lit(preset).alias("preset"), "query_id", "found").groupBy("preset").agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= least * F.count("*")).alias("reached")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
@@ -515,6 +530,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (61 + pl
     "fts_and_unstemmed": f"SELECT doc_id FROM documents WHERE list_has_all({_TOK.format('text')}, ['and', 'the', 'of', 'that'])",
     "substring_search": "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{n}') THEN '{n}'" for n in NEEDLES) + " END AS needle FROM documents) WHERE needle IS NOT NULL",
     "bm25_every": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED})",
+    "ann_recall": "SELECT preset, count(*) AS queries, true AS reached FROM embeddings, (SELECT unnest(['balanced', 'high-recall', 'low-memory']) AS preset) WHERE vec_id % 20 = 0 GROUP BY preset",
     "bm25_after_changes": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0)')}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
     "bm25_stored": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
     "cosine_top10": f"SELECT query_id, id AS vec_id, round(score, 6) AS score FROM ({_COS}) QUALIFY {_PLACE} <= 10",
