@@ -9,7 +9,7 @@ from quarry.functions import text
 from quarry.operators import grounding, history, resolve, tables, upkeep
 from quarry.plans.search import _grams, _jac
 from quarry.session import load
-from quarry.sources import code, documents, transcripts
+from quarry.sources import code, documents, transcripts, walks
 
 AS_OF = "2024-01-31 00:00:00"
 _URL_PATH = r"^[a-z]+://[^/]+([^?#]*)"
@@ -326,6 +326,37 @@ def lint_prose(spark: SparkSession, sf: str) -> DataFrame:
     return grounding.prose(used, found.filter("doc % 2 = 0")).select("doc", "name", "severity", "candidate", F.round("confidence", 6).alias("confidence"))
 
 
+_STAR = [("Query", "customer", "Customer!"), ("Customer", "name", "String"), ("Customer", "acctbal", "Float"), ("Customer", "nation", "Nation!"), ("Customer", "orders", "[Order!]!"),
+         ("Nation", "name", "String"), ("Nation", "region", "Region"), ("Region", "name", "String"), ("Order", "total", "Float"), ("Order", "customer", "Customer")]
+
+
+def _star(spark: SparkSession) -> DataFrame:
+    """The fields of the star's types."""
+    return spark.createDataFrame(_STAR, "model string, name string, type string")
+
+
+def lint_selections(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as edits with a query of nested selections, aliases and an inline fragment; some misspell a field."""
+    key = F.col("c_custkey")
+    balance, region = F.when(key % 3 == 0, "accbal").otherwise("acctbal"), F.when(key % 5 == 0, "zone { zzz }").otherwise("region { name }")
+    body = F.concat(F.lit("const q = gql`query Q($id: ID = \"}\") { c: customer(id: $id, like: {zzz: 1}) { name # zzz\n b: "), balance, F.lit(" ... on Customer { nation @include(if: true) { name "), region, F.lit(" } } orders { "), F.concat(F.lit("t"), key % 4), F.lit(" customer { nation { name } } } } }`"))
+    texts = load(spark, sf, "customer").select(key.alias("doc"), body.alias("text"))
+    star = _star(spark)
+    found = grounding.graphql(walks.typed(walks.query_fields(texts), star), star)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+def lint_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as edits that call a model with nested conditions and selections; some misspell or miss a model."""
+    key = F.col("o_orderkey")
+    model, name = F.when(key % 7 == 0, "ordr").otherwise("order"), F.when(key % 3 == 0, "nme").otherwise("name")
+    body = F.concat(F.lit("// prisma.order.count({ where: { zzz: 1 } })\nawait prisma."), model, F.lit(".findMany({ take: 5, where: { AND: [{ total: { gt: '}' } }, { customer: { is: { nation: { "), name, F.lit(": 'x' } } } }] }, include: { customer: { select: { acctbal: true, \"orders\": { where: { totl: 1 } } } } } })"))
+    texts = load(spark, sf, "orders").select(key.alias("doc"), body.alias("text"))
+    star = _star(spark)
+    found = grounding.models(walks.typed(walks.call_fields(texts), star), star)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 def file_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Pages' paths as files of an application, and the routes that these serve."""
     path = F.concat(F.lit("pages"), F.regexp_replace("path", "[0-9]+", "[id]"), F.when(F.col("page_id") % 2 == 0, ".tsx").otherwise(".css"))
@@ -427,6 +458,18 @@ def _lost(names: str) -> str:
 _FIELD_LAYERS = f"""s AS ({_near('SELECT DISTINCT probe FROM p', 'SELECT DISTINCT name FROM f')}),
 c AS (SELECT * FROM (SELECT probe, p.model, f.model || '.' || f.name AS name, 1.0::DOUBLE AS score, CASE WHEN f.model = p.model THEN 0 ELSE 1 END AS layer FROM p JOIN f ON name = probe
 UNION ALL SELECT probe, p.model, f.model || '.' || name, sim, CASE WHEN f.model = p.model THEN 2 ELSE 3 END FROM p JOIN s USING (probe) JOIN f USING (name) WHERE sim >= 0.5) QUALIFY layer = min(layer) OVER (PARTITION BY probe, model))"""
+#: Issues of uses ``u`` (doc, model, probe) of the star's fields.
+_STAR_SQL = "f AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{n}')" for m, n, _ in _STAR) + ") t(model, name))"
+
+
+def _star_issues(domain: str, no_model: float) -> str:
+    return f"""p AS (SELECT DISTINCT model, probe FROM u WHERE model IN (SELECT model FROM f)), {_FIELD_LAYERS},
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY probe, model ORDER BY score DESC, name) = 1)
+SELECT doc, '{domain}' AS domain, u.model || '.' || u.probe AS name, CASE WHEN b.layer = 0 THEN 'ok' WHEN b.layer IS NOT NULL THEN 'low' ELSE 'unknown' END AS severity, b.name AS candidate,
+round(CASE WHEN u.model NOT IN (SELECT model FROM f) THEN {no_model} WHEN b.layer = 0 THEN 1.0 WHEN b.layer = 1 THEN 0.85 WHEN b.layer IS NOT NULL THEN b.score ELSE 0.9 END::DOUBLE, 6) AS confidence
+FROM u LEFT JOIN b ON u.model = b.model AND u.probe = b.probe"""
+
+
 _P = "regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
 _LINE = r"regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?m)^\s*(?:[-*#>]+|\d+\.)\s*', '', 'g'), '[*_`]', '', 'g'), '^\s+|\s+$', '', 'g')"
 
@@ -556,6 +599,13 @@ u AS (SELECT doc, name AS probe FROM x UNION SELECT doc, left(name, length(name)
 s AS ({_near('SELECT DISTINCT probe FROM u', 'SELECT DISTINCT name FROM x WHERE doc % 2 = 0')}),
 b AS (SELECT probe, bool_or(probe = name) AS same, max(struct_pack(sim := sim, name := name)) AS b FROM s WHERE sim >= 0.7 GROUP BY probe)
 SELECT doc, probe AS name, 'low' AS severity, b.b.name AS candidate, round(b.b.sim, 6) AS confidence FROM u JOIN b USING (probe) WHERE NOT same""",
+    "lint_selections": f"""WITH {_STAR_SQL}, k AS (SELECT c_custkey::VARCHAR AS doc, c_custkey AS k FROM customer),
+u AS (SELECT doc, unnest(['Query', 'Customer', 'Nation', 'Customer', 'Customer', 'Order']) AS model, unnest(['customer', 'name', 'name', 'nation', 'orders', 'customer']) AS probe FROM k
+UNION SELECT doc, 'Customer', CASE WHEN k % 3 = 0 THEN 'accbal' ELSE 'acctbal' END FROM k UNION SELECT doc, 'Nation', CASE WHEN k % 5 = 0 THEN 'zone' ELSE 'region' END FROM k
+UNION SELECT doc, 'Region', 'name' FROM k WHERE k % 5 <> 0 UNION SELECT doc, 'Order', 't' || k % 4 FROM k), {_star_issues('graphql', 0.9)}""",
+    "lint_chains": f"""WITH {_STAR_SQL}, k AS (SELECT o_orderkey::VARCHAR AS doc, o_orderkey AS k FROM orders),
+u AS (SELECT doc, CASE WHEN k % 7 = 0 THEN 'Ordr' ELSE 'Order' END AS model, unnest(['total', 'customer']) AS probe FROM k
+UNION SELECT doc, unnest(['Customer', 'Customer', 'Customer', 'Nation', 'Order']), unnest(['nation', 'acctbal', 'orders', CASE WHEN k % 3 = 0 THEN 'nme' ELSE 'name' END, 'totl']) FROM k WHERE k % 7 <> 0), {_star_issues('db', 0.92)}""",
     "user_prompt_view": "SELECT o_orderkey, c_name, c_mktsegment, epoch_us(o_orderdate) AS at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
 }
 ROWS_ONLY = ("semantic_top5", "training_rows", "gists_or_text")
