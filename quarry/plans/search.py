@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import similarity, text
-from quarry.operators import graphindex, history, lint, ranking, resolve, retrieval, stemming, tables, textindex
+from quarry.operators import gramindex, graphindex, history, lint, ranking, resolve, retrieval, stemming, tables, textindex
 from quarry.session import kept, load, work_folder
 from quarry.sources import documents
 
@@ -164,6 +164,16 @@ def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.substring_search(_corpus(spark, sf), NEEDLES).select(F.col("id").alias("doc_id"), "needle")
 
 
+_PARTS = ("the", "es", "%", "q", "worthless heron", "tion en", "\u00f1e", "1")
+
+
+def substring_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text and each needle in it, through a stored trigram index; texts of every third id are deleted again."""
+    corpus = _corpus(spark, sf)
+    index = gramindex.GramIndex.build(corpus, work_folder(spark)).delete(corpus.filter("id % 3 = 0"))
+    return index.search(_PARTS).select(F.col("id").alias("doc_id"), "needle")
+
+
 def cosine_top10(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     return retrieval.cosine_top_k(v, _probes_of(v), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
@@ -530,6 +540,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (61 + pl
     "fts_and_unstemmed": f"SELECT doc_id FROM documents WHERE list_has_all({_TOK.format('text')}, ['and', 'the', 'of', 'that'])",
     "substring_search": "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{n}') THEN '{n}'" for n in NEEDLES) + " END AS needle FROM documents) WHERE needle IS NOT NULL",
     "bm25_every": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED})",
+    "substring_indexed": f"SELECT doc_id, needle FROM documents, (SELECT unnest({list(_PARTS)}) AS needle) WHERE doc_id % 3 <> 0 AND contains(lower(text), needle)",
     "ann_recall": "SELECT preset, count(*) AS queries, true AS reached FROM embeddings, (SELECT unnest(['balanced', 'high-recall', 'low-memory']) AS preset) WHERE vec_id % 20 = 0 GROUP BY preset",
     "bm25_after_changes": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0)')}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
     "bm25_stored": f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25_ASKED}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10",
