@@ -6,7 +6,7 @@ matches of its first layer that has any, which is what early exit does for one p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.similarity import fold_separators, rerank_score, token_edits, trigram_join, whole_trigrams
 from quarry.functions.text import route_regex
-from quarry.operators.retrieval import top_k
+from quarry.operators.retrieval import cosine_top_k, top_k
 
 THRESHOLD, SALVAGE, FETCH = 0.40, 0.28, 50
 
@@ -186,12 +186,27 @@ PRIORITY = {"OK": 4, "ACCEPT_SDK": 3, "REPLACE": 2, "RESIDUAL": 1}
 SUFFIXES = ("_KEY", "_SECRET", "_TOKEN", "_URL", "_HOST")
 
 
-def rewrite(probes: DataFrame, names: DataFrame, threshold: float = 0.7, accepted: Sequence[str] = (), abbreviations: dict[str, str] | None = None) -> DataFrame:
+def by_meaning(probes: DataFrame, names: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = 0.85, k: int = 3) -> DataFrame:
+    """(probe, name, sim): of each probe's ``k`` nearest names by the vectors of their words, those near enough.
+
+    ``embed`` maps (id, text) to (id, vector), as ``meaning.LearnedVectors.embed`` of texts with such names does.
+    """
+    keyed = lambda df, c: df.select(F.xxhash64(c).alias("id"), c, fold_separators(F.col(c)).alias("text"))
+    p, n = keyed(probes.select("probe").distinct(), "probe"), keyed(names.select("name").distinct(), "name")
+    near = cosine_top_k(embed(n.select("id", "text")), embed(p.select("id", "text")).withColumnRenamed("id", "query_id"), k).filter(F.col("score") >= threshold)
+    met = near.join(p.select(F.col("id").alias("query_id"), "probe"), "query_id").join(n.select("id", "name"), "id")
+    return met.filter(F.col("probe") != F.col("name")).select("probe", "name", F.col("score").alias("sim"))
+
+
+def rewrite(
+    probes: DataFrame, names: DataFrame, threshold: float = 0.7, accepted: Sequence[str] = (), abbreviations: dict[str, str] | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(probe, verdict, confidence, name, strategy): every strategy proposes; the highest verdict wins,
     then confidence, then the order of strategies and of candidates by name.
 
     Candidates of a probe come from joins on what a strategy compares: the name itself, its folded
-    form, its sorted tokens, its prefix, its trigrams or its tokens.
+    form, its sorted tokens, its prefix, its trigrams or its tokens; ``embed`` adds names of like meaning.
     """
     p, n = probes.select("probe").distinct(), names.select("name").distinct()
     pick = lambda df, verdict, conf, order, label: df.select(
@@ -226,6 +241,9 @@ def rewrite(probes: DataFrame, names: DataFrame, threshold: float = 0.7, accepte
         pick(paired, "RESIDUAL", F.lit(0.4), 7, "suffix"),
         pick(p.withColumn("name", F.lit(None).cast("string")), "RESIDUAL", F.lit(0.0), 8, "none"),
     ]
+    if embed:
+        near = by_meaning(p, n, embed)
+        proposals.append(pick(near, "REPLACE", F.col("sim"), 9, "embedding"))
     union = proposals[0]
     for more in proposals[1:]:
         union = union.union(more)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import similarity, text
-from quarry.operators import gramindex, graphindex, history, lint, ranking, resolve, retrieval, stemming, tables, textindex
+from quarry.operators import gramindex, graphindex, history, lint, meaning, ranking, resolve, retrieval, stemming, tables, textindex, upkeep
 from quarry.session import kept, load, work_folder
 from quarry.sources import documents
 
@@ -164,6 +164,13 @@ def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.substring_search(_corpus(spark, sf), NEEDLES).select(F.col("id").alias("doc_id"), "needle")
 
 
+def learned_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts nearest to the queries by vectors that are learned from all texts."""
+    corpus = _corpus(spark, sf)
+    learned = meaning.LearnedVectors.fit(corpus)
+    return upkeep.semantic_search(corpus, _asked(spark, sf), 5, learned.embed).select("query_id", F.col("id").alias("doc_id"), F.round("score", 3).alias("score"))
+
+
 _PARTS = ("the", "es", "%", "q", "worthless heron", "tion en", "\u00f1e", "1")
 
 
@@ -579,5 +586,5 @@ WHEN regexp_matches({_PATH}, '^/de/+[^/]+/*$') THEN '/de/:page' WHEN regexp_matc
 WHEN regexp_matches(p, '^/?en/[^/]*\\.html(?:/|$)') THEN '!en/*.html' WHEN regexp_matches(p, '(?:^|/)[^/]*\\.html(?:/|$)') THEN '*.html' END AS rule
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS p FROM pages))""",
 }
-ROWS_ONLY = ("markdown_chunks", "stored_search_reads", "fts_and_stemmed", "ann_topk", "lr_fit", "rewriter_winner")
+ROWS_ONLY = ("learned_top5", "markdown_chunks", "stored_search_reads", "fts_and_stemmed", "ann_topk", "lr_fit", "rewriter_winner")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}
