@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.similarity import fold_separators, rerank_score, token_edits, trigram_join, whole_trigrams
+from quarry.functions.similarity import fold_separators, rerank_score, trigram_join, whole_trigrams
 from quarry.functions.text import route_regex
 from quarry.operators.retrieval import cosine_top_k, top_k
 
@@ -153,11 +153,10 @@ def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3,
 def resolve_symbols(probes: DataFrame, names: DataFrame, threshold: float = THRESHOLD, salvage: float = SALVAGE, limit: int = 5) -> DataFrame:
     """(probe, name, sim, edits, score, place): the 50 most similar, ranked again by length, prefixes and
     edits. Probes without a match get another try at ``salvage`` with few edits."""
-    near = trigram_join(probes, names, min(threshold, salvage))
     edits = F.levenshtein(F.lower("probe"), F.lower("name"))
-    scored = near.withColumn("edits", edits)
-    strong = scored.filter(F.col("sim") >= threshold)
-    weak = scored.join(strong.select("probe").distinct(), "probe", "left_anti")
+    strong = trigram_join(probes, names, threshold).withColumn("edits", edits)
+    # the weak join, whose common trigrams are many, is for the probes that found nothing
+    weak = trigram_join(unmatched(probes, strong), names, min(threshold, salvage)).withColumn("edits", edits)
     weak = weak.filter(F.col("edits") <= F.greatest(F.lit(2), F.floor(F.length("probe") / 3).cast("int")))
     rows = strong.unionByName(weak)
     fetched = rows.withColumn("_n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("sim"), "name"))).filter(F.col("_n") <= FETCH)
@@ -198,6 +197,25 @@ def by_meaning(probes: DataFrame, names: DataFrame, embed: Callable[[DataFrame],
     return met.filter(F.col("probe") != F.col("name")).select("probe", "name", F.col("score").alias("sim"))
 
 
+def one_token_off(probes: DataFrame, names: DataFrame) -> DataFrame:
+    """(probe, name): the first names, by name, that differ from a probe in one ``_``-separated token: another
+    one, one more or one less; the first of all such names is among them.
+
+    Both sides are keyed by what one change leaves: a token masked on both, or a token left out on one.
+    All names of one token share a key, so of each key only the first two names are kept (one may be the
+    probe itself), and what a probe meets follows its tokens, not the names.
+    """
+    split = lambda c: F.split(c, "_")
+    masked = lambda t: F.transform(t, lambda w, i: F.concat(F.lit("="), F.array_join(F.transform(t, lambda x, j: F.when(i == j, "*").otherwise(x)), "_")))
+    less = lambda t, tag: F.transform(t, lambda w, i: F.concat(F.lit(tag), F.array_join(F.filter(t, lambda x, j: i != j), "_")))
+    whole = lambda t, tag: F.array(F.concat(F.lit(tag), F.array_join(t, "_")))
+    of_probe = F.array_distinct(F.concat(masked(split("probe")), less(split("probe"), "-"), whole(split("probe"), "+")))
+    of_name = F.array_distinct(F.concat(masked(split("name")), whole(split("name"), "-"), less(split("name"), "+")))
+    first = top_k(names.select("name").distinct().select("name", F.explode(of_name).alias("k")), ["k"], [F.asc("name")], 2)
+    met = probes.select("probe").distinct().select("probe", F.explode(of_probe).alias("k")).join(first, "k")
+    return met.filter(F.col("probe") != F.col("name")).select("probe", "name").distinct()
+
+
 def rewrite(
     probes: DataFrame, names: DataFrame, threshold: float = 0.7, accepted: Sequence[str] = (), abbreviations: dict[str, str] | None = None,
     embed: Callable[[DataFrame], DataFrame] | None = None,
@@ -222,11 +240,7 @@ def rewrite(
                            lambda x: F.array_join(F.transform("t", lambda w, i: F.when(i == x["i"], F.element_at(table, w)).otherwise(w)), "_"))
     every = F.array_join(F.transform("t", lambda w: F.coalesce(F.element_at(table, w), w)), "_")
     acronyms = expanded.select("probe", F.explode(F.array_distinct(F.concat(variants, F.array(every)))).alias("v")).join(n, F.col("v") == F.col("name")).filter(differ)
-    # token edits: some token or the lack of one is shared when only one token changes
-    masked = lambda t: F.array_distinct(F.concat(F.transform(t, lambda w, i: F.array_join(F.transform(t, lambda x, j: F.when(i == j, "*").otherwise(x)), "_")),
-                        F.array(F.array_join(t, "_")), F.transform(t, lambda w, i: F.array_join(F.filter(t, lambda x, j: i != j), "_"))))
-    keyed = lambda df, c: df.select(c, F.explode(masked(F.split(c, "_"))).alias("k"))
-    edited = keyed(p, "probe").join(keyed(n, "name"), "k").select("probe", "name").distinct().filter(token_edits(F.col("probe"), F.col("name")) == 1)
+    edited = one_token_off(p, n)
     stem = lambda df, c: df.withColumn("s", F.explode(F.array(*[F.lit(s) for s in SUFFIXES]))).filter(F.col(c).endswith(F.col("s"))).select(c, F.substring(F.col(c), F.lit(1), F.length(c) - F.length("s")).alias("k"))
     paired = stem(p, "probe").join(stem(n, "name"), "k")
     close = trigram_join(p, n, threshold, grams=whole_trigrams)

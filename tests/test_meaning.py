@@ -57,9 +57,9 @@ def test_the_rewriter_proposes_names_of_like_meaning(spark):
     _, texts = corpus(spark)
     learned = meaning.LearnedVectors.fit(texts, dims=4)
     names = spark.createDataFrame([("carEngine",), ("doctor_ward",), ("filmScene",)], "name string")
-    probes = spark.createDataFrame([("automobile_wheel",), ("physicianWard",), ("unknownThing",)], "probe string")
+    probes = spark.createDataFrame([("automobile_wheel",), ("physicianWard",), ("unknown_thing_x",)], "probe string")
     won = {r.probe: (r.verdict, r.name, r.strategy) for r in resolve.rewrite(probes, names, embed=learned.embed).collect()}
-    assert won["automobile_wheel"] == ("REPLACE", "carEngine", "embedding") and won["physicianWard"][1] == "doctor_ward" and won["unknownThing"][0] == "RESIDUAL"
+    assert won["automobile_wheel"] == ("REPLACE", "carEngine", "embedding") and won["physicianWard"][1] == "doctor_ward" and won["unknown_thing_x"][0] == "RESIDUAL"
 
 
 def test_empty_and_unknown(spark):

@@ -195,6 +195,23 @@ def test_cascades(spark):
     assert status["dark-mode"] == "OK" and status["zzz"] == "UNKNOWN" and status["dark-mod"] in ("TYPO", "UNCERTAIN")
 
 
+def test_one_token_off_equals_edit_distance(spark):
+    from quarry.functions.similarity import token_edits
+
+    words = ["A", "B", "A_B", "B_A", "A_B_C", "A_C", "A_B_C_D", "", "A_A", "A_A_A", "C_B_A", "X_B_C"]
+    p, n = spark.createDataFrame([(w,) for w in words], "probe string"), spark.createDataFrame([(w,) for w in words if w != "B"], "name string")
+    first = {}
+    for r in sorted(p.crossJoin(n).filter(token_edits(F.col("probe"), F.col("name")) == 1).collect(), key=lambda r: r.name, reverse=True):
+        first[r.probe] = r.name
+    got = {}
+    for r in resolve.one_token_off(p, n).filter(token_edits(F.col("probe"), F.col("name")) == 1).collect():
+        got[r.probe] = min(got.get(r.probe, r.name), r.name)
+    assert got == first and resolve.one_token_off(p, n).count() == resolve.one_token_off(p, n).filter(token_edits(F.col("probe"), F.col("name")) == 1).count()
+    many = spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("name"))
+    probes = spark.range(20_000, 30_000).select(F.concat(F.lit("n"), "id").alias("probe"))
+    assert resolve.one_token_off(probes, many).count() <= 20_000
+
+
 def test_every_probe_of_a_field_is_answered(spark):
     fields = spark.createDataFrame([("User", "email"), ("Post", "title")] + [(f"M{i:02}", "id") for i in range(60)], "model string, name string")
     p = spark.createDataFrame([("email", "User"), ("email", "Order"), ("emial", "Post"), ("id", "M59"), ("id", "User")], "probe string, model string")
