@@ -138,6 +138,14 @@ def _fields(domain: str, no_model: float) -> Callable[[DataFrame, DataFrame], Da
     return ground
 
 
+@strategy("member")
+def members(references: DataFrame, index: DataFrame) -> DataFrame:
+    """Calls (doc, model, name) on receivers of known types against members of types (model, name): as fields
+    are, but a type that is not indexed is another library's and no issue."""
+    own = references.join(index.select("model").distinct(), "model", "left_semi")
+    return _fields("member", NO_MODEL)(own, index)
+
+
 models = strategy("db")(_fields("db", NO_MODEL))
 graphql = strategy("graphql")(_fields("graphql", NO_FIELD))
 

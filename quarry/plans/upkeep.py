@@ -9,7 +9,7 @@ from quarry.functions import text
 from quarry.operators import grounding, history, resolve, tables, upkeep
 from quarry.plans.search import _grams, _jac
 from quarry.session import load
-from quarry.sources import code, documents, transcripts, walks
+from quarry.sources import code, documents, lexer, transcripts, walks
 
 AS_OF = "2024-01-31 00:00:00"
 _URL_PATH = r"^[a-z]+://[^/]+([^?#]*)"
@@ -357,6 +357,33 @@ def lint_chains(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+_SOURCES = {
+    "ts": "// class Hidden { no() {} }\nexport class T{k} {\n  m{s}(a: number) { return \"} class No {\" }\n}\nfunction f{k}() { /* } */ }\n",
+    "go": "package p // func hidden() {\ntype T{k} struct { s string }\nfunc (t *T{k}) m{s}(a int) string { return `func no() {` }\n\nfunc f{k}() {}\n",
+    "py": "# class Hidden:\nclass T{k}:\n    def m{s}(self, a): return 'def no(): {'\n\ndef f{k}(): pass\n",
+}
+
+
+def _source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as source files in three languages: a class, its method and a function, and what only looks like them."""
+    kind = F.when(F.col("p_partkey") % 3 == 0, "ts").when(F.col("p_partkey") % 3 == 1, "go").otherwise("py")
+    text_ = F.coalesce(*[F.when(kind == e, F.lit(t)) for e, t in _SOURCES.items()])
+    text_ = F.replace(F.replace(text_, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
+    return load(spark, sf, "part").select(F.concat(F.lit("/r/"), "p_partkey", F.lit("."), kind).alias("path"), text_.alias("text"))
+
+
+def lexed_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return lexer.symbols(_source_files(spark, sf)).select("path", "name", "kind", F.coalesce("parent", F.lit("")).alias("parent"), "line")
+
+
+def lint_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Edits that call the methods of parts' classes: the right one, one of no class, and one of another library's class."""
+    body = F.concat(F.lit("const t = new T"), "p_partkey", F.lit("(1)\nt.m"), "p_size", F.lit("(2); t.qqqq(); Math.max(1) // t.no()"))
+    edits = load(spark, sf, "part").select(F.concat("p_partkey", F.lit(".ts")).alias("path"), body.alias("text"))
+    found = grounding.members(lexer.member_calls(edits), lexer.members(lexer.symbols(_source_files(spark, sf))))
+    return found.select("doc", "name", "severity", "confidence")
+
+
 def file_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Pages' paths as files of an application, and the routes that these serve."""
     path = F.concat(F.lit("pages"), F.regexp_replace("path", "[0-9]+", "[id]"), F.when(F.col("page_id") % 2 == 0, ".tsx").otherwise(".css"))
@@ -606,6 +633,9 @@ UNION SELECT doc, 'Region', 'name' FROM k WHERE k % 5 <> 0 UNION SELECT doc, 'Or
     "lint_chains": f"""WITH {_STAR_SQL}, k AS (SELECT o_orderkey::VARCHAR AS doc, o_orderkey AS k FROM orders),
 u AS (SELECT doc, CASE WHEN k % 7 = 0 THEN 'Ordr' ELSE 'Order' END AS model, unnest(['total', 'customer']) AS probe FROM k
 UNION SELECT doc, unnest(['Customer', 'Customer', 'Customer', 'Nation', 'Order']), unnest(['nation', 'acctbal', 'orders', CASE WHEN k % 3 = 0 THEN 'nme' ELSE 'name' END, 'totl']) FROM k WHERE k % 7 <> 0), {_star_issues('db', 0.92)}""",
+    "lexed_symbols": """WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE p_partkey % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'go' ELSE 'py' END AS e FROM part)
+SELECT '/r/' || k || '.' || e AS path, unnest(['T' || k, 'm' || s, 'f' || k]) AS name, unnest([CASE e WHEN 'go' THEN 'struct' ELSE 'class' END, 'method', 'function']) AS kind, unnest(['', 'T' || k, '']) AS parent, unnest([2, 3, 5])::INT AS line FROM p""",
+    "lint_members": """SELECT p_partkey || '.ts' AS doc, unnest(['T' || p_partkey || '.m' || p_size, 'T' || p_partkey || '.qqqq']) AS name, unnest(['ok', 'unknown']) AS severity, unnest([1.0, 0.9])::DOUBLE AS confidence FROM part""",
     "user_prompt_view": "SELECT o_orderkey, c_name, c_mktsegment, epoch_us(o_orderdate) AS at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
 }
 ROWS_ONLY = ("semantic_top5", "training_rows", "gists_or_text")
