@@ -150,11 +150,34 @@ class Memory:
 
     # --- names ------------------------------------------------------------------------------------
 
-    def check_name(self, names: str | DataFrame) -> DataFrame:
-        """(probe, domain, name, score, status) over the domains that have a table, in their fixed order."""
+    def check_name(self, names: str | DataFrame, kind: str = "auto", parent: str = "") -> DataFrame:
+        """(probe, domain, name, score, status) over the domains that have a table, in their fixed order: the
+        first with a hit decides. A field of another model than ``parent`` is a typo; ``kind`` asks one domain.
+
+        A page is asked for by its kind only.
+        """
         probes = self._probes(names)
-        known = {d: self._of(t).select("name").distinct() for d, t in (("symbol", "symbols"), ("env", "env"), ("flag", "flags"), ("page", "pages"), ("field", "fields")) if t in self.tables}
-        return resolve.check_names({d: resolve.resolve_names(probes, n) for d, n in known.items()}, probes)
+        of = probes.withColumn("model", F.lit(parent))
+        named = lambda table, column="name": lambda: resolve.resolve_names(probes, self._of(table).select(F.col(column).alias("name")).distinct(), limit=1)
+        exports = lambda: resolve.resolve_exports(probes.withColumn("package", F.lit(parent)), self._of("exports").select("package", "name"), limit=1)
+        domains = {
+            "env": ("env", lambda: resolve.resolve_env(probes, self._of("env"), limit=1)),
+            "db-field": ("fields", lambda: resolve.resolve_fields(of, self._of("fields"), limit=1)),
+            "db-model": ("fields", named("fields", "model")),
+            "route": ("routes", lambda: resolve.resolve_routes(probes.withColumn("method", F.lit("GET")), self._of("routes"), limit=1)),
+            "gql-field": ("gql_fields", lambda: resolve.resolve_fields(of, self._of("gql_fields"), limit=1)),
+            "gql-type": ("gql_fields", named("gql_fields", "model")),
+            "flag": ("flags", lambda: resolve.resolve_env(probes, self._of("flags"), limit=1)),
+            "css-class": ("css", named("css")),
+            "i18n-key": ("i18n", named("i18n")),
+            "module-export": ("exports", exports),
+            "symbol": ("symbols", named("symbols")),
+            "name": ("names", named("names")),
+        }
+        if kind == "page":
+            return resolve.check_names({"page": resolve.check_new_pages(probes, self._of("pages"), limit=1)}, probes)
+        asked = [d for d, (table, _) in domains.items() if kind in (d, "auto") and table in self.tables]
+        return resolve.check_names({d: domains[d][1]() for d in asked}, probes)
 
     def resolve_symbol(self, names: str | DataFrame, limit: int = 5) -> DataFrame:
         return resolve.resolve_symbols(self._probes(names), self._of("symbols"), limit=limit)

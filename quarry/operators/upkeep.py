@@ -280,16 +280,67 @@ def browse(rows: DataFrame, order: Sequence[Column], limit: int = 50, offset: in
 
 # --- style classes --------------------------------------------------------------------------------
 
-#: Utility classes by rule: families whose value is a size, a colour, a fraction or a word of their own.
-_SIZE = r"(?:\d+(?:\.\d+)?|px|auto|full|screen|min|max|fit|none|xs|sm|md|lg|\d?xl|\d+/\d+|\[[^\]]+\])"
-_COLOUR = r"(?:(?:black|white|transparent|current|inherit)|(?:[a-z]+-(?:50|[1-9]00|950)))(?:/\d+)?"
-_SIZED = "m mx my mt mr mb ml ms me p px py pt pr pb pl ps pe w h min-w min-h max-w max-h gap gap-x gap-y space-x space-y inset inset-x inset-y top right bottom left z order basis grow shrink leading tracking opacity scale rotate translate-x translate-y skew-x skew-y duration delay size columns".split()
-_COLOURED = "bg text border ring fill stroke from via to accent caret divide outline decoration shadow placeholder".split()
-_WORDS = "block inline flex grid table contents hidden static fixed absolute relative sticky visible invisible truncate underline italic uppercase lowercase capitalize container isolate antialiased resize transition".split()
-_OWN = r"(?:flex|inline|items|justify|content|self|place|text|font|rounded|border|overflow|object|cursor|select|whitespace|break|align|list|shadow|ring|animate|ease|grid-cols|grid-rows|col|row|aspect|line-clamp|bg|origin|pointer-events|table|sr|not-sr|tracking|leading|divide|outline|transition)-[a-z0-9/.-]+"
-TAILWIND = re.compile(rf"^!?-?(?:(?:{'|'.join(_SIZED)})-{_SIZE}|(?:{'|'.join(_COLOURED)})-{_COLOUR}|{'|'.join(_WORDS)}|{_OWN}|[a-z-]+-\[[^\]]+\])$")
+# Utilities are a family and one of its values, or a class of its own; variants go before.
+SPACED = "m mx my ms me mt mr mb ml p px py ps pe pt pr pb pl gap gap-x gap-y space-x space-y inset top right bottom left translate-x translate-y skew-x skew-y scale-x scale-y scale rotate".split()
+SIZED = "w h min-w min-h max-w max-h".split()
+SIZES = "0 px 0.5 1 1.5 2 2.5 3 3.5 4 5 6 7 8 9 10 11 12 14 16 20 24 28 32 36 40 44 48 52 56 60 64 72 80 96 auto full screen min max fit".split()
+FRACTIONS = "1/2 1/3 2/3 1/4 2/4 3/4 1/5 2/5 3/5 4/5 1/6 2/6 3/6 4/6 5/6 1/12 2/12 11/12".split()
+COLOURED = "text bg border ring fill stroke from to via outline decoration divide placeholder caret accent".split()
+COLOURS = "slate gray zinc neutral stone red orange amber yellow lime green emerald teal cyan sky blue indigo violet purple fuchsia pink rose white black transparent current inherit".split()
+SHADES = "50 100 200 300 400 500 600 700 800 900 950".split()
+FAMILIES = {
+    "text": "xs sm base lg xl 2xl 3xl 4xl 5xl 6xl 7xl 8xl 9xl left center right justify",
+    "font": "sans serif mono thin extralight light normal medium semibold bold extrabold black",
+    "rounded(?:-(?:t|r|b|l|tl|tr|bl|br|s|e|ss|se|es|ee))?": "none sm md lg xl 2xl 3xl full",
+    "shadow": "sm md lg xl 2xl inner none",
+    "opacity": "0 5 10 20 25 30 40 50 60 70 75 80 90 95 100",
+    "z": "0 10 20 30 40 50 auto minus-1",
+    "ring": "0 1 2 4 8 inset offset-0 offset-1 offset-2 offset-4 offset-8",
+    "leading": "3 4 5 6 7 8 9 10 none tight snug normal relaxed loose",
+    "tracking": "tighter tight normal wide wider widest",
+    "aspect": "square video auto",
+    "flex": "1 auto initial none row col wrap nowrap",
+    "grid-cols": "1 2 3 4 5 6 12",
+    "items": "start center end baseline stretch",
+    "justify": "start center end between around evenly",
+    "place": "content-center items-center",
+    "self": "auto start center end stretch",
+    "border": "0 2 4 8",
+    "transition": "none all colors opacity shadow transform",
+    "cursor": "pointer default wait text move not-allowed",
+    "select": "none auto text all",
+    "overflow": "hidden auto visible scroll x-auto y-auto",
+    "object": "cover contain fill none",
+    "pointer-events": "auto none",
+    "list": "none disc decimal",
+    "whitespace": "normal nowrap pre pre-wrap pre-line",
+    "break": "normal words all",
+    "will-change": "auto transform scroll",
+    "table": "row cell caption fixed auto",
+    "outline": "none dashed dotted double",
+}
+ALONE = (
+    "uppercase lowercase capitalize normal-case rounded border shadow transition block inline-block inline flex inline-flex grid inline-grid hidden absolute relative fixed sticky static "
+    "container truncate sr-only not-sr-only italic not-italic underline no-underline line-through antialiased subpixel-antialiased appearance-none isolate isolation-auto table"
+).split()
+VARIANTS = (
+    "sm md lg xl 2xl hover focus active visited disabled checked focus-within focus-visible first last odd even empty open default indeterminate placeholder-shown "
+    "group-hover group-focus group-active peer-hover peer-focus dark motion-safe motion-reduce print rtl ltr data-active data-open data-checked children first-child last-child"
+).split()
+
+
+def _one_of(values: Sequence[str]) -> str:
+    return "(?:" + "|".join(re.escape(v).replace("\\-", "-").replace("\\/", "/") for v in values) + ")"
+
+
+_BASES = "|".join([
+    f"{_one_of(SPACED + SIZED)}-{_one_of(SIZES + FRACTIONS)}", f"-{_one_of(SPACED)}-{_one_of(['1', '2', '4'])}", f"{_one_of(COLOURED)}-{_one_of(COLOURS)}(?:-{_one_of(SHADES)})?",
+    *[f"{family}-{_one_of(values.split())}" for family, values in FAMILIES.items()], _one_of(ALONE),
+])
+#: Variants in brackets and custom media queries are any; so are values in brackets.
+UTILITY = re.compile(rf"^(?:(?:{_one_of(VARIANTS)}|\[[^:]*\]|@[^:]*\[[^:]*):)*(?:-?[!]?(?:{_BASES})|[^:]*\[[^:]*\])$")
 
 
 def is_utility_class(name: Column) -> Column:
-    """Whether a class is a utility of Tailwind by its shape; variants such as ``md:hover:`` are stripped."""
-    return F.regexp_replace(name, r"^(?:[a-z0-9\[\]&=_-]+:)*", "").rlike(TAILWIND.pattern)
+    """Whether a class is a utility of Tailwind: known variants, then a known class or a value in brackets."""
+    return F.coalesce(name.rlike(UTILITY.pattern), F.lit(False))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import grounding, history, resolve, tables, upkeep
-from quarry.plans.search import _grams, _jac
-from quarry.session import load
+from quarry.operators import grounding, history, resolve, retrieval, tables, upkeep
+from quarry.plans.search import _SCORED_LEX, _TOK, _grams, _jac
+from quarry.session import kept, load
 from quarry.sources import code, documents, lexer, transcripts, walks
 
 AS_OF = "2024-01-31 00:00:00"
@@ -117,7 +117,16 @@ def outcome_analytics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return upkeep.training_pairs()(spark).select("id", "label", *[F.round(c, 9).alias(c) for c in ("bm25", "vector", "recency", "overlap", "popularity")])
+    """Labelled pairs for a ranker: the 50 best texts of each query, with features of the pair; a pair is good
+    if the text has nine tenths of the query's words."""
+    corpus = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = load(spark, sf, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    hits = kept(retrieval.bm25_top_k(corpus, asked, 50))
+    best = hits.groupBy("query_id").agg(F.max("score").alias("top"))
+    of = lambda df, name: df.select(*[c for c in df.columns if c != "text"], F.array_distinct(text.tokens(F.col("text"))).alias(name))
+    pairs = hits.join(F.broadcast(best), "query_id").join(of(asked, "q"), "query_id").join(of(corpus.join(hits.select("id").distinct(), "id", "left_semi"), "d"), "id")
+    overlap = F.size(F.array_intersect("q", "d")) / F.size("q")
+    return pairs.select("query_id", "id", F.round(F.col("score") / F.col("top"), 6).alias("bm25"), F.round(overlap, 6).alias("overlap"), (overlap >= 0.9).cast("double").alias("label"))
 
 
 def bench_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,9 +186,12 @@ def browse_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def utility_classes(spark: SparkSession, sf: str) -> DataFrame:
-    made = ["p-4", "md:hover:bg-red-500/50", "-mt-2", "btn", "text-center", "card-title", "w-1/2", "grid-cols-3", "bg-[#fff]", "flex", "flexible", "inset-x-0", "hero"]
-    words = load(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
-    return words.unionByName(spark.createDataFrame([(m,) for m in made], "name string")).select("name", upkeep.is_utility_class(F.col("name")).alias("utility"))
+    """Words of parts' names as classes: with a size, as a colour, with a variant known or not, in brackets, alone."""
+    size = F.col("p_size").cast("string")
+    word = F.lower(F.element_at(F.split("p_name", " "), 1))
+    forms = F.array(word, F.concat(F.lit("mt-"), size), F.concat(F.lit("md:hover:bg-"), word, F.lit("-500")), F.concat(word, F.lit(":flex")), F.concat(word, F.lit("-["), size, F.lit("px]")), F.concat(F.lit("table-"), word), F.concat(F.lit("-p-"), size))
+    names = load(spark, sf, "part").select(F.explode(forms).alias("name")).distinct()
+    return names.select("name", upkeep.is_utility_class(F.col("name")).alias("utility"))
 
 
 def file_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -542,8 +554,11 @@ SELECT repo_id, path, epoch_us(last_seen) AS last_seen FROM r WHERE path IN (SEL
     "schema_diff": "SELECT n_name AS name, CASE WHEN n_nationkey >= 20 THEN 'missing' ELSE 'undeclared' END AS status FROM nation WHERE n_nationkey >= 20 OR n_nationkey <= 3",
     "lost_data": "SELECT c_nationkey AS name, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) GROUP BY 1 HAVING count(*) < 60",
     "browse_names": "SELECT p_name AS name, p_partkey, p_type AS kind FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'widget') ORDER BY p_name, p_partkey LIMIT 20 OFFSET 10",
-    "utility_classes": f"""SELECT name, regexp_matches(regexp_replace(name, '^(?:[a-z0-9\\[\\]&=_-]+:)*', ''), '{upkeep.TAILWIND.pattern}') AS utility FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part
-UNION ALL SELECT unnest(['p-4', 'md:hover:bg-red-500/50', '-mt-2', 'btn', 'text-center', 'card-title', 'w-1/2', 'grid-cols-3', 'bg-[#fff]', 'flex', 'flexible', 'inset-x-0', 'hero']))""",
+    "utility_classes": """WITH p AS (SELECT lower(split_part(p_name, ' ', 1)) AS w, p_size::VARCHAR AS s FROM part),
+v AS (SELECT unnest(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', '14', '16', '20', '24', '28', '32', '36', '40', '44', '48']) AS s),
+c AS (SELECT unnest(['slate', 'gray', 'zinc', 'neutral', 'stone', 'red', 'orange', 'amber', 'yellow', 'lime', 'green', 'emerald', 'teal', 'cyan', 'sky', 'blue', 'indigo', 'violet', 'purple', 'fuchsia', 'pink', 'rose']) AS w)
+SELECT DISTINCT * FROM (SELECT w AS name, false AS utility FROM p UNION ALL SELECT 'mt-' || s, s IN (SELECT s FROM v) FROM p UNION ALL SELECT 'md:hover:bg-' || w || '-500', w IN (SELECT w FROM c) FROM p
+UNION ALL SELECT w || ':flex', false FROM p UNION ALL SELECT w || '-[' || s || 'px]', true FROM p UNION ALL SELECT 'table-' || w, false FROM p UNION ALL SELECT '-p-' || s, s IN (SELECT s FROM v) FROM p)""",
     "file_fingerprint": "SELECT count(*) AS n, max(doc_id) AS newest, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM documents",
     "file_corruption": """SELECT doc_id, CASE WHEN n = 0 THEN 'OK' WHEN doc_id % 7 = 0 THEN 'ZEROED' WHEN doc_id % 7 = 1 AND doc_id % 14 <> 1 THEN 'PARTIAL_ZERO' WHEN doc_id % 7 = 2 AND least(n, 20) < n * 0.5 THEN 'SHRUNK' ELSE 'OK' END AS state
 FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""",
@@ -636,7 +651,9 @@ UNION SELECT doc, unnest(['Customer', 'Customer', 'Customer', 'Nation', 'Order']
     "lexed_symbols": """WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE p_partkey % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'go' ELSE 'py' END AS e FROM part)
 SELECT '/r/' || k || '.' || e AS path, unnest(['T' || k, 'm' || s, 'f' || k]) AS name, unnest([CASE e WHEN 'go' THEN 'struct' ELSE 'class' END, 'method', 'function']) AS kind, unnest(['', 'T' || k, '']) AS parent, unnest([2, 3, 5])::INT AS line FROM p""",
     "lint_members": """SELECT p_partkey || '.ts' AS doc, unnest(['T' || p_partkey || '.m' || p_size, 'T' || p_partkey || '.qqqq']) AS name, unnest(['ok', 'unknown']) AS severity, unnest([1.0, 0.9])::DOUBLE AS confidence FROM part""",
+    "training_rows": f"""WITH h AS ({_SCORED_LEX}), q AS (SELECT item_id AS query_id, list_distinct({_TOK.format('text')}) AS q FROM benchmark), d AS (SELECT doc_id AS id, list_distinct({_TOK.format('text')}) AS d FROM documents WHERE doc_id IN (SELECT id FROM h))
+SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS bm25, round(len(list_intersect(q, d)) / len(q)::DOUBLE, 6) AS overlap, (len(list_intersect(q, d)) / len(q)::DOUBLE >= 0.9)::DOUBLE AS label FROM h JOIN q USING (query_id) JOIN d USING (id)""",
     "user_prompt_view": "SELECT o_orderkey, c_name, c_mktsegment, epoch_us(o_orderdate) AS at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
 }
-ROWS_ONLY = ("semantic_top5", "training_rows", "gists_or_text")
+ROWS_ONLY = ("semantic_top5", "gists_or_text")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

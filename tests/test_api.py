@@ -72,6 +72,9 @@ def test_names(memory):
     assert memory.check_db_field("emial", "User").count() in (0, 1) and memory.check_db_field("email", "User").first().name == "User.email" and memory.check_gql_field("user", "Query").first().layer == 0
     got = {r.probe: (r.domain, r.status) for r in memory.check_name("DATABASE_URL").collect()}
     assert got == {"DATABASE_URL": ("env", "OK")} and memory.check_name("qqqqqq").first().status == "UNKNOWN"
+    of = lambda *a: tuple(memory.check_name(*a).select("domain", "name", "status").first())
+    assert of("email", "auto", "User") == ("db-field", "User.email", "OK") and of("email", "db-field", "Order") == ("db-field", "User.email", "TYPO")
+    assert of("User") == ("db-model", "User", "OK") and of("/users/7") == ("route", "/users/:id", "TYPO") and of("loadUser")[0] == "symbol" and of("loadUser", "flag")[2] == "UNKNOWN"
     assert memory.resolve_semantic("save an order").first().name == "saveOrder"
 
 
