@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.similarity import fold_separators, rerank_score, trigram_join, whole_trigrams
-from quarry.functions.text import route_regex
 from quarry.operators.retrieval import cosine_top_k, top_k
+from quarry.session import kept
 
 THRESHOLD, SALVAGE, FETCH = 0.40, 0.28, 50
 
@@ -125,28 +125,53 @@ def resolve_fields(probes: DataFrame, fields: DataFrame, threshold: float = 0.5,
     return cascade(layers, limit, "key").select("key.probe", "key.model", "name", "score", "layer", "place")
 
 
-def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3, limit: int = 5) -> DataFrame:
-    """Exact, then by pattern (longest first), then fuzzy. ``probes`` (probe, method), ``routes`` (method,
-    name); a method ``*`` fits all.
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+#: Rows of a table of patterns' edges that may be sent to all executors.
+EDGES = 200_000
+
 
-    Patterns meet paths of their number of segments, patterns with a final ``*`` paths of their first
-    segment; so joins have keys. Only open patterns that begin with a parameter meet all paths: they are
-    few and short, and broadcast where Spark finds them small.
+def match_routes(probes: DataFrame, routes: DataFrame) -> DataFrame:
+    """(probe, method, name) of every route whose pattern a path matches: ``probes`` (probe, method), ``routes``
+    (method, name); a method ``*`` fits all. Parameters (``:x``) match a segment, a last ``*`` any rest.
+
+    Patterns are a trie by segments, kept as a table: a node is the pattern up to it, an edge a literal or
+    a parameter. Paths descend level by level, each by one equi-join on (node, label) with its own segment and
+    with the parameter; there are as many levels as the longest pattern has, and no pattern meets all paths.
     """
+    parts = routes.select(F.col("method").alias("rmethod"), "name", _segments(F.col("name")).alias("p")).distinct()
+    rest = F.coalesce(F.try_element_at("p", F.lit(-1)) == "*", F.lit(False))
+    label = lambda s: F.when(s.startswith(":"), ":").otherwise(F.concat(F.lit("="), s))
+    fixed = parts.withColumn("rest", rest).withColumn("l", F.transform(F.when(F.col("rest"), F.slice("p", 1, F.size("p") - 1)).otherwise(F.col("p")), label))
+    node = lambda upto: F.array_join(F.slice("l", F.lit(1), upto), "/")
+    ends = kept(fixed.select(node(F.size("l")).alias("node"), "rmethod", "name", "rest", F.size("l").alias("depth")))
+    steps = F.transform(F.col("l"), lambda x, i: F.struct(node(i).alias("node"), x.alias("label"), node(i + 1).alias("child")))
+    edges = kept(fixed.select(F.explode(steps).alias("e")).select("e.*").distinct())
+    if edges.count() <= EDGES:
+        edges, ends = F.broadcast(edges), F.broadcast(ends)  # no more ends than edges and roots
+    depth = ends.agg(F.max("depth")).first()[0]
+    asked = probes.select("probe", "method").distinct().withColumn("s", _segments(F.col("probe")))
+    # the root, but no constant that the optimizer would take out of the join's keys
+    level = asked.filter(F.col("probe").startswith("/") | (F.size("s") == 0)).withColumn("node", F.substring("probe", 1, 0))
+    found = None
+    for at in range((depth or 0) + 1):
+        fits = (F.col("method") == F.col("rmethod")) | (F.col("rmethod") == "*")
+        here = level.join(ends, "node").filter(fits & (F.col("rest") | (F.size("s") == at))).select("probe", "method", "name")
+        found = here if found is None else found.union(here)
+        labels = F.array(F.concat(F.lit("="), F.get("s", F.lit(at))), F.lit(":"))
+        level = level.filter(F.size("s") > at).withColumn("label", F.explode(labels)).join(edges, ["node", "label"]).select("probe", "method", "s", F.col("child").alias("node"))
+    return found.distinct()
+
+
+def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3, limit: int = 5) -> DataFrame:
+    """Exact, then by pattern (longest first), then fuzzy. ``probes`` (probe, method), ``routes`` (method,
+    name); a method ``*`` fits all."""
     fits = (F.col("method") == F.col("rmethod")) | (F.col("rmethod") == "*")
     r = routes.select(F.col("method").alias("rmethod"), "name")
     same = probes.join(r, (F.col("probe") == F.col("name")) & fits).select("probe", "name", F.lit(1.0).alias("score"))
-    depth = lambda c: F.size(F.filter(F.split(c, "/"), lambda p: p != ""))
-    shaped = r.select("*", route_regex(F.col("name")).alias("rx"), depth(F.col("name")).alias("rdepth"), F.col("name").endswith("*").alias("open"))
-    p = probes.select("*", depth(F.col("probe")).alias("depth"))
-    fixed = p.join(shaped.filter("not open"), (F.col("depth") == F.col("rdepth")) & fits & F.rlike("probe", F.col("rx")))
-    head = lambda c: F.get(F.filter(F.split(c, "/"), lambda p: p != ""), F.lit(0))
-    open_ = shaped.filter("open").withColumn("head", head(F.col("name")))
-    any_head = F.coalesce(F.col("head"), F.lit("*")).rlike("^[:*]")
-    matches = (F.col("depth") >= F.col("rdepth") - 1) & fits & F.rlike("probe", F.col("rx"))
-    led = p.join(open_.filter(~any_head), (head(F.col("probe")) == F.col("head")) & matches)
-    free = p.join(open_.filter(any_head), matches)
-    pattern = fixed.unionByName(led.drop("head")).unionByName(free.drop("head")).select("probe", "name", F.length("name").cast("double").alias("score")).distinct()
+    pattern = match_routes(probes, routes).select("probe", "name", F.length("name").cast("double").alias("score")).distinct()
     return cascade([same, pattern, fuzzy(unmatched(probes, same, pattern), routes, threshold)], limit)
 
 

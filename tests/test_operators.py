@@ -212,6 +212,22 @@ def test_one_token_off_equals_edit_distance(spark):
     assert resolve.one_token_off(probes, many).count() <= 20_000
 
 
+def test_trie_of_routes_equals_expressions(spark):
+    from quarry.functions.text import route_regex
+
+    names = ["/", "/*", "*", "/api/users/:id", "/api/users/me", "/api/:kind/*", "/:lang/*", "/:lang/about", "/files/*", "/a/:b/c/:d", "/a.b/[x]", "/a/*/b", "", "/:x"]
+    routes = spark.createDataFrame([(m, n) for i, n in enumerate(names) for m in (["GET", "*"] if i % 2 else ["POST"])], "method string, name string")
+    paths = ["/", "", "/api/users/7", "/api//users/me/", "/files", "/files/", "/files/a/b", "/en/about", "/a/1/c/2", "/a/1/c", "/aXb/[x]", "/a.b/[x]", "/a/*/b", "a/b", "/x", "//", "/a/z/b", None]
+    probes = spark.createDataFrame([(p, m) for p in paths for m in ("GET", "PUT", "POST")], "probe string, method string")
+    got = {tuple(r) for r in resolve.match_routes(probes, routes).select("probe", "method", "name").collect()}
+    met = probes.join(routes.select(F.col("method").alias("rmethod"), "name"), (F.col("method") == F.col("rmethod")) | (F.col("rmethod") == "*"))
+    want = {(r.probe, r.method, r.name) for r in met.filter(F.rlike("probe", route_regex(F.col("name")))).collect()}
+    assert got == want and len(want) > 40
+    plan = resolve.match_routes(probes, routes)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert resolve.match_routes(probes, routes.limit(0)).count() == 0
+
+
 def test_every_probe_of_a_field_is_answered(spark):
     fields = spark.createDataFrame([("User", "email"), ("Post", "title")] + [(f"M{i:02}", "id") for i in range(60)], "model string, name string")
     p = spark.createDataFrame([("email", "User"), ("email", "Order"), ("emial", "Post"), ("id", "M59"), ("id", "User")], "probe string, model string")
