@@ -9,7 +9,7 @@ from quarry.functions.text import CONTENT_WORD, STOPWORDS, query_tokens
 from quarry.operators import history, ranking, retrieval, tables
 from quarry.scope import Scope
 from quarry.session import load
-from quarry.streaming import incremental
+from quarry.streaming import attribution, incremental
 
 AS_OF = "2024-01-31 00:00:00"
 SIGNALS = {"view": 1, "purchase": 3, "error": -3}
@@ -304,7 +304,24 @@ FROM (SELECT conv_id, turn_id, len({_WORDS})::INTEGER AS score FROM {_T}) WHERE
 _USED = """SELECT p.user_id, epoch_us(p.ts) AS used_at, epoch_us(max(v.ts)) AS shown_at FROM events p JOIN events v ON v.user_id = p.user_id AND v.event_type = 'view'
 AND v.ts <= p.ts AND p.ts <= v.ts + INTERVAL {} SECOND WHERE p.event_type = 'purchase' GROUP BY p.user_id, p.ts"""
 
+def attributed_expands(spark: SparkSession, sf: str) -> DataFrame:
+    """Views as queries, clicks as trials and purchases as expands of sessions, closer in time: what led to each
+    expand. Which trial it decides is left to the tests, as SQL has no such fold."""
+    kind = F.when(F.col("event_type") == "view", "query").when(F.col("event_type") == "click", "trial").when(F.col("event_type") == "purchase", "expand")
+    e = load(spark, sf, "events").withColumn("kind", kind).filter("kind is not null")
+    rows = e.select(
+        (F.col("user_id") % 15).cast("string").alias("session"), F.timestamp_micros(F.floor(F.unix_micros("ts") / 600).cast("long")).alias("ts"), "kind", F.col("event_id").alias("id"),
+        F.when(F.col("kind") != "expand", F.concat(F.lit("q"), F.col("event_id") % 5)).alias("query"), F.when(F.col("kind") != "query", F.col("event_id") % 3).alias("turn_id"),
+        F.when(F.col("kind") == "trial", F.col("event_id")).alias("trial_id"),
+    )
+    return attribution.attributed(rows).select("session", "id", "turn_id", "query")
+
+
 SQL = {
+    "attributed_expands": """WITH e AS (SELECT (user_id % 15)::VARCHAR AS session, epoch_us(ts) // 600 AS us, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS k, event_id AS id, 'q' || event_id % 5 AS query, event_id % 3 AS turn
+FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+w AS (SELECT *, last_value(CASE WHEN k = 1 THEN struct_pack(us := us, query := query) END IGNORE NULLS) OVER (PARTITION BY session ORDER BY us, k, id ROWS UNBOUNDED PRECEDING) AS q FROM e)
+SELECT session, id, turn AS turn_id, q.query AS query FROM w WHERE k = 3 AND us - q.us <= 60000000""",
     "user_prompts": f"SELECT turn_id, conv_id, content FROM {_T} WHERE role = 'user' AND content IS NOT NULL",
     "errors_with_context": "SELECT event_id, user_id, epoch_us(ts) AS at, substr(props, 1, 1000) AS preview FROM events WHERE event_type = 'error'",
     "errors_by_tool": "SELECT json_extract_string(props, '$.k') AS tool, count(*) AS errors, epoch_us(max(ts)) AS last_at FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY errors DESC, tool LIMIT 10",
