@@ -347,12 +347,21 @@ def _star(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_STAR, "model string, name string, type string")
 
 
+#: Rows of which a task makes and walks texts: reading the keys takes no time, walking the texts does.
+_WALKED_ROWS = 20_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Short rows in so many parts as walking the texts made of them asks for."""
+    return rows.repartition(max(1, -(-rows.count() // _WALKED_ROWS)))
+
+
 def lint_selections(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as edits with a query of nested selections, aliases and an inline fragment; some misspell a field."""
     key = F.col("c_custkey")
     balance, region = F.when(key % 3 == 0, "accbal").otherwise("acctbal"), F.when(key % 5 == 0, "zone { zzz }").otherwise("region { name }")
     body = F.concat(F.lit("const q = gql`query Q($id: ID = \"}\") { c: customer(id: $id, like: {zzz: 1}) { name # zzz\n b: "), balance, F.lit(" ... on Customer { nation @include(if: true) { name "), region, F.lit(" } } orders { "), F.concat(F.lit("t"), key % 4), F.lit(" customer { nation { name } } } } }`"))
-    texts = load(spark, sf, "customer").select(key.alias("doc"), body.alias("text"))
+    texts = _dealt(load(spark, sf, "customer").select("c_custkey")).select(key.alias("doc"), body.alias("text"))
     star = _star(spark)
     found = grounding.graphql(walks.typed(walks.query_fields(texts), star), star)
     return found.withColumn("confidence", F.round("confidence", 6))
@@ -363,7 +372,7 @@ def lint_chains(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
     model, name = F.when(key % 7 == 0, "ordr").otherwise("order"), F.when(key % 3 == 0, "nme").otherwise("name")
     body = F.concat(F.lit("// prisma.order.count({ where: { zzz: 1 } })\nawait prisma."), model, F.lit(".findMany({ take: 5, where: { AND: [{ total: { gt: '}' } }, { customer: { is: { nation: { "), name, F.lit(": 'x' } } } }] }, include: { customer: { select: { acctbal: true, \"orders\": { where: { totl: 1 } } } } } })"))
-    texts = load(spark, sf, "orders").select(key.alias("doc"), body.alias("text"))
+    texts = _dealt(load(spark, sf, "orders").select("o_orderkey")).select(key.alias("doc"), body.alias("text"))
     star = _star(spark)
     found = grounding.models(walks.typed(walks.call_fields(texts), star), star)
     return found.withColumn("confidence", F.round("confidence", 6))

@@ -92,3 +92,12 @@ def test_broken_code_ends(spark):
     for text in ("gql`query { user {`", "gql`query { user(`", "gql`... on`", "prisma.user.findMany({ where: {", "prisma.user.findMany(", "gql`{{{}}}}}`", "gql`query { : } a: `"):
         used(spark, text)
         used(spark, text, walks.call_fields)
+
+
+def test_issues_of_walked_calls_do_not_walk_again(spark):
+    """Every level and layer reads what one walk wrote down: no Python is left in the plan of the issues."""
+    star = spark.createDataFrame([("Order", "total", "Float"), ("Order", "customer", "Customer"), ("Customer", "name", "String")], "model string, name string, type string")
+    texts = spark.createDataFrame([(1, "prisma.order.findMany({ where: { totl: 1, customer: { is: { nme: 'x' } } } })")], "doc long, text string")
+    found = grounding.models(walks.typed(walks.call_fields(texts), star), star)
+    assert {(r.name, r.severity) for r in found.collect()} == {("Order.totl", "unknown"), ("Order.customer", "ok"), ("Customer.nme", "unknown")}
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
