@@ -101,3 +101,14 @@ def test_issues_of_walked_calls_do_not_walk_again(spark):
     found = grounding.models(walks.typed(walks.call_fields(texts), star), star)
     assert {(r.name, r.severity) for r in found.collect()} == {("Order.totl", "unknown"), ("Order.customer", "ok"), ("Customer.nme", "unknown")}
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_selections_walk_once_in_parts_by_rows(spark, tmp_path):
+    """A small file of many customers is walked in several tasks, and once."""
+    from quarry.plans import upkeep
+
+    spark.range(45_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert upkeep._dealt(spark.read.parquet(str(tmp_path / "customer.parquet"))).rdd.getNumPartitions() == 3
+    found = upkeep.lint_selections(spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 45_000 * 9 + 36_000
