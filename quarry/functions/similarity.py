@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import once
+from quarry.session import kept
 
 
 def _grams(padded: Column) -> Column:
@@ -75,6 +76,54 @@ def trigram_join(
     return scored.filter(F.col("sim") >= threshold)
 
 
+def _packed(grams: Column) -> Column:
+    """Trigrams as numbers of three code points: the same sets, shorter and quicker to compare."""
+    point = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(grams, lambda g: F.shiftleft(point(g, 1), 42).bitwiseOR(F.shiftleft(point(g, 2), 21)).bitwiseOR(point(g, 3)))
+
+
+def trigram_best(probes: DataFrame, names: DataFrame, threshold: float, probe: str = "probe", name: str = "name") -> DataFrame:
+    """(probe, name, sim): the first row by similarity, then name, that ``trigram_join`` has for each probe.
+
+    Names of one set of trigrams are worth the first of them. Sets of m and n whose Jaccard is t share at least
+    o = t / (1 + t) (m + n), so in a common order, rarest first, the first shared trigram has a place of at
+    most m - o in one and n - o in the other. Rows meet by trigram and size of the name's set, a probe's only
+    for sizes that its place allows: a frequent trigram, late in the order, asks hardly any size. The
+    probes are asked at a higher threshold first, where prefixes are short; only those without a match go on.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    grams = lambda c: F.array_sort(_packed(word_trigrams(F.col(c))))
+    left = probes.select(F.col(probe).alias("_p")).distinct().select("_p", grams("_p").alias("t")).filter(F.size("t") > 0)
+    right = names.select(F.col(name).alias("_n")).distinct().select("_n", grams("_n").alias("t")).filter(F.size("t") > 0)
+    right = kept(right.groupBy("t").agg(F.min("_n").alias("_n")))
+    freq = kept(right.select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("df")))
+    longest = right.agg(F.max(F.size("t"))).first()[0] or 0
+
+    def ordered(side: DataFrame, key: str) -> DataFrame:
+        """Sets with the rarest first."""
+        rows = side.select(key, F.explode("t").alias("g")).join(freq, "g", "left")
+        return kept(rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))["g"].alias("t")))
+
+    open_, index = ordered(left, "_p"), ordered(right, "_n").withColumnRenamed("t", "tn")
+    out = None
+    for least in [t for t in (1.5 * threshold, threshold) if t < 1 or t == threshold]:
+        share = least / (1 + least)
+        m, n, at = F.size("t"), F.size("tn"), F.col("i")
+        # the greatest size that shares enough of what is left of the probe's set from this place on
+        low, high = F.ceil(least * m - 1e-9).cast("int"), F.least(F.floor(m / least + 1e-9), F.floor((m - at) / share - m + 1e-9), F.lit(longest)).cast("int")
+        asked = open_.select("_p", "t", F.posexplode("t").alias("i", "g")).filter(low <= high).select("_p", "t", "i", "g", F.explode(F.sequence(low, high)).alias("size"))
+        given = index.select("_n", "tn", F.posexplode("tn").alias("j", "g")).filter(F.col("j") <= n - F.ceil(least * n - 1e-9)).withColumn("size", n)
+        enough = F.ceil(share * (m + n) - 1e-9)
+        met = asked.join(given, ["g", "size"]).filter(F.col("j") <= n - enough)
+        near = met.select("_p", "_n", jaccard(F.col("t"), F.col("tn")).alias("sim")).filter(F.col("sim") >= least)
+        best = kept(near.groupBy("_p").agg(F.min(F.struct((-F.col("sim")).alias("s"), "_n")).alias("b")))
+        open_ = open_.join(best.select("_p"), "_p", "left_anti")
+        rows = best.select(F.col("_p").alias(probe), F.col("b._n").alias(name), (-F.col("b.s")).alias("sim"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def fold_separators(name: Column) -> Column:
     """Camel case, dashes and underscores as single blanks, in lower case."""
     s = F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.similarity import fold_separators, rerank_score, trigram_join, whole_trigrams
+from quarry.functions.similarity import fold_separators, rerank_score, trigram_best, trigram_join, whole_trigrams
 from quarry.operators.retrieval import cosine_top_k, top_k
 from quarry.session import kept
 
@@ -46,6 +46,11 @@ def fuzzy(probes: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFr
     return trigram_join(probes, names, threshold).select("probe", "name", F.col("sim").alias("score"))
 
 
+def fuzzy_first(probes: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Of each probe the first row of ``fuzzy`` by score, then name: enough where one is asked for."""
+    return trigram_best(probes, names, threshold).select("probe", "name", F.col("sim").alias("score"))
+
+
 def unmatched(probes: DataFrame, *layers: DataFrame) -> DataFrame:
     """The probes that none of the layers answers; later layers need no others."""
     done = reduce(DataFrame.union, [x.select("probe") for x in layers]).distinct()
@@ -172,7 +177,8 @@ def resolve_routes(probes: DataFrame, routes: DataFrame, threshold: float = 0.3,
     r = routes.select(F.col("method").alias("rmethod"), "name")
     same = probes.join(r, (F.col("probe") == F.col("name")) & fits).select("probe", "name", F.lit(1.0).alias("score"))
     pattern = match_routes(probes, routes).select("probe", "name", F.length("name").cast("double").alias("score")).distinct()
-    return cascade([same, pattern, fuzzy(unmatched(probes, same, pattern), routes, threshold)], limit)
+    near = fuzzy_first if limit == 1 else fuzzy
+    return cascade([same, pattern, near(unmatched(probes, same, pattern), routes, threshold)], limit)
 
 
 def resolve_symbols(probes: DataFrame, names: DataFrame, threshold: float = THRESHOLD, salvage: float = SALVAGE, limit: int = 5) -> DataFrame:

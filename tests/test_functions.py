@@ -167,3 +167,16 @@ def test_frequent_words_of_batches_are_those_of_the_expression(spark):
     want = {x.doc_id: x.w for x in df.select("doc_id", text.top_words(F.col("text"), 4).alias("w")).collect()}
     assert {x.doc_id: x.words for x in frequent_words(df, "doc_id", 4).collect()} == want
     assert frequent_words(df.limit(0), "doc_id", 4).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.28, 0.4, 0.7])
+def test_trigram_best_is_the_first_of_the_join(spark, threshold):
+    from pyspark.sql import Window
+
+    r = random.Random(3)
+    some = lambda n: [f"/{r.choice(['en', 'de', 'È x'])}/{r.randrange(3000)}{r.choice(['', '/', '.html', ' en', ' abc de 77'])}" for _ in range(n)] + ["", "/", "a", "aaaaaaa", "\U0001d538b c"]
+    probes, names = (spark.createDataFrame([(x,) for x in some(400)], f"{c} string") for c in ("probe", "name"))
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("sim"), "name"))
+    first = similarity.trigram_join(probes, names, threshold).withColumn("_r", place).filter("_r = 1").drop("_r")
+    key = lambda df: {(x.probe, x.name, round(x.sim, 9)) for x in df.collect()}
+    assert key(similarity.trigram_best(probes, names, threshold)) == key(first) != set()
