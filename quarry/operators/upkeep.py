@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.batches import map_batches
 from quarry.functions.text import once, tokens
 from quarry.operators.tables import latest
+from quarry.session import kept
 
 # Seconds of a duration's units, and the time that anything else means.
 UNITS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
@@ -106,22 +111,74 @@ def rerank(hits: DataFrame, relevance: Column, by: Sequence[str] = ("query_id",)
     return scored.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumnRenamed("_r", "relevance").drop("_all")
 
 
-def hashed_vectors(corpus: DataFrame, dims: int = 256) -> DataFrame:
+#: Words whose weights each task holds; the occurrences of all others, which are rare, are shuffled.
+WEIGHED = 200_000
+
+
+def hashed_vectors(corpus: DataFrame, dims: int = 256, weighed: int = WEIGHED) -> DataFrame:
     """(id, vector) of ``corpus`` (id, text) without any model: words hashed into ``dims`` places, each
     weighed by its rarity and the root of its count, scaled to length one.
 
-    The default of semantic search where no embedding provider is plugged in (see ``semantic_search``).
+    The default of semantic search where no embedding provider is plugged in (see ``semantic_search``). Texts
+    are cut into words within tasks. The ``weighed`` most frequent words, nearly all occurrences, are summed
+    there too; only occurrences of the others meet their weights by a shuffle. Vectors are written down.
     """
-    words = corpus.select("id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
-    rare = words.groupBy("w").agg(F.count("*").alias("df"))
-    n = corpus.agg(F.count("*").alias("n"))
-    weight = F.sqrt("tf") * F.log(1 + F.col("n") / F.col("df"))
+    from quarry.operators.textindex import word_counts
+
+    counts = word_counts(corpus).filter(F.size("terms") > 0)
+    n = corpus.count()
     sign = F.when(F.xxhash64(F.lit(1), "w") % 2 == 0, 1.0).otherwise(-1.0)
-    placed = words.join(rare, "w").crossJoin(F.broadcast(n)).select("id", F.pmod(F.xxhash64("w"), F.lit(dims)).cast("int").alias("at"), (sign * weight).alias("x"))
-    sums = placed.groupBy("id", "at").agg(F.sum("x").alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return sums.select("id", once(dense, lambda v: once(norm(v), lambda n: F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-300))))).alias("vector"))
+    held = counts.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    words = kept(held.select("w", "df", F.pmod(F.xxhash64("w"), F.lit(dims)).cast("int").alias("at"), (sign * F.log(1 + F.lit(n) / F.col("df"))).alias("x")))
+    least, many = 1, 0
+    for r in words.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("df")).toLocalIterator():
+        many += r["n"]
+        if many > weighed:  # words in so few texts are too many
+            least = r["df"] + 1
+            break
+    top = words.filter(F.col("df") >= least).select("w", "at", "x").toArrow().combine_chunks()
+    known = pa.array(top.column("w").to_pylist(), pa.string())
+    at, x = (top.column(c).to_numpy() for c in ("at", "x"))
+    all_known = least == 1
+
+    def found(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, text, place among the known or -1, root of the count) of the words of texts."""
+        flat = pc.list_flatten(part.column(1))
+        text = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+        place = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
+        return flat, text, place, np.sqrt(pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False))
+
+    def listed(matrix: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * dims), pa.array(matrix.reshape(-1).astype(np.float64)))
+
+    def unit(matrix: np.ndarray) -> np.ndarray:
+        return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def summed(part: pa.RecordBatch) -> pa.RecordBatch:
+        _, text, place, root = found(part)
+        text, place, root = text[place >= 0], place[place >= 0], root[place >= 0]
+        sums = np.bincount(text * dims + at[place], weights=x[place] * root, minlength=part.num_rows * dims).reshape(-1, dims)
+        return pa.RecordBatch.from_arrays([part.column(0), listed(unit(sums) if all_known else sums)], names=["id", "vector"])
+
+    vectors = map_batches(counts, ["id", "terms", "tfs"], "id bigint, vector array<double>", lambda: summed)
+    if all_known:
+        return kept(vectors)
+
+    def others(part: pa.RecordBatch) -> pa.RecordBatch:
+        flat, text, place, root = found(part)
+        rare = np.flatnonzero(place < 0)
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[rare])), flat.take(pa.array(rare)), pa.array(root[rare])], names=["id", "w", "root"])
+
+    def whole(part: pa.RecordBatch) -> pa.RecordBatch:
+        sums = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).reshape(-1, dims).copy()
+        text = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False))
+        np.add.at(sums, (text, pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)), pc.list_flatten(part.column(3)).to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([part.column(0), listed(unit(sums))], names=["id", "vector"])
+
+    rest = words.filter(F.col("df") < least).select("w", "at", "x")
+    rare = map_batches(counts, ["id", "terms", "tfs"], "id bigint, w string, root double", lambda: others).join(rest, "w")
+    more = rare.groupBy("id").agg(F.collect_list(F.struct("at", (F.col("x") * F.col("root")).alias("y"))).alias("r")).select("id", F.col("r.at").alias("ats"), F.col("r.y").alias("ys"))
+    return kept(map_batches(vectors.join(more, "id", "left"), ["id", "vector", "ats", "ys"], "id bigint, vector array<double>", lambda: whole))
 
 
 def semantic_search(corpus: DataFrame, queries: DataFrame, k: int, embed: Callable[[DataFrame], DataFrame] | None = None, where: Column | None = None) -> DataFrame:

@@ -45,6 +45,27 @@ def test_rerank_needs_enough_scores(spark):
     assert got == {(1, 2): 1, (1, 1): 2, (1, 3): 3, (2, 1): 1, (2, 2): 2}
 
 
+def test_hashed_vectors_shuffle_rare_words_only(spark):
+    """Whichever words the tasks weigh themselves, vectors are those of plain sums, and texts without words have none."""
+    import math
+
+    texts = {1: "a b b c", 2: "a b Zeta zeta", 3: "a", 4: "!!", 5: None, 6: "c d e f g h 1 2 3 a"}
+    corpus = spark.createDataFrame(list(texts.items()), "id int, text string")
+    words = {i: (t or "").lower().replace("!", "").split() for i, t in texts.items()}
+    held = {w for ws in words.values() for w in ws}
+    place = {r.w: (r.at, 1.0 if r.s % 2 == 0 else -1.0) for r in spark.createDataFrame([(w,) for w in held], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(16)).alias("at"), F.xxhash64(F.lit(1), "w").alias("s")).collect()}
+    for weighed in (0, 2, 3, 100):
+        got = {r.id: r.vector for r in upkeep.hashed_vectors(corpus, 16, weighed).collect()}
+        assert set(got) == {1, 2, 3, 6}
+        for i, vector in got.items():
+            plain = [0.0] * 16
+            for w in set(words[i]):
+                at, sign = place[w]
+                plain[at] += sign * math.sqrt(words[i].count(w)) * math.log(1 + len(texts) / sum(w in ws for ws in words.values()))
+            size = math.sqrt(sum(x * x for x in plain))
+            assert all(abs(x / size - y) < 1e-9 for x, y in zip(plain, vector, strict=True))
+
+
 def test_semantic_search_takes_any_embedder(spark):
     corpus = spark.createDataFrame([(1, "red apple pie"), (2, "blue sky"), (3, "apple apple tree"), (4, None)], "id long, text string")
     queries = spark.createDataFrame([(7, "an apple tree")], "query_id long, text string")
