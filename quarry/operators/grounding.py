@@ -124,7 +124,8 @@ def _fields(domain: str, no_model: float) -> Callable[[DataFrame, DataFrame], Da
         the model, of another model, like one of either, or of none."""
         # written down, as the layers ask for the probes again and again
         asked = kept(references.select("doc", "model", "name").distinct())
-        models = index.select(F.col("model").alias("_m")).distinct()
+        # of known size, so that few models are sent to the uses, which would else meet by model
+        models = kept(index.select(F.col("model").alias("_m")).distinct())
         met = asked.join(models, F.col("model") == F.col("_m"), "left")
         probes = kept(met.filter("_m is not null").select(F.col("name").alias("probe"), "model").distinct())
         # one row a probe: a table of known size, so that few answers are sent to the uses and these stay where they are

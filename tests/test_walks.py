@@ -112,3 +112,21 @@ def test_selections_walk_once_in_parts_by_rows(spark, tmp_path):
     found = upkeep.lint_selections(spark, str(tmp_path))
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 45_000 * 9 + 36_000
+
+
+def test_levels_of_deep_texts_are_written_down(spark):
+    """Each level is a join of its own: the plan does not grow with the depth of texts."""
+    text = "gql`{ user { " + "posts { author { " * 12 + "id nope { id }" + " }" * 26 + "`"
+    typed = walks.typed(walks.query_fields(spark.createDataFrame([("d", text)], "doc string, text string")), fields(spark))
+    assert "Join" not in typed._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.model, r.name) for r in typed.collect())
+    assert got == sorted([("Query", "user"), *[("User", "posts"), ("Post", "author")] * 12, ("User", "id"), ("User", "nope")])
+
+
+def test_issues_do_not_deal_uses_out_by_model(spark):
+    """Most texts use the same few models: these are sent to the uses, which stay where they are."""
+    uses = spark.createDataFrame([(str(i), m, n) for i in range(50) for m, n in (("User", "email"), ("User", "emaill"), ("Nothing", "x"))], "doc string, model string, name string")
+    found = grounding.graphql(uses, fields(spark))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    counts = {(r["name"], r.severity, r.candidate): r["count"] for r in found.groupBy("name", "severity", "candidate").count().collect()}
+    assert counts == {("User.email", "ok", "User.email"): 50, ("User.emaill", "low", "User.email"): 50, ("Nothing.x", "unknown", None): 50}
