@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import grounding, lint, resolve, upkeep
+from quarry.plans import upkeep as plans
 from quarry.sources import code
 
 
@@ -77,6 +78,26 @@ def test_semantic_search_takes_any_embedder(spark):
     assert [r.n for r in norms] == [1.0]
 
 
+def test_semantic_top5_answers_every_item(spark, tmp_path):
+    """Whatever their ids, items with words are compared with every document; ties go to the smaller id."""
+    import math
+
+    docs = {0: "red apple pie", 1: "blue sky", 2: "apple apple tree", 3: None, 4: "a tall tree", 5: "sky and sea", 6: "blue sea", 7: "pie"}
+    items = {0: "an apple tree", 1: "the blue sea", 7: "pie", 20: "tall sky", 39: "?!", 41: "unheard of"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    both = [(2 * i, t) for i, t in docs.items()] + [(2 * i + 1, t) for i, t in items.items()]
+    made = {r.id: r.vector for r in upkeep.hashed_vectors(spark.createDataFrame(both, "id long, text string")).collect()}
+    want = []
+    for i in items:
+        if 2 * i + 1 in made:
+            near = sorted((-round(math.sumprod(made[2 * i + 1], made[2 * d]), 9), d) for d in docs if 2 * d in made)[:5]
+            want += [(i, d, round(-s, 6)) for s, d in near]
+    got = sorted(map(tuple, plans.semantic_top5(spark, str(tmp_path)).collect()))
+    assert {i for i, _, _ in got} == {0, 1, 7, 20, 41} and [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
+
+
 def test_training_rows_are_the_same_every_time(spark):
     make = upkeep.training_pairs(500)
     a, b = make(spark), make(spark).repartition(3)
